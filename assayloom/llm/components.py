@@ -11,20 +11,23 @@ from .store import saved
 def connected_components(links: DataFrame) -> DataFrame:
     """links: columns a, b (long). Returns (node, component): the smallest id reachable from each linked node.
 
-    Hook-and-jump: every node points at the smallest id it has heard of; a round takes the minimum over the neighbours'
-    pointers and then jumps pointers once, so chains halve. Aggregations are minima, which combine before the shuffle, and
-    joins are plain equi joins that AQE can split, so one node with very many links is no hot spot. Empty links give no rows;
-    self links and repeated links are allowed. Null ends are ignored.
+    Each round maps every node to its smallest neighbour (or itself), and contracts the links by that map, keeping the map's own
+    steps as links; at least half of the nodes with links go each round. Minima combine before the shuffle and the joins are
+    plain equi joins that AQE can split, so one node with very many links is no hot spot. Empty links give no rows; self links,
+    repeated links and null ends are allowed and ignored.
     """
-    both = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
-    label = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "cc-label")
-    while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        hooked = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("up"))
-        jump = label.select(F.col("node").alias("up"), F.col("component").alias("far"))
-        step = saved(hooked.join(jump, "up").select("node", "old", F.least("up", "far").alias("component")), "cc-step")
-        changed = step.where("component <> old").limit(1).count()
-        label = step.select("node", "component")
-        if not changed:
-            return label
+    links = links.where("a is not null and b is not null and a <> b").select("a", "b")
+    links = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
+    label = None
+    while not links.isEmpty():
+        step = saved(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")), "cc-step")
+        left, right = step.toDF("a", "a_to"), step.toDF("b", "b_to")
+        moved = links.join(left, "a").join(right, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        climb = step.where("node <> to").join(left, F.col("to") == F.col("a")).select(F.col("to").alias("a"), F.col("a_to").alias("b"))
+        ends = moved.unionByName(climb).where("a <> b")
+        links = saved(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
+        if label is None:
+            label = step.select("node", F.col("to").alias("component"))
+        else:
+            label = saved(label.join(step.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "cc-label")
+    return label if label is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
