@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .text import slices
 
@@ -154,7 +155,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", prefix: str = "", bits
             new = [*(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *new], names=[*(batch.schema.names[i] for i in stay), *names])
 
-    schema = docs.drop(*without).schema
+    schema = StructType(docs.drop(*without).schema.fields.copy())
     for n, kind in zip(names, ("long", "long", "long", "string", "string"), strict=True):
         schema = schema.add(n, kind)
     return docs.mapInArrow(run, schema)
