@@ -17,7 +17,7 @@ from .text import LOWER, mix, shingle_sets, slices, string_buffers
 #: Bytes of one signature value.
 VALUE = 2
 #: Tiles of a bucket: at least this many members a side, and at most TILE_MAX; a bucket is cut into about TILES parts a side.
-TILE_MIN, TILE_MAX, TILES = 256, 1024, 32
+TILE_MIN, TILE_MAX, TILES = 1024, 1024, 32
 
 
 @dataclass(frozen=True)
