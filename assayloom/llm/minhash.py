@@ -52,11 +52,15 @@ def signature(hashes: np.ndarray, bins: int, donors: np.ndarray) -> np.ndarray:
     full = np.append(at[1:], len(hashes)) > at
     value = (hashes[np.minimum(at, len(hashes) - 1)] & np.uint64(0xFFFF)).astype(np.uint16)
     empty = np.flatnonzero(~full)
-    if len(empty):
-        ask = full[donors[empty]]
-        pick = donors[empty, ask.argmax(axis=1)]
-        pick[~ask.any(axis=1)] = np.flatnonzero(full)[0]
-        value[empty] = value[pick]
+    pick = np.full(len(empty), np.flatnonzero(full)[0])
+    at, todo = 0, np.arange(len(empty))
+    while len(todo) and at < donors.shape[1]:  # most bins find a donor soon
+        ask = donors[empty[todo], at : 4 * at + 64]
+        found = full[ask]
+        got = found.any(axis=1)
+        pick[todo[got]] = ask[got, found[got].argmax(axis=1)]
+        at, todo = 4 * at + 64, todo[~got]
+    value[empty] = value[pick]
     return value
 
 
@@ -122,7 +126,7 @@ def _slack(n: np.ndarray, bins: int, percent: int) -> np.ndarray:
 def _near(sig_a, n_a, sig_b, n_b, b: Banding) -> np.ndarray:
     """Which pairs can be at the threshold, from signatures and set sizes; broadcasts over leading axes."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    equal = (sig_a == sig_b).mean(axis=-1)
+    equal = np.count_nonzero(sig_a == sig_b, axis=-1) / b.bins
     return (100 * small >= b.percent * large) & (equal >= _slack(small, b.bins, b.percent))
 
 
