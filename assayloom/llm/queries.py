@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, minhash, mixing, pieces, quality, secrets, token_counts, token_output
+from . import ann, embedding_dedup, html, minhash, mixing, pieces, quality, secrets, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), banding=OP2_BANDING)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages), keep=("page_id", "url"))
+
+
 def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_html_text": op3_html_text,
     "op4_ann_search": op4_ann_search,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_classifier": op6_quality_classifier,
