@@ -1,10 +1,613 @@
-"""Registered queries over the test tables, each with the SQL that states the same result."""
+"""Registered queries over the test tables, each with the SQL that states the same result.
+
+Stand-ins for feature x sample tables: m1, part brands x suppliers, complete; m2, parts x supplier nations on the complete grid, with
+gaps; m3, part brands and types x nations; samples of m2 and m3 are nations, their batch the region. Values are sums of quantities: whole numbers, so that sums don't depend on
+their order; derived numbers are rounded on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import cells as C
+from ..operators import facts, missing, stats, transforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {VIEWS} {sql}"
+        return f
+
+    return register
+
+
+VIEWS = """
+li AS (SELECT l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem),
+m1 AS (SELECT p_brand AS feature, CAST(l_suppkey AS VARCHAR) AS sample, SUM(l_quantity) AS value FROM li JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+m2p AS (SELECT CAST(l_partkey AS VARCHAR) AS feature, n_name AS sample, SUM(l_quantity) AS value FROM li JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+m2 AS (SELECT f.feature, s.sample, p.value FROM (SELECT DISTINCT feature FROM m2p) f CROSS JOIN (SELECT DISTINCT sample FROM m2p) s LEFT JOIN m2p p ON p.feature = f.feature AND p.sample = s.sample),
+smp AS (SELECT n_name AS sample, r_name AS batch, CAST(n_nationkey % 8 AS VARCHAR) AS subject, n_nationkey AS run_order FROM nation JOIN region ON n_regionkey = r_regionkey),
+dx AS (SELECT feature, sample, LOG2(value) AS y FROM m2),
+m3p AS (SELECT p_brand || ' ' || p_type AS feature, n_name AS sample, SUM(l_quantity) AS value FROM li JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+m3 AS (SELECT f.feature, s.sample, LOG2(p.value) AS y FROM (SELECT DISTINCT feature FROM m3p) f CROSS JOIN (SELECT DISTINCT sample FROM m3p) s LEFT JOIN m3p p ON p.feature = f.feature AND p.sample = s.sample),
+cm AS (SELECT feature, sample, y FROM m3 WHERE feature IN (SELECT feature FROM m3 GROUP BY 1 HAVING COUNT(y) = COUNT(*)))
+"""
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def m1(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    by = li.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))  # combined before the join
+    brand = table(spark, d, "part").select("p_partkey", "p_brand")
+    return by.join(brand, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("feature"), F.col("l_suppkey").cast("string").alias("sample")).agg(F.sum("q").alias("value"))
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("sample"), F.col("r_name").alias("batch"), (F.col("n_nationkey") % 8).cast("string").alias("subject"), F.col("n_nationkey").alias("run_order"))
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    where = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("sample"))
+    return li.join(where, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_partkey").cast("string").alias("feature"), "sample").agg(F.sum("l_quantity").alias("value"))
+
+
+def m2(spark: SparkSession, d: str) -> DataFrame:
+    return C.complete_grid(pairs(spark, d), ["value"])
+
+
+def logged(spark: SparkSession, d: str) -> DataFrame:
+    return m2(spark, d).withColumn("y", F.log2("value"))
+
+
+def complete(spark: SparkSession, d: str) -> DataFrame:
+    """m3, brands and types x nations, without the features that have gaps."""
+    kinds = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("feature"), F.concat_ws(" ", "p_brand", "p_type").alias("kind"))
+    sums = pairs(spark, d).join(kinds, "feature").groupBy(F.col("kind").alias("feature"), "sample").agg(F.sum("value").alias("value"))
+    return C.diagnostic_matrix(C.complete_grid(sums, ["value"]).withColumn("y", F.log2("value")))
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """The columns as doubles, rounded; -0 is 0."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in columns})
+
+
+def text_table(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
+
+
+# ---------------------------------------------------------------- columns and values
+
+
+@query("""SELECT column_name, kind, n_missing, n_unique FROM (
+  SELECT 'c_custkey' AS column_name, 'numeric' AS kind, CAST(COUNT(*) FILTER (c_custkey IS NULL) AS BIGINT) AS n_missing, CAST(COUNT(DISTINCT c_custkey) AS BIGINT) AS n_unique FROM customer
+  UNION ALL SELECT 'c_name', 'text', COUNT(*) FILTER (TRIM(c_name) IN ('', 'NA', 'N/A', 'NaN', 'nan', 'null', 'NULL', 'None')), COUNT(DISTINCT c_name) FROM customer
+  UNION ALL SELECT 'c_mktsegment', 'text', COUNT(*) FILTER (TRIM(c_mktsegment) = ''), COUNT(DISTINCT c_mktsegment) FROM customer
+  UNION ALL SELECT 'c_nationkey', 'numeric', COUNT(*) FILTER (c_nationkey IS NULL), COUNT(DISTINCT c_nationkey) FROM customer)""")
+def column_facts(spark, d):
+    cells = facts.melted(text_table(spark, d).drop("c_acctbal"), row=None)
+    return facts.column_facts(cells).select(F.col("column").alias("column_name"), "kind", "n_missing", "n_unique")
+
+
+@query("""SELECT feature, n, ROUND(min, 6) AS min, ROUND(median, 6) AS median, ROUND(max, 6) AS max, ROUND(frac_zero, 6) AS frac_zero, ROUND(frac_negative, 6) AS frac_negative, integer_valued, ROUND(span, 6) AS log10_span FROM (
+  SELECT c_mktsegment AS feature, COUNT(*) AS n, MIN(c_acctbal) AS min, MEDIAN(c_acctbal) AS median, MAX(c_acctbal) AS max, AVG(CASE WHEN c_acctbal = 0 THEN 1.0 ELSE 0.0 END) AS frac_zero,
+    AVG(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) AS frac_negative, BOOL_AND(c_acctbal = FLOOR(c_acctbal)) AS integer_valued, LOG10(MAX(c_acctbal) FILTER (c_acctbal > 0)) - LOG10(MIN(c_acctbal) FILTER (c_acctbal > 0)) AS span FROM customer GROUP BY 1)""")
+def numeric_facts(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("feature"), F.col("c_acctbal").alias("value"))
+    return rounded(facts.numeric_facts(c, ["feature"]), "min", "median", "max", "frac_zero", "frac_negative", "log10_span")
+
+
+@query("""SELECT value, n, CAST(rank AS INTEGER) AS rank FROM (SELECT p_type AS value, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, p_type) AS rank FROM part GROUP BY 1) WHERE rank <= 12""")
+def value_counts_topk(spark, d):
+    cells = table(spark, d, "part").select(F.lit("p_type").alias("column"), F.col("p_type").alias("cell"))
+    return facts.top_values(cells, ["column"], "cell", 12).select("value", "n", "rank")
+
+
+@query("""SELECT shape, COUNT(*) AS n FROM (SELECT SUBSTR(REGEXP_REPLACE(REGEXP_REPLACE(TRIM(p_name), '[A-Za-z]', 'A', 'g'), '[0-9]', '9', 'g'), 1, 40) AS shape FROM part) GROUP BY 1""")
+def value_shapes(spark, d):
+    return table(spark, d, "part").groupBy(S.shape(F.col("p_name")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT template, COUNT(*) AS n_columns, MIN(name) AS first, MAX(name) AS last FROM (SELECT c_name AS name, REGEXP_REPLACE(c_name, '[0-9]+', '#', 'g') AS template FROM customer) GROUP BY 1 HAVING COUNT(*) >= 2""")
+def name_templates(spark, d):
+    return facts.numeric_templates(table(spark, d, "customer").select(F.col("c_name").alias("column")))
+
+
+@query("""SELECT delimiter, CAST(COUNT(*) AS BIGINT) AS n_split, CAST(COUNT(DISTINCT l) AS BIGINT) AS n_left, CAST(COUNT(DISTINCT r) AS BIGINT) AS n_right FROM (
+  SELECT d AS delimiter, SUBSTR(p_name, 1, INSTR(p_name, d) - 1) AS l, SUBSTR(p_name, INSTR(p_name, d) + 1) AS r FROM part, (VALUES ('_'), ('-'), ('.'), (' '), (':'), ('/')) t(d)
+  WHERE INSTR(p_name, d) > 1 AND INSTR(p_name, d) < LENGTH(p_name)) GROUP BY 1""")
+def name_patterns(spark, d):
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"))
+    return facts.name_patterns(names).where("side = 'first'").select("delimiter", "n_split", "n_left", "n_right")
+
+
+@query("""SELECT (SELECT COUNT(DISTINCT c_mktsegment) FROM customer) AS n_distinct, (SELECT COUNT(*) FROM (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING COUNT(*) > 1)) AS n_repeated, (SELECT COUNT(*) FROM customer WHERE c_mktsegment IS NULL) AS n_missing""")
+def id_check(spark, d):
+    return facts.id_check(table(spark, d, "customer"), "c_mktsegment")[0]
+
+
+@query("""SELECT 'A1B1' AS block, COUNT(DISTINCT feature) AS n_features, COUNT(DISTINCT sample) AS n_samples, ROUND(1 - COUNT(value) / COUNT(*), 6) AS missing_share, COUNT(*) FILTER (value = 0) AS n_zero, COUNT(*) FILTER (value < 0) AS n_negative, MEDIAN(value) AS median FROM m2""")
+def block_facts(spark, d):
+    return rounded(facts.block_facts(m2(spark, d).withColumn("block", F.lit("A1B1"))), "missing_share")
+
+
+@query("""SELECT 'A1B1' AS block, COALESCE(BOOL_OR(value < 0), FALSE) AS any_negative, MAX(value) < 50 AS below_50, (SELECT STDDEV_POP(m) / ABS(AVG(m)) < 0.02 FROM (SELECT MEDIAN(value) AS m FROM m2 GROUP BY sample)) AS steady_medians, COUNT(value) = COUNT(*) AND COUNT(*) FILTER (value = 0) = 0 AS nothing_missing_no_zero FROM m2""")
+def history_hints(spark, d):
+    return facts.history_hints(m2(spark, d).withColumn("block", F.lit("A1B1")))
+
+
+@query("""SELECT o_orderkey, ROUND(CASE WHEN o_totalprice = 0 THEN 0 ELSE ROUND(o_totalprice * POW(10, 3 - FLOOR(LOG10(ABS(o_totalprice))))) / POW(10, 3 - FLOOR(LOG10(ABS(o_totalprice)))) END, 4) AS v FROM orders""")
+def significant_digits(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.round(S.significant(F.col("o_totalprice"), 4), 4).alias("v"))
+
+
+# ---------------------------------------------------------------- cells
+
+
+@query("SELECT feature, sample, value FROM m2")
+def cells_grid(spark, d):
+    return m2(spark, d)
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS feature, s.sample, CASE s.sample WHEN 'c_acctbal' THEN c_acctbal ELSE c_nationkey END AS value FROM customer CROSS JOIN (VALUES ('c_acctbal'), ('c_nationkey')) s(sample)""")
+def cells_unpivot(spark, d):
+    t = table(spark, d, "customer")
+    return C.from_samples_in_columns(t, "c_custkey", {"c_acctbal": "c_acctbal", "c_nationkey": "c_nationkey"}, "c_custkey").select("feature", "sample", "value")
+
+
+@query("""SELECT event_type AS feature, CAST(user_id AS VARCHAR) AS sample, COUNT(*) AS n FROM events GROUP BY 1, 2 HAVING COUNT(*) > 1""")
+def long_duplicate_pairs(spark, d):
+    return C.long_duplicates(table(spark, d, "events"), "event_type", "user_id")
+
+
+@query("""SELECT feature, MAX(value) FILTER (sample = '1') AS s1, MAX(value) FILTER (sample = '2') AS s2, MAX(value) FILTER (sample = '3') AS s3 FROM m1 GROUP BY 1""")
+def pivot_export(spark, d):
+    return C.to_matrix(m1(spark, d).where(F.col("sample").isin("1", "2", "3")), ["1", "2", "3"]).select("feature", F.col("1").alias("s1"), F.col("2").alias("s2"), F.col("3").alias("s3"))
+
+
+FLAG_RULES = [("p_type", "prefix", ["PROMO", "STANDARD"]), ("p_brand", "is", ["Brand#11", "Brand#22"])]
+
+
+@query("""SELECT p_partkey, reason <> '' AS flagged, reason AS flag_reason FROM (SELECT p_partkey, CONCAT_WS('; ', CASE WHEN TRIM(p_type) LIKE 'PROMO%' OR TRIM(p_type) LIKE 'STANDARD%' THEN 'p_type' END, CASE WHEN p_brand IN ('Brand#11', 'Brand#22') THEN 'p_brand' END) AS reason FROM part)""")
+def flag_reasons(spark, d):
+    return C.flags(table(spark, d, "part"), FLAG_RULES).select("p_partkey", "flagged", "flag_reason")
+
+
+@query("""SELECT sample, sample_type, sample_type = 'study' AS is_study_sample FROM (SELECT n_name AS sample, CASE WHEN n_name LIKE 'A%' OR n_name LIKE 'B%' THEN 'qc' WHEN n_name LIKE '%A' THEN 'blank' ELSE 'study' END AS sample_type FROM nation)""")
+def sample_glob_types(spark, d):
+    return C.sample_types(samples(spark, d).select("sample"), [("qc", ["A*", "B*"]), ("blank", ["*A"])])
+
+
+@query("""SELECT feature, sample, value FROM m2 WHERE sample NOT LIKE 'A%' AND feature NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE TRIM(p_type) LIKE 'PROMO%')""")
+def audit_set(spark, d):
+    s = C.sample_types(samples(spark, d), [("qc", ["A*"])])
+    f = C.flags(table(spark, d, "part"), [("p_type", "prefix", ["PROMO"])]).select(F.col("p_partkey").cast("string").alias("feature"), "flagged")
+    return C.audit_set(m2(spark, d), s, f)
+
+
+@query("""SELECT s.sample, s.batch, i."batch (info)" FROM smp s LEFT JOIN (SELECT n_name, s_name AS "batch (info)" FROM (SELECT n_name, s_name, ROW_NUMBER() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3) WHERE k = 1) i ON s.sample = i.n_name""")
+def sample_table_join(spark, d):
+    info = table(spark, d, "supplier").join(table(spark, d, "nation").where("n_regionkey < 3"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("id"), F.col("s_name").alias("batch"), "s_suppkey")
+    return C.with_sample_info(samples(spark, d).select("sample", "batch"), info, "id", "s_suppkey")
+
+
+@query("""SELECT CAST(COUNT(*) FILTER (s.sample IS NOT NULL AND i.k IS NOT NULL) AS BIGINT) AS matched, CAST(COUNT(*) FILTER (i.k IS NULL) AS BIGINT) AS only_samples, CAST(COUNT(*) FILTER (s.sample IS NULL) AS BIGINT) AS only_info, CAST(COUNT(*) FILTER (i.n > 1) AS BIGINT) AS repeated
+FROM smp s FULL JOIN (SELECT n_name AS k, COUNT(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY 1) i ON s.sample = i.k""")
+def info_match(spark, d):
+    info = table(spark, d, "supplier").join(table(spark, d, "nation").where("n_regionkey < 3"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("id"))
+    return C.match_report(samples(spark, d), info, "id")
+
+
+@query("""SELECT 'n_name' AS "column", COUNT(*) AS n_matched FROM smp UNION ALL SELECT 'n_regionkey', 0""")
+def id_overlap(spark, d):
+    return C.id_overlap(samples(spark, d), table(spark, d, "nation"), ["n_name", "n_regionkey"])
+
+
+@query("""SELECT (SELECT COUNT(*) FROM (SELECT sample FROM m2p INTERSECT SELECT n_name FROM nation)) AS both, (SELECT COUNT(*) FROM (SELECT n_name FROM nation EXCEPT SELECT sample FROM m2p WHERE feature = '1')) AS only_nation""")
+def set_ops_samples(spark, d):
+    p, n = pairs(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("sample"))
+    both, only = p.select("sample").intersect(n), n.subtract(p.where("feature = '1'").select("sample"))
+    return both.agg(F.count("*").alias("both")).crossJoin(F.broadcast(only.agg(F.count("*").alias("only_nation"))))
+
+
+# ---------------------------------------------------------------- integrity and scale
+
+
+@query("""SELECT value, n, ROUND(n / (SELECT COUNT(value) FROM m2), 6) AS share FROM (SELECT value, COUNT(*) AS n FROM m2 WHERE value <> 0 GROUP BY 1 ORDER BY n DESC, value LIMIT 1)""")
+def sentinel_value(spark, d):
+    return rounded(missing.sentinel(m2(spark, d)), "share")
+
+
+@query("""SELECT n, COUNT(*) AS n_groups FROM (SELECT v, COUNT(*) AS n FROM (SELECT feature, LIST(CASE WHEN value > 60 THEN '1' ELSE '0' END ORDER BY sample) AS v FROM m1 WHERE sample IN ('1', '2', '3') GROUP BY 1) GROUP BY 1 HAVING COUNT(*) > 1) GROUP BY 1""")
+def identical_vectors(spark, d):
+    coarse = m1(spark, d).where(F.col("sample").isin("1", "2", "3")).withColumn("value", (F.col("value") > 60).cast("double"))
+    return missing.identical_vectors(coarse, "feature", "sample").groupBy("n").agg(F.count("*").alias("n_groups"))
+
+
+@query("""SELECT feature, COUNT(value) AS n_observed, COUNT(*) AS n, ROUND(1 - COUNT(value) / COUNT(*), 6) AS missing_rate, ROUND(COUNT(*) FILTER (value = 0) / COUNT(*), 6) AS zero_rate FROM m2 GROUP BY 1""")
+def missing_rates(spark, d):
+    return rounded(missing.rates(m2(spark, d), ["feature"]), "missing_rate", "zero_rate")
+
+
+@query("""SELECT sample, COUNT(value) AS n_observed, COUNT(*) AS n, ROUND(1 - COUNT(value) / COUNT(*), 6) AS missing_rate, ROUND(COUNT(*) FILTER (value = 0) / COUNT(*), 6) AS zero_rate FROM m2 GROUP BY 1""")
+def missing_rates_by_sample(spark, d):
+    return rounded(missing.rates(m2(spark, d), ["sample"]), "missing_rate", "zero_rate")
+
+
+@query("""SELECT ROUND(MIN(r), 6) AS min, ROUND(MEDIAN(r), 6) AS median, ROUND(QUANTILE_CONT(r, 0.9), 6) AS p90, ROUND(MAX(r), 6) AS max FROM (SELECT 1 - COUNT(value) / COUNT(*) AS r FROM m2 GROUP BY feature)""")
+def missing_rate_summary(spark, d):
+    return rounded(missing.rate_summary(missing.rates(m2(spark, d), ["feature"])), "min", "median", "p90", "max")
+
+
+@query("""SELECT at_most, ROUND(COUNT(*) FILTER (r <= at_most) / COUNT(*), 6) AS share FROM (SELECT 1 - COUNT(value) / COUNT(*) AS r FROM m2 GROUP BY feature), (VALUES (0.0::DOUBLE), (0.1), (0.25), (0.5)) t(at_most) GROUP BY 1""")
+def missing_shares(spark, d):
+    return rounded(missing.missing_shares(m2(spark, d)), "share")
+
+
+FLOOR_SQL = "fl AS (SELECT *, COALESCE(value = MIN(value) OVER w AND COUNT(value) OVER w >= 5 AND SUM(CASE WHEN value = lo THEN 1 ELSE 0 END) OVER w >= 2, FALSE) AS at_floor FROM (SELECT *, MIN(value) OVER (PARTITION BY feature) AS lo FROM m2) WINDOW w AS (PARTITION BY feature))"
+
+
+@query(f", {FLOOR_SQL} SELECT CASE WHEN value IS NULL THEN 'missing' WHEN value = 0 THEN 'zero' WHEN at_floor THEN 'floor_tied' ELSE 'observed' END AS cell_class, COUNT(*) AS n FROM fl GROUP BY 1")
+def cell_encoding(spark, d):
+    return missing.encoding_counts(m2(spark, d))
+
+
+@query(f", {FLOOR_SQL} SELECT feature, COUNT(*) FILTER (at_floor) AS n_floor FROM fl GROUP BY 1 HAVING COUNT(*) FILTER (at_floor) > 0")
+def floor_ties(spark, d):
+    return C.floor_marks(m2(spark, d)).where("at_floor").groupBy("feature").agg(F.count("*").alias("n_floor"))
+
+
+@query("""SELECT batch AS level, ROUND(1 - COUNT(value) / COUNT(*), 6) AS missing_rate, COUNT(DISTINCT sample) AS n_samples FROM m2 JOIN smp USING (sample) GROUP BY 1""")
+def missing_by_batch(spark, d):
+    v = samples(spark, d).select("sample", F.lit("batch").alias("name"), F.col("batch").alias("level"))
+    return rounded(missing.rate_by_level(m2(spark, d), v), "missing_rate").drop("name")
+
+
+COVER_SQL = ", cv AS (SELECT feature, COUNT(*) FILTER (seen = 0 AND size >= 3) AS absent_levels, MIN(seen) AS lowest FROM (SELECT feature, batch, COUNT(value) AS seen, COUNT(*) AS size FROM m2 JOIN smp USING (sample) GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(f"{COVER_SQL} SELECT feature, absent_levels, lowest FROM cv")
+def batch_wide_absence(spark, d):
+    return missing.level_coverage(m2(spark, d), samples(spark, d).select("sample", "batch"))
+
+
+@query(f"{COVER_SQL} SELECT ROUND(COUNT(*) FILTER (absent_levels > 0) / COUNT(*), 6) AS batch_wide_absent, ROUND(COUNT(*) FILTER (lowest >= 1) / COUNT(*), 6) AS one_in_every_level, ROUND(COUNT(*) FILTER (lowest >= 2) / COUNT(*), 6) AS two_in_every_level FROM cv")
+def batch_coverage(spark, d):
+    c = missing.level_coverage(m2(spark, d), samples(spark, d).select("sample", "batch"))
+    return rounded(missing.coverage_shares(c), "batch_wide_absent", "one_in_every_level", "two_in_every_level")
+
+
+@query("""SELECT threshold, COUNT(*) FILTER (share >= threshold - 1e-9) AS n_kept FROM (SELECT feature, 100 * COUNT(value) / COUNT(*) AS share FROM m2 GROUP BY 1), (VALUES (100), (90), (75), (50), (25)) t(threshold) GROUP BY 1""")
+def completeness_overall(spark, d):
+    return missing.completeness(m2(spark, d))
+
+
+@query("""SELECT threshold, COUNT(*) FILTER (share >= threshold - 1e-9) AS n_kept FROM (SELECT feature, MAX(s) AS share FROM (SELECT feature, batch, 100 * COUNT(value) / COUNT(*) AS s FROM m2 JOIN smp USING (sample) GROUP BY 1, 2) GROUP BY 1), (VALUES (100), (90), (75), (50), (25)) t(threshold) GROUP BY 1""")
+def completeness_within_group(spark, d):
+    return missing.completeness(m2(spark, d), samples(spark, d).select("sample", F.col("batch").alias("level")))
+
+
+@query("""SELECT feature, ROUND(CASE WHEN n >= 3 AND v > 1e-12 THEN m3 / POW(v, 1.5) END, 5) AS skew FROM (SELECT a.feature, COUNT(a.value) AS n, AVG(POW(a.value - b.m, 2)) AS v, AVG(POW(a.value - b.m, 3)) AS m3 FROM m2 a JOIN (SELECT feature, AVG(value) AS m FROM m2 GROUP BY 1) b USING (feature) GROUP BY 1)""")
+def skew_rows(spark, d):
+    return rounded(m2(spark, d).groupBy("feature").agg(stats.skewness(F.col("value")).alias("skew")), "skew", digits=5)
+
+
+@query("""SELECT COUNT(*) AS n, ROUND(MEDIAN(ABS(m - (SELECT MEDIAN(LOG2(v)) FROM (SELECT MEDIAN(value) AS v FROM m2 GROUP BY feature) WHERE v > 0))), 6) AS mad FROM (SELECT LOG2(v) AS m FROM (SELECT MEDIAN(value) AS v FROM m2 GROUP BY feature) WHERE v > 0)""")
+def median_scaling(spark, d):
+    return rounded(missing.median_scaling(m2(spark, d)), "mad")
+
+
+# ---------------------------------------------------------------- distribution, quality, outliers
+
+RLE_SQL = ", rle AS (SELECT sample, y - MEDIAN(y) OVER (PARTITION BY feature) AS r FROM dx WHERE y IS NOT NULL)"
+
+
+@query(f"{RLE_SQL} SELECT sample, ROUND(MEDIAN(r), 6) AS median, ROUND(QUANTILE_CONT(r, 0.75) - QUANTILE_CONT(r, 0.25), 6) AS iqr FROM rle GROUP BY 1")
+def relative_log_expression(spark, d):
+    return rounded(missing.sample_profile(logged(spark, d).where("y is not null")), "median", "iqr")
+
+
+@query(f"{RLE_SQL}, sm AS (SELECT MEDIAN(r) AS m FROM rle GROUP BY sample) SELECT ROUND(MEDIAN(ABS(m - (SELECT MEDIAN(m) FROM sm))), 6) AS mad FROM sm")
+def median_shift(spark, d):
+    return rounded(missing.median_shift(logged(spark, d).where("y is not null")), "mad")
+
+
+Z_SQL = """, md AS (SELECT feature, MEDIAN(y) AS med FROM dx GROUP BY 1), dv AS (SELECT feature, sample, y, y - med AS x FROM dx JOIN md USING (feature)),
+sp AS (SELECT feature, MEDIAN(ABS(x)) AS mad, AVG(ABS(x)) AS ad FROM dv GROUP BY 1),
+zz AS (SELECT feature, sample, CASE WHEN mad > 0 THEN 0.6745 * x / mad WHEN ad > 0 THEN x / (1.253314 * ad) ELSE 0 END AS z FROM dv JOIN sp USING (feature) WHERE y IS NOT NULL)"""
+
+
+@query(f"{Z_SQL} SELECT feature, COUNT(*) FILTER (ABS(z) > 3.5) AS n_extreme FROM zz GROUP BY 1")
+def modified_z_cells(spark, d):
+    z = stats.with_modified_z(logged(spark, d), ["feature"], "y").where("z is not null")
+    return z.groupBy("feature").agg(F.count_if(F.abs("z") > 3.5).alias("n_extreme"))
+
+
+@query(f"{Z_SQL} SELECT feature, sample, ROUND(z, 6) AS z FROM zz ORDER BY ROUND(ABS(z), 9) DESC, feature, sample LIMIT 50")
+def topk_outlier_cells(spark, d):
+    z = stats.with_modified_z(logged(spark, d), ["feature"], "y").where("z is not null")
+    return rounded(z.orderBy(F.round(F.abs("z"), 9).desc(), "feature", "sample").limit(50).select("feature", "sample", "z"), "z")
+
+
+@query("""SELECT feature, MAX(CASE WHEN value IS NULL THEN 0 ELSE run END) AS longest_run FROM (SELECT feature, value, COUNT(value) OVER (PARTITION BY feature, g) AS run FROM (SELECT feature, value, SUM(CASE WHEN value IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY feature ORDER BY run_order) AS g FROM m2 JOIN smp USING (sample))) GROUP BY 1""")
+def longest_run(spark, d):
+    return stats.longest_run(m2(spark, d).join(samples(spark, d), "sample"), ["feature"], "run_order")
+
+
+@query("""SELECT feature, n, ROUND(100 * sd / mean, 6) AS spread FROM (SELECT feature, COUNT(value) AS n, STDDEV_SAMP(value) AS sd, AVG(value) AS mean FROM m2 WHERE sample IN (SELECT sample FROM smp WHERE batch = 'ASIA') GROUP BY 1) WHERE n >= 3""")
+def qc_rsd(spark, d):
+    return rounded(missing.qc_spread(m2(spark, d), samples(spark, d).where("batch = 'ASIA'").select("sample")), "spread")
+
+
+@query("""SELECT feature, ROUND(AVG(value) FILTER (batch = 'AFRICA') / AVG(value) FILTER (batch <> 'AFRICA'), 6) AS ratio FROM m2 JOIN smp USING (sample) GROUP BY 1""")
+def blank_ratio(spark, d):
+    kinds = samples(spark, d).select("sample", F.when(F.col("batch") == "AFRICA", "blank").otherwise("study").alias("sample_type"))
+    return rounded(missing.blank_ratio(m2(spark, d), kinds), "ratio")
+
+
+@query("""SELECT feature, batch, COUNT(value) AS n, ROUND(STDDEV_SAMP(value) / AVG(value), 6) AS cv FROM m2 JOIN smp USING (sample) GROUP BY 1, 2 HAVING COUNT(value) >= 3""")
+def feature_cv_by_batch(spark, d):
+    return rounded(missing.feature_cv(m2(spark, d).join(samples(spark, d), "sample"), ["batch"]), "cv")
+
+
+@query("""SELECT run_order, batch FROM (SELECT run_order, batch, LAG(batch) OVER (ORDER BY run_order) AS b FROM smp) WHERE b <> batch""")
+def batch_boundaries(spark, d):
+    return missing.batch_boundaries(samples(spark, d))
+
+
+@query("""SELECT sample, MIN(value) AS min, QUANTILE_CONT(value, 0.25) AS p25, MEDIAN(value) AS median, QUANTILE_CONT(value, 0.75) AS p75, MAX(value) AS max, COUNT(value) AS n, ROUND(AVG(value), 6) AS mean FROM m2 GROUP BY 1""")
+def sample_five_numbers(spark, d):
+    return rounded(m2(spark, d).groupBy("sample").agg(*stats.summary("value")), "mean")
+
+
+@query("""SELECT bin, COUNT(*) AS n FROM (SELECT CAST(LEAST(30, FLOOR((value - (SELECT MIN(value) FROM m1)) / ((SELECT MAX(value) - MIN(value) FROM m1) / 30)) + 1) AS INTEGER) AS bin FROM m1) GROUP BY 1""")
+def histogram(spark, d):
+    return stats.histogram(m1(spark, d), "value").select("bin", "n")
+
+
+# ---------------------------------------------------------------- statistics
+
+
+def rank_sql(value: str, by: str = "feature") -> str:
+    return f"RANK() OVER (PARTITION BY {by} ORDER BY {value}) + (COUNT(*) OVER (PARTITION BY {by}, {value}) - 1) / 2.0"
+
+
+@query(f"SELECT feature, sample, CAST({rank_sql('value')} AS DOUBLE) AS rank FROM m2 WHERE value IS NOT NULL")
+def average_ranks(spark, d):
+    return stats.ranked(m2(spark, d), ["feature"], "value").select("feature", "sample", "rank")
+
+
+@query(f""", rk AS (SELECT feature, {rank_sql('value')} AS a, {rank_sql('run_order')} AS b FROM m2 JOIN smp USING (sample) WHERE value IS NOT NULL)
+SELECT feature, COUNT(*) AS n, ROUND(CASE WHEN COUNT(*) >= 3 AND STDDEV_POP(a) > 0 AND STDDEV_POP(b) > 0 THEN COVAR_POP(a, b) / (STDDEV_POP(a) * STDDEV_POP(b)) END, 6) AS rho FROM rk GROUP BY 1""")
+def spearman(spark, d):
+    return rounded(stats.spearman(m2(spark, d).join(samples(spark, d), "sample"), ["feature"], "value", "run_order"), "rho")
+
+
+@query(f""", rk AS (SELECT feature, batch, value, {rank_sql('value')} AS r FROM m2 JOIN smp USING (sample) WHERE value IS NOT NULL),
+gs AS (SELECT feature, SUM(s * s / c) AS q, SUM(c) AS n, COUNT(*) AS k FROM (SELECT feature, batch, SUM(r) AS s, COUNT(*) AS c FROM rk GROUP BY 1, 2) GROUP BY 1),
+ts AS (SELECT feature, SUM(t * t * t - t) AS ties FROM (SELECT feature, value, CAST(COUNT(*) AS DOUBLE) AS t FROM rk GROUP BY 1, 2) GROUP BY 1)
+SELECT feature, CAST(n AS BIGINT) AS n, k, ROUND(CASE WHEN n > 1 AND 1 - ties / (n * n * n - n) > 0 THEN (12.0 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) ELSE 0 END, 5) AS h FROM gs JOIN ts USING (feature)""")
+def kruskal_h(spark, d):
+    k = stats.kruskal(m2(spark, d).join(samples(spark, d), "sample"), ["feature"], "value", "batch")
+    return rounded(k, "h", digits=5).select("feature", "n", "k", "h")
+
+
+@query(""", g AS (SELECT feature, batch, SUM(value) AS s, COUNT(value) AS c, SUM(value * value) AS ss FROM m2 JOIN smp USING (sample) WHERE value IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT feature, SUM(s * s / c) AS b, SUM(s) AS s, SUM(c) AS n, SUM(ss) AS ss FROM g GROUP BY 1)
+SELECT feature, ROUND(CASE WHEN ss - s * s / n > 0 THEN (b - s * s / n) / (ss - s * s / n) ELSE 0 END, 6) AS eta2 FROM t""")
+def eta_squared(spark, d):
+    return rounded(stats.eta_squared(m2(spark, d).join(samples(spark, d), "sample"), ["feature"], "value", "batch"), "eta2")
+
+
+@query("""SELECT feature, ROUND(REGR_SLOPE(value, run_order), 6) AS slope FROM m1 JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS sample, s_suppkey AS run_order FROM supplier) USING (sample) GROUP BY 1""")
+def ols_slopes(spark, d):
+    o = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("sample"), F.col("s_suppkey").alias("run_order"))
+    return rounded(missing.control_trend(m1(spark, d), m1(spark, d).select("feature").distinct(), o), "slope")
+
+
+@query(""", ps AS (SELECT p_partkey AS id, (p_partkey * 7919 % 1009) / 1009.0 AS p FROM part), rk AS (SELECT id, p, COUNT(*) OVER () AS m, ROW_NUMBER() OVER (ORDER BY p, id) AS k FROM ps)
+SELECT id, ROUND(LEAST(1.0, MIN(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM rk""")
+def bh_qvalues(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 1009 / 1009.0).alias("p"))
+    return rounded(stats.bh(p, tie="id"), "q").select("id", "q")
+
+
+PAIR_SQL = ", pr AS (SELECT a.sample AS s1, b.sample AS s2, COUNT(*) AS n, CASE WHEN COUNT(*) >= 3 AND STDDEV_POP(a.y) > 0 AND STDDEV_POP(b.y) > 0 THEN COVAR_POP(a.y, b.y) / (STDDEV_POP(a.y) * STDDEV_POP(b.y)) END AS r FROM dx a JOIN dx b USING (feature) WHERE a.sample < b.sample AND a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"{PAIR_SQL} SELECT s1, s2, n, ROUND(r, 6) AS r FROM pr")
+def pairwise_correlation(spark, d):
+    return rounded(stats.sample_pairs(logged(spark, d)), "r")
+
+
+@query(f"{PAIR_SQL} SELECT a.batch = b.batch AS same, COUNT(r) AS n_pairs, ROUND(MEDIAN(r), 6) AS median_r FROM pr JOIN smp a ON s1 = a.sample JOIN smp b ON s2 = b.sample GROUP BY 1")
+def relationship_correlation(spark, d):
+    return rounded(stats.relationship(stats.sample_pairs(logged(spark, d)), samples(spark, d).select("sample", F.col("batch").alias("level"))), "median_r")
+
+
+@query(", ct AS (SELECT sample, feature, y - AVG(y) OVER (PARTITION BY feature) AS v FROM cm) SELECT a.sample AS s1, b.sample AS s2, ROUND(SUM(a.v * b.v), 5) AS g FROM ct a JOIN ct b USING (feature) WHERE a.sample <= b.sample GROUP BY 1, 2")
+def gram_matrix(spark, d):
+    return rounded(stats.gram(complete(spark, d)), "g", digits=5)
+
+
+@query("SELECT COUNT(DISTINCT feature) AS n_features, COUNT(DISTINCT sample) AS n_samples, COUNT(y) AS n_cells FROM cm")
+def diagnostic_matrix(spark, d):
+    return complete(spark, d).agg(F.count_distinct("feature").alias("n_features"), F.count_distinct("sample").alias("n_samples"), F.count("y").alias("n_cells"))
+
+
+@query(""", o AS (SELECT batch, subject, COUNT(*) AS o FROM smp GROUP BY 1, 2), e AS (SELECT r.batch, c.subject, r.n * c.n / 25.0 AS e FROM (SELECT batch, COUNT(*) AS n FROM smp GROUP BY 1) r CROSS JOIN (SELECT subject, COUNT(*) AS n FROM smp GROUP BY 1) c),
+x AS (SELECT SUM(POW(COALESCE(o, 0) - e, 2) / e) AS chi2 FROM e LEFT JOIN o USING (batch, subject)) SELECT 25.0::DOUBLE AS n, ROUND(chi2, 6) AS chi2, ROUND(SQRT(chi2 / (25 * 4)), 6) AS v FROM x""")
+def contingency_cramers_v(spark, d):
+    return rounded(stats.cramers_v(samples(spark, d), "batch", "subject"), "chi2", "v")
+
+
+@query("""SELECT 'nested' AS structure""")
+def design_structure(spark, d):
+    n = table(spark, d, "nation")
+    return stats.design_structure(n, "n_regionkey", "n_name")
+
+
+@query(""", s AS (SELECT feature, subject, CAST(COUNT(y) AS DOUBLE) AS c, AVG(y) AS m, VAR_POP(y) AS v FROM dx JOIN smp USING (sample) WHERE y IS NOT NULL GROUP BY 1, 2 HAVING COUNT(y) >= 2),
+t AS (SELECT feature, CAST(COUNT(*) AS DOUBLE) AS a, SUM(c) AS n, SUM(c * c) AS c2, SUM(c * m) AS cm, SUM(c * m * m) AS cm2, SUM(c * v) AS w FROM s GROUP BY 1),
+u AS (SELECT feature, (cm2 - cm * cm / n) / (a - 1) AS msb, w / (n - a) AS msw, (n - c2 / n) / (a - 1) AS k0 FROM t WHERE a >= 3 AND n - a >= 3)
+SELECT feature, ROUND((msb - msw) / (msb + (k0 - 1) * msw), 5) AS icc FROM u""")
+def icc1(spark, d):
+    return rounded(stats.icc1(logged(spark, d).join(samples(spark, d), "sample"), "feature", "subject", "y"), "icc", digits=5).where("icc is not null")
+
+
+@query("""SELECT COUNT(*) AS n_subjects, CAST(SUM(n) AS BIGINT) AS n_samples, MIN(n) AS smallest, MAX(n) AS largest, MIN(n) = MAX(n) AS balanced, (SELECT COUNT(*) FROM (SELECT subject, batch FROM smp GROUP BY 1, 2 HAVING COUNT(*) > 1)) AS repeated FROM (SELECT subject, COUNT(*) AS n FROM smp GROUP BY 1)""")
+def cluster_sizes(spark, d):
+    return missing.cluster_facts(samples(spark, d).select("sample", "subject", F.col("batch").alias("time")))
+
+
+@query("""SELECT subject, time, gap FROM (SELECT subject, run_order AS time, run_order - LAG(run_order) OVER (PARTITION BY subject ORDER BY run_order) AS gap FROM smp) WHERE gap IS NOT NULL""")
+def subject_gaps(spark, d):
+    return missing.subject_gaps(samples(spark, d).select("subject", F.col("run_order").alias("time")))
+
+
+@query("""SELECT MAX(k) = 1 AS constant, COUNT(*) FILTER (k > 1) AS varying FROM (SELECT subject, COUNT(DISTINCT batch) AS k FROM smp GROUP BY 1)""")
+def nesting(spark, d):
+    return missing.constant_within(samples(spark, d), "subject", "batch")
+
+
+@query("""SELECT feature, ROUND(AVG(v), 6) AS variance FROM (SELECT feature, batch, VAR_SAMP(y) AS v FROM dx JOIN smp USING (sample) GROUP BY 1, 2) GROUP BY 1""")
+def group_variance(spark, d):
+    return rounded(missing.group_variance(logged(spark, d).withColumn("value", F.col("y")), samples(spark, d).select("sample", F.col("batch").alias("level"))), "variance")
+
+
+# ---------------------------------------------------------------- operations that change data
+
+
+@query("""SELECT feature, sample, ROUND(LOG2(value + (SELECT MIN(value) / 2 FROM m2 WHERE value > 0)), 6) AS value FROM m2""")
+def log_half_min(spark, d):
+    t = transforms.log_transform(m2(spark, d).withColumn("block", F.lit("A1B1")))
+    return rounded(t, "value").select("feature", "sample", "value")
+
+
+@query("""SELECT feature, sample, ROUND(ASINH(value / 5.0), 6) AS value FROM m2""")
+def arcsinh(spark, d):
+    return rounded(transforms.arcsinh_transform(m2(spark, d), 5.0), "value")
+
+
+@query("""SELECT feature, sample, NULLIF(value - 30, 0) AS value FROM m2""")
+def recode_zero(spark, d):
+    return transforms.recode_zero(m2(spark, d).withColumn("value", F.col("value") - 30))
+
+
+@query("""SELECT feature, sample, value FROM m2 WHERE feature NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size < 10) AND sample NOT IN ('CHINA', 'FRANCE')""")
+def remove_features_and_samples(spark, d):
+    gone = table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").cast("string").alias("feature"))
+    two = table(spark, d, "nation").where(F.col("n_name").isin("CHINA", "FRANCE")).select(F.col("n_name").alias("sample"))
+    return transforms.remove_samples(transforms.remove_features(m2(spark, d), gone), two)
+
+
+@query("""SELECT feature, sample, ROUND(y - MEDIAN(y) OVER (PARTITION BY sample) + (SELECT MEDIAN(y) FROM dx), 6) AS value FROM dx""")
+def median_normalize(spark, d):
+    return rounded(transforms.normalize_median(logged(spark, d).select("feature", "sample", F.col("y").alias("value"))), "value").select("feature", "sample", "value")
+
+
+@query(f""", rk AS (SELECT feature, sample, {rank_sql('value', 'sample')} - 1 AS r, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY value) - 1 AS i, value FROM m1),
+ref AS (SELECT i, AVG(value) AS v FROM rk GROUP BY 1)
+SELECT feature, sample, ROUND(a.v + (r - FLOOR(r)) * (COALESCE(b.v, a.v) - a.v), 6) AS value FROM rk JOIN ref a ON a.i = FLOOR(r) LEFT JOIN ref b ON b.i = FLOOR(r) + 1""")
+def quantile_normalize_dense(spark, d):
+    return rounded(transforms.normalize_quantile(m1(spark, d)), "value").select("feature", "sample", "value")
+
+
+@query("""SELECT feature, sample, ROUND(y - COALESCE(MEDIAN(y) OVER (PARTITION BY feature, batch) - MEDIAN(y) OVER (PARTITION BY feature), 0), 6) AS value FROM dx JOIN smp USING (sample)""")
+def batch_center_median(spark, d):
+    return rounded(transforms.batch_center(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), samples(spark, d)), "value").select("feature", "sample", "value")
+
+
+@query("""SELECT feature, sample, ROUND(y - COALESCE(AVG(y) OVER (PARTITION BY feature, batch) - AVG(y) OVER (PARTITION BY feature), 0), 6) AS value FROM dx JOIN smp USING (sample)""")
+def batch_center_mean(spark, d):
+    return rounded(transforms.batch_center(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), samples(spark, d), "mean"), "value").select("feature", "sample", "value")
+
+
+@query("""SELECT 0::BIGINT AS lost, 0::BIGINT AS added, (SELECT COUNT(*) FROM m2 WHERE value = 30) AS gap_changed, 0::BIGINT AS new_infinite""")
+def invariants(spark, d):
+    old = m2(spark, d).withColumn("value", F.col("value") - 30)
+    return transforms.violations(old, transforms.recode_zero(old))
+
+
+# ---------------------------------------------------------------- no SQL: fits, permutations, linear algebra
+
+
+@query()
+def combat(spark, d):
+    return rounded(transforms.combat(complete(spark, d).select("feature", "sample", F.col("y").alias("value")), samples(spark, d)), "value", digits=5)
+
+
+@query()
+def loess_drift(spark, d):
+    order = samples(spark, d).select("sample", "run_order", F.lit("one").alias("batch"))
+    return transforms.drift_sample_loess(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), order)
+
+
+@query()
+def qc_drift(spark, d):
+    s = samples(spark, d)
+    return transforms.drift_qc_loess(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), s.select("sample", "run_order"), s.where("batch in ('ASIA', 'EUROPE')").select("sample"))
+
+
+@query()
+def quantile_normalize_gaps(spark, d):
+    return transforms.normalize_quantile(logged(spark, d).select("feature", "sample", F.col("y").alias("value")))
+
+
+@query()
+def principal_components(spark, d):
+    names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
+    scores, shares = stats.pca(k, 5)
+    return spark.createDataFrame([(n, j + 1, float(scores[i, j]), float(shares[j])) for i, n in enumerate(names) for j in range(scores.shape[1])], "sample string, pc int, score double, share double")
+
+
+@query()
+def permanova(spark, d):
+    import numpy as np
+
+    names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
+    batch = {r["sample"]: r.batch for r in samples(spark, d).collect()}  # one row per sample
+    codes = np.unique([batch[n] for n in names], return_inverse=True)[1]
+    plan = stats.Permutations(codes, key="permanova|batch")
+    r2, f = stats.permanova(k, codes)
+    p, least = plan.p_value(stats.permanova(k, plan.matrix())[1], float(f[0]))
+    return spark.createDataFrame([("batch", float(r2[0]), float(f[0]), p, least)], "variable string, r2 double, f double, p double, p_min double")
+
+
+@query()
+def associations(spark, d):
+    """Each sample's missing rate against its batch and its run order."""
+    rows = missing.rates(m2(spark, d), ["sample"]).join(samples(spark, d), "sample").orderBy("sample").collect()  # one row per sample
+    rate = [r.missing_rate for r in rows]
+    found = [("batch", stats.association(rate, [r.batch for r in rows], False, key="batch")), ("run_order", stats.association(rate, [r.run_order for r in rows], True, key="run_order"))]
+    tests = spark.createDataFrame([(n, a["test"], a.get("value"), a.get("p"), a["n_used"]) for n, a in found], "variable string, test string, value double, p double, n_used int")
+    return stats.bh(tests, tie="variable")
+
+
+@query()
+def detection_curve(spark, d):
+    f = logged(spark, d).groupBy("feature").agg(F.avg("y").alias("m"), F.count("y").alias("n")).where("n > 0").toArrow()
+    n = samples(spark, d).count()
+    b0, b1 = stats.detection_curve(f["m"].to_numpy(), f["n"].to_numpy(), n)
+    return spark.createDataFrame([(b0, b1)], "b0 double, b1 double")
+
+
+@query()
+def variance_components(spark, d):
+    names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
+    by = {r["sample"]: r for r in samples(spark, d).collect()}  # one row per sample
+    parts = stats.variance_components(k, {"batch": [by[n].batch for n in names], "subject": [by[n].subject for n in names]})
+    return spark.createDataFrame(list(parts.items()), "factor string, share double")
