@@ -16,14 +16,40 @@ from .store import saved
 from .vectors import common_length, packed, sample, spherical_kmeans, stack, unit
 
 #: Vectors that k-means sees, cells at most, and the members a side of a tile.
-SAMPLE, CELLS, TILE_MIN, TILE_MAX, TILES = 32_768, 4096, 128, 1024, 32
+SAMPLE, CELLS, TILE_MIN, TILE_MAX, TILES = 16_384, 1024, 1024, 1024, 32
+#: Seconds that a row in a tile and a compared pair take, about: they weigh visits against the size of cells.
+ROW_COST, PAIR_COST = 20e-6, 20e-9
 #: Rounding that the geometry of cells and a blocked product may be off by.
 EPS = 1e-9
 
 
-def cells_for(n: int, fitted: int) -> int:
-    """Cells for n vectors: their cube root. More cells mean fewer members in each but more visits, which cost a copy of the row."""
-    return max(1, min(CELLS, round(n ** (1 / 3)), fitted // 4))
+def _gaps(centres: np.ndarray, threshold: float) -> np.ndarray:
+    """How far behind its own centre another may be for a vector to visit it; see _placed."""
+    return np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * math.sqrt(2 - 2 * threshold) + EPS
+
+
+def _visits(near: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's own cell, and the cells that it visits (rows x cells), from its cosines with all centres."""
+    home = near.argmax(axis=1)
+    return home, (near[np.arange(len(near)), home][:, None] - near <= gap[home]) & (np.arange(near.shape[1])[None, :] > home[:, None])
+
+
+def fit_cells(fit: np.ndarray, n: int, labels: int, threshold: float, seed: int) -> np.ndarray:
+    """Centres for n vectors of so many labels, from a sample.
+
+    More cells have fewer members, but vectors that are no cluster's visit more of them. Counts of cells go up by 4 while the cost,
+    reckoned from the sample's visits, falls: the most cells for well-parted vectors, few for vectors that fill space evenly.
+    """
+    best, best_cost, k = fit[:1], math.inf, 1
+    while k <= min(CELLS, max(1, len(fit) // 4)):
+        centres = spherical_kmeans(fit, k, seed)
+        copies = 1 + _visits(fit @ centres.T, _gaps(centres, threshold))[1].sum(axis=1).mean()
+        members = n * copies / (labels * k)
+        cost = copies * (math.ceil(members / TILE_MAX) * ROW_COST + members * PAIR_COST)
+        if cost >= best_cost:
+            break
+        best, best_cost, k = centres, cost, 4 * k
+    return best
 
 
 def _placed(classes: DataFrame, centres: np.ndarray, threshold: float, d: int) -> DataFrame:
@@ -34,15 +60,14 @@ def _placed(classes: DataFrame, centres: np.ndarray, threshold: float, d: int) -
     between c and x's own centre h, so x is within r of that plane: x.h - x.c <= r |h - c|. Both of a pair see each other's cell
     this way; the one in the earlier cell visits the later. No pair is lost, and no pair meets twice.
     """
-    gap = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * math.sqrt(2 - 2 * threshold) + EPS
+    gap = _gaps(centres, threshold)
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             near = unit(stack(batch.column("vec").to_pylist(), d)) @ centres.T
-            home = near.argmax(axis=1)
-            visits = (near[np.arange(len(near)), home][:, None] - near <= gap[home]) & (np.arange(len(centres))[None, :] > home[:, None])
+            home, visits = _visits(near, gap)
             row, cell = np.nonzero(visits)
             at = pa.array(np.concatenate([np.arange(len(near)), row]))
             extra = [pa.array(np.concatenate([home, cell]), pa.int32()), pa.array(np.arange(len(at)) < len(near))]
@@ -144,8 +169,8 @@ def near_duplicate_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: st
     classes = saved(valid.join(sizes, ["label", "fp", "vec_id"]).dropDuplicates(["label", "fp"]), "vector-classes")
     n = classes.count()
     fit = sample(classes, SAMPLE, d, seed)
-    k = cells_for(n, len(fit))
-    centres = spherical_kmeans(fit, k, seed) if len(fit) else np.zeros((1, max(d, 1)))
+    labels = classes.select("label").distinct().count()
+    centres = fit_cells(fit, n, labels, threshold, seed) if len(fit) else np.zeros((1, max(d, 1)))
     placed = saved(_placed(classes.withColumnRenamed("vec_id", "rep"), centres, threshold, d), "placed")
     found = saved(_links(placed, threshold, d), "vector-links")
     counts = found.groupBy("a").agg(F.sum("n").alias("far"))
