@@ -610,4 +610,4 @@ def variance_components(spark, d):
     names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
     by = {r["sample"]: r for r in samples(spark, d).collect()}  # one row per sample
     parts = stats.variance_components(k, {"batch": [by[n].batch for n in names], "subject": [by[n].subject for n in names]})
-    return spark.createDataFrame(list(parts.items()), "factor string, share double")
+    return spark.createDataFrame([(f, float(v)) for f, v in parts.items()], "factor string, share double")
