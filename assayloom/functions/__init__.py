@@ -1,0 +1 @@
+"""Scalar rules as Column expressions."""

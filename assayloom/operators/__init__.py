@@ -1,0 +1 @@
+"""Operators over DataFrames: facts, cells, statistics, missingness and the operations that change data."""

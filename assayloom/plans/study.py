@@ -203,6 +203,8 @@ class Study:
         e = next((x for x in self.planned[1] if x["entry"] == entry), None)
         if e is None:
             raise KeyError(entry)
+        if candidate >= len(e["candidates"]):
+            raise ValueError(f"{entry} ({e['status']}) has no such candidate")
         c = e["candidates"][candidate]
         if c["op"] is None or c["status"] not in ("Recommended", "Alternative") and e["step"] != "S4":
             raise ValueError(f"{c['label']}: {c['status']}")

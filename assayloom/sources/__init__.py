@@ -1,0 +1 @@
+"""Reading tables and keeping states."""

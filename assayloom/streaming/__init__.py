@@ -1,0 +1,2 @@
+"""No operator of this engine has streaming semantics: a sample's time is an ordered attribute, never an event time, and every
+statistic is over a whole table. Streams are read in batches, as long tables (see operators.cells.from_long)."""
