@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +13,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import maybe_broadcast, new_path, saved
-from .text import slices, string_buffers
+from .text import slices, string_buffers, tidy
 
 #: Bytes of a row group and of a page, and rows of a page: the units of selective reads.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2000
-#: Chunks that a worker remembers the ids of, about 100 MB; beyond it forgets them all.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers the ids of, about 200 MB; beyond it forgets them all.
+REMEMBERED = 900_000
+#: ASCII letters, and ASCII signs that are neither letters, digits, white space nor the apostrophe.
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: How byte-level vocabularies write bytes: printable Latin-1 as itself, the other bytes in order from U+0100 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_SIGNS = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_SPACE_SIGN = _BYTE_SIGNS[0x20]
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
 class ChunkEncoder:
     """The tokenizers library over texts cut at places where its pre-tokenizer always cuts.
 
-    The byte-level pre-tokenizer starts a new piece at a single space between two characters that are not white space, and no
-    merge crosses pieces; so the ids of a text are those of its chunks in a row. Each distinct chunk is encoded once and
+    The byte-level pre-tokenizer starts a new piece at a single space, and before and after a single line end, between two
+    characters that are not white space, and where a letter meets a sign other than an apostrophe. No merge crosses pieces, so
+    the ids of a text are those of its chunks in a row. Each distinct chunk is encoded once and
     remembered, which saves most of the work. Only files with this pre-tokenizer may be cut so; others are encoded whole.
     """
 
@@ -44,19 +54,30 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes, self.starts, self.ids, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.sizes, self.starts, self.ids, self.filled = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32), 0
+
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each chunk's number of ids, and all ids. A chunk of letters, but for a space at its start, is one piece of the
+        pre-tokenizer, and goes to the library's model as it is; others take the library's whole way."""
+        out, rest, tokenize = [None] * len(chunks), [], self.library.model.tokenize
+        for i, c in enumerate(chunks):
+            if self.cuts and (c.isalpha() or c[:1] == " " and c[1:].isalpha()):
+                out[i] = [t.id for t in tokenize(c.replace(" ", _SPACE_SIGN) if c.isascii() else c.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.library.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return np.fromiter(map(len, out), np.int64, len(out)), np.fromiter(chain.from_iterable(out), np.int32)
 
     def _learn(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
-            lists = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
-            flat = np.fromiter((i for x in lists for i in x), np.int32)
+            sizes, flat = self._ids(part)
             first, count = len(self.known), len(part)
             while first + count > len(self.sizes):
                 self.sizes, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts))
             while self.filled + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            sizes = np.fromiter(map(len, lists), np.int64, count)
             self.sizes[first : first + count] = sizes
             self.starts[first : first + count] = self.filled + np.concatenate([[0], np.cumsum(sizes)[:-1]])
             self.ids[self.filled : self.filled + len(flat)] = flat
@@ -69,15 +90,17 @@ class ChunkEncoder:
         rows = len(offsets) - 1
         cut = np.zeros(len(data) + 1, bool)
         if self.cuts and len(data) > 2:
-            prev, here, after = data[:-2], data[1:-1], data[2:]
             solid = (data > 0x20) & (data != 0x7F)
             lead = (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))  # the first bytes of all white space beyond ASCII
-            ok = (here == 0x20) & solid[:-2] & solid[2:] & ~lead[2:]
-            far = prev >= 0x80  # the character before ends here: look at where it may begin
-            tail = np.zeros(len(prev), bool)
-            tail[1:] |= lead[:-3]
-            tail[2:] |= lead[:-4] if len(data) > 4 else False
-            cut[1 : len(data) - 1] = ok & ~(far & tail)
+            tail = np.zeros(len(data), bool)  # a byte of a character that may be such white space
+            tail[1:] |= lead[:-1]
+            tail[2:] |= lead[:-2]
+            before, after = solid & ~((data >= 0x80) & tail), solid & ~lead  # surely no white space ends, or begins, here
+            alone = before[:-2] & after[2:]
+            cut[1:-2] = (data[1:-1] == 0x20) & alone  # before a single space
+            cut[2:-1] |= (data[1:-1] == 0x0A) & alone  # after and before a single line end
+            cut[1:-2] |= (data[1:-1] == 0x0A) & alone
+            cut[1:-1] |= _LETTER[data[:-1]] & _SIGN[data[1:]]  # between a letter and a sign
         cut[offsets[:-1]] = True
         begins = np.flatnonzero(cut[: len(data)])
         bounds = np.append(begins, len(data)).astype(np.int64)
@@ -87,16 +110,17 @@ class ChunkEncoder:
         if len(self.known) > REMEMBERED:
             self.forget()
         self._learn([t for t in texts if t not in self.known])
-        slot = np.fromiter((self.known[t] for t in texts), np.int64, len(texts))[coded.indices.to_numpy()] if texts else np.zeros(0, np.int64)
-        sizes = self.sizes[slot]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
+        slot = np.array(list(map(self.known.get, texts)), np.int32)[coded.indices.to_numpy()]
         first = np.searchsorted(begins, offsets)  # of each row, in chunks
-        n = upto[first[1:]] - upto[first[:-1]] + 1
-        out = np.full(int(n.sum()), end, np.int32)
-        place = np.ones(len(out), bool)
-        place[np.cumsum(n) - 1] = False
-        out[place] = self.ids[np.arange(int(upto[-1])) + np.repeat(self.starts[slot] - upto[:-1], sizes)]
-        return out, n[:rows]
+        last = first[1:] + np.arange(rows)  # of each row's end id, once those stand among the chunks
+        sizes, starts = np.insert(self.sizes[slot], first[1:], 1), np.insert(self.starts[slot], first[1:], 0)
+        upto = np.cumsum(sizes, dtype=np.int32)
+        at = np.arange(int(upto[-1]) if len(upto) else 0, dtype=np.int32)
+        at += np.repeat(starts - (upto - sizes), sizes)
+        out = self.ids[at]
+        ends = upto[last]
+        out[ends - 1] = end
+        return out, np.diff(ends, prepend=0).astype(np.int64)
 
 
 @lru_cache(2)
@@ -117,7 +141,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
 
         enc, part, start = chunk_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 6 << 20):
                 ids, n = enc.encode(rows.column("text"), end)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
@@ -126,7 +150,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    (ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.block.size", ROW_GROUP)
+    (ordered.mapInArrow(tidy(run), SCHEMA).write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.block.size", ROW_GROUP)
      .option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(out))
 
 
@@ -157,7 +181,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
