@@ -184,3 +184,21 @@ def default_matrix(cells: DataFrame, least: int = 20, least_share: float = 0.1,
         if n >= least and n >= least_share * total:
             return d, {"policy": policy, "q": q, "n_features_used": n, "of": total, "fallback": tried if q != 100 else [], "below_minimum": False}
     return best[0], {"policy": policy, "q": best[2], "n_features_used": best[1], "of": total, "fallback": tried, "below_minimum": True}
+
+
+def variants(cells: DataFrame, least_observed: int = 5, **how) -> list[tuple[str, DataFrame, dict]]:
+    """The default matrix, and the others that a finding should not depend on: without floor-tied features, with floor-tied cells
+    missing, and the other rungs of the ladder."""
+    base, report = default_matrix(cells, **how)
+    out = [("base", base, report)]
+    marked = floor_marks(cells, least_observed)
+    if not marked.where("at_floor").isEmpty():
+        out += [(p, diagnostic_matrix(marked, p, report["q"]), {"policy": p, "q": report["q"]}) for p in ("exclude_floor", "floor_censored")]
+    return out + [(f"q{q}", diagnostic_matrix(cells, q=q), {"policy": "complete_features", "q": q}) for q in LADDER if q != report["q"]]
+
+
+def sensitivity(found: list[tuple[str, DataFrame, dict]], conclude) -> dict:
+    """What conclude (a function of a matrix, None where it can't tell) says of each variant, and whether it depends on the variant."""
+    rows = [{"variant": name, **report, "conclusion": conclude(d)} for name, d, report in found]
+    said = {str(r["conclusion"]) for r in rows if r["conclusion"] is not None}
+    return {"variants": rows, "same_conclusion": len(said) <= 1, "depends": len(said) > 1}

@@ -479,6 +479,23 @@ class Audit:
 
         return self._each("A7", run)
 
+    def sensitivity(self, block: str, variable: str) -> dict:
+        """Whether PERMANOVA's answer for a variable depends on how gaps and floors are treated; no variant is preferred."""
+        v = next(x for x in self.variables() if x["name"] == variable)
+
+        def conclude(d: DataFrame) -> str | None:
+            names, k = T.gram_matrix(T.gram(d)) if not d.isEmpty() else ([], np.zeros((0, 0)))
+            said = [v["values"].get(n) or "" for n in names]
+            if len(names) < 4 or "" in said or len(set(said)) < 2:
+                return None
+            codes = np.array([float(x) for x in said]) if v["numeric"] else np.unique(said, return_inverse=True)[1]
+            plan = T.Permutations(codes, None, self.params["permutations"], self.params["exhaustive_max"], self.params["seed"], f"sensitivity|{block}|{variable}")
+            test = T.permanova_numeric if v["numeric"] else T.permanova
+            p, _ = plan.p_value(test(k, plan.matrix())[1], float(test(k, codes)[1][0]))
+            return "associated" if p <= self.params["alpha"] else "not associated"
+
+        return C.sensitivity(C.variants(self.diagnostic(block), self.params["floor_min_observed"]), conclude)
+
     def repeated_measures(self) -> list[Finding]:
         """A8: subjects and times, what is constant within a subject, and how much of the variance lies between subjects."""
 
@@ -538,6 +555,10 @@ class Audit:
                             flagged.setdefault(n, []).append(label)
             z = T.with_modified_z(y, ["feature"], "y").where(F.abs("z") > cut)
             f.measures |= {"samples": flagged, "n_cells": z.count(), "cells": [[r.feature, r["sample"], r.z] for r in z.orderBy(F.abs("z").desc(), "feature", "sample").limit(50).collect()]}
+            order = next((v for v in self.variables() if v["kind"] == "run_order" and v["numeric"]), None)
+            if flagged and order:
+                known = sorted((float(v), n) for n, v in order["values"].items() if v)
+                f.measures["in_run_order"] = T.clustered_in_order([n in flagged for _, n in known], [x for x, _ in known], self.params["permutations"], self.params["seed"])
             if flagged:
                 f.say("note", f"unusual samples: {', '.join(sorted(flagged))}")
             return f

@@ -193,3 +193,21 @@ def test_identical_vectors(spark):
     x = np.array([[1, 1, 2], [0, -0.0, 5], [np.nan, np.nan, np.nan]])
     got = missing.identical_vectors(long(spark, x), "sample", "feature").collect()
     assert len(got) == 1 and got[0].members == ["s00", "s01"]
+
+
+def test_clusters_in_run_order():
+    order = list(range(30))
+    assert stats.clustered_in_order([i in (10, 11, 12, 13) for i in order], order)["p"] < 0.02
+    assert stats.clustered_in_order([i in (1, 9, 20, 28) for i in order], order)["p"] > 0.2
+    assert stats.mean_spread([1, 2, 4]) == pytest.approx(2)
+
+
+def test_variants_of_a_matrix(spark):
+    x = np.random.default_rng(10).normal(5, 1, (60, 8))
+    x[:5, :3] = x[:5].min(axis=1, keepdims=True) - 1
+    x[20:, 7] = np.nan
+    found = C.variants(long(spark, x, "value").withColumn("y", F.col("value")))
+    sizes = {n: d.select("feature").distinct().count() for n, d, _ in found}
+    assert sizes == {"base": 20, "exclude_floor": 15, "floor_censored": 15, "q75": 60, "q50": 60}
+    told = C.sensitivity(found, lambda d: "many" if d.count() > 300 else "few")
+    assert told["depends"] and not told["same_conclusion"]

@@ -152,6 +152,7 @@ def test_audit_sees_what_was_planted(study):
     assert one("A3")["mean_sd"]["ci95"][0] > 0 and one("A3")["median_shift"]["medians_differ"]
     assert one("A6")["sample_types"] == {"study": 16, "qc": 3} and one("A5")["n"] == 16 and a.found["A8"][0].status == "not_applicable"
     assert {r["class"] for r in a.cleaning_candidates()["A1B1"].collect()} >= {"flagged: Type"}
+    assert a.sensitivity("A1B1", "Plate")["variants"][0]["conclusion"] == "associated"
     assert a.measures().count() > 50 and worst(["ok", "note"]) == "note" and worst(["not_assessed"]) == "not_assessed"
 
 
