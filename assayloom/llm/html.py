@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import slices, tidy
 
 #: Labelled pages that weights are fitted on, at most; bounds of a tag's cost; the cost of a tag that no labelled page has.
 FIT_PAGES, LEAST, MOST, UNSEEN = 2000, 0.02, 0.7, 0.3
@@ -182,7 +182,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", seed:
     ids = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
     labelled = ids.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("id").where("id is not null").distinct()
     chosen = labelled.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)  # a bounded number of ids
-    rows = ids.join(F.broadcast(chosen), "id", "left_semi").select("html").mapInArrow(count, "inside boolean, tag string, n long")
+    rows = ids.join(F.broadcast(chosen), "id", "left_semi").select("html").mapInArrow(tidy(count), "inside boolean, tag string, n long")
     counts = {True: Counter(), False: Counter()}
     for r in rows.where("length(tag) <= 20").groupBy("inside", "tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag").limit(1000).collect():
         counts[r["inside"]][r["tag"]] += r["n"]
@@ -204,4 +204,4 @@ def extract(pages: DataFrame, costs: dict[str, float], html_col: str = "html", k
 
     rows = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
     schema = "".join(f"`{c}` {t}, " for c, t in rows.dtypes[:-1]) + f"`{name}` string, n_chars long"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

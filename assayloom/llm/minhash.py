@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import maybe_broadcast, saved
-from .text import LOWER, mix, shingle_sets, slices, string_buffers
+from .store import bounded_batches, maybe_broadcast, saved
+from .text import LOWER, mix, shingle_sets, slices, string_buffers, tidy
 
 #: Bytes of one signature value.
 VALUE = 2
@@ -67,6 +67,8 @@ def signature(hashes: np.ndarray, bins: int, donors: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, id_col: str, text_col: str, b: Banding) -> DataFrame:
     """(id, n, fp, sig) of every row: set size, 128-bit fingerprint of the set, signature; fp and sig are null for empty sets."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         donors = _donors(b.bins, 64 * b.bins)
         for batch in batches:
@@ -79,7 +81,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, b: Banding) -> DataFra
                     sig.append(signature(s, b.bins, donors).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "fp", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, fp binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "id long, n long, fp binary, sig binary")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, b: Banding) -> DataFrame:
@@ -94,7 +96,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, b: Ban
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp, pa.binary()), pa.array(s, pa.binary())], ["rep", "fp", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(maybe_broadcast(wanted.select(F.col("rep").alias("id"))), "id", "left_semi").mapInArrow(run, "rep long, fp binary, set binary")
+    found = texts.join(maybe_broadcast(wanted.select(F.col("rep").alias("id"))), "id", "left_semi").mapInArrow(tidy(run), "rep long, fp binary, set binary")
     return found.join(wanted, ["rep", "fp"], "left_semi").groupBy("rep").agg(F.first("set").alias("set"))
 
 
@@ -114,7 +116,7 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
             keep = [_similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _slack(n: np.ndarray, bins: int, percent: int) -> np.ndarray:
@@ -140,7 +142,7 @@ def _plausible(pairs: DataFrame, b: Banding) -> DataFrame:
                 n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
                 yield batch.select(["a", "b"]).filter(pa.array(_near(sig[0], n[0], sig[1], n[1], b)))
 
-    return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
 class _Union:

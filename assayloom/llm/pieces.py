@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .text import mix, slices, string_buffers
+from .store import bounded_batches
+from .text import mix, slices, string_buffers, tidy
 
-#: Lattice edges that a worker keeps (about 15 bytes each) before it forgets them all.
-REMEMBERED = 4_000_000
+#: Lattice edges that a task keeps from slice to slice (about 15 bytes each, and its chunks' texts) before it forgets them all; bytes
+#: of text in a slice. A slice's own edges and samples take about 100 bytes for each byte of text while it is worked on.
+REMEMBERED, SLICE = 500_000, 1 << 19
 #: U+2581 stands for a space in pieces; a literal one in a text gets a number beyond Unicode and so no piece but its bytes.
 SPACE, LITERAL = 0x2581, 0x110000
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -258,23 +260,26 @@ def _keys(column: pa.Array, seed: int) -> np.ndarray:
     return _seeds(column.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False), seed)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", name: str = "pieces", alpha: float = 1.0, seed: int = 41) -> DataFrame:
-    """docs with a column of sampled piece ids (array<int>), reproducible from id and text: reruns and other partitionings agree.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", name: str = "pieces", alpha: float = 1.0, seed: int = 41, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs (less the columns in without) with a column of sampled piece ids (array<int>), reproducible from id and text: reruns and other partitionings agree.
 
     Null texts get null, empty ones an empty list; null ids share one seed. Rows that repeat get equal samples. Texts are read
     whole, whatever their length. One narrow pass, no shuffle. name must not be a column of docs.
     """
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    stay = [i for i, c in enumerate(docs.columns) if c not in without]
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         s = sampler(model_path, alpha)
         for batch in batches:
-            for part in slices(batch, batch.schema.names[text_at], 4 << 20):
+            for part in slices(batch, batch.schema.names[text_at], SLICE):
                 ids, n = s.sample(part.column(text_at), _keys(part.column(id_at), seed))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids), mask=part.column(text_at).is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), lists], [*(batch.schema.names[i] for i in stay), name])
+        s.forget()
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields.copy()).add(name, ArrayType(IntegerType())))
+    return docs.mapInArrow(tidy(run), StructType(docs.drop(*without).schema.fields.copy()).add(name, ArrayType(IntegerType())))
 
 
 def decode(rows: DataFrame, model_path: str, pieces_col: str = "pieces", name: str = "decoded") -> DataFrame:
@@ -293,7 +298,7 @@ def decode(rows: DataFrame, model_path: str, pieces_col: str = "pieces", name: s
             text = pa.compute.if_else(batch.column(at).is_valid(), text, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, name])
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields.copy()).add(name, "string"))
+    return rows.mapInArrow(tidy(run), StructType(rows.schema.fields.copy()).add(name, "string"))
 
 
 def sampled_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 41) -> DataFrame:
@@ -305,7 +310,7 @@ def sampled_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     def run(batches):
         s = sampler(model_path, alpha)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", SLICE):
                 ids, n = s.sample(part.column("text"), _keys(part.column("id"), seed))
                 data, offsets = s.decode(ids, n)
                 want, marks = string_buffers(part.column("text"))
@@ -316,6 +321,8 @@ def sampled_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
                 else:
                     good = np.array([data[a:b].tobytes() == want[c:d].tobytes() for a, b, c, d in zip(offsets[:-1], offsets[1:], marks[:-1], marks[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(crc, pa.int64()), pa.array(good)], ["id", "n_pieces", "ids_crc32", "lossless"])
+        s.forget()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_pieces long, ids_crc32 long, lossless boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, n_pieces long, ids_crc32 long, lossless boolean").withColumnRenamed("id", id_col)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .store import saved
-from .text import IS_SPACE, LOWER, chain, mix, slices, string_buffers, word_hashes, words
+from .store import bounded_batches, saved
+from .text import IS_SPACE, LOWER, chain, mix, slices, string_buffers, tidy, word_hashes, words
 
 #: Hash buckets of the features, embedding width, labelled rows of each class that training sees at most.
 BUCKETS, WIDTH, PER_CLASS = 1 << 16, 8, 2000
@@ -151,7 +151,7 @@ def _examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
     # at most 2 * per_class ids, so broadcasting them is bounded
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    rows = texts.mapInArrow(run, "id long, y int, bucket binary, count binary").dropDuplicates(["id"]).toArrow().to_pylist()
+    rows = texts.mapInArrow(tidy(run), "id long, y int, bucket binary, count binary").dropDuplicates(["id"]).toArrow().to_pylist()
     rows.sort(key=lambda r: r["id"])
     return [(np.frombuffer(r["bucket"], np.uint16).astype(np.int64), np.frombuffer(r["count"], np.int32), r["y"]) for r in rows]
 
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score", without: tuple[str, ...] = ()) -> DataFrame:
     """docs (less the columns in without) with a score from 0 to 1 per row. Null and empty texts, and texts without words, get the bias alone. One narrow pass."""
+    bounded_batches(docs.sparkSession)
     stay = [i for i, c in enumerate(docs.columns) if c not in without]
     text_at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers: of fixed size
@@ -178,7 +179,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
                 score = shared.value.probabilities(*document_sums(*string_buffers(part.column(text_at)), shared.value.margin))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), pa.array(score)], [*(batch.schema.names[i] for i in stay), name])
 
-    return docs.mapInArrow(run, StructType(docs.drop(*without).schema.fields.copy()).add(name, "double"))
+    return docs.mapInArrow(tidy(run), StructType(docs.drop(*without).schema.fields.copy()).add(name, "double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.7) -> DataFrame:

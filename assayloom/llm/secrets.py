@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .text import slices
+from .text import slices, tidy
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -158,7 +158,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", prefix: str = "", bits
     schema = StructType(docs.drop(*without).schema.fields.copy())
     for n, kind in zip(names, ("long", "long", "long", "string", "string"), strict=True):
         schema = schema.add(n, kind)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]", bits: float = SECRET_BITS) -> DataFrame:
@@ -189,7 +189,7 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars"
                     arrays[chars_at] = pa.array(chars, batch.column(chars_at).type)
                 yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def secrets_by_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import saved
-from .text import slices
+from .text import slices, tidy
 
 
 @lru_cache(2)
@@ -38,7 +38,7 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, text_col: str = "text", ex
                 seen.update(len(enc.encode_to_numpy(t or "", disallowed_special=())) + extra for t in part.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n_docs"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def limits(histogram: DataFrame) -> DataFrame:
