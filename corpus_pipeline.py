@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: doc_id, source and the sampled piece ids of each document."""
-    encoded = pieces.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), without=("text",))
     return encoded.select("doc_id", "source", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces")
 
 
