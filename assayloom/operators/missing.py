@@ -39,8 +39,7 @@ def rate_by_level(cells: DataFrame, variables: DataFrame) -> DataFrame:
 
 def level_coverage(cells: DataFrame, batches: DataFrame, least: int = 3) -> DataFrame:
     """(feature, absent_levels, lowest): batch levels of at least `least` samples in which the feature is never seen, and the fewest values in a level."""
-    sizes = batches.groupBy("batch").agg(F.count("*").alias("size"))
-    per = cells.join(batches, "sample").groupBy("feature", "batch").agg(F.count("value").alias("seen")).join(sizes, "batch")
+    per = cells.join(batches, "sample").groupBy("feature", "batch").agg(F.count("value").alias("seen"), F.count("*").alias("size"))  # on the complete grid
     return per.groupBy("feature").agg(F.count_if((F.col("seen") == 0) & (F.col("size") >= least)).alias("absent_levels"), F.min("seen").alias("lowest"))
 
 
