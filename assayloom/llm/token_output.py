@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import maybe_broadcast, new_path, saved
+from .store import bounded_batches, maybe_broadcast, new_path, saved
 from .text import slices, string_buffers, tidy
 
 #: Bytes of a row group and of a page, and rows of a page: the units of selective reads.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2000
-#: Chunks that a worker remembers the ids of, about 200 MB; beyond it forgets them all.
-REMEMBERED = 900_000
+#: Chunks that a worker remembers the ids of, about 120 MB; beyond it forgets them all.
+REMEMBERED = 600_000
 #: ASCII letters, and ASCII signs that are neither letters, digits, white space nor the apostrophe.
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -141,13 +141,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
 
         enc, part, start = chunk_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, "text", 6 << 20):
+            for rows in slices(batch, "text", 3 << 19):
                 ids, n = enc.encode(rows.column("text"), end)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(n), part), pa.int32()), pa.array(start + ends - n), pa.array(n), lists], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 start += int(ends[-1])
 
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (ordered.mapInArrow(tidy(run), SCHEMA).write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.block.size", ROW_GROUP)
