@@ -1,4 +1,4 @@
-"""Operator 4: nearest neighbours by score-aware anisotropic quantisation, four-bit table scans and exact reranking."""
+"""Operator 4: nearest neighbours by score-aware anisotropic quantisation, four-bit table scans and exact reranking within proven bounds."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .store import saved
 from .vectors import common_length, packed, sample, stack, unit
 
-#: Vectors that codebooks are fitted on; rows of a block of candidates and of queries; candidates that each block reranks for each query.
+#: Vectors that codebooks are fitted on; rows of a block of candidates and of queries; candidates that each block reranks first for each query.
 FIT, BLOCK_MIN, BLOCK_MAX, BLOCKS, QUERIES, RERANK = 8192, 256, 8192, 64, 2048, 160
 #: Inner product from which errors matter; it sets how much an error along the vector costs beside one across it.
 THRESHOLD = 0.2
+#: Rounding that a blocked product of unit vectors may be off by.
+EPS = 1e-9
 
 
 class Quantiser:
@@ -65,8 +67,16 @@ class Quantiser:
             c = np.concatenate([c, np.zeros((len(c), 1), np.uint8)], axis=1)
         return c[:, ::2] | c[:, 1::2] << 4
 
-    def scores(self, queries: np.ndarray, packed_codes: np.ndarray) -> np.ndarray:
-        """Approximate inner products, queries x codes: sums of table entries, looked up a byte (two codes) at a time."""
+    def errors(self, x: np.ndarray, packed_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The residual of each coded unit vector: its part along the vector, and its length across it."""
+        codes = np.stack([packed_codes & 15, packed_codes >> 4], axis=2).reshape(len(x), -1)[:, : self.parts]
+        r = self.pairs(x) - self.books[np.arange(self.parts), codes]
+        along = np.einsum("npc,npc->n", r, self.pairs(x))
+        return along, np.sqrt(np.maximum(0, np.einsum("npc,npc->n", r, r) - along**2))
+
+    def scores(self, queries: np.ndarray, packed_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Approximate inner products, queries x codes: sums of table entries, looked up a byte (two codes) at a time; and how far each
+        query's sums may be off by rounding."""
         tables = np.einsum("qpc,pkc->qpk", self.pairs(queries), self.books).astype(np.float32)
         if self.parts % 2:
             tables = np.concatenate([tables, np.zeros_like(tables[:, :1])], axis=1)
@@ -74,7 +84,7 @@ class Quantiser:
         out = np.zeros((len(queries), len(packed_codes)), np.float32)
         for s in range(both.shape[1]):
             out += np.take(both[:, s], packed_codes[:, s], axis=1)
-        return out
+        return out, (self.parts + 3) * 2.0**-23 * np.abs(tables).max(axis=2).sum(axis=1, dtype=np.float64) + EPS
 
 
 def build_index(rows: DataFrame, d: int, seed: int) -> tuple[Quantiser | None, DataFrame]:
@@ -92,26 +102,54 @@ def build_index(rows: DataFrame, d: int, seed: int) -> tuple[Quantiser | None, D
     return q, saved(valid.select("vec_id", "vec").mapInArrow(run, "vec_id long, vec binary, code binary"), "ann-index")
 
 
+def _needed(scores: np.ndarray, slack: np.ndarray, least: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Which candidates (queries x codes) may have an inner product of `least` or more, from their approximate scores.
+
+    With x = code + r the score is x.q - r.q. For x.q = cos(t), r.q is at most along cos(t) + across sin(t), so the score is at
+    least (1 - along) cos(t) - across sin(t). For along < 1 this falls as t grows to a right angle: a candidate of least >= 0 or
+    more scores (1 - along) least - across sqrt(1 - least^2) at least. Where that does not hold, every candidate may.
+    """
+    lowest = np.outer(least, 1 - along) - np.outer(np.sqrt(np.maximum(0, 1 - least**2)), across) - slack[:, None]
+    return (scores >= lowest) | (least < 0)[:, None] | (along >= 1)[None, :]
+
+
 def _scan(q: Quantiser, ids, raw, codes, query_ids, query_raw, top: int, rerank: int):
-    """(query, candidate, score) of each query's best `top` in this block."""
+    """(query, candidate, score) of each query's best `top` in this block, exactly.
+
+    The `rerank` best distinct vectors by score are compared first; their best `top` set the bound that _needed holds all others to.
+    """
     order = np.lexsort([ids])
     ids, raw, codes = ids[order], raw[order], codes[order]
     _, first, group = np.unique(raw.astype(np.float32).view(np.void(4 * raw.shape[1]).dtype).reshape(-1), return_index=True, return_inverse=True)
     by = np.argsort(group, kind="stable")  # members of each distinct vector, by id
     bounds = np.searchsorted(group[by], np.arange(len(first) + 1))
     norm, out = np.sqrt(np.einsum("ij,ij->i", raw, raw)), []
+    x = unit(raw[first])
+    along, across = q.errors(x, codes[first])
+
+    def best(groups, query_id, query):
+        # copies of a vector tie, and the smallest ids win: top + 1 of them are enough, the query itself being one
+        rows = np.concatenate([by[bounds[g] : min(bounds[g + 1], bounds[g] + top + 1)] for g in groups.tolist()])
+        rows = rows[ids[rows] != query_id]
+        exact = (raw[rows] * query).sum(axis=1) / (norm[rows] * np.sqrt(query @ query))
+        return [v[np.lexsort([ids[rows], -exact])[:top]] for v in (rows, exact)]
+
     for at in range(0, len(query_ids), 128):
-        scores = q.scores(unit(query_raw[at : at + 128]), codes[first])
+        asked, asked_raw = query_ids[at : at + 128], query_raw[at : at + 128]
+        asked_unit = unit(asked_raw)
+        scores, slack = q.scores(asked_unit, codes[first])
         many = min(rerank, scores.shape[1])
-        best = np.argpartition(-scores, many - 1, axis=1)[:, :many]
-        for i, b in enumerate(best):
-            x = query_raw[at + i]
-            # copies of a vector tie, and the smallest ids win: top + 1 of them are enough, the query itself being one
-            rows = np.concatenate([by[bounds[g] : min(bounds[g + 1], bounds[g] + top + 1)] for g in b.tolist()])
-            rows = rows[ids[rows] != query_ids[at + i]]
-            exact = raw[rows] @ x / (norm[rows] * np.sqrt(x @ x))
-            rows, exact = (v[np.lexsort([ids[rows], -exact])[:top]] for v in (rows, exact))
-            out.append((np.full(len(rows), query_ids[at + i]), ids[rows], exact))
+        least = np.full(len(asked), -1.0)
+        for i, b in enumerate(np.argpartition(-scores, many - 1, axis=1)[:, :many]):
+            exact = best(b, asked[i], asked_raw[i])[1]
+            if len(exact) == top:
+                least[i] = exact[-1] - EPS
+        need = _needed(scores, slack, least, along, across)
+        some = np.flatnonzero(need.any(axis=0))
+        near = np.where(need[:, some], asked_unit @ x[some].T, -np.inf)
+        for i in range(len(asked)):
+            rows, exact = best(some[near[i] >= least[i] - EPS], asked[i], asked_raw[i])
+            out.append((np.full(len(rows), asked[i]), ids[rows], exact))
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
@@ -119,8 +157,10 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the `top` rows of largest cosine but itself.
 
     Every row is in the index. Queries and candidates are dealt into blocks by hash, each block of candidates meets each block of
-    queries in one task of bounded size, scans four-bit codes by table, and reranks its best `rerank` distinct vectors by the
-    exact cosine in double precision on the original vectors; then each query's blocks are merged. Ties go to the smaller id.
+    queries in one task of bounded size and scans four-bit codes by table. The best `rerank` distinct vectors of the scan are reranked
+    by the exact cosine in double precision on the original vectors, and so is every other candidate of the block whose code does
+    not prove it to be behind the `top` found so (see _needed); then each query's blocks are merged. The result is exact, `rerank`
+    only sets how tight the first bound is. Ties go to the smaller id.
 
     Rows with a null id, and vectors that are null, empty, zero, hold null or non-finite components or are not of the table's
     commonest length take no part. Copies are candidates of each other; rows that repeat the query's id are not its candidates. With fewer candidates than top,

@@ -111,3 +111,19 @@ def test_ann_on_odd_rows(spark, crowd):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ann.nearest(none).count() == 0 and embedding_dedup.near_duplicate_vectors(none).count() == 0
+
+
+@pytest.mark.parametrize("noise", [0.0125, 0.0004])  # cosines of about 0.99 and 0.999
+def test_ann_finds_all_neighbours_in_a_large_group(noise):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8192, 64))
+    x[:2700] = unit(rng.normal(size=(1, 64))) + rng.normal(size=(2700, 64)) * noise
+    x, ids = unit(x).astype(np.float32).astype(float), rng.permutation(8192)
+    q = ann.Quantiser(unit(x[rng.permutation(8192)[:2048]]), 1)
+    asked = np.r_[:100, 8092:8192]
+    got = ann._scan(q, ids, x, q.pack(unit(x)), ids[asked], x[asked], 5, ann.RERANK)
+    found = {k: set(got[1][got[0] == k].tolist()) for k in ids[asked].tolist()}
+    s = unit(x[asked]) @ unit(x).T
+    s[np.arange(200), asked] = -1
+    for k, row in zip(ids[asked].tolist(), s, strict=True):
+        assert found[k] == set(ids[np.argsort(-row)[:5]].tolist())
