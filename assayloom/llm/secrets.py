@@ -25,7 +25,7 @@ CONTEXT = re.compile(
     r"""|[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@]+:([^\s/@]{6,})@"""
 )
 #: What a text must hold to be looked at more closely: wider than every pattern above, and run by a linear-time engine.
-MAYBE = r"""(?i)pass|pwd|secret|token|api[_-]?key|[_-]key|credential|auth|bearer|akia|://[^/\s]*:[^\s]*@|[0-9a-f]{24}"""
+MAYBE = r"""(?i)pass|pwd|secret|token|(?:api|access|private)[_-]?key|credential|auth|bearer|akia|://[^/\s]*:[^\s]*@|[0-9a-f]{24}"""
 #: Guesses, in bits, from which a value counts as a secret.
 SECRET_BITS = 45.0
 

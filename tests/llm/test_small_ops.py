@@ -186,3 +186,20 @@ def test_secrets_on_odd_rows(spark, odd, none):
     assert again.schema == clash.schema and sorted(map(str, again.collect())) == sorted(map(str, clash.collect()))
     bad = spark.createDataFrame([(1, 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b', 57)], "doc_id long, text string, n_chars long")
     assert secrets.redacted(bad).collect() == [(1, 'a [SECRET]" b', 13)]
+
+
+CONTEXT_WORDS = [
+    "pass", "password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accessKey", "aws_accesskey", "access_key", "access-key",
+    "privateKey", "private_key", "private-key", "clientsecret", "client_secret", "client-secret", "credential", "credentials", "auth", "authorization", "bearer",
+]
+
+
+def test_every_context_word_passes_the_prefilter(spark):
+    value = "Zq8fW2mK9xLp4TvR7nBc"
+    texts = [f'{word} = "{value}"' for word in CONTEXT_WORDS] + [f"ftp://bob:{value}@db1/x", "a plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_assign, r.spans) for r in secrets.secrets_by_id(docs).collect()}
+    for i, text in enumerate(texts):
+        base, more = secrets.scan(text)
+        assert bool(base or more) == (value in text) and bool(got[i][1]) == (value in text), text
+    assert all(value not in r.text for r in secrets.redacted(docs).collect())
