@@ -19,9 +19,10 @@ ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][d
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
-#: Credential contexts beside ASSIGN: a key word and a separator, or user information in an address. The value is the last group.
+#: Credential contexts beside ASSIGN: a key word and a separator, or user information in an address. The value is the last group; bare
+#: is a separator of spaces alone, as between any two words of prose.
 CONTEXT = re.compile(
-    r"""(?i:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer))["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+|\x20+)(?:bearer\x20+|basic\x20+)?["'`]?([^\s"'`<>,;(){}\[\]]{6,})"""
+    r"""(?i:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer))["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+|(?P<bare>\x20+))(?:bearer\x20+|basic\x20+)?["'`]?([^\s"'`<>,;(){}\[\]]{6,})"""
     r"""|[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@]+:([^\s/@]{6,})@"""
 )
 #: What a text must hold to be looked at more closely: wider than every pattern above, and run by a linear-time engine.
@@ -42,6 +43,18 @@ COMMON_WORDS = (
     "staple", "correct", "blue", "green", "red", "black", "white", "apple", "banana", "house", "secure", "security", "production",
     "staging", "development", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
     "november", "december", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+    # words of prose, and parts that longer words are made of; none so short that random letters hold it
+    "that", "this", "with", "from", "have", "will", "used", "only", "must", "should", "when", "then", "them", "they", "their", "there",
+    "what", "which", "required", "optional", "invalid", "valid", "missing", "expired", "unknown", "empty", "encrypted", "generated",
+    "provided", "stored", "shared", "following", "something", "anything", "nothing", "everything", "important", "authentication",
+    "authorization", "credential", "management", "manager", "environment", "variable", "variables", "config", "configuration",
+    "configured", "application", "information", "different", "username", "email", "name", "number", "letter", "letters", "digit",
+    "digits", "character", "characters", "length", "file", "path", "code", "under", "over", "inter", "trans", "counter", "through",
+    "stand", "compre", "represent", "present", "communi", "organi", "ation", "ations", "tion", "sion", "ment", "ments", "ness", "less",
+    "able", "ible", "ably", "ibly", "ability", "ibility", "ical", "ically", "ings", "ance", "ence", "ally", "ated", "ized", "auto",
+    "multi", "self", "semi", "anti", "port", "form", "line", "time", "part", "side", "work", "hand", "head", "land", "life", "ship",
+    "book", "room", "water", "school", "heart", "mind", "light", "night", "world", "people", "friend", "family", "child", "children",
+    "government", "country", "history",
 )
 # Keyboard rows and other runs that people type in order.
 RUNS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1qaz2wsx3edc4rfv5tgb6yhn7ujm", "abcdefghijklmnopqrstuvwxyz", "01234567890", "qwertzuiop", "azertyuiop")
@@ -123,7 +136,8 @@ def scan(text: str, bits: float = SECRET_BITS) -> tuple[list[tuple[int, int, int
             end -= 1
         at = m.end() if m.end() > m.start() else m.end() + 1
         value = text[start:end]
-        if re.search(r"[0-9A-Z]", value[1:]) and not any(s < end and start < e for s, _, e in base) and guess_bits(value) >= bits:
+        told = not m["bare"] or re.search(r"[0-9A-Z]", value[1:])
+        if told and not any(s < end and start < e for s, _, e in base) and guess_bits(value) >= bits:
             more.append((start, end))
     return base, more
 
@@ -132,7 +146,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", prefix: str = "", bits
     """docs (less the columns in without) with n_assign, n_access, n_hex, base_sha256 and spans (names take prefix, so that no column of docs need clash).
 
     spans lists kind:start:end of all spans by start, in code points, end exclusive; kind `guess` marks what guess cost adds: a
-    value in a credential context whose cheapest segmentation takes 2^bits guesses or more. base_sha256 digests the fixed-pattern
+    value in a credential context whose cheapest segmentation takes 2^bits guesses or more. Where nothing but spaces stands between
+    the key word and the value, as in prose, the value must also hold a digit or a capital after its first character. base_sha256 digests the fixed-pattern
     spans alone. Null and empty texts have no spans. Rows, columns, order within a partition and repeats stay; texts of any length
     are scanned whole, in time linear in their length but for values in a credential context. One narrow pass, no shuffle.
     """

@@ -203,3 +203,12 @@ def test_every_context_word_passes_the_prefilter(spark):
         base, more = secrets.scan(text)
         assert bool(base or more) == (value in text) and bool(got[i][1]) == (value in text), text
     assert all(value not in r.text for r in secrets.redacted(docs).collect())
+
+
+def test_values_of_lower_case_letters_count_by_their_guesses():
+    dear = ["zqkvhxwjrmtpbldcgf", "zqkv-hxwj-rmtp-bldc"]
+    for value in dear:
+        for text in (f"passphrase: {value}", f"pwd={value} next", f"credentials => {value}", f"the passcode is {value}.", f"postgres://bob:{value}@db1/x"):
+            assert [text[s:e] for s, e in secrets.scan(text)[1]] == [value], text
+    for text in ("auth: understanding", "pwd: authentication", "credentials: representation", "the passphrase is configuration", "passphrase considerations apply"):
+        assert secrets.scan(text) == ([], []), text
