@@ -19,14 +19,15 @@ ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][d
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
-#: Credential contexts beside ASSIGN: a key word and a separator, or user information in an address. The value is the last group; bare
-#: is a separator of spaces alone, as between any two words of prose.
+#: Credential contexts beside ASSIGN: a key word and a separator, or user information in an address. The value is the last group,
+#: behind a key word its first six characters, which REST goes on from; bare is a separator of spaces alone, as between any two words of prose.
 CONTEXT = re.compile(
-    r"""(?i:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer))["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+|(?P<bare>\x20+))(?:bearer\x20+|basic\x20+)?["'`]?([^\s"'`<>,;(){}\[\]]{6,})"""
-    r"""|[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@]+:([^\s/@]{6,})@"""
+    r"""(?i:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|client[_-]?secret|credentials?|auth(?:orization)?|bearer))["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+|(?P<bare>\x20+))(?:bearer\x20+|basic\x20+)?["'`]?([^\s"'`<>,;(){}\[\]]{6})"""
+    r"""|[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@]+:(?P<address>[^\s/@]{6,})@"""
 )
+REST = re.compile(r"""[^\s"'`<>,;(){}\[\]]*""")
 #: What a text must hold to be looked at more closely: wider than every pattern above, and run by a linear-time engine.
-MAYBE = r"""(?i)pass|pwd|secret|token|(?:api|access|private)[_-]?key|credential|auth|bearer|akia|://[^/\s]*:[^\s]*@|[0-9a-f]{24}"""
+MAYBE = r"""(?i)pass|pwd|secret|token|(?:api|access|private)[\x20_-]?key|credential|auth|bearer|akia|://[^/\s]*:[^\s]*@|[0-9a-f]{24}"""
 #: Guesses, in bits, from which a value counts as a secret.
 SECRET_BITS = 45.0
 
@@ -129,16 +130,24 @@ def scan(text: str, bits: float = SECRET_BITS) -> tuple[list[tuple[int, int, int
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    more, at = [], 0
+    more, at, run, low = [], 0, 0, set()  # run: where the last value's characters end; low: starts of values up to there that cost less
     while m := CONTEXT.search(text, at):
         start, end = m.span(m.lastindex)
+        if m["address"] is None and (end := run if start < run else REST.match(text, end).end()) != run:
+            run, low = end, set()
         while end > start and text[end - 1] in ".:!?":
             end -= 1
-        at = m.end() if m.end() > m.start() else m.end() + 1
-        value = text[start:end]
-        told = not m["bare"] or re.search(r"[0-9A-Z]", value[1:])
-        if told and not any(s < end and start < e for s, _, e in base) and guess_bits(value) >= bits:
+        at = start  # a value may begin with the next key word, or hold it
+        # a value less one of three or more repeats at its start costs no more: without this, time would grow with the square of repeats
+        if any(start - k in low and text.startswith(text[start - k : start] * 2, start, end) for k in range(1, 25)):
+            low.add(start)
+            continue
+        told = not m["bare"] or re.search(r"[0-9A-Z]", text[start + 1 : end])
+        if told and not any(s < end and start < e for s, _, e in base) and guess_bits(text[start:end]) >= bits:
             more.append((start, end))
+            at = m.end() if m["address"] else max(run, end)
+        elif told and m["address"] is None:
+            low.add(start)
     return base, more
 
 

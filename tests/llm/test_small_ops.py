@@ -212,3 +212,14 @@ def test_values_of_lower_case_letters_count_by_their_guesses():
             assert [text[s:e] for s, e in secrets.scan(text)[1]] == [value], text
     for text in ("auth: understanding", "pwd: authentication", "credentials: representation", "the passphrase is configuration", "passphrase considerations apply"):
         assert secrets.scan(text) == ([], []), text
+
+
+def test_key_words_in_a_row():
+    value = "Zq8fW2mK9xLp4TvR7nBc"
+    for words in ("auth credentials: ", "auth passphrase: ", "secret access_key: ", "secret private key: ", "auth bearer credentials ", "pwd pwd: "):
+        text = f"see {words}{value} end"
+        assert [text[s:e] for s, e in secrets.scan(text)[1]] == [value], text
+    for text in ("pass=" * 20_000, "pass=" * 20_000 + "!"):  # in time linear in the length
+        assert secrets.scan(text) == ([], [])
+    text = "pass=" * 300 + value
+    assert [text[s:e][-20:] for s, e in secrets.scan(text)[1]] == [value]
