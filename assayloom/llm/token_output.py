@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +38,23 @@ class ChunkEncoder:
     characters that are not white space, and where a letter meets a sign other than an apostrophe. No merge crosses pieces, so
     the ids of a text are those of its chunks in a row. Each distinct chunk is encoded once and
     remembered, which saves most of the work. Only files with this pre-tokenizer may be cut so; others are encoded whole.
+
+    literal: the strings of special tokens inside a text are ordinary text. Otherwise they give the tokens' ids, as the library has
+    it unless told so. A text that holds the string of an added token is not cut then but encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         import json
 
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings inside a text are ordinary text
+        self.library.encode_special_tokens = literal
         spec = json.loads(self.library.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.whole = [t["content"] for t in spec.get("added_tokens") or () if t["content"] and not (literal and t.get("special"))]
         self.forget()
 
     def forget(self) -> None:
@@ -69,6 +74,14 @@ class ChunkEncoder:
             out[i] = e.ids
         return np.fromiter(map(len, out), np.int64, len(out)), np.fromiter(chain.from_iterable(out), np.int32)
 
+    def _holding(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The rows whose texts hold an added token's string."""
+        texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        held = np.zeros(len(texts), bool)
+        for w in self.whole:
+            held |= pc.match_substring(texts, w).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(held).tolist()
+
     def _learn(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
@@ -101,6 +114,9 @@ class ChunkEncoder:
             cut[2:-1] |= (data[1:-1] == 0x0A) & alone  # after and before a single line end
             cut[1:-2] |= (data[1:-1] == 0x0A) & alone
             cut[1:-1] |= _LETTER[data[:-1]] & _SIGN[data[1:]]  # between a letter and a sign
+        if self.whole and len(data):
+            for row in self._holding(data, offsets):
+                cut[offsets[row] : offsets[row + 1]] = False
         cut[offsets[:-1]] = True
         begins = np.flatnonzero(cut[: len(data)])
         bounds = np.append(begins, len(data)).astype(np.int64)
@@ -125,11 +141,11 @@ class ChunkEncoder:
 
 @lru_cache(2)
 def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, literal=False)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> None:
-    """Encodes docs and writes them to the folder out in ascending order of id_col (nulls first): part after part, row after row.
+    """Encodes docs as the library does by default and writes them to the folder out in ascending order of id_col (nulls first): part after part, row after row.
 
     A file has a row per document: doc_id, part (range of ids, ascending), start_in_part (ids of the part before it), n_tokens
     (with the end id) and ids, a list column with dictionary encoding (ids have few distinct values), in row groups and pages

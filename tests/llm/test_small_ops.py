@@ -223,3 +223,17 @@ def test_key_words_in_a_row():
         assert secrets.scan(text) == ([], [])
     text = "pass=" * 300 + value
     assert [text[s:e][-20:] for s, e in secrets.scan(text)[1]] == [value]
+
+
+def test_special_tokens_in_texts_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, start = Tokenizer.from_file(path), 0
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain words, and more", "x<|endoftext|>y it's a<|endoftext|><|endoftext|>\nend", "<|endof text|> <|endoftext |>", None, "one two\nthree <|endoftext|>", "\u00e9 <|endoftext|> \u65e5\u672c"]
+    got = {r.doc_id: r for r in token_output.encoded_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    assert len(t.encode(texts[0], add_special_tokens=False).ids) == 4
+    for i, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        start += len(ids)
