@@ -211,3 +211,8 @@ def test_variants_of_a_matrix(spark):
     assert sizes == {"base": 20, "exclude_floor": 15, "floor_censored": 15, "q75": 60, "q50": 60}
     told = C.sensitivity(found, lambda d: "many" if d.count() > 300 else "few")
     assert told["depends"] and not told["same_conclusion"]
+
+
+def test_design_structure_of_many_levels(spark):
+    pairs = spark.range(12_000).selectExpr("concat('b', id div 2) b", "concat('d', (id + 1) div 2) d")  # one chain of all levels
+    assert stats.design_structure(pairs, "b", "d").first().structure == "partially_confounded"
