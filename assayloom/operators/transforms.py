@@ -1,4 +1,8 @@
-"""The operations that change data: each takes cells and gives cells. Missing values stay missing; nothing is filled."""
+"""The operations that change data: each takes cells and gives cells. Missing values stay missing; nothing is filled.
+
+A unit is what one operation looks at as a whole: the blocks that `units` puts together, or one block. Every operation works within
+units, so two blocks of the same samples never mix. Cells without a column `unit` are units by their block; without that, one unit.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,36 @@ from pyspark.sql import functions as F
 from . import stats
 
 
+def unit_keys(cells: DataFrame) -> list[str]:
+    return ["unit"] if "unit" in cells.columns else ["block"] if "block" in cells.columns else []
+
+
+def shared_keys(cells: DataFrame) -> DataFrame:
+    """(one, two, n): pairs of blocks that have feature ids in common, and how many; blocks whose keys are disjoint give no row."""
+    keys = cells.select("block", "feature").distinct()
+    pairs = keys.toDF("one", "feature").join(keys.toDF("two", "feature"), "feature").where("one < two")
+    return pairs.groupBy("one", "two").agg(F.count("*").alias("n"))
+
+
+def units(cells: DataFrame) -> DataFrame:
+    """(block, unit): an assay's blocks are one unit where their feature ids are disjoint and their samples the same, else a unit each.
+
+    A block's assay is what stands before the B of its name. Samples are compared by a hash of their set, so nothing but a row per
+    block meets in one place."""
+    assay = F.substring_index("block", "B", 1)
+    keys = cells.select("block", "feature").distinct()
+    once = keys.groupBy(assay.alias("assay"), "feature").agg(F.count("*").alias("times"))
+    apart = once.groupBy("assay").agg((F.max("times") == 1).alias("disjoint"))
+    sets = cells.select("block", "sample").distinct().groupBy("block").agg(F.sum(F.xxhash64("sample").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n"))
+    same = sets.groupBy(assay.alias("assay")).agg((F.count_distinct("h", "n") == 1).alias("same"))
+    joined = sets.select("block", assay.alias("assay")).join(F.broadcast(apart.join(same, "assay")), "assay")  # a row per assay
+    return joined.select("block", F.when(F.col("disjoint") & F.col("same"), F.col("assay")).otherwise(F.col("block")).alias("unit"))
+
+
+def with_units(cells: DataFrame) -> DataFrame:
+    return cells.join(F.broadcast(units(cells)), "block")  # a row per block
+
+
 def remove_features(cells: DataFrame, ids: DataFrame) -> DataFrame:
     """cells without the features of ids (a column feature)."""
     return cells.join(ids, "feature", "left_anti")
@@ -23,12 +57,18 @@ def recode_zero(cells: DataFrame) -> DataFrame:
     return cells.withColumn("value", F.when(F.col("value") != 0, F.col("value")))
 
 
-def log_transform(cells: DataFrame, base: float | str = 2, rule: str = "half_min", offset: float = 0.0, unit: str = "block") -> DataFrame:
+def _per_unit(cells: DataFrame, small: DataFrame) -> DataFrame:
+    """cells with the columns of small, a row per unit."""
+    keys = unit_keys(cells)
+    return cells.join(F.broadcast(small), keys) if keys else cells.crossJoin(F.broadcast(small))
+
+
+def log_transform(cells: DataFrame, base: float | str = 2, rule: str = "half_min", offset: float = 0.0) -> DataFrame:
     """log of value + c. rule none: c = 0; half_min: half of the unit's smallest positive value (1 without any); fixed: offset; plus_one: 1."""
     value = F.col("value")
     if rule == "half_min":
-        low = cells.groupBy(unit).agg(F.coalesce(F.min(F.when(value > 0, value)) / 2, F.lit(1.0)).alias("__c"))
-        cells, c = cells.join(low, unit), F.col("__c")
+        low = cells.groupBy(*unit_keys(cells)).agg(F.coalesce(F.min(F.when(value > 0, value)) / 2, F.lit(1.0)).alias("__c"))
+        cells, c = _per_unit(cells, low), F.col("__c")
     else:
         c = F.lit({"none": 0.0, "fixed": float(offset), "plus_one": 1.0}[rule])
     x = value + c
@@ -41,50 +81,66 @@ def arcsinh_transform(cells: DataFrame, cofactor: float) -> DataFrame:
 
 
 def normalize_median(cells: DataFrame) -> DataFrame:
-    """Each sample's median moves to the median of all values. Refused if a sample has no value."""
-    per = cells.groupBy("sample").agg(F.median("value").alias("__s"))
-    if not per.where("__s is null").isEmpty():
+    """Each sample's median moves to the median of all values of its unit. Refused if a sample has no value."""
+    keys = unit_keys(cells)
+    per = cells.groupBy(*keys, "sample").agg(F.median("value").alias("__s"), F.count("value").alias("__n"))
+    if not per.where("__n = 0").isEmpty():
         raise ValueError("a sample has no value")
-    total = cells.agg(F.median("value").alias("__t"))
-    return cells.join(per, "sample").crossJoin(F.broadcast(total)).withColumn("value", F.col("value") - F.col("__s") + F.col("__t")).drop("__s", "__t")
+    total = stats.exact_median(cells, keys, "value").withColumnRenamed("median", "__t")
+    return _per_unit(cells.join(per, [*keys, "sample"]), total).withColumn("value", F.col("value") - F.col("__s") + F.col("__t")).drop("__s", "__t", "__n")
+
+
+def _profile(cells: DataFrame, keys: list[str], points: int | None) -> DataFrame:
+    """(keys, i, v): the mean sorted profile of a unit's samples; at each rank, or read at `points` places over [0, 1].
+
+    A sample's k-th of m sorted values stands at (k - 0.5) / m. Each value covers the places from its own to the next one's, so a
+    sample gives one row per place and nothing is gathered."""
+    w = Window.partitionBy(*keys, "sample").orderBy("value")
+    v = F.col("value")
+    ordered = cells.where(v.isNotNull()).select(*keys, "sample", "value", F.row_number().over(w).alias("k"), F.lead("value").over(w).alias("__next"))
+    if points is None:
+        return ordered.groupBy(*keys, (F.col("k") - 1).alias("i")).agg(F.avg("value").alias("v"))
+    m = F.count("*").over(Window.partitionBy(*keys, "sample"))
+    place = lambda k: F.ceil((k - 0.5) / F.col("__m") * (points - 1)).cast("int")
+    spans = ordered.withColumn("__m", m).withColumns({
+        "__from": F.when(F.col("k") == 1, 0).otherwise(place(F.col("k"))),
+        "__to": F.when(F.col("k") == F.col("__m"), points - 1).otherwise(place(F.col("k") + 1) - 1),
+    }).where("__from <= __to")
+    at = spans.withColumn("i", F.explode(F.sequence("__from", "__to")))
+    beyond = F.col("i") / F.lit(float(points - 1)) * F.col("__m") - (F.col("k") - 0.5)
+    read = v + F.when(beyond <= 0, 0.0).otherwise(beyond) * (F.coalesce("__next", v) - v)
+    return at.groupBy(*keys, "i").agg(F.avg(read).alias("v"))
 
 
 def normalize_quantile(cells: DataFrame) -> DataFrame:
-    """Each sample gets the mean sorted profile, read at its values' average ranks.
+    """Each sample gets its unit's mean sorted profile, read at its values' average ranks.
 
     Complete samples: the profile has a value per rank. With gaps: each sample's sorted values are read at p points over [0, 1]
-    (p: features) and averaged; a value of rank r among n is read at (r - 0.5) / n. Ranks between points are interpolated.
+    (p: the unit's features) and averaged; a value of rank r among n is read at (r - 0.5) / n. Ranks between points are interpolated.
     """
-    p = cells.select("feature").distinct().count()
-    ranks = stats.ranked(cells, ["sample"], "value", "__r")
-    per_sample = cells.groupBy("sample").agg(F.array_sort(F.collect_list("value")).alias("v"))  # one sample's values: at most p
-    gaps = not cells.where("value is null").isEmpty()
-    if not gaps:
-        profile = per_sample.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v"))
-        at = F.col("__r") - 1
-    else:
-        grid = max(p, 2)
-
-        def read(v: np.ndarray) -> np.ndarray:
-            m = len(v)
-            return np.interp(np.linspace(0, 1, grid), (np.arange(1, m + 1) - 0.5) / m, v)
-
-        def points(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                for v in pdf["v"]:
-                    if len(v):
-                        yield pd.DataFrame({"i": np.arange(grid), "v": read(np.asarray(v, float))})
-
-        profile = per_sample.mapInPandas(points, "i int, v double").groupBy("i").agg(F.avg("v").alias("v"))
-        at = (F.col("__r") - 0.5) / F.count("*").over(Window.partitionBy("sample")) * (grid - 1)
-    placed = ranks.withColumn("__at", at).withColumn("__lo", F.floor("__at").cast("int"))
-    lo, hi = profile.toDF("__lo", "__vlo"), profile.select((F.col("i") - 1).alias("__lo"), F.col("v").alias("__vhi"))
-    read_off = placed.join(lo, "__lo").join(hi, "__lo", "left")
-    value = F.col("__vlo") + (F.col("__at") - F.col("__lo")) * (F.coalesce("__vhi", "__vlo") - F.col("__vlo"))
-    changed = read_off.select("feature", "sample", value.alias("__new"))
-    return cells.join(changed, ["feature", "sample"], "left").withColumn("value", F.col("__new")).drop("__new")
+    keys = unit_keys(cells)
+    shape = cells.groupBy(*keys).agg(F.count_distinct("feature").alias("p"), F.count_if(F.col("value").isNull()).alias("gaps"))
+    out = []
+    for row in shape.collect():  # a row per unit
+        one = cells
+        for k in keys:
+            one = one.where(F.col(k) == row[k])
+        grid = max(row["p"], 2) if row["gaps"] else None
+        ranks = stats.ranked(one, [*keys, "sample"], "value", "__r")
+        at = (F.col("__r") - 0.5) / F.count("*").over(Window.partitionBy(*keys, "sample")) * (grid - 1) if grid else F.col("__r") - 1
+        placed = ranks.withColumn("__at", at).withColumn("__lo", F.floor("__at").cast("int"))
+        profile = _profile(one, keys, grid)
+        lo = profile.select(F.col("i").alias("__lo"), F.col("v").alias("__vlo"))
+        hi = profile.select((F.col("i") - 1).alias("__lo"), F.col("v").alias("__vhi"))
+        value = F.col("__vlo") + (F.col("__at") - F.col("__lo")) * (F.coalesce("__vhi", "__vlo") - F.col("__vlo"))
+        changed = placed.join(lo, "__lo").join(hi, "__lo", "left").withColumn("value", value).select(*cells.columns)
+        out.append(changed.unionByName(one.where("value is null")))
+    if not out:
+        return cells
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
 def _middle(stat: str, c: Column) -> Column:
@@ -92,106 +148,123 @@ def _middle(stat: str, c: Column) -> Column:
 
 
 def batch_center(cells: DataFrame, batches: DataFrame, stat: str = "median", exclude: Column | None = None) -> DataFrame:
-    """Each feature's batches move to its middle over all: x - stat(batch) + stat(all). batches: (sample, batch).
+    """Each feature's batches move to its middle over all: x - stat(batch) + stat(all), within units. batches: (sample, batch).
 
     Samples without a batch and batches without a value stay. exclude: cells that the middle leaves out but that move all the same.
+    Both middles are windows over the feature's cells: one shuffle, and the input is read once.
     """
+    keys = [*unit_keys(cells), "feature"]
     used = F.col("value") if exclude is None else F.when(~F.coalesce(exclude, F.lit(False)), F.col("value"))
     tagged = cells.join(batches.where("batch is not null and batch <> ''").select("sample", "batch"), "sample", "left").withColumn("__u", used)
-    in_batch = tagged.where("batch is not null").groupBy("feature", "batch").agg(_middle(stat, F.col("__u")).alias("__b"))
-    overall = tagged.groupBy("feature").agg(_middle(stat, F.col("__u")).alias("__a"))
-    moved = tagged.join(in_batch, ["feature", "batch"], "left").join(overall, "feature")
-    return moved.withColumn("value", F.col("value") - F.coalesce(F.col("__b") - F.col("__a"), F.lit(0.0))).drop("batch", "__u", "__b", "__a")
-
-
-def combat(cells: DataFrame, batches: DataFrame, tolerance: float = 1e-4, rounds: int = 1000) -> DataFrame:
-    """Parametric empirical Bayes for location and scale of batches, without covariates.
+    middles = tagged.withColumn("__a", _middle(stat, F.col("__u")).over(Window.partitionBy(*keys))).withColumn("__b", _middle(stat, F.col("__u")).over(Window.partitionBy(*keys, "batch")))
+    shift = F.when(F.col("batch").isNotNull(), F.col("__b") - F.col("__a"))
+    return middles.withColumn("value", F.col("value") - F.coalesce(shift, F.lit(0.0))).select(*cells.columns)
+
+
+def _steps(pdf, rounds: np.ndarray | None, tolerance: float, most: int):
+    """Posterior shift and variance of each row (a feature in a batch), and after how many steps they stand still.
+
+    Each step takes the means of the two conditional posteriors. Without rounds, a row goes on until its own change is at most
+    tolerance; with rounds, for exactly so many steps."""
+    n, g, ss, prior_g, prior_t, a, s = (pdf[c].to_numpy(float) for c in ("n", "g", "ss", "prior_g", "prior_t", "a", "s"))
+    shift, spread, took = g.copy(), pdf["d"].to_numpy(float).copy(), np.zeros(len(g), np.int64)
+    todo = np.arange(len(g))
+    for step in range(1, most + 1):
+        i = todo
+        new = (prior_t[i] * n[i] * g[i] + spread[i] * prior_g[i]) / (prior_t[i] * n[i] + spread[i])
+        wide = (0.5 * (ss[i] + n[i] * (g[i] - new) ** 2) + s[i]) / (n[i] / 2 + a[i] - 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            moved = np.fmax(np.abs(new - shift[i]) / np.abs(shift[i]), np.abs(wide - spread[i]) / spread[i])
+        shift[i], spread[i], took[i] = new, wide, step
+        todo = i[moved > tolerance] if rounds is None else i[step < rounds[i]]
+        if not len(todo):
+            break
+    return shift, spread, took
+
+
+def combat(cells: DataFrame, batches: DataFrame, tolerance: float = 1e-4, most: int = 10_000) -> DataFrame:
+    """Parametric empirical Bayes for location and scale of batches, without covariates, within units.
 
     Standardised by the feature's mean and the variance within batches (divided by n). The posteriors' fixed point needs only each
-    feature's and batch's count, sum and sum of squares, so features x batches, not cells, leave Spark. Refused with missing
-    values or a batch of one sample; features without variance stay.
+    feature's and batch's count, mean and variance, so everything is aggregates and joins on features and batches in Spark; the
+    steps run over those rows in Arrow batches. All features of a batch take as many steps as the slowest needs, as if iterated
+    together. Refused with missing values, a sample without a batch, or a batch of one sample. A feature without variance in some
+    batch stays.
     """
-    tagged = cells.join(batches.select("sample", "batch"), "sample")
-    if not tagged.where("value is null").isEmpty():
+    keys = unit_keys(cells)
+    tagged = cells.join(batches.where("batch is not null and batch <> ''").select("sample", "batch"), "sample", "left")
+    per = tagged.groupBy(*keys, "feature", "batch").agg(F.count("value").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count_if(F.col("value").isNull()).alias("gaps"))
+    bad = per.agg(F.sum("gaps").alias("gaps"), F.count_if(F.col("batch").isNull()).alias("loose"), F.min("n").alias("least")).first()
+    if bad["gaps"]:
         raise ValueError("combat needs complete data")
-    counts = batches.groupBy("batch").count()
-    if not counts.where("count < 2").isEmpty():
-        raise ValueError("combat needs two samples in each batch")
-    sums = tagged.groupBy("feature", "batch").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    t = sums.toArrow().to_pandas()
-    t = t.sort_values(["feature", "batch"])
-    names, levels = sorted(set(t["batch"])), sorted(set(t["feature"]))
-    n, m, v = (t.pivot(index="feature", columns="batch", values=c).loc[levels, names].to_numpy(float) for c in ("n", "m", "v"))
-    total = n.sum(axis=1, keepdims=True)
-    grand, pooled = (n * m).sum(axis=1, keepdims=True) / total, (n * v).sum(axis=1, keepdims=True) / total
-    good = pooled[:, 0] > 0
-    scale = np.sqrt(pooled[good])
-    z_mean = (m[good] - grand[good]) / scale
-    z_var = v[good] / pooled[good]
-    shift, size = z_mean.copy(), np.ones_like(z_mean)
-    for b in range(len(names)):
-        nb, g = n[good][:, b], z_mean[:, b]
-        d = z_var[:, b] * nb / (nb - 1)
-        prior_g, prior_t = g.mean(), g.var(ddof=1)
-        mean_d, var_d = d.mean(), d.var(ddof=1)
-        if not (var_d > 0 and prior_t > 0):
-            size[:, b] = np.where(d > 0, d, 1.0)
-            continue
-        a, s = (2 * var_d + mean_d**2) / var_d, (mean_d * var_d + mean_d**3) / var_d
-        g_now, d_now = g.copy(), d.copy()
-        for _ in range(rounds):
-            g_new = (prior_t * nb * g + d_now * prior_g) / (prior_t * nb + d_now)
-            squares = z_var[:, b] * nb + nb * (g - g_new) ** 2
-            d_new = (0.5 * squares + s) / (nb / 2 + a - 1)
-            change = max(np.max(np.abs(g_new - g_now) / np.maximum(np.abs(g_now), 1e-300)), np.max(np.abs(d_new - d_now) / np.maximum(d_now, 1e-300)))
-            g_now, d_now = g_new, d_new
-            if change < tolerance:
-                break
-        shift[:, b], size[:, b] = g_now, d_now
-    rows = [(f, b, float(grand[i, 0]), float(s), float(g), float(np.sqrt(d))) for f, i, s, gs, ds in zip(np.array(levels)[good].tolist(), np.flatnonzero(good).tolist(), scale[:, 0].tolist(), shift, size, strict=True) for b, g, d in zip(names, gs.tolist(), ds.tolist(), strict=True)]
-    fitted = cells.sparkSession.createDataFrame(rows, "feature string, batch string, grand double, scale double, shift double, spread double")
-    out = tagged.join(fitted, ["feature", "batch"], "left")
+    if bad["loose"] or (bad["least"] is not None and bad["least"] < 2):
+        raise ValueError("combat needs a batch for each sample and two samples in each batch")
+    feature, batch = Window.partitionBy(*keys, "feature"), Window.partitionBy(*keys, "batch")
+    n, m, v = F.col("n"), F.col("m"), F.col("v")
+    z = per.withColumns({
+        "total": F.sum("n").over(feature), "flat": F.min("v").over(feature) <= 0, "grand": F.sum(n * m).over(feature) / F.sum("n").over(feature), "pooled": F.sum(n * v).over(feature) / F.sum("n").over(feature),
+    }).where("not flat").withColumn("scale", F.sqrt("pooled"))
+    z = z.select(*keys, "feature", "batch", "n", "grand", "scale", ((m - F.col("grand")) / F.col("scale")).alias("g"), (n * v / F.col("pooled")).alias("ss"), (n * v / F.col("pooled") / (n - 1)).alias("d"))
+    mean, var = F.avg("d").over(batch), F.var_samp("d").over(batch)
+    z = z.withColumns({
+        "prior_g": F.avg("g").over(batch), "prior_t": F.var_samp("g").over(batch), "a": (2 * var + mean * mean) / F.nullif(var, F.lit(0.0)), "s": (mean * var + mean * mean * mean) / F.nullif(var, F.lit(0.0)),
+    })
+    kind = [f for f in z.schema.fields if f.name in (*keys, "feature", "batch", "grand", "scale")]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
+    names = [f.name for f in kind]
+
+    def counted(frames):
+        for pdf in frames:
+            yield pdf[[*keys, "batch"]].assign(rounds=_steps(pdf, None, tolerance, most)[2])
+
+    def fitted(frames):
+        for pdf in frames:
+            shift, wide, _ = _steps(pdf, pdf["rounds"].to_numpy(), tolerance, most)
+            yield pdf[names].assign(shift=shift, spread=np.sqrt(wide))
+
+    usable = z.where("prior_t > 0 and a is not null")  # a single feature has no prior
+    keyed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind if f.name in (*keys, "batch"))
+    slowest = usable.mapInPandas(counted, f"{keyed}, rounds long").groupBy(*keys, "batch").agg(F.max("rounds").alias("rounds"))
+    fits = usable.join(F.broadcast(slowest), [*keys, "batch"]).mapInPandas(fitted, f"{ddl}, shift double, spread double")  # a row per batch
+    plain = z.where("prior_t is null or prior_t <= 0 or a is null").select(*names, F.col("g").alias("shift"), F.sqrt(F.when(F.col("d") > 0, F.col("d")).otherwise(1.0)).alias("spread"))
+    out = tagged.join(fits.unionByName(plain), [*keys, "feature", "batch"], "left")
     adjusted = ((F.col("value") - F.col("grand")) / F.col("scale") - F.col("shift")) / F.col("spread") * F.col("scale") + F.col("grand")
-    return out.withColumn("value", F.coalesce(adjusted, F.col("value"))).drop("batch", "grand", "scale", "shift", "spread")
+    return out.withColumn("value", F.coalesce(adjusted, F.col("value"))).select(*cells.columns)
 
 
 def drift_qc_loess(cells: DataFrame, order: DataFrame, qc: DataFrame, span: float = 0.75, degree: int = 2, least: int = 5) -> DataFrame:
-    """x + (mean of the QC fit - the fit at x's place), per feature; the curve is fitted on QC samples over the run order.
+    """x + (mean of the QC fit - the fit at x's place), per feature of a unit; the curve is fitted on QC samples over the run order.
 
     order: (sample, run_order), qc: (sample). Features with fewer than `least` QC values stay. The fit is flat outside the QC range.
     """
     plan = order.join(qc.withColumn("__qc", F.lit(True)), "sample", "left").select("sample", F.col("run_order").cast("double"), F.coalesce("__qc", F.lit(False)).alias("__qc"))
     if plan.where("__qc").count() < least:
         raise ValueError("too few QC samples")
-    kind = cells.join(plan, "sample").drop("run_order", "__qc").schema
+    kind = cells.schema
 
     def correct(pdf):
         known = pdf["__qc"] & pdf["value"].notna()
         if known.sum() >= least:
             x, y = pdf.loc[known, "run_order"].to_numpy(), pdf.loc[known, "value"].to_numpy()
             at = np.clip(pdf["run_order"].to_numpy(float), x.min(), x.max())
-            fit = stats.local_regression(x, y, at, span, degree)
             own = stats.local_regression(x, y, x, span, degree)
-            pdf = pdf.assign(value=pdf["value"] + np.nanmean(own) - fit)
+            pdf = pdf.assign(value=pdf["value"] + np.nanmean(own) - stats.local_regression(x, y, at, span, degree))
         return pdf[[f.name for f in kind]]
 
-    return cells.join(plan, "sample").groupBy("feature").applyInPandas(correct, kind)
+    return cells.join(plan, "sample").groupBy(*unit_keys(cells), "feature").applyInPandas(correct, kind)
 
 
 def drift_sample_loess(cells: DataFrame, order: DataFrame, span: float = 0.75, degree: int = 2, least: int = 8) -> DataFrame:
     """The same within each batch, fitted on the samples themselves. order: (sample, run_order, batch). A feature's batch without
     `least` values in a row stays."""
     joined = cells.join(order.select("sample", F.col("run_order").cast("double"), "batch"), "sample")
-    kind = joined.drop("run_order", "batch").schema
+    kind = cells.schema
 
     def correct(pdf):
         pdf = pdf.sort_values("run_order")
         here = pdf["value"].notna().to_numpy()
-        run = best = 0
-        for h in here:
-            run = run + 1 if h else 0
-            best = max(best, run)
-        if best >= least:
+        gaps = np.flatnonzero(np.concatenate([[True], ~here, [True]]))
+        if len(here) and np.diff(gaps).max() - 1 >= least:
             x, y = pdf["run_order"].to_numpy()[here], pdf["value"].to_numpy()[here]
             fit = stats.local_regression(x, y, x, span, degree)
             new = pdf["value"].to_numpy().copy()
@@ -199,7 +272,7 @@ def drift_sample_loess(cells: DataFrame, order: DataFrame, span: float = 0.75, d
             pdf = pdf.assign(value=new)
         return pdf[[f.name for f in kind]]
 
-    return joined.groupBy("feature", "batch").applyInPandas(correct, kind)
+    return joined.groupBy(*unit_keys(cells), "feature", "batch").applyInPandas(correct, kind)
 
 
 def correct_batch_effects(cells: DataFrame, order: DataFrame, method: str = "median", **loess) -> DataFrame:
@@ -211,32 +284,43 @@ def correct_batch_effects(cells: DataFrame, order: DataFrame, method: str = "med
 def impute_min_prob(cells: DataFrame, shift: float = 1.8, scale: float = 0.3, seed: int = 0) -> DataFrame:
     """Outside the plan: missing cells drawn from a normal below their sample's values (mean - shift sd, scale sd); by hash of the
     cell, so partitions don't matter. Observed cells stay."""
-    per = cells.groupBy("sample").agg(F.avg("value").alias("__m"), F.stddev_samp("value").alias("__sd"))
-    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "feature", "sample"), F.lit(2**52)) + 0.5) / float(2**52)
-    normal = F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * np.pi * unit(2))
+    keys = [*unit_keys(cells), "sample"]
+    per = cells.groupBy(*keys).agg(F.avg("value").alias("__m"), F.stddev_samp("value").alias("__sd"))
+    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *keys, "feature"), F.lit(2**52)) + 0.5) / float(2**52)
+    normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * np.pi * uniform(2))
     drawn = F.col("__m") - shift * F.col("__sd") + scale * F.col("__sd") * normal
-    return cells.join(per, "sample").withColumn("value", F.coalesce(F.col("value"), drawn)).drop("__m", "__sd")
+    return cells.join(per, keys).withColumn("value", F.coalesce(F.col("value"), drawn)).drop("__m", "__sd")
 
 
 def impute_knn(cells: DataFrame, k: int = 5) -> DataFrame:
     """Outside the plan: a missing cell becomes the mean of its feature's k nearest features (root mean square difference over shared
-    samples) that have a value in that sample. Observed cells stay."""
-    here = cells.where("value is not null").select("feature", "sample", "value")
-    asked = cells.where("value is null").select("feature").distinct()
-    pairs = here.join(asked, "feature", "left_semi").join(here.toDF("other", "sample", "ov"), "sample").where("feature <> other")
-    near = pairs.groupBy("feature", "other").agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("ov"), F.lit(2.0)))).alias("d"))
-    gaps = cells.where("value is null").select("feature", "sample").join(near, "feature").join(here.toDF("other", "sample", "ov"), ["other", "sample"])
-    rank = F.row_number().over(Window.partitionBy("feature", "sample").orderBy("d", "other"))
-    filled = gaps.withColumn("r", rank).where(F.col("r") <= k).groupBy("feature", "sample").agg(F.avg("ov").alias("__new"))
-    return cells.join(filled, ["feature", "sample"], "left").withColumn("value", F.coalesce("value", "__new")).drop("__new")
-
-
-def violations(parent: DataFrame, child: DataFrame, may_remove: bool = False, may_blank_zero: bool = False) -> DataFrame:
-    """(lost, added, gap_changed, new_infinite): what an operation broke; all 0 (lost may not be, if it removes) or the state is refused."""
-    both = parent.select("feature", "sample", F.col("value").alias("old"), F.lit(True).alias("p")).join(child.select("feature", "sample", F.col("value").alias("new"), F.lit(True).alias("c")), ["feature", "sample"], "full")
+    samples) that have a value in that sample. Observed cells stay. Only features with gaps look for neighbours."""
+    keys = unit_keys(cells)
+    here = cells.where("value is not null").select(*keys, "feature", "sample", "value")
+    other = here.withColumnsRenamed({"feature": "other", "value": "ov"})
+    asked = cells.where("value is null").select(*keys, "feature").distinct()
+    pairs = here.join(asked, [*keys, "feature"], "left_semi").join(other, [*keys, "sample"]).where("feature <> other")
+    near = pairs.groupBy(*keys, "feature", "other").agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("ov"), F.lit(2.0)))).alias("d"))
+    gaps = cells.where("value is null").select(*keys, "feature", "sample").join(near, [*keys, "feature"]).join(other, [*keys, "other", "sample"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "feature", "sample").orderBy("d", "other"))
+    filled = gaps.withColumn("r", rank).where(F.col("r") <= k).groupBy(*keys, "feature", "sample").agg(F.avg("ov").alias("__new"))
+    return cells.join(filled, [*keys, "feature", "sample"], "left").withColumn("value", F.coalesce("value", "__new")).drop("__new")
+
+
+def violations(parent: DataFrame, child: DataFrame, may_remove: bool = False, may_blank_zero: bool = False, touched: Column | None = None) -> DataFrame:
+    """(lost, added, gap_changed, new_infinite, changed_outside): what an operation broke; all 0 or the state is refused.
+
+    lost: cells gone, unless it removes. gap_changed: missing cells filled or values blanked (zeros may be, if so declared).
+    changed_outside: values changed where touched (a predicate over block, feature and sample) does not hold, or by a removal.
+    """
+    keys = [c for c in ("block", "feature", "sample") if c in parent.columns]
+    old, new = F.col("old"), F.col("new")
+    both = parent.select(*keys, F.col("value").alias("old"), F.lit(True).alias("p")).join(child.select(*keys, F.col("value").alias("new"), F.lit(True).alias("c")), keys, "full")
     kept = F.col("p").isNotNull() & F.col("c").isNotNull()
-    gap = kept & (F.col("old").isNull() != F.col("new").isNull())
+    gap = kept & (old.isNull() != new.isNull())
     if may_blank_zero:
-        gap = gap & ~(F.coalesce(F.col("old") == 0, F.lit(False)) & F.col("new").isNull())
+        gap = gap & ~(F.coalesce(old == 0, F.lit(False)) & new.isNull())
     infinite = kept & F.coalesce((F.abs("new") == float("inf")) & (F.abs("old") != float("inf")), F.lit(False))
-    return both.agg(F.count_if(F.col("c").isNull() & F.lit(not may_remove)).alias("lost"), F.count_if(F.col("p").isNull()).alias("added"), F.count_if(gap).alias("gap_changed"), F.count_if(infinite).alias("new_infinite"))
+    allowed = F.lit(False) if may_remove else F.lit(True) if touched is None else F.coalesce(touched, F.lit(False))
+    outside = kept & ~old.eqNullSafe(new) & ~allowed
+    return both.agg(F.count_if(F.col("c").isNull() & F.lit(not may_remove)).alias("lost"), F.count_if(F.col("p").isNull()).alias("added"), F.count_if(gap).alias("gap_changed"), F.count_if(infinite).alias("new_infinite"), F.count_if(outside).alias("changed_outside"))

@@ -358,7 +358,7 @@ class Audit:
                     ps.append(float((1 + (chi[1:] >= chi[0] - 1e-9).sum()) / len(chi)))
                 yield pd.DataFrame({"feature": pdf["feature"], "p": ps})
 
-        return T.bh(gaps.mapInPandas(test, "feature string, p double"), tie="feature").where(F.col("q") <= self.params["alpha"]).count()
+        return T.bh(gaps.mapInPandas(test, "feature string, p double")).where(F.col("q") <= self.params["alpha"]).count()
 
     def distribution(self) -> list[Finding]:
         """A3: how spread grows with the mean, skewness, and whether sample medians differ and with what."""
@@ -451,10 +451,10 @@ class Audit:
                     sub = c @ k[np.ix_(use, use)] @ c
                     said = [v["values"][names[i]] for i in use]
                     codes = np.array([float(x) for x in said]) if v["numeric"] else np.unique(said, return_inverse=True)[1]
-                    plan = T.Permutations(codes, None, p["permutations"], p["exhaustive_max"], p["seed"], f"A7|{b}|{v['name']}")
+                    plan = T.exchange(codes, None, p["permutations"], p["exhaustive_max"], p["seed"], f"A7|{b}|{v['name']}")
                     test = T.permanova_numeric if v["numeric"] else T.permanova
                     r2, stat = test(sub, codes)
-                    pv, least = plan.p_value(test(sub, plan.matrix())[1], float(stat[0]))
+                    pv, least = plan.p_value(test(sub, plan.of(codes))[1], float(stat[0]))
                     rows.append({"variable": v["name"], "role": v["role"], "test": "permanova", "r2": float(r2[0]), "f": float(stat[0]), "p": pv, "p_min": least})
                 for j in range(scores.shape[1]):
                     for r in self._associations(dict(zip(names, scores[:, j].tolist(), strict=True)), f"A7|{b}|PC{j + 1}"):
@@ -489,9 +489,9 @@ class Audit:
             if len(names) < 4 or "" in said or len(set(said)) < 2:
                 return None
             codes = np.array([float(x) for x in said]) if v["numeric"] else np.unique(said, return_inverse=True)[1]
-            plan = T.Permutations(codes, None, self.params["permutations"], self.params["exhaustive_max"], self.params["seed"], f"sensitivity|{block}|{variable}")
+            plan = T.exchange(codes, None, self.params["permutations"], self.params["exhaustive_max"], self.params["seed"], f"sensitivity|{block}|{variable}")
             test = T.permanova_numeric if v["numeric"] else T.permanova
-            p, _ = plan.p_value(test(k, plan.matrix())[1], float(test(k, codes)[1][0]))
+            p, _ = plan.p_value(test(k, plan.of(codes))[1], float(test(k, codes)[1][0]))
             return "associated" if p <= self.params["alpha"] else "not associated"
 
         return C.sensitivity(C.variants(self.diagnostic(block), self.params["floor_min_observed"]), conclude)

@@ -422,7 +422,7 @@ def ols_slopes(spark, d):
 SELECT id, ROUND(LEAST(1.0, MIN(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM rk""")
 def bh_qvalues(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 1009 / 1009.0).alias("p"))
-    return rounded(stats.bh(p, tie="id"), "q").select("id", "q")
+    return rounded(stats.bh(p), "q").select("id", "q")
 
 
 PAIR_SQL = ", pr AS (SELECT a.sample AS s1, b.sample AS s2, COUNT(*) AS n, CASE WHEN COUNT(*) >= 3 AND STDDEV_POP(a.y) > 0 AND STDDEV_POP(b.y) > 0 THEN COVAR_POP(a.y, b.y) / (STDDEV_POP(a.y) * STDDEV_POP(b.y)) END AS r FROM dx a JOIN dx b USING (feature) WHERE a.sample < b.sample AND a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY 1, 2)"
@@ -581,9 +581,9 @@ def permanova(spark, d):
     names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
     batch = {r["sample"]: r.batch for r in samples(spark, d).collect()}  # one row per sample
     codes = np.unique([batch[n] for n in names], return_inverse=True)[1]
-    plan = stats.Permutations(codes, key="permanova|batch")
+    plan = stats.exchange(codes, key="permanova|batch")
     r2, f = stats.permanova(k, codes)
-    p, least = plan.p_value(stats.permanova(k, plan.matrix())[1], float(f[0]))
+    p, least = plan.p_value(stats.permanova(k, plan.of(codes))[1], float(f[0]))
     return spark.createDataFrame([("batch", float(r2[0]), float(f[0]), p, least)], "variable string, r2 double, f double, p double, p_min double")
 
 
@@ -594,7 +594,7 @@ def associations(spark, d):
     rate = [r.missing_rate for r in rows]
     found = [("batch", stats.association(rate, [r.batch for r in rows], False, key="batch")), ("run_order", stats.association(rate, [r.run_order for r in rows], True, key="run_order"))]
     tests = spark.createDataFrame([(n, a["test"], a.get("value"), a.get("p"), a["n_used"]) for n, a in found], "variable string, test string, value double, p double, n_used int")
-    return stats.bh(tests, tie="variable")
+    return stats.bh(tests)
 
 
 @query()

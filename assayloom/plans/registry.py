@@ -32,7 +32,7 @@ STEPS = {s.id: s for s in (
     Step("G6", "QC drift", "action", "global", ("data", "qc_samples", "run_order"), ("drift_qc_loess",), (("qc_n >= 5", "there are five QC samples"), ("run_order_present", "the run order is known"))),
     Step("G7", "missingness", "audit", "global", ops=("recode_zero_as_missing",)),
     Step("S1", "normalization", "action", "study", ("data", "confirmed_processing_state", "contrast_variable"), ("normalize_median", "normalize_quantile"), (LOGGED,)),
-    Step("S2", "batch correction", "action", "study", ("data", "batch_variable", "contrast_variable", "protected_variables"), ("drift_sample_loess", "batch_center", "batch_combat"), (LOGGED,)),
+    Step("S2", "batch correction", "action", "study", ("data", "batch_variable", "contrast_variable", "protected_variables"), ("drift_sample_loess", "batch_center", "batch_combat", "correct_batch_effects"), (LOGGED,)),
     Step("S3", "filtering", "action", "study", ("data", "contrast_variable"), ("remove_features",)),
     Step("S4", "sample exclusion", "action", "study", ("data", "contrast_variable"), ("remove_samples",)),
     Step("S5", "repeated measures", "constraint", "study", ("data", "subject")),

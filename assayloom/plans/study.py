@@ -17,6 +17,7 @@ from .audit import CHECKPOINT, Audit, cleaned
 # The intake's fields and answers.
 INTAKE = ("contrast_variable", "protected_variables", "nuisance_variables", "question_type", "downstream_family")
 QUESTION_TYPES = ("global_untargeted", "targeted_features")
+LOG_SCALES = ("log2", "log10", "ln", "arcsinh")
 FAMILIES = ("differential_abundance", "clustering_exploration", "prediction", "integration", "unsure")
 
 
@@ -38,8 +39,7 @@ class Study:
 
     def audit(self) -> DataFrame:
         out = self.first.run_all()
-        scales = {self.first.effective_scale(b) for b in self.first.blocks}
-        root = self.store.add(self.first.full.select("block", "feature", "sample", "value"), scale=scales.pop() if len(scales) == 1 else "unknown")
+        root = self.store.add(self.first.full.select("block", "feature", "sample", "value"), scales={b: self.first.effective_scale(b) for b in self.first.blocks})
         self.audits[root] = self.first
         return out
 
@@ -97,11 +97,11 @@ class Study:
             a = self.first
             features = a.features.join(self.store.data(sid).select("feature").distinct(), "feature", "left_semi")
             new = Audit(self.store.data(sid), a.samples, features, a.kinds, a.history, self.params, a.overrides, a.controls)
-            scale = self.store.meta(sid)["scale"]
-            if scale in ("log2", "log10", "ln", "arcsinh"):
-                new.classes = {b: "continuous_symmetric_or_log_like" for b in new.blocks}
+            scales = self.store.meta(sid)["scales"]
+            new.scale()
+            new.classes |= {b: "continuous_symmetric_or_log_like" for b in new.blocks if scales.get(b) in LOG_SCALES}
             new.state = a.state
-            new.run_all(CHECKPOINT if scale == "linear" else CHECKPOINT[1:])
+            new.run_all(CHECKPOINT[1:])
             self.audits[sid] = new
         return self.audits[sid]
 
@@ -121,7 +121,7 @@ class Study:
         contrast = intake.get("contrast_variable")
         alpha = self.first.params["alpha"]
         hit = lambda rows: any(r.get("q") is not None and r["q"] <= alpha for r in rows) if rows else None
-        done = {s["op"]["op"] for s in self.store.chain(sid) if s["op"]}
+        done = {(s["op"]["op"], b) for s in self.store.chain(sid) if s["op"] for b in s["op"]["blocks"]}
         for b in self.first.blocks:
             m = lambda c: self._measures(c, b, sid)  # noqa: E731, B023
             a2, a13, a3, a12, a4, a6, a7, a8, a5, a11 = map(m, ("A2", "A13", "A3", "A12", "A4", "A6", "A7", "A8", "A5", "A11"))
@@ -137,12 +137,12 @@ class Study:
             subject = bool((a8.get("design") or {}).get("n_subjects"))
             contrast_rows = [r for r in shift.get("associations") or [] if r["variable"] == contrast]
             out.append({
-                "block": b, "state_id": sid, "checkpoint": self.checkpoint(sid), "state_scale": meta["scale"], "scale_class": a2.get("class"),
-                "log_like": meta["scale"] in ("log2", "log10", "ln", "arcsinh") or effective.get("log_transformed") == "yes",
+                "block": b, "state_id": sid, "checkpoint": self.checkpoint(sid), "state_scale": meta["scales"][b], "scale_class": a2.get("class"),
+                "log_like": meta["scales"][b] in LOG_SCALES or effective.get("log_transformed") == "yes",
                 "log_transformed": effective.get("log_transformed"), "normalized": effective.get("normalized"), "any_unconfirmed": any(v["match"] == "does_not_match" and v["confirmed"] is None for v in items.values()),
                 "slope": (a3.get("mean_sd") or {}).get("slope"), "slope_excludes_zero": bool(ci[0] > 0 or ci[1] < 0) if ci else None,
                 "g3_n": self.audit_at(sid).cleaning_candidates()[b].select("class").distinct().count(), "zeros_present": bool(enc.get("zero")) if enc is not None else None,
-                "zeros_answer": "done" if "recode_zero_as_missing" in done else self.answers.get("zeros"), "floor_present": a4["floor_ties"]["share"] >= self.first.params["floor_tie_share_indicator"] if "floor_ties" in a4 else None,
+                "zeros_answer": "done" if ("recode_zero_as_missing", b) in done else self.answers.get("zeros"), "floor_present": a4["floor_ties"]["share"] >= self.first.params["floor_tie_share_indicator"] if "floor_ties" in a4 else None,
                 "floor_answer": self.answers.get("floor_censored"), "missing_any": enc.get("missing", 0) > 0 if enc is not None else None, "batch_wide_absent": coverage > 0 if coverage is not None else None,
                 "missing_intensity": pat.get("intensity_dependence"), "missing_batch": pat.get("batch_association"), "qc_n": sum((a6.get("sample_types") or {}).get(k, 0) for k in ("qc", "pool")),
                 "run_order_present": bool(order and order.get("n_used")), "run_order_drift": abs(order["spearman_median"]) >= self.first.params["run_order_rho_indicator"] if order and order.get("spearman_median") is not None else None,
@@ -209,7 +209,7 @@ class Study:
         if c["op"] is None or c["status"] not in ("Recommended", "Alternative") and e["step"] != "S4":
             raise ValueError(f"{c['label']}: {c['status']}")
         f = next(x for x in self.facts() if x["block"] == e["block"])
-        new = executor.apply(self.store, c["op"], c["params"] | (params or {}), {"user": user, "entry": entry}, e["step"], {"class": f["scale_class"]})
+        new = executor.apply(self.store, c["op"], c["params"] | (params or {}), {"user": user, "entry": entry}, e["step"], {"class": f["scale_class"]}, scope=e["block"])
         self.decisions.append({"at": datetime.now(UTC).isoformat(), "entry": entry, "decision": "approve", "op": c["op"], "user": user, "state_id": new})
         return new
 

@@ -1,5 +1,7 @@
 """Statistics against independent numpy, hand-made answers and planted effects."""
 
+from itertools import permutations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,20 +60,29 @@ def test_permanova_finds_a_planted_batch():
     c = y - y.mean(axis=1, keepdims=True)
     k = c.T @ c
     r2, f = stats.permanova(k, codes)
-    plan = stats.Permutations(codes, key="x")
-    assert plan.exhaustive and plan.distinct == 924 and len({tuple(r) for r in plan.matrix().tolist()}) == 924
-    p, least = plan.p_value(stats.permanova(k, plan.matrix())[1], float(f[0]))
+    plan = stats.exchange(codes, key="x")
+    assert plan.whole and plan.n_distinct == 924 and len({tuple(r) for r in plan.of(codes).tolist()}) == 924
+    p, least = plan.p_value(stats.permanova(k, plan.of(codes))[1], float(f[0]))
     assert r2[0] > 0.3 and p == pytest.approx(2 / 924) and least == pytest.approx(1 / 924)
 
 
 def test_restricted_permutations():
     subject = ["a", "a", "b", "b", "c", "c"]
-    whole = stats.Permutations([0, 0, 1, 1, 1, 1], subject)
-    assert whole.mode == "subjects" and whole.distinct == 3 and all(r[0] == r[1] and r[2] == r[3] for r in whole.matrix())
-    inside = stats.Permutations([0, 1, 0, 1, 0, 1], subject)
-    assert inside.mode == "within" and inside.distinct == 8 and all(sorted(r[i : i + 2].tolist()) == [0, 1] for r in inside.matrix() for i in (0, 2, 4))
-    many = stats.Permutations(np.arange(30) % 3, n=99)
-    assert not many.exhaustive and many.matrix().shape == (99, 30) and (many.matrix() == stats.Permutations(np.arange(30) % 3, n=99).matrix()).all()
+    v = np.array([0, 0, 1, 1, 1, 1])
+    whole = stats.exchange(v, subject)
+    assert whole.scheme == "subjects" and whole.n_distinct == 3 and len({tuple(r) for r in whole.of(v).tolist()}) == 3 and all(r[0] == r[1] and r[2] == r[3] for r in whole.of(v))
+    v = np.array([0, 1, 0, 1, 0, 1])
+    inside = stats.exchange(v, subject)
+    assert inside.scheme == "within" and inside.n_distinct == 8 and len({tuple(r) for r in inside.of(v).tolist()}) == 8 and all(sorted(r[i : i + 2].tolist()) == [0, 1] for r in inside.of(v) for i in (0, 2, 4))
+    v = np.arange(30) % 3
+    many = stats.exchange(v, n=99)
+    assert not many.whole and many.of(v).shape == (99, 30) and (many.of(v) == stats.exchange(v, n=99).of(v)).all() and all(sorted(m) == list(range(30)) for m in many.moves.tolist())
+
+
+def test_orders_of_a_multiset():
+    labels = np.array([2, 1, 1, 3])
+    want = sorted(set(permutations(labels.tolist())))
+    assert stats.arrangements(labels) == 12 and [tuple(r) for r in stats.nth_orders(labels, np.arange(12)).tolist()] == want
 
 
 def test_association_guards():
@@ -104,6 +115,32 @@ def test_local_regression_is_exact_on_polynomials():
     assert stats.local_regression(x, 3 - x + 0.5 * x**2) == pytest.approx(3 - x + 0.5 * x**2)
 
 
+@pytest.mark.parametrize("span,degree", [(0.75, 2), (0.4, 1), (1.5, 2), (0.1, 2)])
+def test_local_regression_by_weighted_least_squares(span, degree):
+    rng = np.random.default_rng(3)
+    x, y, at = rng.permutation(40).astype(float), rng.normal(size=40), np.linspace(0, 39, 23)
+    got = stats.local_regression(x, y, at, span, degree)
+    q = min(40, max(int(40 * span + 1e-9), degree + 1))
+    for t, g in zip(at, got, strict=True):
+        far = np.sort(np.abs(x - t))[q - 1] * max(1, span)
+        w = np.clip(1 - (np.abs(x - t) / far) ** 3, 0, None) ** 1.5
+        d = min(degree, (w > 0).sum() - 1)
+        assert g == pytest.approx(np.linalg.lstsq(np.vander(x - t, d + 1, increasing=True) * w[:, None], y * w, rcond=None)[0][0], abs=1e-6)
+
+
+def test_local_regression_of_few_points():
+    assert len(stats.local_regression([], [])) == 0 and stats.local_regression([1.0], [5.0]) == pytest.approx([5.0]) and stats.local_regression([2, 2], [1, 3]) == pytest.approx([2, 2])
+
+
+def test_median_of_large_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, None if rng.random() < 0.1 else float(np.round(v, 2))) for g, n in (("a", 5001), ("b", 4000), ("c", 1), ("d", 2)) for v in rng.normal(size=n)]
+    got = {r.g: r.median for r in stats.exact_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in "abcd":
+        v = [x for k, x in rows if k == g and x is not None]
+        assert not v or got[g] == pytest.approx(np.median(v))
+
+
 def test_quantile_normalisation_by_hand(spark):
     x = np.array([[5, 4, 3], [2, 1, 4], [3, 4, 6], [4, 2, 8]], float)
     got = wide(transforms.normalize_quantile(long(spark, x)))
@@ -216,3 +253,57 @@ def test_variants_of_a_matrix(spark):
 def test_design_structure_of_many_levels(spark):
     pairs = spark.range(12_000).selectExpr("concat('b', id div 2) b", "concat('d', (id + 1) div 2) d")  # one chain of all levels
     assert stats.design_structure(pairs, "b", "d").first().structure == "partially_confounded"
+
+
+def test_combat_by_iterating_whole_matrices(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(10, 1, (40, 15)) * rng.gamma(4, 0.25, (40, 1))
+    batch = np.repeat([0, 1, 2], 5)
+    x += rng.normal(0, 1, (40, 3))[:, batch]
+    x[3, :5] = 7.0  # no variance in one batch: left alone
+    got = wide(transforms.combat(long(spark, x), spark.createDataFrame([(f"s{j:02}", f"b{b}") for j, b in enumerate(batch)], "sample string, batch string")))
+    use = np.delete(np.arange(40), 3)
+    d = x[use]
+    within = np.stack([d[:, batch == b].mean(axis=1) for b in range(3)], axis=1)
+    scale = np.sqrt(((d - within[:, batch]) ** 2).mean(axis=1, keepdims=True))
+    z, want = (d - d.mean(axis=1, keepdims=True)) / scale, d.copy()
+    for b in range(3):
+        zb = z[:, batch == b]
+        g, t = zb.mean(axis=1), zb.var(axis=1, ddof=1)
+        a, s = (2 * t.var(ddof=1) + t.mean() ** 2) / t.var(ddof=1), (t.mean() * t.var(ddof=1) + t.mean() ** 3) / t.var(ddof=1)
+        shift, wide_, change = g, t, 1
+        while change > 1e-4:
+            new = (g.var(ddof=1) * 5 * g + wide_ * g.mean()) / (g.var(ddof=1) * 5 + wide_)
+            spread = (0.5 * ((zb - new[:, None]) ** 2).sum(axis=1) + s) / (5 / 2 + a - 1)
+            change = max(np.max(np.abs(new - shift) / np.abs(shift)), np.max(np.abs(spread - wide_) / wide_))
+            shift, wide_ = new, spread
+        want[:, batch == b] = (zb - shift[:, None]) / np.sqrt(wide_)[:, None] * scale + d.mean(axis=1, keepdims=True)
+    assert got[use] == pytest.approx(want, abs=1e-9) and got[3] == pytest.approx(x[3])
+
+
+@pytest.mark.parametrize("op", [
+    lambda c, p: transforms.normalize_median(c), lambda c, p: transforms.normalize_quantile(c), lambda c, p: transforms.batch_center(c, p), lambda c, p: transforms.combat(c, p),
+    lambda c, p: transforms.drift_sample_loess(c, p), lambda c, p: transforms.drift_qc_loess(c, p, p.where("run_order % 3 = 0").select("sample")), lambda c, p: transforms.correct_batch_effects(c, p),
+    lambda c, p: transforms.log_transform(c),
+])
+def test_blocks_do_not_mix(spark, op):
+    rng = np.random.default_rng(9)
+    one = long(spark, rng.normal(12, 1, (6, 16)))
+    two = long(spark, rng.normal(40, 5, (6, 16))).withColumn("block", F.lit("A1B2"))
+    plan = spark.createDataFrame([(f"s{j:02}", float(j), "ab"[j % 2]) for j in range(16)], "sample string, run_order double, batch string")
+    both = op(one.unionByName(two), plan)
+    for alone in (one, two):
+        name = alone.first().block
+        assert wide(both.where(F.col("block") == name)) == pytest.approx(wide(op(alone, plan)))
+
+
+def test_units_and_shared_keys(spark):
+    rows = [(b, f, s, 1.0) for b, fs, ss in (("A1B1", "ab", "xy"), ("A1B2", "cd", "xy"), ("A2B1", "ab", "xy"), ("A2B2", "bc", "xy"), ("A3B1", "e", "xy"), ("A3B2", "f", "xz")) for f in fs for s in ss]
+    cells = spark.createDataFrame(rows, "block string, feature string, sample string, value double")
+    assert {r.block: r.unit for r in transforms.units(cells).collect()} == {"A1B1": "A1", "A1B2": "A1", "A2B1": "A2B1", "A2B2": "A2B2", "A3B1": "A3B1", "A3B2": "A3B2"}
+    assert {(r.one, r.two): r.n for r in transforms.shared_keys(cells).collect()} == {("A1B1", "A2B1"): 2, ("A1B1", "A2B2"): 1, ("A1B2", "A2B2"): 1, ("A2B1", "A2B2"): 1}
+    joined = transforms.with_units(cells)
+    low = {r.unit: r.n for r in joined.groupBy("unit").agg(F.count("*").alias("n")).collect()}
+    assert low["A1"] == 8 and transforms.violations(cells, cells).first().asDict() == {"lost": 0, "added": 0, "gap_changed": 0, "new_infinite": 0, "changed_outside": 0}
+    moved = cells.withColumn("value", F.when(F.col("block") == "A1B1", 2.0).otherwise(F.col("value")))
+    assert transforms.violations(cells, moved, touched=F.col("block") == "A1B1").first().changed_outside == 0 and transforms.violations(cells, moved, touched=F.col("block") == "A1B2").first().changed_outside == 4

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayloom.plans import executor, registry, rules
 from assayloom.plans import schema as schemas
@@ -168,7 +169,7 @@ def test_plan_to_replay(study):
     logged = study.approve("A1B1:G5")
     with pytest.raises(ValueError, match="another state"):
         study.approve("A1B1:G5")
-    assert study.store.meta()["scale"] == "log2" and study.store.data(root).where("value > 100").count() > 0
+    assert study.store.meta()["scales"] == {"A1B1": "log2"} and study.store.data(root).where("value > 100").count() > 0
     entries = {e["group"]: e for e in study.build_plan()}
     assert entries["G5"]["status"] == "Do not automate" and entries["S2"]["rule"] == "R6"
     with pytest.raises(ValueError):
@@ -201,15 +202,15 @@ def test_refusals(spark, study):
         executor.apply(store, "normalize_median", {}, {})
     with pytest.raises(executor.ExecutorError, match="linear"):
         executor.apply(store, "log_transform", {}, yes)
-    with pytest.raises(executor.ExecutorError, match="needs batch"):
+    with pytest.raises(executor.ExecutorError, match="batch"):
         executor.apply(store, "batch_center", {}, yes)
     with pytest.raises(executor.ExecutorError, match="missing values"):
         executor.apply(store, "batch_combat", {"batch": study.sample_mapping("Plate")}, yes)
-    with pytest.raises(executor.ExecutorError, match="no parameter"):
+    with pytest.raises(executor.ExecutorError, match="unexpected"):
         executor.apply(store, "normalize_median", {"x": 1}, yes)
     with pytest.raises(executor.ExecutorError):
-        executor.register(executor.Op("impute_all", lambda c, p, x: c, ("S6",)))
-    executor.OPS["fill"] = executor.Op("fill", lambda c, p, x: c.fillna(0.0, ["value"]), ("S1",))
+        executor.register(executor.Op("impute_all", lambda c: c, ("S6",)))
+    executor.OPS["fill"] = executor.Op("fill", lambda c: c.fillna(0.0, ["value"]), ("S1",))
     head = store.head
     with pytest.raises(executor.ExecutorError, match="invariant"):
         executor.apply(store, "fill", {}, yes)
@@ -246,3 +247,23 @@ def test_integrity_tells_bad_cells(spark):
     a = Audit(cells, samples, spark.createDataFrame([(f"f{i}", False, "") for i in range(6)], "feature string, flagged boolean, flag_reason string"))
     m = a.integrity()[0]
     assert m.status == "problem" and m.measures["no_number"] == 1 and m.measures["infinite"] == 1 and m.measures["identical_samples"] == 1
+
+
+def test_an_entry_changes_its_unit_alone(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    rows = [(b, f"f{i}", f"s{j}", float(2 ** rng.normal(10, 1))) for b in ("A1B1", "A1B2") for i in range(12) for j in range(6)]
+    cells = spark.createDataFrame(rows, "block string, feature string, sample string, value double")
+    store, yes = StateStore(spark, str(tmp_path)), {"user": "me", "entry": "A1B2:G5"}
+    root = store.add(cells, scales={"A1B1": "linear", "A1B2": "linear"})
+    new = executor.apply(store, "log_transform", {}, yes, scope="A1B2")
+    assert store.meta(new)["scales"] == {"A1B1": "linear", "A1B2": "log2"}
+    assert store.data(new).where("block = 'A1B1'").exceptAll(store.data(root).where("block = 'A1B1'")).isEmpty() and store.data(new).where("block = 'A1B2' and value > 50").isEmpty()
+    with pytest.raises(executor.ExecutorError, match="log2"):
+        executor.apply(store, "normalize_median", {}, yes, scope="A1B1")
+    executor.apply(store, "normalize_median", {}, yes, scope="A1B2")
+    assert executor.replay(store)["identical"] and len(store.states) == 3
+    executor.OPS["leak"] = executor.Op("leak", lambda c: c.withColumn("block", F.lit("A1B1")), ("S1",))
+    with pytest.raises(executor.ExecutorError, match="invariant"):
+        executor.apply(store, "leak", {}, yes, scope="A1B2")
+    del executor.OPS["leak"]
+    assert len(StateStore(spark, str(tmp_path)).load().states) == 3
