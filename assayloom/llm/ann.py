@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import saved
+from .text import tidy
 from .vectors import common_length, packed, sample, stack, unit
 
-#: Vectors that codebooks are fitted on; rows of a block of candidates and of queries; candidates that each block reranks first for each query.
-FIT, BLOCK_MIN, BLOCK_MAX, BLOCKS, QUERIES, RERANK = 8192, 256, 8192, 64, 2048, 160
+#: Vectors that codebooks are fitted on; rows of a block of candidates and of queries; candidates by table score that set each query's bound.
+FIT, BLOCK, QUERIES, FIRST = 8192, 8192, 2048, 64
 #: Inner product from which errors matter; it sets how much an error along the vector costs beside one across it.
 THRESHOLD = 0.2
 #: Rounding that a blocked product of unit vectors may be off by.
@@ -19,42 +20,37 @@ EPS = 1e-9
 
 
 class Quantiser:
-    """Product quantiser with 16 centres for each pair of components, fitted to the anisotropic loss.
+    """Product quantiser with 16 centres for each component, fitted to the anisotropic loss.
 
     For a unit vector x coded with residual r the loss is |r|^2 + (eta - 1) (x . r)^2: errors along x, which move the largest
     inner products, cost eta times as much as errors across it, with eta = (d - 1) t^2 / (1 - t^2). Codes are found by
-    coordinate descent over the pairs, codebooks by the normal equations of that loss.
+    coordinate descent over the components, centres by the normal equations of that loss.
     """
 
-    def __init__(self, x: np.ndarray, seed: int, rounds: int = 6):
+    def __init__(self, x: np.ndarray, rounds: int = 8):
         self.d = x.shape[1]
-        self.parts = -(-self.d // 2)
         self.eta = max(1.0, (self.d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-        x, rng = self.pairs(x), np.random.default_rng(seed)
-        start = rng.choice(len(x), 16, replace=len(x) < 16)
-        self.books = x[start].transpose(1, 0, 2).copy()  # parts x 16 x 2
-        self.books += rng.normal(0, 1e-6, self.books.shape)
+        spread = x.std(axis=0)[:, None] + 1e-6
+        # centres of a normal's 16 parts at first: they lie closer in the middle than its quantiles do
+        self.books = x.mean(axis=0)[:, None] + spread * (np.sign(np.arange(-7.5, 8)) * (np.abs(np.arange(-7.5, 8)) / 7.5) ** 1.15 * 2.6)[None, :]
         for _ in range(rounds):
             codes = self.codes(x)
-            z = np.zeros((len(x), self.parts, 16, 2))
-            np.put_along_axis(z, codes[:, :, None, None], x[:, :, None, :], axis=2)
-            z = z.reshape(len(x), -1)
-            count = np.stack([np.bincount(codes[:, s], minlength=16) for s in range(self.parts)])
-            a = (self.eta - 1) * z.T @ z + np.diag(np.repeat(count.reshape(-1), 2)) + 1e-3 * np.eye(z.shape[1])
-            self.books = np.linalg.solve(a, self.eta * z.sum(axis=0) + 1e-3 * self.books.reshape(-1)).reshape(self.books.shape)
-
-    def pairs(self, x: np.ndarray) -> np.ndarray:
-        return np.pad(x, ((0, 0), (0, 2 * self.parts - self.d))).reshape(len(x), self.parts, 2)
+            hot = np.zeros((len(x), self.d, 16))
+            np.put_along_axis(hot, codes[:, :, None], x[:, :, None], axis=2)
+            hot = hot.reshape(len(x), -1)
+            count = (codes[:, :, None] == np.arange(16)).sum(axis=0).reshape(-1)
+            a = (self.eta - 1) * hot.T @ hot + np.diag(count + 1e-3)
+            self.books = np.linalg.solve(a, self.eta * hot.sum(axis=0) + 1e-3 * self.books.reshape(-1)).reshape(self.books.shape)
 
     def codes(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """n x parts codes of n x parts x 2 unit vectors."""
-        r = x[:, :, None, :] - self.books[None]  # residual of each choice
-        across, along = np.einsum("npkc,npkc->npk", r, r), np.einsum("npc,npkc->npk", x, r)
+        """n x d codes of unit vectors."""
+        r = x[:, :, None] - self.books[None]  # residual of each choice
+        across, along = r * r, x[:, :, None] * r
         codes = across.argmin(axis=2)
         total = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0].sum(axis=1)
         at = np.arange(len(x))
         for _ in range(sweeps):
-            for s in range(self.parts):
+            for s in range(self.d):
                 total -= along[at, s, codes[:, s]]
                 codes[:, s] = (across[:, s] + (self.eta - 1) * (total[:, None] + along[:, s]) ** 2).argmin(axis=1)
                 total += along[at, s, codes[:, s]]
@@ -62,47 +58,32 @@ class Quantiser:
 
     def pack(self, x: np.ndarray) -> np.ndarray:
         """Codes of unit vectors, two to a byte."""
-        c = self.codes(self.pairs(x)).astype(np.uint8)
-        if self.parts % 2:
+        c = self.codes(x).astype(np.uint8)
+        if self.d % 2:
             c = np.concatenate([c, np.zeros((len(c), 1), np.uint8)], axis=1)
         return c[:, ::2] | c[:, 1::2] << 4
 
     def errors(self, x: np.ndarray, packed_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The residual of each coded unit vector: its part along the vector, and its length across it."""
-        codes = np.stack([packed_codes & 15, packed_codes >> 4], axis=2).reshape(len(x), -1)[:, : self.parts]
-        r = self.pairs(x) - self.books[np.arange(self.parts), codes]
-        along = np.einsum("npc,npc->n", r, self.pairs(x))
-        return along, np.sqrt(np.maximum(0, np.einsum("npc,npc->n", r, r) - along**2))
+        codes = np.stack([packed_codes & 15, packed_codes >> 4], axis=2).reshape(len(x), -1)[:, : self.d]
+        r = x - self.books[np.arange(self.d), codes]
+        along = np.einsum("nd,nd->n", r, x)
+        return along, np.sqrt(np.maximum(0, np.einsum("nd,nd->n", r, r) - along**2))
 
     def scores(self, queries: np.ndarray, packed_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Approximate inner products, queries x codes: sums of table entries, looked up a byte (two codes) at a time; and how far each
         query's sums may be off by rounding."""
-        tables = np.einsum("qpc,pkc->qpk", self.pairs(queries), self.books).astype(np.float32)
-        if self.parts % 2:
+        tables = (queries[:, :, None] * self.books[None]).astype(np.float32)
+        if self.d % 2:
             tables = np.concatenate([tables, np.zeros_like(tables[:, :1])], axis=1)
         both = (tables[:, 1::2, :, None] + tables[:, ::2, None, :]).reshape(len(queries), -1, 256)
         out = np.zeros((len(queries), len(packed_codes)), np.float32)
         for s in range(both.shape[1]):
             out += np.take(both[:, s], packed_codes[:, s], axis=1)
-        return out, (self.parts + 3) * 2.0**-23 * np.abs(tables).max(axis=2).sum(axis=1, dtype=np.float64) + EPS
-
+        return out, (self.d + 3) * 2.0**-23 * np.abs(tables).max(axis=2).sum(axis=1, dtype=np.float64) + EPS
 
-def build_index(rows: DataFrame, d: int, seed: int) -> tuple[Quantiser | None, DataFrame]:
-    """Fits the quantiser on at most FIT rows and codes every row: (vec_id, vec, code), written to the shared folder."""
-    valid = rows.where(F.expr("octet_length(vec)") == 4 * d)
-    fit = sample(valid, FIT, d, seed)
-    q = Quantiser(fit, seed) if len(fit) else None
 
-    def run(batches):
-        for batch in batches:
-            for part in (batch.slice(at, 2048) for at in range(0, len(batch), 2048)):
-                code = q.pack(unit(stack(part.column("vec").to_pylist(), d)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "vec", "code"])
-
-    return q, saved(valid.select("vec_id", "vec").mapInArrow(run, "vec_id long, vec binary, code binary"), "ann-index")
-
-
-def _needed(scores: np.ndarray, slack: np.ndarray, least: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+def needed(scores: np.ndarray, slack: np.ndarray, least: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
     """Which candidates (queries x codes) may have an inner product of `least` or more, from their approximate scores.
 
     With x = code + r the score is x.q - r.q. For x.q = cos(t), r.q is at most along cos(t) + across sin(t), so the score is at
@@ -113,82 +94,120 @@ def _needed(scores: np.ndarray, slack: np.ndarray, least: np.ndarray, along: np.
     return (scores >= lowest) | (least < 0)[:, None] | (along >= 1)[None, :]
 
 
-def _scan(q: Quantiser, ids, raw, codes, query_ids, query_raw, top: int, rerank: int):
-    """(query, candidate, score) of each query's best `top` in this block, exactly.
+def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """In double precision, each row alone: equal rows give equal numbers wherever they stand."""
+    return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
-    The `rerank` best distinct vectors by score are compared first; their best `top` set the bound that _needed holds all others to.
-    """
-    order = np.lexsort([ids])
-    ids, raw, codes = ids[order], raw[order], codes[order]
-    _, first, group = np.unique(raw.astype(np.float32).view(np.void(4 * raw.shape[1]).dtype).reshape(-1), return_index=True, return_inverse=True)
-    by = np.argsort(group, kind="stable")  # members of each distinct vector, by id
-    bounds = np.searchsorted(group[by], np.arange(len(first) + 1))
-    norm, out = np.sqrt(np.einsum("ij,ij->i", raw, raw)), []
-    x = unit(raw[first])
-    along, across = q.errors(x, codes[first])
-
-    def best(groups, query_id, query):
-        # copies of a vector tie, and the smallest ids win: top + 1 of them are enough, the query itself being one
-        rows = np.concatenate([by[bounds[g] : min(bounds[g + 1], bounds[g] + top + 1)] for g in groups.tolist()])
-        rows = rows[ids[rows] != query_id]
-        exact = (raw[rows] * query).sum(axis=1) / (norm[rows] * np.sqrt(query @ query))
-        return [v[np.lexsort([ids[rows], -exact])[:top]] for v in (rows, exact)]
-
-    for at in range(0, len(query_ids), 128):
-        asked, asked_raw = query_ids[at : at + 128], query_raw[at : at + 128]
-        asked_unit = unit(asked_raw)
-        scores, slack = q.scores(asked_unit, codes[first])
-        many = min(rerank, scores.shape[1])
-        least = np.full(len(asked), -1.0)
-        for i, b in enumerate(np.argpartition(-scores, many - 1, axis=1)[:, :many]):
-            exact = best(b, asked[i], asked_raw[i])[1]
-            if len(exact) == top:
-                least[i] = exact[-1] - EPS
-        need = _needed(scores, slack, least, along, across)
-        some = np.flatnonzero(need.any(axis=0))
-        near = np.where(need[:, some], asked_unit @ x[some].T, -np.inf)
-        for i in range(len(asked)):
-            rows, exact = best(some[near[i] >= least[i] - EPS], asked[i], asked_raw[i])
-            out.append((np.full(len(rows), asked[i]), ids[rows], exact))
-    return [np.concatenate(c) for c in zip(*out, strict=True)]
-
-
-def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, rerank: int = RERANK, seed: int = 29) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the `top` rows of largest cosine but itself.
 
-    Every row is in the index. Queries and candidates are dealt into blocks by hash, each block of candidates meets each block of
-    queries in one task of bounded size and scans four-bit codes by table. The best `rerank` distinct vectors of the scan are reranked
-    by the exact cosine in double precision on the original vectors, and so is every other candidate of the block whose code does
-    not prove it to be behind the `top` found so (see _needed); then each query's blocks are merged. The result is exact, `rerank`
-    only sets how tight the first bound is. Ties go to the smaller id.
+def build_index(table: DataFrame, id_col: str, vec_col: str, copies: int, seed: int) -> tuple[Quantiser | None, int, DataFrame, DataFrame]:
+    """The quantiser, the vectors' length, ids (vec_id, fp) and the index, a row per distinct vector: (fp, rep, ids, vec, code, along, across).
 
-    Rows with a null id, and vectors that are null, empty, zero, hold null or non-finite components or are not of the table's
-    commonest length take no part. Copies are candidates of each other; rows that repeat the query's id are not its candidates. With fewer candidates than top,
-    all are returned. An empty table gives an empty table. Other columns are not read.
-    """
+    ids are a vector's `copies` smallest; a window that stops at them in each task before it shuffles picks them, so a vector that
+    a third of all rows repeat is no hot spot."""
     rows = saved(packed(table, id_col, vec_col), "ann-vectors")
     d = common_length(rows)
-    q, index = build_index(rows, d, seed)
-    n = index.count()
-    asked = index.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-n // min(BLOCK_MAX, max(BLOCK_MIN, n // BLOCKS))))
-    q_blocks = max(1, -(-asked.count() // QUERIES))
-    deal = lambda x, parts: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(parts)).cast("int").alias(x)
+    one = rows.where("vec_id is not null").where(F.expr("octet_length(vec)") == 4 * d).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    ids = saved(one.withColumn("fp", F.md5("vec")), "ann-ids")
+    rank = F.row_number().over(Window.partitionBy("fp").orderBy("vec_id"))
+    distinct = ids.withColumn("k", rank).where(F.col("k") <= copies).groupBy("fp").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("vec").alias("vec"))
+    fit = sample(distinct.select(F.col("rep").alias("vec_id"), "vec"), FIT, d, seed)
+    q = Quantiser(fit) if len(fit) else None
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(at, 2048) for at in range(0, len(batch), 2048)):
+                x = unit(stack(part.column("vec").to_pylist(), d))
+                code = q.pack(x)
+                along, across = q.errors(x, code)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(along), pa.array(across)], [*part.schema.names, "code", "along", "across"])
+
+    return q, d, ids.select("vec_id", "fp"), saved(distinct.mapInArrow(tidy(run), "fp string, rep long, ids array<long>, vec binary, code binary, along double, across double"), "ann-index")
+
+
+def _tasks(asked: DataFrame, index: DataFrame, n_asked: int, n: int, seed: int) -> DataFrame:
+    """Both sides dealt by hash into blocks of fixed size, each block of candidates with each block of queries; code is null for queries."""
+    blocks, q_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
+    deal = lambda x, parts: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(parts)).cast("int").alias(x)
     sides = lambda parts, x: F.explode(F.expr(f"sequence(0, {parts - 1})")).alias(x)
-    right = index.select("vec_id", "vec", "code", deal("c", blocks), sides(q_blocks, "q"))
-    left = asked.select("vec_id", "vec", F.lit(None).cast("binary").alias("code"), sides(blocks, "c"), deal("q", q_blocks))
+    right = index.select("*", deal("c", blocks)).select("*", sides(q_blocks, "q"))
+    left = asked.select("*", deal("q", q_blocks)).select("*", sides(blocks, "c"))
+    return right.unionByName(left, allowMissingColumns=True).groupBy("q", "c")
 
-    def run(pdf):
-        import pandas as pd
 
+def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, seed: int = 29) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the `top` rows of largest cosine but itself.
+
+    Every row is in the index, once per distinct vector. (1) Blocks of codes are scanned by table for blocks of queries; each query's
+    FIRST best codes over all blocks are reranked by the exact cosine, and the last of their best top + 1 is a bound that the
+    result can't fall below. (2) Codes are scanned again; candidates whose code does not prove them to be below the bound (see
+    needed) are reranked on the original vectors in double precision. So the result is exact, whatever the codes are worth, and
+    the share of rows reranked falls as the table grows. (3) Each query's blocks are merged and distinct vectors give their ids.
+    Ties go to the smaller id.
+
+    Rows with a null id, and vectors that are null, empty, zero, hold null or non-finite components or are not of the table's
+    commonest length take no part. Repeated rows count once: a candidate is an id; of an id with several vectors the one of least
+    bytes counts. Copies under other ids are candidates of each other. With fewer candidates than top, all are returned. An empty
+    table gives an empty table. Other columns are not read.
+    """
+    q, d, ids, index = build_index(table, id_col, vec_col, top + 1, seed)
+    wanted = ids.where(F.col("vec_id") % every == 0)
+    asked = saved(index.select("fp", "rep", "vec").join(wanted.select("fp").distinct(), "fp", "left_semi").select("rep", "vec"), "ann-asked")
+    n, n_asked = index.count(), asked.count()
+
+    def split(pdf):
         asks = pdf["code"].isna().to_numpy()
-        ids, raw = pdf["vec_id"].to_numpy(), stack(pdf["vec"], d)
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        codes = np.frombuffer(b"".join(pdf["code"][~asks]), np.uint8).reshape(int((~asks).sum()), -1)
-        a, b, s = _scan(q, ids[~asks], raw[~asks], codes, ids[asks], raw[asks], top, rerank)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-    found = right.unionByName(left).groupBy("q", "c").applyInPandas(run, "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        mine, rows = pdf[asks], pdf[~asks]
+        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1) if len(rows) else None
+        return mine, rows, codes
+
+    def first(pdf):
+        import pandas as pd
+
+        mine, rows, codes = split(pdf)
+        rep, out = rows["rep"].to_numpy(), []
+        raw = stack(mine["vec"], d) if len(rows) else np.zeros((0, d))
+        for at in range(0, len(raw), 128):
+            scores, _ = q.scores(unit(raw[at : at + 128]), codes)
+            many = min(FIRST, scores.shape[1])
+            best = np.argpartition(-scores, many - 1, axis=1)[:, :many]
+            out.append(pd.DataFrame({"ask": np.repeat(mine["rep"].to_numpy()[at : at + 128], many), "rep": rep[best].reshape(-1), "score": np.take_along_axis(scores, best, 1).reshape(-1).astype(float)}))
+        return pd.concat(out) if out else pd.DataFrame({"ask": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    best_of = lambda most: F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "rep")) <= most
+    start = _tasks(asked, index.select("rep", "code"), n_asked, n, seed).applyInPandas(first, "ask long, rep long, score double").withColumn("keep", best_of(FIRST)).where("keep")
+
+    def exactly(batches):
+        for batch in batches:
+            a, b = (stack(batch.column(c).to_pylist(), d) for c in ("vec", "other"))
+            s = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column("ask"), pa.array(s)], ["ask", "score"])
+
+    pairs = start.select("ask", "rep").join(index.select("rep", "vec"), "rep").join(asked.toDF("ask", "other"), "ask").select("ask", "vec", "other")
+    bound = pairs.mapInArrow(tidy(exactly), "ask long, score double").withColumn("k", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score")))).where(F.col("k") <= top + 1)
+    bound = bound.groupBy("ask").agg(F.when(F.max("k") == top + 1, F.min("score") - EPS).otherwise(-1.0).alias("least"))
+    bounded = saved(asked.join(bound.withColumnRenamed("ask", "rep"), "rep", "left").withColumn("least", F.coalesce("least", F.lit(-1.0))), "ann-bounds")
+
+    def rerank(pdf):
+        import pandas as pd
+
+        mine, rows, codes = split(pdf)
+        rep, out = rows["rep"].to_numpy(), []
+        x, raw = (stack(t["vec"], d) for t in (rows, mine if len(rows) else mine[:0]))
+        along, across, least = rows["along"].to_numpy(), rows["across"].to_numpy(), mine["least"].to_numpy()
+        for at in range(0, len(raw), 128):
+            scores, slack = q.scores(unit(raw[at : at + 128]), codes)
+            for i, need in enumerate(needed(scores, slack, least[at : at + 128], along, across)):
+                these = np.flatnonzero(need)
+                exact = cosines(x[these], raw[at + i])
+                best = np.lexsort([rep[these], -exact])[: top + 1]
+                out.append((np.full(len(best), mine["rep"].iloc[at + i]), rep[these][best], exact[best]))
+        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"ask": a, "rep": b, "score": s})
+
+    found = _tasks(bounded, index.select("rep", "vec", "code", "along", "across"), n_asked, n, seed).applyInPandas(rerank, "ask long, rep long, score double").withColumn("keep", best_of(top + 1)).where("keep")
+    rows = found.join(index.select("rep", "ids"), "rep").select("ask", "score", F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+    best = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1).groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("k", "vec_id", "score"))).alias("best"))
+    named = wanted.withColumnRenamed("vec_id", "query_id").join(index.select("fp", F.col("rep").alias("ask")), "fp").join(best, "ask")
+    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, top)
+    return named.select("query_id", F.posexplode(others).alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", "b.score")
