@@ -9,16 +9,18 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import slices, tidy
 
-#: Labelled pages that weights are fitted on, at most; bounds of a tag's cost; the cost of a tag that no labelled page has.
-FIT_PAGES, LEAST, MOST, UNSEEN = 2000, 0.02, 0.7, 0.3
-#: What a word scores inside a marked article, on a page that marks none, and outside the article of a page that marks one; and
-#: what a block scores whose element is dropped anyway.
-IN_ARTICLE, PLAIN, OUTSIDE, DROPPED_BLOCK = 3.0, 1.0, -0.5, -0.5
+#: Labelled pages that weights are fitted on, at most, and blocks that must hold a tag or mark before it weighs anything.
+FIT_PAGES, SUPPORT = 2000, 5
+#: A word of plain text scores 1, in log-odds. Bounds of what a tag costs, and the cost of one that no labelled page has.
+PLAIN, LEAST, MOST, UNSEEN = 1.0, 0.02, 0.7, 0.3
+#: Bounds of what labelled pages may say for and against a mark, what standing outside a marked article says at most, and what all tags
+#: between two blocks, or within one, cost at most.
+INSIDE, OUTSIDE, ELSEWHERE, GAP = -6.0, 9.0, 3.0, 5.0
 
 # Elements by their meaning in HTML.
 RAW = ("script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe", "plaintext")
@@ -29,27 +31,32 @@ BLOCKS = (
     "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead",
     "title", "tr", "ul",
 )
-# Elements that never belong to the article.
+# Elements whose text is no part of a page's running text.
 NEVER = (
-    "head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "script", "style", "noscript", "template", "button", "select",
-    "option", "textarea", "label", "fieldset", "iframe", "object", "svg", "canvas", "audio", "video", "map", "noembed", "noframes", "title",
+    "head", "form", "dialog", "script", "style", "noscript", "template", "button", "select", "option", "textarea", "label", "fieldset",
+    "iframe", "object", "svg", "canvas", "audio", "video", "map", "noembed", "noframes", "title",
 )
-# Words in a class, id or role that mark what is not the article.
+# Elements, and words in a class, id or role, that are thought to mark what is not the article, before any page is seen.
+LANDMARKS = ("nav", "header", "footer", "aside", "menu")
 CHROME = (
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "promotion",
     "banner", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer",
-    "comment", "comments", "disqus", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert",
-    "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share", "sharing", "social",
-    "related", "recommended", "recommendations", "widget", "toolbar", "pagination", "pager", "copyright", "legal", "skip",
-    "complementary", "contentinfo", "paywall", "teaser",
+    "disqus", "respond", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "subscribe",
+    "subscription", "signup", "login", "search", "share", "sharing", "social", "recommendations", "widget", "toolbar", "pagination",
+    "pager", "copyright", "legal", "skip", "complementary", "contentinfo", "paywall", "adverts", "advertising", "sponsor", "promotion",
 )
-#: Of those, the ones that count for an article or main element and for headings: other words there say how the page is built.
-STRONG = frozenset({"ad", "ads", "advert", "advertisement", "sponsored", "promo", "promoted", "comment", "comments", "replies", "related", "recommended", "teaser", "cookie", "newsletter"})
+# Of those words, the ones that hold even inside a marked article.
+STRONG = (
+    "ad", "ads", "advert", "advertisement", "sponsored", "promo", "promoted", "comment", "comments", "replies", "related", "recommended",
+    "teaser", "cookie", "newsletter", "hidden",
+)
+#: What is thought beforehand, in log-odds of standing outside. It holds for marks that labelled pages don't have, or have outside only
+#: too rarely to be as sure; where they have a mark inside as well, what they say replaces it.
+PRIOR = {**dict.fromkeys(LANDMARKS, 9.0), **{"." + w: 4.0 for w in CHROME}, **{"." + w: 12.0 for w in STRONG}}
 #: Elements that an opening tag of one of the others ends.
 ENDS = {"p": frozenset(BLOCKS), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}, "head": {"body"}}
 
-_BLOCKS, _VOID, _NEVER, _RAW, _CHROME = map(frozenset, (BLOCKS, VOID, NEVER, RAW, CHROME))
-_OWN_NAME = frozenset({"article", "main", "h1", "h2", "h3", "h4", "h5", "h6"})
+_BLOCKS, _VOID, _NEVER, _RAW = map(frozenset, (BLOCKS, VOID, NEVER, RAW))
+_MARKED = frozenset({*LANDMARKS, "article", "main"})
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|</?[a-zA-Z][^<>]*+\Z""",
@@ -62,26 +69,54 @@ _PART, _SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
 
 @dataclass
 class Block:
-    """A run of text between block borders; before, inside: the tags since the block before it, and those within it."""
+    """A run of text between block borders; marks: what the elements around it say; before, inside: the tags since the block before it,
+    and those within it."""
 
     text: str
-    dropped: bool
-    in_article: bool
+    marks: frozenset[str]
     before: list[str]
     inside: list[str]
 
+    @property
+    def in_article(self) -> bool:
+        return "article" in self.marks or "main" in self.marks
+
+    @property
+    def dropped(self) -> bool:
+        return "!" in self.marks
+
+
+@dataclass(frozen=True)
+class Weights:
+    """What labelled pages teach: tags' costs; marks' log-odds of standing outside the article (without a mark: -PLAIN)."""
+
+    tags: dict[str, float]
+    marks: dict[str, float]
 
-def _is_chrome(name: str, attributes: str) -> bool:
-    if not attributes or name in ("html", "body"):
-        return False
-    said = {w for m in _SAID.findall(attributes) for w in _PART.findall("".join(m).lower())}
-    return bool(said & (STRONG if name in _OWN_NAME else _CHROME)) or bool(_HIDDEN.search(attributes))
+    def odds(self, block: Block, elsewhere: bool) -> float:
+        """Log-odds that a word of the block is no content. elsewhere: the page marks an article, and the block is not in it."""
+        said = sum(PRIOR.get(m, 0.0) if m not in self.marks else max(PRIOR.get(m, 0.0), self.marks[m]) if self.marks[m] > 0 else self.marks[m] for m in block.marks)
+        return said + (self.marks.get("~", 0.0) if elsewhere else 0.0) - PLAIN
+
+    def cost(self, tags: list[str]) -> float:
+        return min(GAP, sum(self.tags.get(t, UNSEEN) for t in tags))
+
+
+def _marks(name: str, attributes: str) -> frozenset[str]:
+    """The marks of an element: its name, if that has a meaning; a dot and each word of its class, id and role; ! if it never counts."""
+    out = {name} if name in _MARKED else {"!"} if name in _NEVER else set()
+    if attributes and name not in ("html", "body"):
+        words = {w for m in _SAID.findall(attributes) for w in _PART.findall("".join(m).lower())}
+        out |= {"." + w for w in words}
+        if _HIDDEN.search(attributes):
+            out.add(".hidden")
+    return frozenset(out)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, in one scan. Unclosed and misnested tags end where HTML lets them end."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # block and dropped elements: name, dropped, in an article
+    stack: list[tuple[str, frozenset[str]]] = []  # block and marked elements: name, all marks from the page down to it
     text: list[str] = []
     before: list[str] = []
     inside: list[str] = []
@@ -93,7 +128,7 @@ def blocks(page: str) -> list[Block]:
         if started:
             joined = _SPACE.sub(" ", references.unescape("".join(text))).strip()
             if joined:
-                out.append(Block(joined, *(stack[-1][1:] if stack else (False, False)), before, inside))
+                out.append(Block(joined, stack[-1][1] if stack else frozenset(), before, inside))
                 before, inside = [], []
             else:
                 before, inside = before + inside, []
@@ -121,8 +156,9 @@ def blocks(page: str) -> list[Block]:
             (inside if started else before).append("/" + name)
             continue
         rest = m["rest"] if m["rest"] is not None else m["rest2"]
-        drop = name in _NEVER or _is_chrome(name, rest)
-        if name in _BLOCKS or drop:
+        marks = _marks(name, rest)
+        parts = name in _BLOCKS or "!" in marks or any(m in PRIOR for m in marks)  # what begins a block of its own
+        if parts:
             flush()
             while stack and name in ENDS.get(stack[-1][0], ()):
                 stack.pop()
@@ -132,41 +168,66 @@ def blocks(page: str) -> list[Block]:
             at = close.end() if close else size
         elif name == "br":
             text.append(" ")
-        elif name not in _VOID and not rest.endswith("/") and (name in _BLOCKS or drop):
-            _, dropped, article = stack[-1] if stack else ("", False, False)
-            stack.append((name, dropped or drop, article or name in ("article", "main")))
+        elif name not in _VOID and not rest.endswith("/") and parts:
+            around = stack[-1][1] if stack else frozenset()
+            if name in ("article", "main"):  # an article in an article has marks of its own that count afresh
+                around = around - {"article", "main"}
+            stack.append((name, around | marks))
     flush()
     return out
 
 
-def tag_costs(counts_in: Counter, counts_out: Counter) -> dict[str, float]:
-    """What each tag costs: the log-odds that it stands outside the content, from its counts in and outside labelled content."""
-    total_in, total_out = sum(counts_in.values()) + 1, sum(counts_out.values()) + 1
-    return {t: min(MOST, max(LEAST, math.log((counts_out[t] + 0.5) / total_out) - math.log((counts_in[t] + 0.5) / total_in))) for t in counts_in.keys() | counts_out.keys()}
+def weights(counts: Counter, labelled: Counter) -> Weights:
+    """Log-odds of standing outside the content, from counts of (inside, tag or mark) and the numbers of blocks in and outside."""
+    total = {side: labelled[side] + 1 for side in (True, False)}
+    odds = {}
+    for k in {t for _, t in counts}:
+        n_in, n_out = counts[True, k], counts[False, k]
+        if n_in + n_out >= SUPPORT:
+            odds[k] = math.log((n_out + 0.5) / total[False]) - math.log((n_in + 0.5) / total[True])
+    tags = {k[1:]: min(MOST, max(LEAST, v)) for k, v in odds.items() if k[0] == "<"}
+    return Weights(tags, {k: min(ELSEWHERE if k == "~" else OUTSIDE, max(INSIDE, v)) for k, v in odds.items() if k[0] != "<"})
 
 
-def main_text(page: str, costs: dict[str, float]) -> str:
-    """The contiguous run of blocks whose words less tags score highest (ties: the earliest), without the dropped elements in it."""
-    found = blocks(page)
-    marked = any(b.in_article and not b.dropped for b in found)
+def scores(found: list[Block], w: Weights) -> list[tuple[float, float]]:
+    """For each block what the tags before it cost, and what its words less the tags within score. Every word scores its block's log-odds
+    of being content. Blocks that are rather no content cost PLAIN whatever their length: an advert must not cut an article in two,
+    and they are left out of the text in any case. Inside a marked article tags cost LEAST, for there they say nothing more."""
+    marked, out = any(b.in_article and not b.dropped for b in found), []
+    for b in found:
+        odds = w.odds(b, marked and not b.in_article)
+        decided = b.in_article and odds < 0
+        gap = min(GAP, LEAST * len(b.before)) if decided else w.cost(b.before)
+        inner = min(1.0, LEAST * len(b.inside)) if decided else w.cost(b.inside)
+        n = b.text.count(" ") + 1
+        out.append((gap, -PLAIN if b.dropped or odds >= 0 else -odds * n - inner))
+    return out
+
+
+def best_run(scored: list[tuple[float, float]]) -> tuple[int, int]:
+    """The run of blocks of highest sum, the gaps inside it included, in one scan; ties: the earliest, then the shortest."""
     best, best_range, running, start = 0.0, (0, 0), 0.0, 0
-    for i, b in enumerate(found):
-        running -= sum(costs.get(t, UNSEEN) for t in b.before)
+    for i, (gap, score) in enumerate(scored):
+        running -= gap
         if running <= 0:
             running, start = 0.0, i
-        if b.dropped:
-            running += DROPPED_BLOCK
-        else:
-            word = PLAIN if not marked else IN_ARTICLE if b.in_article else OUTSIDE
-            running += word * (b.text.count(" ") + 1) - sum(costs.get(t, UNSEEN) for t in b.inside)
+        running += score
         if running > best:
             best, best_range = running, (start, i + 1)
-    return "\n".join(b.text for b in found[slice(*best_range)] if not b.dropped)
+    return best_range
+
+
+def main_text(page: str, w: Weights) -> str:
+    """The contiguous run of blocks whose words less tags score highest, without the blocks in it that are rather no content."""
+    found = blocks(page)
+    marked = any(b.in_article and not b.dropped for b in found)
+    return "\n".join(b.text for b in found[slice(*best_run(scores(found, w)))] if not b.dropped and w.odds(b, marked and not b.in_article) < 0)
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", seed: int = 7, most: int = FIT_PAGES) -> dict[str, float]:
-    """Tag costs from at most `most` labelled pages: pages that mark their article with an element of its own (article, main),
-    those of smallest seeded hash of the id. Without any, an empty table: every tag costs UNSEEN."""
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", seed: int = 7, most: int = FIT_PAGES) -> Weights:
+    """Weights from at most `most` labelled pages: pages that mark their article with an element of its own (article, main), those of
+    smallest seeded hash of the id. A block is content if it stands in that element and no prior is against it. Tags and marks of
+    fewer than SUPPORT blocks weigh nothing. Without any labelled page there are only the priors, and every tag costs UNSEEN."""
 
     def count(batches):
         for batch in batches:
@@ -175,21 +236,21 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", seed:
                 found = blocks(page)
                 if any(b.in_article for b in found):
                     for b in found:
-                        where = b.in_article and not b.dropped
-                        seen.update((where, t) for t in b.before + b.inside)
+                        where = b.in_article and not b.dropped and not any(PRIOR.get(m, 0) > 5 for m in b.marks)
+                        seen.update((where, k) for k in {"", *("<" + t for t in b.before + b.inside), *b.marks, *(() if b.in_article else ("~",))})
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["inside", "tag", "n"])
 
     ids = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
     labelled = ids.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("id").where("id is not null").distinct()
     chosen = labelled.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most)  # a bounded number of ids
     rows = ids.join(F.broadcast(chosen), "id", "left_semi").select("html").mapInArrow(tidy(count), "inside boolean, tag string, n long")
-    counts = {True: Counter(), False: Counter()}
-    for r in rows.where("length(tag) <= 20").groupBy("inside", "tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag").limit(1000).collect():
-        counts[r["inside"]][r["tag"]] += r["n"]
-    return tag_costs(counts[True], counts[False])
+    sums = rows.groupBy("tag", "inside").agg(F.sum("n").alias("n"))
+    kept = sums.withColumn("of", F.sum("n").over(Window.partitionBy("tag"))).where(F.col("of") >= SUPPORT).collect()  # of a bounded sample of pages
+    counts = Counter({(r["inside"], r["tag"]): r["n"] for r in kept if r["tag"]})
+    return weights(counts, Counter({r["inside"]: r["n"] for r in kept if not r["tag"]}))
 
 
-def extract(pages: DataFrame, costs: dict[str, float], html_col: str = "html", keep: tuple[str, ...] = (), name: str = "text") -> DataFrame:
+def extract(pages: DataFrame, w: Weights, html_col: str = "html", keep: tuple[str, ...] = (), name: str = "text") -> DataFrame:
     """keep's columns of pages, the main text of html_col as name, and n_chars, its number of code points.
 
     Null and empty pages, and pages without words, get the empty text. Pages are scanned whole, in time linear in their length for
@@ -199,7 +260,7 @@ def extract(pages: DataFrame, costs: dict[str, float], html_col: str = "html", k
     def run(batches):
         for batch in batches:
             for part in slices(batch, "__html"):
-                texts = [main_text(p, costs) if p else "" for p in part.column("__html").to_pylist()]
+                texts = [main_text(p, w) if p else "" for p in part.column("__html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, name, "n_chars"])
 
     rows = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))

@@ -1,8 +1,11 @@
 """Main text of pages: marked articles, unmarked ones, chrome, broken markup and odd rows."""
 
 import html as references
+import random
 import re
+from collections import Counter
 
+import duckdb
 import pytest
 
 from assayloom.llm import html, queries
@@ -47,6 +50,28 @@ def test_layouts(costs):
         assert html.main_text(p.replace("<p>", "<P CLASS='x'>").replace("</p>", ""), costs) == want
 
 
+def test_the_best_run_of_all_runs(costs):
+    rng = random.Random(3)
+    pieces = ["<nav><a href=/>Home</a></nav>", "<div class=ad>Buy this now</div>", f"<p>{WORDS}</p>", "<p>Short.</p>", "<img><img><br>", "<li>item</li>", "<script>x</script>", "<footer>the end of it</footer>", "<h2>Head</h2>", "<main><p>In it.</p></main>"]
+    for _ in range(300):
+        page = "".join(rng.choices(pieces, k=rng.randint(0, 9)))
+        scored = html.scores(html.blocks(page), costs)
+        runs = {(i, j): sum(s for _, s in scored[i:j]) - sum(g for g, _ in scored[i + 1 : j]) for i in range(len(scored)) for j in range(i + 1, len(scored) + 1)}
+        i, j = html.best_run(scored)
+        assert (runs[i, j] if j else 0.0) == pytest.approx(max([0.0, *runs.values()]))
+
+
+def test_weights_decide(costs):
+    """On the test pages: right without their article elements; and with the learnt weights set to 0 the answers change."""
+    pages = [r[0] for r in duckdb.sql("select html from read_parquet('/root/testdata/sf0.01/pages.parquet')").fetchall()]
+    nothing = html.Weights(dict.fromkeys(costs.tags, 0.0), dict.fromkeys(costs.marks, 0.0))
+    assert all(html.main_text(re.sub("</?article>", "", p), costs) == plain(p) for p in pages)
+    assert sum(html.main_text(p, nothing) != plain(p) for p in pages) > 0.9 * len(pages)
+    learnt = html.weights(Counter({(True, "<p"): 90, (False, "<p"): 10, (False, "<div"): 50, (True, ".promo"): 40, (False, ".promo"): 1, (False, ".rare"): 2}), Counter({True: 100, False: 100}))
+    assert learnt.tags["p"] < learnt.tags["div"] and ".rare" not in learnt.marks
+    assert html.main_text(f"<div class=promo>{WORDS}</div>", learnt) == WORDS and html.main_text(f"<div class=promo>{WORDS}</div>", html.Weights({}, {})) == ""
+
+
 def test_broken_markup(costs):
     assert html.main_text("plain words only", costs) == "plain words only"
     assert html.main_text("<p>a < b and c > d <", costs) == "a < b and c > d <"
