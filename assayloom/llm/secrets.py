@@ -7,6 +7,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ CONTEXT = re.compile(
 REST = re.compile(r"""[^\s"'`<>,;(){}\[\]]*""")
 #: What a text must hold to be looked at more closely: wider than every pattern above, and run by a linear-time engine.
 MAYBE = r"""(?i)pass|pwd|secret|token|(?:api|access|private)[\x20_-]?key|credential|auth|bearer|akia|://[^/\s]*:[^\s]*@|[0-9a-f]{24}"""
+#: Characters of a repeated block up to which a regular expression looks for it, and that agree beside an anchor of a longer one.
+SHORT, GRAM = 24, 8
 #: Guesses, in bits, from which a value counts as a secret.
 SECRET_BITS = 45.0
 
@@ -73,6 +76,39 @@ def _bits_a_char(value: str) -> float:
     return math.log2(16 if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else sum(n for p, n in kinds if re.search(p, value)) or 1)
 
 
+def _repeats(value: str):
+    """(start, end, period) of blocks repeated back to back: the shortest block first up to SHORT characters, longer ones by maximal runs.
+
+    A run of period p > SHORT is a stretch where each character equals the one p on, p long at least. It holds a multiple of p as an
+    anchor, beside which GRAM characters agree; anchors are compared by numpy, L log L of them, and only hits are followed out."""
+    found = [(m.start(), m.start() + (m.end() - m.start()) // len(m[1]) * len(m[1]), len(m[1])) for m in re.finditer(rf"(.{{2,{SHORT}}}?)\1+", value, re.S)]
+    yield from found
+    size = len(value)
+    if size < 2 * SHORT + 2:
+        return
+    code = np.frombuffer(value.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    gram = np.zeros(size, np.uint64)
+    for k in range(GRAM):  # characters past the end count as 0
+        gram = gram * np.uint64(0x100000001B3) + np.pad(code[k:], (0, k))
+    for period in range(SHORT + 1, size // 2 + 1):
+        at = np.arange(0, size - period, period)
+        back = np.maximum(at - GRAM, 0)
+        known = 0
+        for i in at[(gram[at] == gram[at + period]) | (gram[back] == gram[back + period])].tolist():
+            if i < known or any(s <= i and i + period <= e and p < period for s, e, p in found):
+                continue  # inside a run of this period, or of a shorter one
+            end = i
+            while end + period < size and value[end] == value[end + period]:
+                end += 1
+            start = i
+            while start > 0 and value[start - 1] == value[start - 1 + period]:
+                start -= 1
+            known = end
+            if end - start >= period:
+                found.append((start, end + period, period))
+                yield start, start + (end - start + period) // period * period, period
+
+
 def _spans(value: str):
     """(start, end, bits) of the words, dates, repeats and walks in value; a number of spans linear in its length."""
     low = value.lower()
@@ -97,8 +133,8 @@ def _spans(value: str):
         if end - at >= 3:
             yield at, end, math.log2(96) + math.log2(end - at)
         at = end
-    for m in re.finditer(r"(.{2,24}?)\1+", value, re.S):  # repeated blocks
-        yield m.start(), m.end(), guess_bits(m[1]) + math.log2((m.end() - m.start()) // len(m[1]))
+    for start, end, period in _repeats(value):
+        yield start, end, guess_bits(value[start : start + period]) + math.log2((end - start) // period)
     at = 0
     while at < len(value):  # maximal walks
         end = at + 1
@@ -165,19 +201,20 @@ def find_secrets(docs: DataFrame, text_col: str = "text", prefix: str = "", bits
     text_at, empty = docs.columns.index(text_col), hashlib.sha256(b"").hexdigest()
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(text_at).cast(pa.string())
-            maybe = pc.fill_null(pc.match_substring_regex(texts, MAYBE), False).to_pylist()
-            counts, digest, spans = ([], [], []), [], []
-            for i, look in enumerate(maybe):
-                base, more = scan(texts[i].as_py(), bits) if look else ((), ())
-                for k in range(3):
-                    counts[k].append(sum(x[1] == k for x in base))
-                said = [(s, k, f"{KINDS[k]}:{s}:{e}") for s, k, e in base]
-                digest.append(hashlib.sha256(",".join(x[2] for x in said).encode()).hexdigest() if base else empty)
-                spans.append(",".join(x[2] for x in sorted([*said, *((s, 3, f"guess:{s}:{e}") for s, e in more)])))
-            new = [*(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *new], names=[*(batch.schema.names[i] for i in stay), *names])
+        for whole in batches:
+            for batch in slices(whole, whole.schema.names[text_at]):
+                texts = batch.column(text_at).cast(pa.string())
+                maybe = pc.fill_null(pc.match_substring_regex(texts, MAYBE), False).to_pylist()
+                counts, digest, spans = ([], [], []), [], []
+                for i, look in enumerate(maybe):
+                    base, more = scan(texts[i].as_py(), bits) if look else ((), ())
+                    for k in range(3):
+                        counts[k].append(sum(x[1] == k for x in base))
+                    said = [(s, k, f"{KINDS[k]}:{s}:{e}") for s, k, e in base]
+                    digest.append(hashlib.sha256(",".join(x[2] for x in said).encode()).hexdigest() if base else empty)
+                    spans.append(",".join(x[2] for x in sorted([*said, *((s, 3, f"guess:{s}:{e}") for s, e in more)])))
+                new = [*(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *new], names=[*(batch.schema.names[i] for i in stay), *names])
 
     schema = StructType(docs.drop(*without).schema.fields.copy())
     for n, kind in zip(names, ("long", "long", "long", "string", "string"), strict=True):
