@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir of the session; a temporary one only where that is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir of the session. Where that is unset, a temporary one with a local master
+    (tests), and an error on a cluster, whose executors would each write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = "file://" + tempfile.mkdtemp(prefix="assayloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
