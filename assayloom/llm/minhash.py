@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -16,8 +16,9 @@ from .text import LOWER, mix, shingle_sets, slices, string_buffers, tidy
 
 #: Bytes of one signature value.
 VALUE = 2
-#: Tiles of a bucket: at least this many members a side, and at most TILE_MAX; a bucket is cut into about TILES parts a side.
-TILE_MIN, TILE_MAX, TILES = 1024, 1024, 32
+#: Tiles of a bucket: at least this many members a side, and at most TILE_MAX; a bucket is cut into about TILES parts a side. Rows of
+#: tiles in a task, about: comparing them costs far more than their bytes say, so bytes must not decide on the number of tasks.
+TILE_MIN, TILE_MAX, TILES, TASK_ROWS = 1024, 1024, 32, 4096
 
 
 @dataclass(frozen=True)
@@ -170,6 +171,13 @@ def _tiles(rows: DataFrame) -> DataFrame:
     }).drop("p", "part", "other")
 
 
+def _dealt(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """rows of tiles, dealt to as many tasks as the rows that narrow (key, ..., a written table) makes need."""
+    side = F.least(F.lit(TILE_MAX), F.greatest(F.lit(TILE_MIN), F.ceil(F.col("m") / TILES)))
+    n = narrow.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.ceil(F.col("m") / side)).alias("n")).first()["n"] or 0
+    return rows.repartition(max(1, -(-n // TASK_ROWS)), "key", "tile").groupBy("key", "tile")
+
+
 def _in_tile(pdf, b: Banding):
     """Signatures, sizes, labels and the pairs of a tile that this tile has to look at: index arrays i, j."""
     sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, b.bins)
@@ -199,7 +207,8 @@ def _rest(members: DataFrame, classes: DataFrame, label: DataFrame, sets: DataFr
     named = members.join(label.toDF("rep", "component"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     sketched = classes.select("rep", "n", "sig")
-    rows = _tiles(named.join(mixed, "key", "left_semi")).join(sketched, "rep")
+    named = saved(named.join(mixed, "key", "left_semi"), "mixed")
+    rows = _tiles(named).join(sketched, "rep")
 
     def partners(pdf):
         import pandas as pd
@@ -207,8 +216,8 @@ def _rest(members: DataFrame, classes: DataFrame, label: DataFrame, sets: DataFr
         i, j = _in_tile(pdf, b)
         return pd.DataFrame({"key": pdf["key"].iloc[0], "band": pdf["band"].iloc[0], "rep": pdf["rep"].to_numpy()[np.unique(np.concatenate([i, j]))]})
 
-    near = rows.groupBy("key", "tile").applyInPandas(partners, "key long, band int, rep long").distinct()
-    full = _tiles(saved(near, "near").join(named.select("key", "rep", "comp"), ["key", "rep"])).join(sketched, "rep").join(sets, "rep")
+    near = saved(_dealt(rows, named).applyInPandas(partners, "key long, band int, rep long").distinct(), "near")
+    full = _tiles(near.join(named.select("key", "rep", "comp"), ["key", "rep"])).join(sketched, "rep").join(sets, "rep")
 
     def links(pdf):
         import pandas as pd
@@ -231,7 +240,7 @@ def _rest(members: DataFrame, classes: DataFrame, label: DataFrame, sets: DataFr
             mark[mine] = False
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return full.groupBy("key", "tile").applyInPandas(links, "a long, b long").distinct()
+    return _dealt(full, near).applyInPandas(links, "a long, b long").distinct()
 
 
 def _one_set_per_id(base: DataFrame) -> DataFrame:
@@ -254,8 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     become one class, named by its smallest id, so copies never meet pairwise; (3) bands of the signatures bucket the classes and
     each bucket gives a star of candidates around a centre drawn by hash; (4) stars are confirmed on the whole sets, fetched anew
     for classes that share a bucket; (5) connected components; (6) buckets that still hold several components are searched in
-    tiles of bounded size for links that the stars missed; (7) components again. Only banding is probabilistic: the default
-    misses a pair at the threshold with a chance of 5e-8, op2's banding 4e-7.
+    tiles of bounded size for links that the stars missed; (7) components again. Two steps are probabilistic, everything else is
+    exact: banding misses a pair at the threshold with a chance of 5e-8 (default; 4e-7 with op2's), and signatures rule out a pair
+    whose equal bins lie five deviations under the threshold (a pair at the threshold: under one in a million).
 
     Null texts count as empty. Rows with a null id link with nothing: component_id null, kept true. Rows that share an id count
     as one document, with the largest of their sets. Repeated rows come out repeated. An empty table gives an empty table; other columns are not read.
@@ -285,10 +295,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", banding: Banding | None = None) -> DataFrame:
-    """docs without the rows whose near-duplicate group has a smaller id; the same columns. Rows that repeat a kept id count once."""
+    """docs without the rows whose near-duplicate group has a smaller id; the same columns. Rows that repeat a kept id count once: the one
+    whose text sorts first stays. Rows with a null id all stay. Columns of any name are allowed."""
     found = saved(near_duplicates(docs, id_col, text_col, banding), "dedup")
-    gone = saved(found.where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    kept = docs.join(maybe_broadcast(gone), docs[id_col] == F.col("__gone"), "left_anti")
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+    gone = saved(found.where("not kept").select(id_col).distinct(), "gone")
+    kept = docs.join(maybe_broadcast(gone), id_col, "left_anti").select(docs.columns)
+    repeated = saved(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    if repeated.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    rank = next("rank" + "_" * k for k in range(len(docs.columns) + 1) if "rank" + "_" * k not in docs.columns)
+    one = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).cast("string")))
+    firsts = kept.join(repeated, id_col, "left_semi").withColumn(rank, one).where(F.col(rank) == 1)
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(firsts.select(docs.columns))
