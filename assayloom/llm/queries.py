@@ -71,4 +71,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: The smallest id reachable over links (a, b) from each node of `nodes` (id).
+_CLOSURE = "reach AS (SELECT id AS node, id AS c FROM nodes UNION SELECT l.a, r.c FROM reach r JOIN links l ON l.b = r.node), comp AS (SELECT node, MIN(c) AS c FROM reach GROUP BY 1)"
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, UNNEST(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: hash(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) WHEN len(ws) > 0 THEN [hash(array_to_string(ws, ' '))] ELSE [] END) AS h FROM w),
+n AS (SELECT doc_id, COUNT(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS n_both FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), nodes AS (SELECT doc_id AS id FROM documents), {_CLOSURE}
+SELECT doc_id, COALESCE(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept FROM documents JOIN comp ON node = doc_id LEFT JOIN n USING (doc_id)""",
+    "op5_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+nodes AS (SELECT vec_id AS id FROM embeddings), {_CLOSURE}
+SELECT vec_id, (SELECT COUNT(*) FROM links WHERE a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN comp ON node = vec_id""",
+}
