@@ -57,6 +57,20 @@ def completeness(cells: DataFrame, groups: DataFrame | None = None, thresholds:
     return share.select("feature", "share", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).groupBy("threshold").agg(F.count_if(F.col("share") >= F.col("threshold") - 1e-9).alias("n_kept"))
 
 
+def completeness_by_cluster(cells: DataFrame, subjects: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """(threshold, n_kept): features observed in at least so many percent of the subjects (in any of a subject's samples); subjects: (sample, subject)."""
+    per = cells.join(subjects.where("subject <> ''"), "sample").groupBy("feature", "subject").agg((F.count("value") > 0).alias("seen"))
+    share = per.groupBy("feature").agg((100 * F.count_if("seen") / F.count("*")).alias("share"))
+    return share.select("share", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).groupBy("threshold").agg(F.count_if(F.col("share") >= F.col("threshold") - 1e-9).alias("n_kept"))
+
+
+def below_threshold(cells: DataFrame, threshold: float, groups: DataFrame | None = None) -> DataFrame:
+    """(feature): what a completeness threshold would remove: features under it overall or, with groups (sample, level), in every level."""
+    share = lambda by: cells.join(groups, "sample").groupBy(*by) if groups is not None else cells.groupBy(*by)
+    rate = share(["feature", "level"] if groups is not None else ["feature"]).agg((100 * F.count("value") / F.count("*")).alias("s"))
+    return rate.groupBy("feature").agg(F.max("s").alias("s")).where(F.col("s") < threshold - 1e-9).select("feature")
+
+
 def identical_vectors(cells: DataFrame, key: str, along: str) -> DataFrame:
     """(vector, n, members): groups of samples (or features) with the very same values, missing ones too. Hashes of whole vectors are compared, never pairs."""
     text = F.coalesce(F.when(F.col("value") == 0, F.lit("0.0")).otherwise(F.col("value").cast("string")), F.lit("?"))

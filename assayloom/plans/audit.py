@@ -6,7 +6,9 @@ sample or per feature class, or the samples' Gram matrix.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -29,6 +31,8 @@ PARAMS = {
     "icc_indicator": 0.5, "batch_min_samples": 25, "blank_dominated_ratio": 0.5, "neff_ratio_note": 0.5, "seed": 0, "permutations": 999,
     "exhaustive_max": 10_000, "alpha": 0.05,
 }
+#: Names of columns that a vendor's quality control makes.
+VENDOR = re.compile(r"(?i)(^|[^a-z])(qc|cv|rsd|lod|lloq|loq|detect|call ?rate|missing|score|fdr|q[-_ ]?value|pep|snr|quality|pass|fail)([^a-z]|$)")
 #: Of statuses of one kind the worst counts; the neutral ones only where there is no other.
 ORDER, NEUTRAL = ("ok", "note", "problem"), ("not_applicable", "not_assessed", "insufficient_data")
 BATCH_KINDS, GROUP_KINDS = ("batch", "run_order"), ("subject_id", "timepoint", "group", "sample_type", "covariate")
@@ -415,12 +419,35 @@ class Audit:
             r = y.join(middle, "feature").groupBy("sample").agg(T.correlation(F.col("y"), F.col("mid")).alias("r"))
             low = r.where("r is not null").agg(F.min("r").alias("r"), F.min_by("sample", "r").alias("sample"))
             f.measures["lowest_profile_r"] = first(low)
+            f.measures["vendor_qc"] = self.vendor_columns()
             flagged = self._block(b, True).join(self.features.select("feature", "flagged"), "feature").groupBy("flagged").agg(F.count_distinct("feature").alias("n"), F.median("value").alias("median"), (1 - F.count("value") / F.count("*")).alias("missing"))
             f.measures["flagged"] = {str(x.flagged): [x.n, x.median, x.missing] for x in flagged.collect()}
             return f
 
         return self._each("A6", run)
 
+    def vendor_columns(self) -> dict[str, dict]:
+        """Feature columns that a vendor's own quality control made, by their names: a summary of numbers, or the 20 most common texts."""
+        out = {}
+        for c in self.features.columns:
+            if c in ("feature", "feature_idx", "flagged", "flag_reason") or not VENDOR.search(c):
+                continue
+            number = S.number(F.col(f"`{c}`").cast("string"))
+            got = first(self.features.select(number.alias("v")).agg(*T.summary("v")))
+            if got.get("n"):
+                out[c] = got
+            else:
+                top = self.features.groupBy(S.stripped(F.col(f"`{c}`").cast("string")).alias("t")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(20)
+                out[c] = {"levels": {r.t: r.n for r in top.collect()}}
+        return out
+
+    def load_overrides(self, path: str) -> dict[str, str]:
+        """What a study saved as its overrides, read back; the processing state is settled anew."""
+        said = self.spark.read.text(path).where("name = 'overrides'").first()
+        self.overrides |= {k: v for k, v in json.loads(said["value"]).items() if v in ("yes", "no")}
+        self.processing_state()
+        return self.overrides
+
     def batch_structure(self) -> list[Finding]:
         """A7: how batches and design meet, batch sizes, principal components and PERMANOVA against variables, and same-batch correlation."""
 

@@ -8,6 +8,7 @@ their order; derived numbers are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ smp AS (SELECT n_name AS sample, r_name AS batch, CAST(n_nationkey % 8 AS VARCHA
 dx AS (SELECT feature, sample, LOG2(value) AS y FROM m2),
 m3p AS (SELECT p_brand || ' ' || p_type AS feature, n_name AS sample, SUM(l_quantity) AS value FROM li JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 m3 AS (SELECT f.feature, s.sample, LOG2(p.value) AS y FROM (SELECT DISTINCT feature FROM m3p) f CROSS JOIN (SELECT DISTINCT sample FROM m3p) s LEFT JOIN m3p p ON p.feature = f.feature AND p.sample = s.sample),
+bx AS (SELECT 'A1B1' AS block, feature, sample, y AS value FROM dx UNION ALL SELECT 'A1B2', feature, sample, 2 * y + 1 FROM dx WHERE CAST(feature AS BIGINT) % 2 = 0),
 cm AS (SELECT feature, sample, y FROM m3 WHERE feature IN (SELECT feature FROM m3 GROUP BY 1 HAVING COUNT(y) = COUNT(*)))
 """
 
@@ -95,11 +97,11 @@ def text_table(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT column_name, kind, n_missing, n_unique FROM (
   SELECT 'c_custkey' AS column_name, 'numeric' AS kind, CAST(COUNT(*) FILTER (c_custkey IS NULL) AS BIGINT) AS n_missing, CAST(COUNT(DISTINCT c_custkey) AS BIGINT) AS n_unique FROM customer
   UNION ALL SELECT 'c_name', 'text', COUNT(*) FILTER (TRIM(c_name) IN ('', 'NA', 'N/A', 'NaN', 'nan', 'null', 'NULL', 'None')), COUNT(DISTINCT c_name) FROM customer
+  UNION ALL SELECT 'c_acctbal', 'numeric', COUNT(*) FILTER (c_acctbal IS NULL), COUNT(DISTINCT c_acctbal) FROM customer
   UNION ALL SELECT 'c_mktsegment', 'text', COUNT(*) FILTER (TRIM(c_mktsegment) = ''), COUNT(DISTINCT c_mktsegment) FROM customer
   UNION ALL SELECT 'c_nationkey', 'numeric', COUNT(*) FILTER (c_nationkey IS NULL), COUNT(DISTINCT c_nationkey) FROM customer)""")
 def column_facts(spark, d):
-    cells = facts.melted(text_table(spark, d).drop("c_acctbal"), row=None)
-    return facts.column_facts(cells).select(F.col("column").alias("column_name"), "kind", "n_missing", "n_unique")
+    return facts.column_facts(facts.melted(text_table(spark, d), row=None)).select(F.col("column").alias("column_name"), "kind", "n_missing", "n_unique")
 
 
 @query("""SELECT feature, n, ROUND(min, 6) AS min, ROUND(median, 6) AS median, ROUND(max, 6) AS max, ROUND(frac_zero, 6) AS frac_zero, ROUND(frac_negative, 6) AS frac_negative, integer_valued, ROUND(span, 6) AS log10_span FROM (
@@ -126,12 +128,11 @@ def name_templates(spark, d):
     return facts.numeric_templates(table(spark, d, "customer").select(F.col("c_name").alias("column")))
 
 
-@query("""SELECT delimiter, CAST(COUNT(*) AS BIGINT) AS n_split, CAST(COUNT(DISTINCT l) AS BIGINT) AS n_left, CAST(COUNT(DISTINCT r) AS BIGINT) AS n_right FROM (
-  SELECT d AS delimiter, SUBSTR(p_name, 1, INSTR(p_name, d) - 1) AS l, SUBSTR(p_name, INSTR(p_name, d) + 1) AS r FROM part, (VALUES ('_'), ('-'), ('.'), (' '), (':'), ('/')) t(d)
-  WHERE INSTR(p_name, d) > 1 AND INSTR(p_name, d) < LENGTH(p_name)) GROUP BY 1""")
+@query("""SELECT delimiter, side, CAST(COUNT(*) AS BIGINT) AS n_split, CAST(COUNT(DISTINCT l) AS BIGINT) AS n_left, CAST(COUNT(DISTINCT r) AS BIGINT) AS n_right FROM (
+  SELECT d AS delimiter, 'first' AS side, SUBSTR(p_name, 1, INSTR(p_name, d) - 1) AS l, SUBSTR(p_name, INSTR(p_name, d) + 1) AS r FROM part, (VALUES ('_'), ('-'), ('.'), (' '), (':'), ('/')) t(d) WHERE INSTR(p_name, d) > 1 AND INSTR(p_name, d) < LENGTH(p_name)
+  UNION ALL SELECT d AS delimiter, 'last' AS side, SUBSTR(p_name, 1, LENGTH(p_name) - INSTR(REVERSE(p_name), d)) AS l, SUBSTR(p_name, LENGTH(p_name) - INSTR(REVERSE(p_name), d) + 2) AS r FROM part, (VALUES ('_'), ('-'), ('.'), (' '), (':'), ('/')) t(d) WHERE INSTR(REVERSE(p_name), d) > 1 AND INSTR(REVERSE(p_name), d) < LENGTH(p_name)) GROUP BY 1, 2""")
 def name_patterns(spark, d):
-    names = table(spark, d, "part").select(F.col("p_name").alias("name"))
-    return facts.name_patterns(names).where("side = 'first'").select("delimiter", "n_split", "n_left", "n_right")
+    return facts.name_patterns(table(spark, d, "part").select(F.col("p_name").alias("name")))
 
 
 @query("""SELECT (SELECT COUNT(DISTINCT c_mktsegment) FROM customer) AS n_distinct, (SELECT COUNT(*) FROM (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING COUNT(*) > 1)) AS n_repeated, (SELECT COUNT(*) FROM customer WHERE c_mktsegment IS NULL) AS n_missing""")
@@ -139,6 +140,39 @@ def id_check(spark, d):
     return facts.id_check(table(spark, d, "customer"), "c_mktsegment")[0]
 
 
+@query("""SELECT c_mktsegment AS id, COUNT(*) AS n FROM customer GROUP BY 1 HAVING COUNT(*) > 1 ORDER BY n DESC, id LIMIT 5""")
+def id_check_examples(spark, d):
+    return facts.id_check(table(spark, d, "customer"), "c_mktsegment")[1]
+
+
+@query("""SELECT 'p_type' AS "column", COUNT(*) FILTER (p_type LIKE 'PROMO%') AS "PROMO", COUNT(*) FILTER (p_type LIKE 'STANDARD%') AS "STANDARD" FROM part UNION ALL SELECT 'p_name', COUNT(*) FILTER (p_name LIKE 'PROMO%'), COUNT(*) FILTER (p_name LIKE 'STANDARD%') FROM part""")
+def prefix_counts(spark, d):
+    cells = facts.melted(table(spark, d, "part").select("p_type", "p_name"), row=None)
+    return facts.prefix_counts(cells, ["PROMO", "STANDARD"])
+
+
+@query("""SELECT template, COUNT(*) AS n_columns, MIN(lo) AS min, MAX(hi) AS max, LIST_SORT(LIST(med))[CAST(FLOOR(COUNT(*) / 2) AS BIGINT) + 1] AS median_of_medians, ROUND(AVG(z), 6) AS frac_zero
+FROM (SELECT REGEXP_REPLACE(p_brand, '[0-9]+', '#', 'g') AS template, MIN(p_size) * 1.0::DOUBLE AS lo, MAX(p_size) * 1.0::DOUBLE AS hi, MEDIAN(p_size) AS med, AVG(CASE WHEN p_size = 0 THEN 1.0 ELSE 0.0 END) AS z FROM part GROUP BY p_brand) GROUP BY 1 HAVING COUNT(*) >= 2""")
+def template_facts(spark, d):
+    per = facts.numeric_facts(table(spark, d, "part").select(F.col("p_brand").alias("column"), F.col("p_size").cast("double").alias("value")), ["column"])
+    return rounded(facts.template_facts(per), "frac_zero")
+
+
+@query("""SELECT o_orderpriority AS label, ROW_NUMBER() OVER (ORDER BY CAST(SUBSTR(o_orderpriority, 1, 1) AS INTEGER)) AS place FROM orders GROUP BY 1""")
+def natural_order(spark, d):
+    from pyspark.sql import Window
+
+    labels = table(spark, d, "orders").select(F.col("o_orderpriority").alias("label")).distinct()
+    return labels.select("label", F.row_number().over(Window.orderBy(S.natural_key(F.regexp_extract("label", r"^\d", 0)))).cast("long").alias("place"))
+
+
+@query("""SELECT l_suppkey, ROUND(AVG(l_quantity), 6) AS back, ROUND(AVG(CASE WHEN l_discount IS NOT NULL THEN 1 / (1 + EXP(-l_discount)) END), 6) AS p, ROUND(AVG(LN(EXP(l_discount) + EXP(l_tax))), 6) AS both_logs FROM lineitem GROUP BY 1""")
+def scalar_pieces(spark, d):
+    li = table(spark, d, "lineitem")
+    logs = S.unlog(S.log_base(F.col("l_quantity"), 2, 1.0), 2, 1.0)
+    return rounded(li.groupBy("l_suppkey").agg(F.avg(logs).alias("back"), F.avg(S.logistic(F.col("l_discount"))).alias("p"), F.avg(S.log_add_exp(F.col("l_discount"), F.col("l_tax"))).alias("both_logs")), "back", "p", "both_logs")
+
+
 @query("""SELECT 'A1B1' AS block, COUNT(DISTINCT feature) AS n_features, COUNT(DISTINCT sample) AS n_samples, ROUND(1 - COUNT(value) / COUNT(*), 6) AS missing_share, COUNT(*) FILTER (value = 0) AS n_zero, COUNT(*) FILTER (value < 0) AS n_negative, MEDIAN(value) AS median FROM m2""")
 def block_facts(spark, d):
     return rounded(facts.block_facts(m2(spark, d).withColumn("block", F.lit("A1B1"))), "missing_share")
@@ -211,16 +245,21 @@ def info_match(spark, d):
     return C.match_report(samples(spark, d), info, "id")
 
 
-@query("""SELECT 'n_name' AS "column", COUNT(*) AS n_matched FROM smp UNION ALL SELECT 'n_regionkey', 0""")
+@query("""SELECT 'n_name' AS "column", COUNT(DISTINCT TRIM(n_name)) AS n_matched FROM nation WHERE TRIM(n_name) IN (SELECT sample FROM smp) UNION ALL SELECT 'n_regionkey', COUNT(DISTINCT CAST(n_regionkey AS VARCHAR)) FROM nation WHERE CAST(n_regionkey AS VARCHAR) IN (SELECT sample FROM smp)""")
 def id_overlap(spark, d):
     return C.id_overlap(samples(spark, d), table(spark, d, "nation"), ["n_name", "n_regionkey"])
 
 
-@query("""SELECT (SELECT COUNT(*) FROM (SELECT sample FROM m2p INTERSECT SELECT n_name FROM nation)) AS both, (SELECT COUNT(*) FROM (SELECT n_name FROM nation EXCEPT SELECT sample FROM m2p WHERE feature = '1')) AS only_nation""")
+@query("""SELECT p_partkey % 10 AS ending, COUNT(*) FILTER (n_name IN (SELECT sample FROM m2p)) AS both, COUNT(*) FILTER (n_name NOT IN (SELECT sample FROM m2p WHERE CAST(feature AS BIGINT) % 10 = p_partkey % 10 AND CAST(feature AS BIGINT) < 40)) AS only_nation FROM (SELECT DISTINCT p_partkey % 10 AS p_partkey FROM part) CROSS JOIN nation GROUP BY 1""")
 def set_ops_samples(spark, d):
+    """Per last digit of the first 40 parts, nations that no sample of theirs has."""
     p, n = pairs(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("sample"))
-    both, only = p.select("sample").intersect(n), n.subtract(p.where("feature = '1'").select("sample"))
-    return both.agg(F.count("*").alias("both")).crossJoin(F.broadcast(only.agg(F.count("*").alias("only_nation"))))
+    endings = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("ending")).distinct()
+    grid = endings.crossJoin(F.broadcast(n))
+    first = p.where("cast(feature as long) < 40").select((F.col("feature").cast("long") % 10).alias("ending"), "sample").distinct()
+    both = n.intersect(p.select("sample")).agg(F.count("*").alias("both"))
+    only = grid.subtract(first).groupBy("ending").agg(F.count("*").alias("only_nation"))
+    return endings.join(only, "ending", "left").crossJoin(F.broadcast(both)).select("ending", "both", F.coalesce("only_nation", F.lit(0)).alias("only_nation"))
 
 
 # ---------------------------------------------------------------- integrity and scale
@@ -231,9 +270,9 @@ def sentinel_value(spark, d):
     return rounded(missing.sentinel(m2(spark, d)), "share")
 
 
-@query("""SELECT n, COUNT(*) AS n_groups FROM (SELECT v, COUNT(*) AS n FROM (SELECT feature, LIST(CASE WHEN value > 60 THEN '1' ELSE '0' END ORDER BY sample) AS v FROM m1 WHERE sample IN ('1', '2', '3') GROUP BY 1) GROUP BY 1 HAVING COUNT(*) > 1) GROUP BY 1""")
+@query("""SELECT n, COUNT(*) AS n_groups FROM (SELECT v, COUNT(*) AS n FROM (SELECT feature, LIST(COALESCE(CAST(FLOOR(value / 400) AS VARCHAR), '?') ORDER BY sample) AS v FROM m2 GROUP BY 1) GROUP BY 1 HAVING COUNT(*) > 1) GROUP BY 1""")
 def identical_vectors(spark, d):
-    coarse = m1(spark, d).where(F.col("sample").isin("1", "2", "3")).withColumn("value", (F.col("value") > 60).cast("double"))
+    coarse = m2(spark, d).withColumn("value", F.floor(F.col("value") / 400).cast("double"))
     return missing.identical_vectors(coarse, "feature", "sample").groupBy("n").agg(F.count("*").alias("n_groups"))
 
 
@@ -330,10 +369,9 @@ sp AS (SELECT feature, MEDIAN(ABS(x)) AS mad, AVG(ABS(x)) AS ad FROM dv GROUP BY
 zz AS (SELECT feature, sample, CASE WHEN mad > 0 THEN 0.6745 * x / mad WHEN ad > 0 THEN x / (1.253314 * ad) ELSE 0 END AS z FROM dv JOIN sp USING (feature) WHERE y IS NOT NULL)"""
 
 
-@query(f"{Z_SQL} SELECT feature, COUNT(*) FILTER (ABS(z) > 3.5) AS n_extreme FROM zz GROUP BY 1")
+@query(f"{Z_SQL} SELECT feature, sample, ROUND(z, 6) AS z FROM zz")
 def modified_z_cells(spark, d):
-    z = stats.with_modified_z(logged(spark, d), ["feature"], "y").where("z is not null")
-    return z.groupBy("feature").agg(F.count_if(F.abs("z") > 3.5).alias("n_extreme"))
+    return rounded(stats.with_modified_z(logged(spark, d), ["feature"], "y").where("z is not null").select("feature", "sample", "z"), "z")
 
 
 @query(f"{Z_SQL} SELECT feature, sample, ROUND(z, 6) AS z FROM zz ORDER BY ROUND(ABS(z), 9) DESC, feature, sample LIMIT 50")
@@ -443,21 +481,26 @@ def gram_matrix(spark, d):
     return rounded(stats.gram(complete(spark, d)), "g", digits=5)
 
 
-@query("SELECT COUNT(DISTINCT feature) AS n_features, COUNT(DISTINCT sample) AS n_samples, COUNT(y) AS n_cells FROM cm")
+@query("SELECT feature, sample, ROUND(y, 6) AS y FROM cm")
 def diagnostic_matrix(spark, d):
-    return complete(spark, d).agg(F.count_distinct("feature").alias("n_features"), F.count_distinct("sample").alias("n_samples"), F.count("y").alias("n_cells"))
+    return rounded(complete(spark, d).select("feature", "sample", "y"), "y")
 
 
-@query(""", o AS (SELECT batch, subject, COUNT(*) AS o FROM smp GROUP BY 1, 2), e AS (SELECT r.batch, c.subject, r.n * c.n / 25.0 AS e FROM (SELECT batch, COUNT(*) AS n FROM smp GROUP BY 1) r CROSS JOIN (SELECT subject, COUNT(*) AS n FROM smp GROUP BY 1) c),
-x AS (SELECT SUM(POW(COALESCE(o, 0) - e, 2) / e) AS chi2 FROM e LEFT JOIN o USING (batch, subject)) SELECT 25.0::DOUBLE AS n, ROUND(chi2, 6) AS chi2, ROUND(SQRT(chi2 / (25 * 4)), 6) AS v FROM x""")
+@query(""", o AS (SELECT batch, subject, COUNT(*) AS o FROM smp GROUP BY 1, 2), e AS (SELECT r.batch, c.subject, r.n * c.n * 1.0 / (SELECT COUNT(*) FROM smp) AS e FROM (SELECT batch, COUNT(*) AS n FROM smp GROUP BY 1) r CROSS JOIN (SELECT subject, COUNT(*) AS n FROM smp GROUP BY 1) c),
+x AS (SELECT SUM(POW(COALESCE(o, 0) - e, 2) / e) AS chi2 FROM e LEFT JOIN o USING (batch, subject)) SELECT n::DOUBLE AS n, ROUND(chi2, 6) AS chi2, ROUND(SQRT(chi2 / (n * (LEAST(nb, ns) - 1))), 6) AS v FROM x, (SELECT COUNT(*) AS n, COUNT(DISTINCT batch) AS nb, COUNT(DISTINCT subject) AS ns FROM smp)""")
 def contingency_cramers_v(spark, d):
     return rounded(stats.cramers_v(samples(spark, d), "batch", "subject"), "chi2", "v")
 
 
-@query("""SELECT 'nested' AS structure""")
+@query(""", pr AS (SELECT 'region by nation' AS pair, batch AS b, sample AS d FROM smp UNION ALL SELECT 'region by subject', batch, subject FROM smp UNION ALL SELECT 'nation by nation', sample, sample FROM smp UNION ALL SELECT 'flag by status', l_returnflag, CAST(l_linenumber AS VARCHAR) FROM lineitem),
+ce AS (SELECT pair, b, d, COUNT(*) AS n FROM pr GROUP BY 1, 2, 3), mb AS (SELECT pair, MAX(k) AS k FROM (SELECT pair, d, COUNT(*) AS k FROM ce GROUP BY 1, 2) GROUP BY 1), md AS (SELECT pair, MAX(k) AS k FROM (SELECT pair, b, COUNT(*) AS k FROM ce GROUP BY 1, 2) GROUP BY 1)
+SELECT pair, CASE WHEN mb.k = 1 AND md.k = 1 THEN 'confounded' WHEN mb.k = 1 OR md.k = 1 THEN 'nested' WHEN filled = nb * nd AND lo = hi THEN 'crossed_balanced' ELSE 'partially_confounded' END AS structure
+FROM mb JOIN md USING (pair) JOIN (SELECT pair, COUNT(*) AS filled, COUNT(DISTINCT b) AS nb, COUNT(DISTINCT d) AS nd, MIN(n) AS lo, MAX(n) AS hi FROM ce GROUP BY 1) USING (pair)""")
 def design_structure(spark, d):
-    n = table(spark, d, "nation")
-    return stats.design_structure(n, "n_regionkey", "n_name")
+    s, li = samples(spark, d), table(spark, d, "lineitem")
+    pairs_of = {"region by nation": (s, "batch", "sample"), "region by subject": (s, "batch", "subject"), "nation by nation": (s.withColumn("again", F.col("sample")), "sample", "again"), "flag by status": (li, "l_returnflag", "l_linenumber")}
+    found = [stats.design_structure(*how).select(F.lit(pair).alias("pair"), "structure") for pair, how in pairs_of.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(""", s AS (SELECT feature, subject, CAST(COUNT(y) AS DOUBLE) AS c, AVG(y) AS m, VAR_POP(y) AS v FROM dx JOIN smp USING (sample) WHERE y IS NOT NULL GROUP BY 1, 2 HAVING COUNT(y) >= 2),
@@ -536,10 +579,124 @@ def batch_center_mean(spark, d):
     return rounded(transforms.batch_center(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), samples(spark, d), "mean"), "value").select("feature", "sample", "value")
 
 
-@query("""SELECT 0::BIGINT AS lost, 0::BIGINT AS added, (SELECT COUNT(*) FROM m2 WHERE value = 30) AS gap_changed, 0::BIGINT AS new_infinite""")
+@query("""SELECT (SELECT COUNT(*) FROM m2 WHERE sample = 'CHINA') AS lost, 0::BIGINT AS added, (SELECT COUNT(*) FROM m2 WHERE value = 30 AND sample <> 'CHINA') AS gap_changed, 0::BIGINT AS new_infinite,
+(SELECT COUNT(*) FROM m2 WHERE sample <> 'CHINA' AND (value = 30 OR (value IS NOT NULL AND sample = 'FRANCE')) AND sample <> 'PERU') AS changed_outside""")
 def invariants(spark, d):
-    old = m2(spark, d).withColumn("value", F.col("value") - 30)
-    return transforms.violations(old, transforms.recode_zero(old))
+    old = m2(spark, d).select("feature", "sample", (F.col("value") - 30).alias("value"))
+    new = transforms.recode_zero(old).where("sample <> 'CHINA'").withColumn("value", F.when(F.col("sample") == "FRANCE", F.col("value") + 1).otherwise(F.col("value")))
+    return transforms.violations(old, new, touched=F.col("sample") == "PERU")
+
+
+# ---------------------------------------------------------------- two blocks of the same samples and partly the same features
+
+
+def two_blocks(spark: SparkSession, d: str) -> DataFrame:
+    one = logged(spark, d).select(F.lit("A1B1").alias("block"), "feature", "sample", F.col("y").alias("value"))
+    return one.unionByName(one.where("cast(feature as long) % 2 = 0").select(F.lit("A1B2").alias("block"), "feature", "sample", (2 * F.col("value") + 1).alias("value")))
+
+
+@query("""SELECT block, feature, sample, ROUND(value - MEDIAN(value) OVER (PARTITION BY block, sample) + MEDIAN(value) OVER (PARTITION BY block), 6) AS value FROM bx""")
+def blocks_normalize_median(spark, d):
+    return rounded(transforms.normalize_median(two_blocks(spark, d)), "value").select("block", "feature", "sample", "value")
+
+
+@query(""", rk AS (SELECT block, feature, sample, value, ROW_NUMBER() OVER (PARTITION BY block, sample ORDER BY value) AS k, COUNT(*) OVER (PARTITION BY block, sample) AS m, RANK() OVER (PARTITION BY block, sample ORDER BY value) + (COUNT(*) OVER (PARTITION BY block, sample, value) - 1) / 2.0 AS r FROM bx WHERE value IS NOT NULL),
+pp AS (SELECT block, COUNT(DISTINCT feature) AS p FROM bx GROUP BY 1), ms AS (SELECT DISTINCT block, sample, m, p FROM rk JOIN pp USING (block)),
+gr AS (SELECT block, sample, m, p, j, j * 1.0::DOUBLE / (p - 1) * m + 0.5 AS pos FROM ms, UNNEST(RANGE(0, p)) t(j)),
+gk AS (SELECT *, LEAST(m, GREATEST(1, CAST(FLOOR(pos) AS BIGINT))) AS k0, CASE WHEN pos < 1 OR pos >= m THEN 0 ELSE pos - FLOOR(pos) END AS f FROM gr),
+rf AS (SELECT gk.block, j, AVG(a.value + f * (COALESCE(b.value, a.value) - a.value)) AS v FROM gk JOIN rk a ON a.block = gk.block AND a.sample = gk.sample AND a.k = k0 LEFT JOIN rk b ON b.block = gk.block AND b.sample = gk.sample AND b.k = k0 + 1 GROUP BY 1, 2),
+pl AS (SELECT rk.*, (r - 0.5) / m * (p - 1) AS spot FROM rk JOIN pp USING (block)),
+qn AS (SELECT pl.block, feature, sample, a.v + (spot - FLOOR(spot)) * (COALESCE(b.v, a.v) - a.v) AS v FROM pl JOIN rf a ON a.block = pl.block AND a.j = FLOOR(spot) LEFT JOIN rf b ON b.block = pl.block AND b.j = FLOOR(spot) + 1)
+SELECT bx.block, bx.feature, bx.sample, ROUND(v, 5) AS value FROM bx LEFT JOIN qn ON qn.block = bx.block AND qn.feature = bx.feature AND qn.sample = bx.sample""")
+def blocks_normalize_quantile(spark, d):
+    return rounded(transforms.normalize_quantile(two_blocks(spark, d)), "value", digits=5).select("block", "feature", "sample", "value")
+
+
+@query("""SELECT block, feature, sample, ROUND(value - COALESCE(MEDIAN(value) OVER (PARTITION BY block, feature, batch) - MEDIAN(value) OVER (PARTITION BY block, feature), 0), 6) AS value FROM bx JOIN smp USING (sample)""")
+def blocks_batch_center(spark, d):
+    return rounded(transforms.batch_center(two_blocks(spark, d), samples(spark, d)), "value").select("block", "feature", "sample", "value")
+
+
+@query("""SELECT block, feature, sample, ROUND(LOG2(value + (SELECT MIN(b.value) / 2 FROM bx b WHERE b.block = bx.block AND b.value > 0)), 6) AS value FROM bx""")
+def blocks_log_half_min(spark, d):
+    return rounded(transforms.log_transform(two_blocks(spark, d)), "value").select("block", "feature", "sample", "value")
+
+
+@query("""SELECT (SELECT COUNT(*) FROM bx WHERE sample = 'CHINA' AND block = 'A1B2') AS lost, 0::BIGINT AS added, 0::BIGINT AS gap_changed, 0::BIGINT AS new_infinite, (SELECT COUNT(value) FROM bx WHERE block = 'A1B1' AND sample = 'PERU') AS changed_outside""")
+def blocks_invariants(spark, d):
+    old = two_blocks(spark, d)
+    new = old.where("not (sample = 'CHINA' and block = 'A1B2')").withColumn("value", F.when(F.col("sample") == "PERU", F.col("value") + 1).otherwise(F.col("value")))
+    return transforms.violations(old, new, touched=F.col("block") == "A1B2")
+
+
+@query("""SELECT a.block AS one, b.block AS two, COUNT(*) AS n FROM (SELECT DISTINCT block, feature FROM bx) a JOIN (SELECT DISTINCT block, feature FROM bx) b ON a.feature = b.feature AND a.block < b.block GROUP BY 1, 2""")
+def blocks_shared_keys(spark, d):
+    return transforms.shared_keys(two_blocks(spark, d))
+
+
+@query(""", ub AS (SELECT 'A' || (1 + CAST(feature AS BIGINT) % 2) || 'B' || (1 + CAST(feature AS BIGINT) % 6) AS block, feature, sample FROM dx UNION ALL SELECT 'A2B9', feature, sample FROM dx WHERE CAST(feature AS BIGINT) % 3 = 0),
+kb AS (SELECT SPLIT_PART(block, 'B', 1) AS assay, feature, COUNT(DISTINCT block) AS k FROM ub GROUP BY 1, 2), ap AS (SELECT assay, MAX(k) = 1 AS apart FROM kb GROUP BY 1)
+SELECT DISTINCT block, CASE WHEN apart THEN assay ELSE block END AS unit FROM ub JOIN ap ON assay = SPLIT_PART(block, 'B', 1)""")
+def blocks_units(spark, d):
+    n = F.col("feature").cast("long")
+    cells = logged(spark, d).select(F.concat(F.lit("A"), (1 + n % 2).cast("string"), F.lit("B"), (1 + n % 6).cast("string")).alias("block"), "feature", "sample")
+    return transforms.units(cells.unionByName(cells.where("cast(feature as long) % 3 = 0").withColumn("block", F.lit("A2B9"))))
+
+
+@query("""SELECT ROUND(r2, 6) AS r2, ROUND((r2 / (nb - 1)) / ((1 - r2) / (n - nb)), 5) AS f FROM (SELECT COUNT(DISTINCT sample) AS n, COUNT(DISTINCT batch) AS nb FROM cm JOIN smp USING (sample)), (SELECT 1 - SUM(w) / SUM(t) AS r2 FROM (SELECT VAR_POP(y) * COUNT(*) AS t, feature FROM cm GROUP BY feature) JOIN (SELECT feature, SUM(v) AS w FROM (SELECT feature, batch, VAR_POP(y) * COUNT(*) AS v FROM cm JOIN smp USING (sample) GROUP BY 1, 2) GROUP BY 1) USING (feature))""")
+def permanova_r2(spark, d):
+    import numpy as np
+
+    names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
+    batch = {r["sample"]: r.batch for r in samples(spark, d).collect()}  # one row per sample
+    r2, f = stats.permanova(k, np.unique([batch[n] for n in names], return_inverse=True)[1])
+    return rounded(spark.createDataFrame([(float(r2[0]), float(f[0]))], "r2 double, f double"), "r2").withColumn("f", F.round("f", 5))
+
+
+@query("""SELECT ROUND(SUM(VAR_POP_Y), 5) AS total, ROUND(SUM(VAR_POP_Y) - SUM(VAR_POP_Y), 5) AS left_over FROM (SELECT VAR_POP(y) * COUNT(*) AS VAR_POP_Y FROM cm GROUP BY feature)""")
+def principal_residual(spark, d):
+    """All components together give the Gram matrix back: its trace, and the largest difference."""
+    import numpy as np
+
+    _, k = stats.gram_matrix(stats.gram(complete(spark, d)))
+    scores, _ = stats.pca(k, len(k))
+    return rounded(spark.createDataFrame([(float(np.trace(k)), float(np.abs(scores @ scores.T - k).max()))], "total double, left_over double"), "total", "left_over", digits=5)
+
+
+@query(""", mr AS (SELECT sample, batch, run_order, 1 - COUNT(value) / COUNT(*) AS y FROM m2 JOIN smp USING (sample) GROUP BY 1, 2, 3),
+rk AS (SELECT *, RANK() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2.0 AS r, RANK() OVER (ORDER BY run_order) AS o FROM mr),
+tt AS (SELECT SUM(t * t * t - t) AS ties FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS t FROM mr GROUP BY y)), gs AS (SELECT SUM(s * s / c) AS q, CAST(SUM(c) AS DOUBLE) AS n FROM (SELECT SUM(r) AS s, COUNT(*) AS c FROM rk GROUP BY batch))
+SELECT 'batch' AS variable, ROUND((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 5) AS value FROM gs, tt UNION ALL SELECT 'run_order', ROUND(CORR(r, o), 5) FROM rk""")
+def association_values(spark, d):
+    return rounded(associations(spark, d).select("variable", "value"), "value", digits=5)
+
+
+@query(""", q AS (SELECT sample, QUANTILE_CONT(value, 0.1) AS p10, QUANTILE_CONT(value, 0.25) AS p25, QUANTILE_CONT(value, 0.5) AS p50, QUANTILE_CONT(value, 0.75) AS p75, QUANTILE_CONT(value, 0.9) AS p90 FROM m2 GROUP BY 1) SELECT sample, ROUND(p10, 6) AS p10, ROUND(p25, 6) AS p25, ROUND(p50, 6) AS p50, ROUND(p75, 6) AS p75, ROUND(p90, 6) AS p90 FROM q""")
+def quantiles(spark, d):
+    return rounded(m2(spark, d).groupBy("sample").agg(*stats.quantiles("value")), "p10", "p25", "p50", "p75", "p90")
+
+
+@query(""", fp AS (SELECT a.feature AS f1, b.feature AS f2, LEFT(a.feature, 8) = LEFT(b.feature, 8) AS same_parent, CORR(a.y, b.y) AS r, COUNT(*) AS n FROM cm a JOIN cm b USING (sample) WHERE a.feature < b.feature GROUP BY 1, 2, 3)
+SELECT f1, f2, same_parent, ROUND(CASE WHEN n >= 3 AND NOT ISNAN(r) THEN r END, 5) AS r FROM fp""")
+def feature_correlation(spark, d):
+    c = complete(spark, d)
+    return rounded(stats.feature_pairs(c, c.select("feature", F.substring("feature", 1, 8).alias("parent")).distinct()), "r", digits=5)
+
+
+@query("""SELECT feature, COALESCE(MIN(value) FILTER (value > 0) / 2, 1.0) AS "offset" FROM m2 GROUP BY 1""")
+def half_minimum(spark, d):
+    return C.half_minimum(m2(spark, d), ["feature"])
+
+
+@query("""SELECT threshold, COUNT(*) FILTER (share >= threshold - 1e-9) AS n_kept FROM (SELECT feature, 100.0 * COUNT(*) FILTER (seen > 0) / COUNT(*) AS share FROM (SELECT feature, subject, COUNT(value) AS seen FROM m2 JOIN smp USING (sample) GROUP BY 1, 2) GROUP BY 1), (VALUES (100), (90), (75), (50), (25)) t(threshold) GROUP BY 1""")
+def completeness_by_subject(spark, d):
+    return missing.completeness_by_cluster(m2(spark, d), samples(spark, d).select("sample", "subject"))
+
+
+@query()
+def corrected_batches(spark, d):
+    order = samples(spark, d).select("sample", "run_order", F.lit("one").alias("batch"))
+    return transforms.correct_batch_effects(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), order)
 
 
 # ---------------------------------------------------------------- no SQL: fits, permutations, linear algebra

@@ -160,12 +160,28 @@ class Study:
         """The entries at HEAD, each with candidates whose parameters are filled in."""
         facts = self.spark.createDataFrame([cleaned(f) for f in self.facts()], rules.FACTS)
         entries = [r.asDict(True) for r in rules.plan_entries(facts).orderBy("block", "pos").collect()]  # some per block
+        whole = []
         for e in entries:
-            e["entry"] = f"{e['block']}:{e['group']}"
-            for c in e["candidates"]:
-                c["params"] = self._params(c["op"], e)
-        self.planned = (self.store.head, entries)
-        return entries
+            for item in self._items(e) or [None]:
+                one = e | {"entry": f"{e['block']}:{e['group']}" + (f":{item['name']}" if item else ""), "item": item, "candidates": [dict(c) for c in e["candidates"]]}
+                for c in one["candidates"]:
+                    c["params"] = self._params(c["op"], e) | ({k: item[k] for k in ("ids", "reason")} if item and c["op"] in ("remove_features", "remove_samples") else {})
+                whole.append(one)
+        self.planned = (self.store.head, whole)
+        return whole
+
+    def _items(self, entry: dict) -> list[dict]:
+        """What an entry is about, one by one: each class of technical records, each unusual sample, each threshold of completeness. The
+        ids are what a person approves to remove, so the plan lists them."""
+        b = entry["block"]
+        if entry["group"] == "G3":
+            rows = self.audit_at(self.store.head).cleaning_candidates()[b].groupBy("class").agg(F.sort_array(F.collect_set("feature")).alias("ids")).orderBy("class").collect()
+            return [{"name": r["class"], "ids": list(r["ids"]), "reason": r["class"]} for r in rows]
+        if entry["group"] == "S4":
+            return [{"name": n, "ids": [n], "reason": ", ".join(why)} for n, why in sorted((self._measures("A11", b, self.store.head).get("samples") or {}).items())]
+        if entry["group"] == "S3":
+            return [{"name": f"{t}%", "ids": ids, "reason": f"observed in fewer than {t} % of the samples"} for t in M.THRESHOLDS if (ids := self.removed_at(b, t))]
+        return []
 
     def notes(self) -> list[dict]:
         facts = self.spark.createDataFrame([cleaned(f) for f in self.facts()], rules.FACTS)
@@ -189,8 +205,19 @@ class Study:
         if contrast and contrast != "none":
             groups = self.spark.createDataFrame([(s, v) for s, v in self.sample_mapping(contrast).items() if v], "sample string, level string")
             out = out.join(M.completeness(cells, groups).withColumnRenamed("n_kept", "n_kept_within_a_level"), "threshold")
+        subjects = self.first.samples.where("is_study_sample and subject <> ''").select("sample", "subject")
+        if not subjects.isEmpty():
+            out = out.join(M.completeness_by_cluster(cells, subjects).withColumnRenamed("n_kept", "n_kept_by_subject"), "threshold")
         return out
 
+    def removed_at(self, block: str, threshold: float) -> list[str]:
+        """The features that a completeness threshold would remove: within the contrast's levels where there is a contrast, else overall."""
+        study = self.first.samples.where("is_study_sample").select("sample")
+        cells = self.store.data().where(F.col("block") == block).join(study, "sample", "left_semi")
+        contrast = self.intake().get("contrast_variable")
+        groups = self.spark.createDataFrame([(s, v) for s, v in self.sample_mapping(contrast).items() if v], "sample string, level string") if contrast and contrast != "none" else None
+        return [r.feature for r in M.below_threshold(cells, threshold, groups).orderBy("feature").collect()]  # what is to be approved
+
     def design_constraints(self) -> list[dict]:
         return [{"block": f["block"], "n": f["n"], "n_eff": f["n_eff"], "subject_in_batch": f["subject_in_batch"], "rules": ["batch correction must not absorb subjects", "filtering counts values per subject where there are subjects"]} for f in self.facts()]
 
@@ -255,3 +282,7 @@ class Study:
         rows = [(k, json.dumps(cleaned(v), default=str)) for k, v in parts.items()]
         self.spark.createDataFrame(rows, "name string, value string").write.mode("overwrite").partitionBy("name").text(f"{folder}/study")
         return folder
+
+    def load_overrides(self, folder: str) -> dict[str, str]:
+        """The overrides that save() wrote, settled anew."""
+        return self.first.load_overrides(f"{folder}/study")

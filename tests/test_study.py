@@ -126,6 +126,10 @@ def test_saved_decisions(spark, planted, tmp_path):
     s = decided(spark, planted)
     assert s.todo() == []
     s.save(str(tmp_path / "out"))
+    manifest = s.export(str(tmp_path / "csv"))
+    assert manifest["n_features"] == {"A1B1": 120} and manifest["n_samples"] == 19 and manifest["n_flagged"] == 1 and "value_matrix_A1_B1" in manifest["files"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv/value_matrix_A1_B1")).count() == 120
+    assert s.units() == {"A1B1": "A1"} and s.assays_table().count() == 1 and {r["column"]: r.n for r in s.flag_counts().collect()} == {"Type": 1}
     again, warnings = schemas.load(str(tmp_path / "out"), delimited.read(spark, planted[0]))
     assert again.todo() == [] and warnings == [] and again.sample_table().where("sample_type = 'qc'").count() == 3
     assert spark.read.parquet(str(tmp_path / "out/features")).where("flagged").collect()[0].feature == "P119"
@@ -157,10 +161,13 @@ def test_audit_sees_what_was_planted(study):
     assert a.measures().count() > 50 and worst(["ok", "note"]) == "note" and worst(["not_assessed"]) == "not_assessed"
 
 
-def test_plan_to_replay(study):
+def test_plan_to_replay(study, planted):
     with pytest.raises(ValueError):
         study.set_intake(contrast_variable="Nope")
-    entries = {e["group"]: e for e in study.build_plan()}
+    plan = study.build_plan()
+    entries = {e["group"]: e for e in plan}
+    flagged = next(e for e in plan if e["entry"] == "A1B1:G3:flagged: Type")
+    assert flagged["candidates"][0]["params"] == {"ids": ["P119"], "reason": "flagged: Type"}
     assert entries["S2"]["status"] == "Insufficient metadata" and "needs:contrast_variable" in entries["S2"]["blocked_by"]
     assert entries["G5"]["status"] == "Recommended" and entries["G5"]["rule"] == "G-R2"
     study.set_intake(contrast_variable="Group", downstream_family="differential_abundance")
@@ -183,6 +190,13 @@ def test_plan_to_replay(study):
     again = study.replay()
     assert again["identical"] and again["steps"] == 2 and logged in study.store.states
     study.reject("A1B1:S1", "not needed")
+    some = [e for e in study.build_plan() if e["group"] == "S3"]
+    assert [e["item"]["name"] for e in some] == [f"{t}%" for t in (100, 90, 75, 50, 25) if study.removed_at("A1B1", t)] and all(e["candidates"][0]["params"]["ids"] for e in some)
+    study.first.overrides["A1B1:imputed"] = "no"
+    study.save(str(planted[2] / "saved"))
+    study.first.overrides.clear()
+    assert study.load_overrides(str(planted[2] / "saved")) == {"A1B1:imputed": "no"}
+    study.first.overrides.clear()
     assert len(study.decisions) == 3 and study.completeness("A1B1").count() == 5
     assert set(study.variance_components("A1B1", ["Plate", "Group"])) == {"Plate", "Group", "residual"}
 
@@ -196,6 +210,17 @@ def test_states_do_not_depend_on_partitions(spark, study, tmp_path):
     assert StateStore(spark, str(tmp_path)).load().head == one
 
 
+def test_vendor_columns(spark, study):
+    a = study.first
+    features = a.features.withColumn("CV %", F.lit("7.5")).withColumn("QC call", F.when(F.col("feature") < "P010", "FAIL").otherwise("PASS"))
+    try:
+        a.features, kept = features, a.features
+        got = a.vendor_columns()
+    finally:
+        a.features = kept
+    assert set(got) == {"CV %", "QC call"} and got["CV %"]["median"] == 7.5 and got["QC call"] == {"levels": {"PASS": 110, "FAIL": 10}}
+
+
 def test_refusals(spark, study):
     store, yes = study.store, {"user": "me", "entry": "x"}
     with pytest.raises(executor.ExecutorError, match="approval"):
