@@ -307,3 +307,17 @@ def test_units_and_shared_keys(spark):
     assert low["A1"] == 8 and transforms.violations(cells, cells).first().asDict() == {"lost": 0, "added": 0, "gap_changed": 0, "new_infinite": 0, "changed_outside": 0}
     moved = cells.withColumn("value", F.when(F.col("block") == "A1B1", 2.0).otherwise(F.col("value")))
     assert transforms.violations(cells, moved, touched=F.col("block") == "A1B1").first().changed_outside == 0 and transforms.violations(cells, moved, touched=F.col("block") == "A1B2").first().changed_outside == 4
+
+
+def test_pairs_of_more_samples_than_a_tile(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(5, 1, (30, 11))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    cells = long(spark, x, "y").repartition(3)
+    want = sorted((r.s1, r.s2, r.n, round(r.r, 9)) for r in stats.sample_pairs(cells).collect())
+    monkeypatch.setattr(stats, "DENSE_SAMPLES", 4)
+    assert sorted((r.s1, r.s2, r.n, round(r.r, 9)) for r in stats.sample_pairs(cells).collect()) == want and len(want) == 55
+    for s1, s2, n, r in want:
+        a, b = x[:, int(s1[1:])], x[:, int(s2[1:])]
+        both = ~np.isnan(a) & ~np.isnan(b)
+        assert n == both.sum() and r == pytest.approx(np.corrcoef(a[both], b[both])[0, 1], abs=1e-8)
