@@ -11,6 +11,7 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,7 +253,10 @@ def apply(store: StateStore, name: str, params: dict | None, approval: dict, ste
         raise ExecutorError(f"{name}: {why}")
     after = op.scale_after(p) if op.scale_after else None
     record = {"op": name, "step": step, "params": p, "seed": 0, "entry": approval["entry"], "blocks": inside, "approval": approval}
-    draft = store.draft(run(op, cells, p, inside))
+    try:
+        draft = store.draft(run(op, cells, p, inside))
+    except (SparkRuntimeException, ValueError) as e:
+        raise ExecutorError(f"{name}: {e}") from e
     broken = X.violations(cells, draft.cells, op.removes, op.blanks_zeros, F.col("block").isin(*inside)).first().asDict()
     if op.removes:
         gone = cells.join(draft.cells, ["block", "feature", "sample"], "left_anti").where(~F.col("block").isin(*inside))

@@ -4,6 +4,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from assayloom.functions import scalar as S
@@ -321,3 +322,10 @@ def test_pairs_of_more_samples_than_a_tile(spark, monkeypatch):
         a, b = x[:, int(s1[1:])], x[:, int(s2[1:])]
         both = ~np.isnan(a) & ~np.isnan(b)
         assert n == both.sum() and r == pytest.approx(np.corrcoef(a[both], b[both])[0, 1], abs=1e-8)
+
+
+def test_median_normalisation_of_an_empty_sample(spark):
+    x = np.array([[1.0, np.nan], [2.0, np.nan]])
+    with pytest.raises(SparkRuntimeException, match="no value"):
+        transforms.normalize_median(long(spark, x)).collect()
+    assert wide(transforms.normalize_median(long(spark, [[1.0, 5.0], [3.0, 9.0]]))) == pytest.approx(np.array([[3.0, 2.0], [5.0, 6.0]]))
