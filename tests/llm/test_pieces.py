@@ -80,3 +80,10 @@ def test_frames(spark, sf):
     again = {r.doc_id: r for r in pieces.sampled_digests(spark.read.parquet(f"{sf}/documents.parquet").repartition(5), PATH).collect()}
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r.lossless and again[r.doc_id] == r for r in got)
     assert {(r.doc_id, r.n_pieces) for r in pieces.sampled_digests(docs, PATH).collect()} >= {(0, 0), (6, 0)}
+
+
+def test_long_texts_without_cuts(model, library):
+    texts = ["数学是研究数量结构" * 8_000, "é" * 60_000, "x" * 60_000]
+    lists = sampled(model, texts, pieces._seeds(np.arange(3), 3))
+    for text, ids in zip(texts, lists, strict=True):
+        assert library.decode(ids) == text and len(ids) > 1000
