@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from assayloom.plans import catalogue
+from assayloom.plans import check_queries as catalogue
 
 SF = "/root/testdata/sf0.001"
 
