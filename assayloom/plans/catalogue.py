@@ -693,35 +693,88 @@ def completeness_by_subject(spark, d):
     return missing.completeness_by_cluster(m2(spark, d), samples(spark, d).select("sample", "subject"))
 
 
-@query()
-def corrected_batches(spark, d):
-    order = samples(spark, d).select("sample", "run_order", F.lit("one").alias("batch"))
-    return transforms.correct_batch_effects(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), order)
+# ---------------------------------------------------------------- fits
 
 
-# ---------------------------------------------------------------- no SQL: fits, permutations, linear algebra
+def loess_sql(points: str, places: str) -> str:
+    """SQL for local quadratic fits: lf (feature, place, fit) of points (feature, x, y) at places (feature, place); tricube weights over the
+    nearest three quarters of the points, a lower degree where fewer than three points weigh anything."""
+    return f""", lo AS (SELECT feature, x, y, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY x) - 1 AS i, COUNT(*) OVER (PARTITION BY feature) AS n FROM {points}),
+ln AS (SELECT *, LEAST(n, GREATEST(CAST(FLOOR(n * 0.75 + 1e-9) AS BIGINT), 3)) AS q FROM lo), lp AS (SELECT feature, CAST(place AS DOUBLE) AS place FROM {places}),
+lw AS (SELECT p.feature, place, ANY_VALUE(a.q) AS q, COUNT(*) FILTER (a.x + b.x < 2 * place) AS k FROM lp p JOIN ln a ON a.feature = p.feature LEFT JOIN ln b ON b.feature = a.feature AND b.i = a.i + a.q GROUP BY 1, 2),
+lr AS (SELECT w.feature, place, GREATEST(ABS(place - a.x), ABS(b.x - place)) AS reach FROM lw w JOIN ln a ON a.feature = w.feature AND a.i = w.k JOIN ln b ON b.feature = w.feature AND b.i = w.k + w.q - 1),
+lu AS (SELECT r.feature, place, (x - place) / reach AS u, y, POW(GREATEST(0, 1 - POW(ABS((x - place) / reach), 3)), 3) AS w FROM lr r JOIN ln USING (feature)),
+lm AS (SELECT feature, place, COUNT(*) FILTER (w > 0) AS k, SUM(w) AS s0, SUM(w * u) AS s1, SUM(w * u * u) AS s2, SUM(w * u * u * u) AS s3, SUM(w * u * u * u * u) AS s4, SUM(w * y) AS t0, SUM(w * u * y) AS t1, SUM(w * u * u * y) AS t2 FROM lu GROUP BY 1, 2),
+lf AS (SELECT feature, place, CASE WHEN k = 1 THEN t0 / s0 WHEN k = 2 THEN (t0 * s2 - t1 * s1) / (s0 * s2 - s1 * s1)
+ELSE (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) END AS fit FROM lm)"""
 
 
-@query()
-def combat(spark, d):
-    return rounded(transforms.combat(complete(spark, d).select("feature", "sample", F.col("y").alias("value")), samples(spark, d)), "value", digits=5)
+SMOOTH_SQL = (
+    """, ru AS (SELECT feature, MAX(k) AS longest FROM (SELECT feature, COUNT(y) AS k FROM (SELECT feature, y, SUM(CASE WHEN y IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY feature ORDER BY run_order) AS g FROM dx JOIN smp USING (sample)) GROUP BY feature, g) GROUP BY 1),
+ob AS (SELECT feature, CAST(run_order AS DOUBLE) AS x, y FROM dx JOIN smp USING (sample) JOIN ru USING (feature) WHERE y IS NOT NULL AND longest >= 8), pl AS (SELECT feature, x AS place FROM ob)"""
+    + loess_sql("ob", "pl")
+    + """ SELECT feature, sample, ROUND(y + COALESCE(AVG(CASE WHEN y IS NOT NULL THEN fit END) OVER (PARTITION BY feature) - fit, 0), 5) AS value FROM dx JOIN smp USING (sample) LEFT JOIN lf ON lf.feature = dx.feature AND lf.place = run_order"""
+).replace("SELECT feature, sample, ROUND(y +", "SELECT dx.feature, sample, ROUND(y +").replace("OVER (PARTITION BY feature) - fit", "OVER (PARTITION BY dx.feature) - fit")
 
 
-@query()
+@query(SMOOTH_SQL)
+def corrected_batches(spark, d):
+    """Drift within one batch, then centring of batches, which has nothing left to do."""
+    order = samples(spark, d).select("sample", "run_order", F.lit("one").alias("batch"))
+    return rounded(transforms.correct_batch_effects(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), order), "value", digits=5)
+
+
+@query(SMOOTH_SQL)
 def loess_drift(spark, d):
     order = samples(spark, d).select("sample", "run_order", F.lit("one").alias("batch"))
-    return transforms.drift_sample_loess(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), order)
+    return rounded(transforms.drift_sample_loess(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), order), "value", digits=5)
 
 
-@query()
+@query(
+    """, ob AS (SELECT feature, x, y FROM (SELECT feature, CAST(run_order AS DOUBLE) AS x, y, COUNT(y) OVER (PARTITION BY feature) AS known FROM dx JOIN smp USING (sample) WHERE batch IN ('ASIA', 'EUROPE') AND y IS NOT NULL) WHERE known >= 5),
+en AS (SELECT feature, MIN(x) AS lo, MAX(x) AS hi FROM ob GROUP BY 1), al AS (SELECT feature, sample, y, LEAST(hi, GREATEST(lo, run_order)) AS place FROM dx JOIN smp USING (sample) LEFT JOIN en USING (feature)),
+pl AS (SELECT DISTINCT feature, place FROM al WHERE feature IN (SELECT feature FROM en))"""
+    + loess_sql("ob", "pl")
+    + """, ow AS (SELECT ob.feature, AVG(fit) AS own FROM ob JOIN lf ON lf.feature = ob.feature AND lf.place = ob.x GROUP BY 1)
+SELECT al.feature, sample, ROUND(y + COALESCE(own - fit, 0), 5) AS value FROM al LEFT JOIN lf ON lf.feature = al.feature AND lf.place = al.place LEFT JOIN ow ON ow.feature = al.feature"""
+)
 def qc_drift(spark, d):
     s = samples(spark, d)
-    return transforms.drift_qc_loess(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), s.select("sample", "run_order"), s.where("batch in ('ASIA', 'EUROPE')").select("sample"))
+    t = transforms.drift_qc_loess(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), s.select("sample", "run_order"), s.where("batch in ('ASIA', 'EUROPE')").select("sample"))
+    return rounded(t, "value", digits=5)
 
 
-@query()
+@query(""", rk AS (SELECT feature, sample, y, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY y) AS k, COUNT(*) OVER (PARTITION BY sample) AS m, RANK() OVER (PARTITION BY sample ORDER BY y) + (COUNT(*) OVER (PARTITION BY sample, y) - 1) / 2.0 AS r FROM dx WHERE y IS NOT NULL),
+pp AS (SELECT COUNT(DISTINCT feature) AS p FROM dx), ms AS (SELECT DISTINCT sample, m, p FROM rk, pp), gr AS (SELECT sample, m, p, j, j * 1.0::DOUBLE / (p - 1) * m + 0.5 AS pos FROM ms, UNNEST(RANGE(0, p)) t(j)),
+gk AS (SELECT *, LEAST(m, GREATEST(1, CAST(FLOOR(pos) AS BIGINT))) AS k0, CASE WHEN pos < 1 OR pos >= m THEN 0 ELSE pos - FLOOR(pos) END AS f FROM gr),
+rf AS (SELECT j, AVG(a.y + f * (COALESCE(b.y, a.y) - a.y)) AS v FROM gk JOIN rk a ON a.sample = gk.sample AND a.k = k0 LEFT JOIN rk b ON b.sample = gk.sample AND b.k = k0 + 1 GROUP BY 1),
+ps AS (SELECT rk.*, (r - 0.5) / m * (p - 1) AS spot FROM rk, pp), qn AS (SELECT ps.feature, sample, a.v + (spot - FLOOR(spot)) * (COALESCE(b.v, a.v) - a.v) AS v FROM ps JOIN rf a ON a.j = FLOOR(spot) LEFT JOIN rf b ON b.j = FLOOR(spot) + 1)
+SELECT dx.feature, dx.sample, ROUND(v, 5) AS value FROM dx LEFT JOIN qn ON qn.feature = dx.feature AND qn.sample = dx.sample""")
 def quantile_normalize_gaps(spark, d):
-    return transforms.normalize_quantile(logged(spark, d).select("feature", "sample", F.col("y").alias("value")))
+    return rounded(transforms.normalize_quantile(logged(spark, d).select("feature", "sample", F.col("y").alias("value"))), "value", digits=5)
+
+
+#: The steps of the fixed point are listed up to 100; a batch stops at the first step at which all of its features stand still.
+COMBAT_STEPS = """cp AS (SELECT feature, batch, CAST(COUNT(*) AS DOUBLE) AS n, AVG(y) AS m, VAR_POP(y) AS v FROM cm JOIN smp USING (sample) GROUP BY 1, 2),
+cf AS (SELECT feature, SUM(n * m) / SUM(n) AS grand, SUM(n * v) / SUM(n) AS pooled FROM cp GROUP BY 1 HAVING MIN(v) > 0),
+cz AS (SELECT feature, batch, n, grand, SQRT(pooled) AS scale, (m - grand) / SQRT(pooled) AS g, n * v / pooled AS ss, n * v / pooled / (n - 1) AS d FROM cp JOIN cf USING (feature)),
+cb AS (SELECT batch, AVG(g) AS pg, VAR_SAMP(g) AS pt, AVG(d) AS mean, VAR_SAMP(d) AS var FROM cz GROUP BY 1),
+ca AS (SELECT cz.*, pg, pt, (2 * var + mean * mean) / var AS a, (mean * var + mean * mean * mean) / var AS s FROM cz JOIN cb USING (batch)),
+it AS (SELECT feature, batch, 0 AS step, g AS shift, d AS spread, 1.0::DOUBLE AS moved, n, g, ss, pg, pt, a, s FROM ca UNION ALL
+  SELECT feature, batch, step + 1, nw, wide, GREATEST(ABS(nw - shift) / ABS(shift), ABS(wide - spread) / spread), n, g, ss, pg, pt, a, s FROM (SELECT *, (0.5 * (ss + n * (g - nw) * (g - nw)) + s) / (n / 2 + a - 1) AS wide FROM (SELECT *, (pt * n * g + spread * pg) / (pt * n + spread) AS nw FROM it WHERE step < 100))),
+cr AS (SELECT batch, MAX(took) AS rounds FROM (SELECT feature, batch, MIN(step) AS took FROM it WHERE step > 0 AND moved <= 1e-4 GROUP BY 1, 2) GROUP BY 1),
+ck AS (SELECT feature, batch, grand, scale, shift, SQRT(spread) AS spread FROM it JOIN cr USING (batch) JOIN (SELECT feature, batch, grand, scale FROM ca) USING (feature, batch) WHERE step = rounds)"""
+
+
+@query(f""", {COMBAT_STEPS} SELECT feature, sample, ROUND(COALESCE(((y - grand) / scale - shift) / spread * scale + grand, y), 5) AS value FROM cm JOIN smp USING (sample) LEFT JOIN ck USING (feature, batch)""")
+def combat(spark, d):
+    return rounded(transforms.combat(complete(spark, d).select("feature", "sample", F.col("y").alias("value")), samples(spark, d)), "value", digits=5)
+
+
+ORACLE_SQL["combat"] = ORACLE_SQL["combat"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# ---------------------------------------------------------------- no SQL: permutations, linear algebra
 
 
 @query()
