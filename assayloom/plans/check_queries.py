@@ -1,4 +1,4 @@
-"""Registered queries of the audit's checks and of saved states: what a check measures on a planted table, and SQL for the same measures.
+"""Registered queries of files, layouts, the audit's checks and saved states: what a check measures on a planted table, and SQL for the same
 
 The table: parts x nations of the catalogue's m2, spread as powers of two; cells of every 97th part in CHINA are text that is no number.
 Samples have types, subjects, times and a run order; parts of a small size are flagged. The audit runs whole; measures that rest on
@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transforms
+from ..sources import delimited
 from ..sources.states import StateStore, content_hash
-from . import catalogue
+from . import catalogue, layout
 from .audit import Audit
 from .catalogue import m2, query, rank_sql, rounded, samples, table
 
@@ -230,3 +231,40 @@ def state_names(spark, d):
     again = StateStore(spark, folder).load()
     rows = [(i + 1, (s["op"] or {}).get("op"), content_hash(again.data(s["state_id"])) == s["hashes"], s["parent"] is None) for i, s in enumerate(again.chain())]  # a row per state
     return spark.createDataFrame(rows, "place int, op string, hash_holds boolean, is_root boolean")
+
+
+# ---------------------------------------------------------------- files
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, ';' AS delimiter FROM part")
+def read_delimited(spark, d):
+    """Parts written as text with semicolons, and read back with the delimiter that the first lines suggest."""
+    folder = f"{state_folder(spark)}/csv"
+    table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").write.option("header", True).option("sep", ";").csv(folder)
+    t = delimited.read(spark, folder)
+    return t.data.drop(delimited.ROW).withColumn("delimiter", F.lit(t.delimiter))
+
+
+SUMMARIES = " UNION ALL ".join(f"SELECT '{c}' AS name, '{kind}' AS kind, COUNT(*) - COUNT({c}) AS n_missing, COUNT(DISTINCT {c}) AS n_unique FROM customer" for c, kind in (("c_custkey", "numeric"), ("c_name", "text"), ("c_nationkey", "numeric"), ("c_acctbal", "numeric"), ("c_mktsegment", "text")))
+
+
+@query(SUMMARIES)
+def table_summary(spark, d):
+    """Facts of every column of a table that is read as texts."""
+    return delimited.read(spark, f"{d}/customer.parquet").summary().drop("example")
+
+
+@query("""SELECT name, CASE WHEN name = key THEN 'id' WHEN name IN ('c_custkey', 'c_nationkey', 'c_acctbal') THEN 'measurement' ELSE 'annotation' END AS role, 'samples_in_columns' AS layout
+FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment')) t(name), (SELECT CASE WHEN COUNT(*) = COUNT(DISTINCT c_name) THEN 'c_name' ELSE 'c_custkey' END AS key FROM customer)""")
+def proposed_layout(spark, d):
+    """Which column names a table's rows, which hold values and which describe them."""
+    found = layout.propose_layout(delimited.read(spark, f"{d}/customer.parquet"))
+    roles = [(c, role, found.orientation) for c, role in found.roles().items()]  # a row per column
+    return spark.createDataFrame(roles, "name string, role string, layout string")
+
+
+@query("SELECT 'A1B1' AS block, c_name AS feature, s AS sample, CASE s WHEN 'c_custkey' THEN c_custkey WHEN 'c_nationkey' THEN c_nationkey ELSE c_acctbal END AS value FROM customer, (VALUES ('c_custkey'), ('c_nationkey'), ('c_acctbal')) t(s)")
+def layout_cells(spark, d):
+    """The long cells of a proposed layout."""
+    cells = layout.propose_layout(delimited.read(spark, f"{d}/customer.parquet")).cells()
+    return cells.select("block", "feature", "sample", "value")
