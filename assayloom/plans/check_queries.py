@@ -1,4 +1,4 @@
-"""Registered queries of files, layouts, the audit's checks and saved states: what a check measures on a planted table, and SQL for the same
+"""Registered queries of files, layouts, the audit's checks and saved states: what a check measures on a planted table, and SQL for the same measures.
 
 The table: parts x nations of the catalogue's m2, spread as powers of two; cells of every 97th part in CHINA are text that is no number.
 Samples have types, subjects, times and a run order; parts of a small size are flagged. The audit runs whole; measures that rest on
