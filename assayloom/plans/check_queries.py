@@ -1,8 +1,8 @@
 """Registered queries of files, layouts, the audit's checks and saved states: what a check measures on a planted table, and SQL for the same measures.
 
 The table: parts x nations of the catalogue's m2, spread as powers of two; cells of every 97th part in CHINA are text that is no number.
-Samples have types, subjects, times and a run order; parts of a small size are flagged. The audit runs whole; measures that rest on
-random draws (bootstraps, permutations) are left out of the queries here, the tests of the audit hold those.
+Samples have types, subjects, times and a run order; parts of a small size are flagged. Checks run whole; the queries
+give the measures that SQL can state, and the audit's own tests hold the others (bootstraps, permutations, components, fits).
 """
 
 from __future__ import annotations
@@ -73,13 +73,13 @@ FROM (SELECT *, AVG(value) OVER (PARTITION BY feature) AS mv, AVG(y) OVER (PARTI
 
 
 @query(f"{SQL}{SKEW} SELECT path, value FROM (" + paths(
-    n="SELECT COUNT(value) FROM st", whole="SELECT CASE WHEN BOOL_AND(value = FLOOR(value)) THEN 1 ELSE 0 END FROM st", min="SELECT MIN(value) FROM st", zeros="SELECT 0",
+    n="SELECT COUNT(value) FROM st", whole="SELECT CASE WHEN BOOL_AND(value = FLOOR(value)) THEN 1 ELSE 0 END FROM st", min="SELECT MIN(value) FROM st", max="SELECT ROUND(q, CAST(9 - FLOOR(LOG10(q)) AS INTEGER)) FROM (SELECT MAX(value) AS q FROM st)", zeros="SELECT 0",
     p1="SELECT QUANTILE_CONT(value, 0.01) FROM st", p99="SELECT ROUND(q, CAST(9 - FLOOR(LOG10(q)) AS INTEGER)) FROM (SELECT QUANTILE_CONT(value, 0.99) AS q FROM st)", sum_cv="SELECT STDDEV_POP(s) / AVG(s) FROM (SELECT SUM(value) AS s FROM st GROUP BY sample)",
     skew="SELECT MEDIAN(a) FROM sk", skew_log="SELECT MEDIAN(b) FROM sk", median_scaling__n="SELECT COUNT(m) FROM fd", median_scaling__mad="SELECT MEDIAN(ABS(m - (SELECT MEDIAN(m) FROM fd))) FROM fd") + ")")
 def check_scale(spark, d):
     a = audited(spark, d)
     a.scale()
-    return measured(a, "").where("path not in ('class', 'max')")
+    return measured(a, "").where("path <> 'class'")
 
 
 @query(f"{SQL}{SKEW} SELECT 'A1B1' AS block, CASE WHEN ABS((SELECT MEDIAN(b) FROM sk)) < ABS((SELECT MEDIAN(a) FROM sk)) THEN 'continuous_linear' ELSE 'continuous_symmetric_or_log_like' END AS scale_class")
@@ -134,18 +134,48 @@ def check_missing_profile(spark, d):
     return measured(a, "cell_encoding.", "shares.", "by_level.", "feature_classes.", "coverage.")
 
 
+@query(f"""{SQL}{MEDIANS}, ms AS (SELECT AVG(value) AS m, STDDEV_SAMP(value) AS s FROM st GROUP BY feature HAVING COUNT(value) >= 3), sy AS (SELECT AVG(y) AS m, STDDEV_SAMP(y) AS s FROM st GROUP BY feature HAVING COUNT(y) >= 2),
+rk AS (SELECT {rank_sql('m', '1')} AS a, {rank_sql('s', '1')} AS b FROM sy), sd AS (SELECT MEDIAN(ABS(m - (SELECT MEDIAN(m) FROM sm))) AS mad FROM sm) """ + paths(
+    mean_sd__slope="SELECT REGR_SLOPE(LN(s), LN(m)) FROM ms WHERE s > 0", spearman_rho="SELECT ROUND(CORR(a, b), 2) FROM rk", median_shift__mad="SELECT mad FROM sd", median_shift__medians_differ="SELECT CASE WHEN mad >= 0.1 THEN 1 ELSE 0 END FROM sd"))
+def check_distribution(spark, d):
+    a = audited(spark, d)
+    a.distribution()
+    found = measured(a, "mean_sd.slope", "spearman_rho", "median_shift.mad", "median_shift.medians_differ", check="A3")  # ranks as in check_missingness
+    return found.withColumn("value", F.when(F.col("path") == "spearman_rho", F.round("value", 2)).otherwise(F.col("value")))
+
+
+def _v(other: str) -> str:
+    """SQL for Cramer's V of batch and another column of the study samples."""
+    o, r, c = (f"(SELECT {k}, COUNT(*) AS n FROM ss GROUP BY ALL)" for k in (f"batch, {other}", "batch", other))
+    chi2 = f"(SELECT SUM(POW(COALESCE(o.n, 0) - r.n * c.n / t.n, 2) / (r.n * c.n / t.n)) AS chi2 FROM {r} r CROSS JOIN {c} c CROSS JOIN (SELECT COUNT(*) * 1.0::DOUBLE AS n FROM ss) t LEFT JOIN {o} o ON o.batch = r.batch AND o.{other} = c.{other})"
+    return f"SELECT SQRT(chi2 / (SELECT COUNT(*) * (LEAST(COUNT(DISTINCT batch), COUNT(DISTINCT {other})) - 1) FROM ss)) FROM {chi2}"
+
+
+@query(f"""{SQL}, ss AS (SELECT * FROM sa WHERE sample_type = 'study'), bs AS (SELECT MIN(n) AS n FROM (SELECT COUNT(*) AS n FROM ss GROUP BY batch)),
+pr AS (SELECT a.batch = b.batch AS same, CASE WHEN COUNT(*) >= 3 AND STDDEV_POP(a.y) > 0 AND STDDEV_POP(b.y) > 0 THEN COVAR_POP(a.y, b.y) / (STDDEV_POP(a.y) * STDDEV_POP(b.y)) END AS r FROM st a JOIN st b USING (feature) WHERE a.sample < b.sample AND a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY a.sample, b.sample, 1),
+rs AS (SELECT MEDIAN(r) FILTER (same) AS s, MEDIAN(r) FILTER (NOT same) AS o FROM pr)
+SELECT path, value FROM (SELECT 'structure[0].v' AS path, ROUND(({_v('subject')}), 6) AS value UNION ALL SELECT 'structure[1].v', ROUND(({_v('time')}), 6) UNION ALL SELECT 'samples_per_batch[0].min', n FROM bs UNION ALL SELECT 'samples_per_batch[0].below', CASE WHEN n < 25 THEN 1 ELSE 0 END FROM bs
+UNION ALL SELECT 'relationship[0].same', ROUND(s, 6) FROM rs UNION ALL SELECT 'relationship[0].different', ROUND(o, 6) FROM rs UNION ALL SELECT 'relationship[0].effect', ROUND(s - o, 6) FROM rs) WHERE path NOT LIKE 'relationship%' OR (SELECT s + o FROM rs) IS NOT NULL""")
+def check_batch_structure(spark, d):
+    a = audited(spark, d)
+    a.batch_structure()
+    found = measured(a, "structure[", "samples_per_batch[", "relationship[", check="A7")
+    return found.where(F.col("path").rlike(r"\.(v|min|below|same|different|effect)$"))
+
+
 @query(f"""{SQL}, qc AS (SELECT feature, 100 * STDDEV_SAMP(value) / AVG(value) AS s FROM au WHERE sample IN (SELECT sample FROM sa WHERE sample_type = 'qc') AND feature NOT IN (SELECT feature FROM fe WHERE flagged) GROUP BY 1 HAVING COUNT(value) >= 3),
 bl AS (SELECT feature, AVG(value) FILTER (sample_type = 'blank') / AVG(value) FILTER (sample_type = 'study') AS ratio FROM au JOIN sa USING (sample) WHERE feature NOT IN (SELECT feature FROM fe WHERE flagged) GROUP BY 1),
 om AS (SELECT sample, run_order, MEDIAN(y) AS m FROM st GROUP BY 1, 2), ok AS (SELECT {rank_sql('m', '1')} AS a, {rank_sql('run_order', '1')} AS b, m, run_order FROM om),
 mi AS (SELECT feature, MEDIAN(y) AS mid FROM st GROUP BY 1 HAVING COUNT(y) = COUNT(*)), pr AS (SELECT sample, CORR(y, mid) AS r FROM st JOIN mi USING (feature) GROUP BY 1)
-SELECT 'sample_types.' || sample_type AS path, CAST(COUNT(*) AS DOUBLE) AS value FROM sa GROUP BY 1 UNION ALL """ + paths(
+SELECT 'sample_types.' || sample_type AS path, CAST(COUNT(*) AS DOUBLE) AS value FROM sa GROUP BY 1
+UNION ALL SELECT 'flagged.' || k || i, ROUND(CASE i WHEN '[0]' THEN n WHEN '[1]' THEN m ELSE g END, 6) FROM (SELECT CASE WHEN flagged THEN 'True' ELSE 'False' END AS k, COUNT(DISTINCT feature) AS n, MEDIAN(value) AS m, 1 - COUNT(value) / COUNT(*) AS g FROM au JOIN fe USING (feature) GROUP BY 1), (VALUES ('[0]'), ('[1]'), ('[2]')) t(i) UNION ALL """ + paths(
     qc__n="SELECT COUNT(*) FROM qc", qc__median="SELECT MEDIAN(s) FROM qc", qc__above_20="SELECT AVG(CASE WHEN s > 20 THEN 1.0 ELSE 0.0 END) FROM qc", qc__above_30="SELECT AVG(CASE WHEN s > 30 THEN 1.0 ELSE 0.0 END) FROM qc",
     blank_ratio__median="SELECT MEDIAN(ratio) FROM bl", run_order__n_used="SELECT COUNT(*) FROM om", run_order__spearman_median="SELECT CORR(a, b) FROM ok", run_order__slope="SELECT REGR_SLOPE(m, run_order) FROM om",
     lowest_profile_r__r="SELECT MIN(r) FROM pr WHERE NOT ISNAN(r)"))
 def check_quality(spark, d):
     a = audited(spark, d)
     a.quality()
-    return measured(a, "sample_types.", "qc.", "blank_ratio.", "run_order.n_used", "run_order.spearman", "run_order.slope", "lowest_profile_r.r")
+    return measured(a, "sample_types.", "qc.", "blank_ratio.", "run_order.n_used", "run_order.spearman", "run_order.slope", "lowest_profile_r.r", "flagged.")
 
 
 ICC = """, sj AS (SELECT feature, subject, CAST(COUNT(y) AS DOUBLE) AS c, AVG(y) AS m, VAR_POP(y) AS v FROM st WHERE y IS NOT NULL GROUP BY 1, 2 HAVING COUNT(y) >= 2),
