@@ -2,7 +2,7 @@
 
 The table: parts x nations of the catalogue's m2, spread as powers of two; cells of every 97th part in CHINA are text that is no number.
 Samples have types, subjects, times and a run order; parts of a small size are flagged. Checks run whole; the queries
-give the measures that SQL can state, and the audit's own tests hold the others (bootstraps, permutations, components, fits).
+give the measures that SQL can state, not those of bootstraps, permutations, components and fits.
 """
 
 from __future__ import annotations
