@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, html, minhash, mixing, pieces, quality, secrets, token_counts, token_output
+from . import ann, embedding_dedup, filter_audit, html, minhash, mixing, pieces, quality, secrets, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_by_id(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_token_output": op9_token_output,
     "op10_secret_scan": op10_secret_scan,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: The smallest id reachable over links (a, b) from each node of `nodes` (id).
@@ -87,4 +92,21 @@ ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NU
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 nodes AS (SELECT vec_id AS id FROM embeddings), {_CLOSURE}
 SELECT vec_id, (SELECT COUNT(*) FROM links WHERE a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN comp ON node = vec_id""",
+    "op12_filter_audit": """WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+least_id AS (SELECT t, MIN(doc_id) AS first FROM d GROUP BY 1),
+m AS (SELECT d.doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > first, false)] AS f,
+  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS bad FROM d JOIN least_id USING (t)),
+five AS (SELECT UNNEST(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, e.i, g.i] AS p FROM five a, five b, five c, five e, five g WHERE len(list_distinct([a.i, b.i, c.i, e.i, g.i])) = 5),
+s AS (SELECT array_to_string(list_transform(p, lambda i: 'ABCDE'[i]), '') AS filter_order, i AS step, p[i] AS x, p[1 : i - 1] AS before FROM o, five),
+c AS (SELECT part, f, COUNT(*) AS n, COUNT(*) FILTER (WHERE good) AS g, COUNT(*) FILTER (WHERE bad) AS b FROM m GROUP BY 1, 2),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, x,
+  SUM(CASE WHEN NOT f[x] AND NOT list_bool_or([false] || list_transform(before, lambda i: f[i])) THEN n ELSE 0 END)::BIGINT AS kept,
+  SUM(CASE WHEN f[x] AND NOT list_bool_or([false] || list_transform(before, lambda i: f[i])) THEN n ELSE 0 END)::BIGINT AS removed,
+  SUM(CASE WHEN f[x] AND list_bool_or([false] || list_transform(before, lambda i: f[i])) THEN n ELSE 0 END)::BIGINT AS redundant,
+  SUM(CASE WHEN f[x] AND len(list_filter(f, lambda y: y)) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  SUM(CASE WHEN f[x] AND NOT list_bool_or([false] || list_transform(before, lambda i: f[i])) THEN g ELSE 0 END)::BIGINT AS good_lost,
+  SUM(CASE WHEN f[x] AND NOT list_bool_or([false] || list_transform(before, lambda i: f[i])) THEN b ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r""",
 }
