@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, filter_audit, html, minhash, mixing, pieces, quality, secrets, token_counts, token_output
+from . import ann, embedding_dedup, filter_audit, html, lexical_search, minhash, mixing, pieces, quality, secrets, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_secret_scan": op10_secret_scan,
     "op12_filter_audit": op12_filter_audit,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: The smallest id reachable over links (a, b) from each node of `nodes` (id).
@@ -109,4 +114,12 @@ r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, x,
   SUM(CASE WHEN f[x] AND NOT list_bool_or([false] || list_transform(before, lambda i: f[i])) THEN b ELSE 0 END)::BIGINT AS toxic_lost
   FROM c, s GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r""",
+    "op13_lexical_search": """WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+a AS (SELECT COUNT(*) FILTER (WHERE len(ts) > 0) AS n_docs, CAST(SUM(len(ts)) AS BIGINT) AS n_terms FROM t),
+p AS (SELECT doc_id, 25 + (75 * CAST(len(ts) AS BIGINT) * n_docs) // n_terms AS m, UNNEST(ts) AS term FROM t, a),
+f AS (SELECT doc_id, m, term, COUNT(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, COUNT(*) AS df FROM f GROUP BY 1), a),
+q AS (SELECT item_id, UNNEST(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(SUM(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
