@@ -18,6 +18,8 @@ LETTERS = "ABCDE"
 COPY = 1 << (len(LETTERS) - 1)
 #: Bytes of texts that a task holds back to find copies among its own rows; beyond it they are sent on.
 HOLD_BYTES = 24 << 20
+#: Bytes of texts that a task of the routed side should get; Python sorts them on disk beyond its memory.
+TASK_BYTES = 64 << 20
 
 _CAPITALS = bytes(range(65, 91))
 _JUNK = re.compile(rb"[#$%&*|]")
@@ -103,9 +105,10 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     it; rows that repeat an id and text are not copies of each other. Written in the shared folder.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long"), F.col(part_col).cast("string"), F.col(text_col).cast("string")).rdd
-    records = rows.mapPartitions(_local(mask_of))
-    n = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select(F.col(id_col).cast("long"), F.col(part_col).cast("string"), F.col(text_col).cast("string").alias("text"))
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(n_bytes // TASK_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    records = docs.rdd.mapPartitions(_local(mask_of))
     routed = records.repartitionAndSortWithinPartitions(n, lambda key: key[0])
     return saved(spark.createDataFrame(routed.mapPartitions(_chains), "id long, part string, mask int, n long", verifySchema=False), "filter-masks")
 
@@ -167,6 +170,6 @@ def interactions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = labels.select(F.col(id_col).cast("long").alias("id"), (F.col("quality") == 1).alias("g"), (F.col("toxic") == 1).alias("t"))
     known = known.where("id is not null and (g or t)").groupBy("id").agg(F.max(F.coalesce("g", F.lit(False)).cast("int")).alias("good"), F.max(F.coalesce("t", F.lit(False)).cast("int")).alias("toxic"))
     found = masks(docs, id_col, text_col, part_col, mask_of).groupBy("id", "part", "mask").agg(F.sum("n").alias("n"))
-    rows = found.join(known, "id", "left").select("part", "mask", "n", F.coalesce("good", F.lit(0)), F.coalesce("toxic", F.lit(0))).rdd
-    vectors = rows.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(lambda row: _merge_row(np.zeros(3 * size, np.int64), row), _merge_row, np.add)
+    rows = found.join(known, "id", "left").select("part", "mask", "n", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    vectors = saved(rows, "filter-counts").rdd.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(lambda row: _merge_row(np.zeros(3 * size, np.int64), row), _merge_row, np.add)
     return docs.sparkSession.createDataFrame(vectors.flatMap(_report), REPORT)
