@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embedding_dedup, filter_audit, html, lexical_search, minhash, mixing, pieces, quality, secrets, token_counts, token_output
+from . import ann, embedding_dedup, filter_audit, html, language, lexical_search, minhash, mixing, pieces, quality, secrets, token_counts, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_by_id(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_token_output": op9_token_output,
     "op10_secret_scan": op10_secret_scan,
+    "op11_language_id": op11_language_id,
     "op12_filter_audit": op12_filter_audit,
     "op13_lexical_search": op13_lexical_search,
 }
