@@ -15,8 +15,8 @@ from .components import connected_components
 from .store import saved
 from .vectors import common_length, packed, sample, spherical_kmeans, stack, unit
 
-#: Vectors that k-means sees, cells at most, and the members a side of a tile.
-SAMPLE, CELLS, TILE_MIN, TILE_MAX, TILES = 16_384, 1024, 1024, 1024, 32
+#: Vectors that k-means sees, cells at most, rounds of k-means that a number of cells is judged by, and the members a side of a tile.
+SAMPLE, CELLS, JUDGING_ROUNDS, TILE_MAX = 16_384, 1024, 3, 1024
 #: Seconds that a row in a tile and a compared pair take, about: they weigh visits against the size of cells.
 ROW_COST, PAIR_COST = 20e-6, 20e-9
 #: Rounding that the geometry of cells and a blocked product may be off by.
@@ -37,19 +37,24 @@ def _visits(near: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit_cells(fit: np.ndarray, n: int, labels: int, threshold: float, seed: int) -> np.ndarray:
     """Centres for n vectors of so many labels, from a sample.
 
-    More cells have fewer members, but vectors that are no cluster's visit more of them. Counts of cells go up by 4 while the cost,
-    reckoned from the sample's visits, falls: the most cells for well-parted vectors, few for vectors that fill space evenly.
+    More cells have fewer members, but vectors that are no cluster's visit more of them. The cost of 1, 4, 16 ... CELLS cells is reckoned from
+    the sample's visits, each from a few rounds of k-means, and the cheapest number is taken and fitted in full. All are judged: the cost
+    may rise before it falls. A number that would be no cheaper even without visits is passed over.
     """
-    best, best_cost, k = fit[:1], math.inf, 1
-    while k <= min(CELLS, max(1, len(fit) // 4)):
-        centres = spherical_kmeans(fit, k, seed)
-        copies = 1 + _visits(fit @ centres.T, _gaps(centres, threshold))[1].sum(axis=1).mean()
+
+    def cost(k: int, copies: float) -> float:
         members = n * copies / (labels * k)
-        cost = copies * (math.ceil(members / TILE_MAX) * ROW_COST + members * PAIR_COST)
-        if cost >= best_cost:
-            break
-        best, best_cost, k = centres, cost, 4 * k
-    return best
+        return copies * (math.ceil(members / TILE_MAX) * ROW_COST + members * PAIR_COST)
+
+    best, best_cost, k = 1, cost(1, 1.0), 4
+    while k <= min(CELLS, max(1, len(fit) // 4)):
+        if cost(k, 1.0) < best_cost:
+            centres = spherical_kmeans(fit, k, seed, JUDGING_ROUNDS)
+            copies = 1 + _visits(fit @ centres.T, _gaps(centres, threshold))[1].sum(axis=1).mean()
+            if cost(k, copies) < best_cost:
+                best, best_cost = k, cost(k, copies)
+        k *= 4
+    return fit[:1] if best == 1 else spherical_kmeans(fit, best, seed)
 
 
 def _placed(classes: DataFrame, centres: np.ndarray, threshold: float, d: int) -> DataFrame:
@@ -80,7 +85,7 @@ def _placed(classes: DataFrame, centres: np.ndarray, threshold: float, d: int) -
 def _tiles(rows: DataFrame) -> DataFrame:
     """rows with lo, hi: groups (label, cell, lo, hi) of bounded size in which any two members of a cell meet once; side: 1 lower part, 2 higher, 3 both."""
     sizes = rows.groupBy("label", "cell").agg(F.count("*").alias("m"))
-    parts = F.ceil(F.col("m") / F.least(F.lit(TILE_MAX), F.greatest(F.lit(TILE_MIN), F.ceil(F.col("m") / TILES)))).cast("int")
+    parts = F.ceil(F.col("m") / TILE_MAX).cast("int")
     cut = rows.join(sizes.withColumn("p", parts).drop("m"), ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), "p").cast("int"))
     return cut.withColumn("other", F.explode(F.expr("sequence(0, p - 1)"))).withColumns({
         "lo": F.least("part", "other"), "hi": F.greatest("part", "other"),

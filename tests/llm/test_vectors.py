@@ -52,13 +52,24 @@ def test_embedding_dedup(crowd):
 
 
 def test_tiles_of_large_cells(crowd, monkeypatch):
-    for name, value in (("TILE_MIN", 2), ("TILE_MAX", 5)):
-        monkeypatch.setattr(embedding_dedup, name, value)
+    monkeypatch.setattr(embedding_dedup, "TILE_MAX", 5)
     want = sorted(map(str, embedding_dedup.near_duplicate_vectors(crowd[2]).collect()))
     monkeypatch.undo()
     assert sorted(map(str, embedding_dedup.near_duplicate_vectors(crowd[2]).collect())) == want
 
 
+def test_cells_grow_with_the_table(spark, crowd, monkeypatch):
+    """The test vectors get one cell at their own size and 256 from 200,000 rows on; more cells lose no link."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding", "label").collect()
+    x, labels = unit(np.array([r.embedding for r in rows], float)), len({r.label for r in rows})
+    cells = [len(embedding_dedup.fit_cells(x, n, labels, 0.98, 23)) for n in (2_000, 200_000, 2_000_000, 20_000_000)]
+    assert cells[0] == 1 and min(cells[1:]) >= 256
+    want = sorted(map(str, embedding_dedup.near_duplicate_vectors(crowd[2]).collect()))
+    many = unit(np.random.default_rng(2).normal(size=(40, 8)))
+    monkeypatch.setattr(embedding_dedup, "fit_cells", lambda *a: many)
+    assert sorted(map(str, embedding_dedup.near_duplicate_vectors(crowd[2]).collect())) == want
+
+
 def brute(rows, every, top):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(float)
     n, out = np.linalg.norm(x, axis=1), {}
