@@ -36,26 +36,23 @@ NEVER = (
     "head", "form", "dialog", "script", "style", "noscript", "template", "button", "select", "option", "textarea", "label", "fieldset",
     "iframe", "object", "svg", "canvas", "audio", "video", "map", "noembed", "noframes", "title",
 )
-# Elements, and words in a class, id or role, that are thought to mark what is not the article, before any page is seen.
-LANDMARKS = ("nav", "header", "footer", "aside", "menu")
-CHROME = (
-    "banner", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer",
-    "disqus", "respond", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "subscribe",
-    "subscription", "signup", "login", "search", "share", "sharing", "social", "recommendations", "widget", "toolbar", "pagination",
-    "pager", "copyright", "legal", "skip", "complementary", "contentinfo", "paywall", "adverts", "advertising", "sponsor", "promotion",
-)
-# Of those words, the ones that hold even inside a marked article.
-STRONG = (
-    "ad", "ads", "advert", "advertisement", "sponsored", "promo", "promoted", "comment", "comments", "replies", "related", "recommended",
-    "teaser", "cookie", "newsletter", "hidden",
-)
-#: What is thought beforehand, in log-odds of standing outside. It holds for marks that labelled pages don't have, or have outside only
-#: too rarely to be as sure; where they have a mark inside as well, what they say replaces it.
-PRIOR = {**dict.fromkeys(LANDMARKS, 9.0), **{"." + w: 4.0 for w in CHROME}, **{"." + w: 12.0 for w in STRONG}}
+# Elements with a meaning of their own, and words in a class, id or role, for what an article is to be cut free of:
+# menus, headers, footers, sidebars and notices;
+LANDMARKS = ("nav", "menu", "header", "footer", "aside")
+NAMED = ("nav", "navbar", "navigation", "menu", "header", "masthead", "banner", "footer", "sidebar", "aside", "notice", "notification", "cookie", "cookies", "consent", "hidden")
+# adverts and reader comments, which interrupt even an article that is marked as such.
+INTERRUPTS = ("ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "comment", "comments", "replies")
+#: As many blocks outside an article are thought to have been seen with each of them before any page is: where labelled pages are
+#: silent that decides, and what they have counts beside it.
+BELIEVED = 50
+#: Log-odds from which a block within the best run is left out by itself; under it, the scan alone decides.
+SURE = 2.0
 #: Elements that an opening tag of one of the others ends.
 ENDS = {"p": frozenset(BLOCKS), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}, "head": {"body"}}
 
 _BLOCKS, _VOID, _NEVER, _RAW = map(frozenset, (BLOCKS, VOID, NEVER, RAW))
+_INTERRUPTS = frozenset("." + w for w in INTERRUPTS)
+_BELIEVED = _INTERRUPTS | {"." + w for w in NAMED} | {*LANDMARKS}
 _MARKED = frozenset({*LANDMARKS, "article", "main"})
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
@@ -94,9 +91,12 @@ class Weights:
     marks: dict[str, float]
 
     def odds(self, block: Block, elsewhere: bool) -> float:
-        """Log-odds that a word of the block is no content. elsewhere: the page marks an article, and the block is not in it."""
-        said = sum(PRIOR.get(m, 0.0) if m not in self.marks else max(PRIOR.get(m, 0.0), self.marks[m]) if self.marks[m] > 0 else self.marks[m] for m in block.marks)
-        return said + (self.marks.get("~", 0.0) if elsewhere else 0.0) - PLAIN
+        """Log-odds that a word of the block is no content. elsewhere: the page marks an article, and the block is not in it. What
+        interrupts articles does so whatever stands around it."""
+        said = [self.marks.get(m, 0.0) for m in block.marks]
+        if any(self.marks.get(m, 0.0) > 0 for m in block.marks & _INTERRUPTS):
+            said = [max(0.0, x) for x in said]
+        return sum(said) + (self.marks.get("~", 0.0) if elsewhere else 0.0) - PLAIN
 
     def cost(self, tags: list[str]) -> float:
         return min(GAP, sum(self.tags.get(t, UNSEEN) for t in tags))
@@ -157,7 +157,7 @@ def blocks(page: str) -> list[Block]:
             continue
         rest = m["rest"] if m["rest"] is not None else m["rest2"]
         marks = _marks(name, rest)
-        parts = name in _BLOCKS or "!" in marks or any(m in PRIOR for m in marks)  # what begins a block of its own
+        parts = name in _BLOCKS or "!" in marks or not marks.isdisjoint(_BELIEVED)  # what begins a block of its own
         if parts:
             flush()
             while stack and name in ENDS.get(stack[-1][0], ()):
@@ -178,11 +178,12 @@ def blocks(page: str) -> list[Block]:
 
 
 def weights(counts: Counter, labelled: Counter) -> Weights:
-    """Log-odds of standing outside the content, from counts of (inside, tag or mark) and the numbers of blocks in and outside."""
+    """Log-odds of standing outside the content, from counts of (inside, tag or mark) and the numbers of blocks in and outside, and from
+    what is believed before."""
     total = {side: labelled[side] + 1 for side in (True, False)}
     odds = {}
-    for k in {t for _, t in counts}:
-        n_in, n_out = counts[True, k], counts[False, k]
+    for k in {t for _, t in counts} | _BELIEVED:
+        n_in, n_out = counts[True, k], counts[False, k] + BELIEVED * (k in _BELIEVED)
         if n_in + n_out >= SUPPORT:
             odds[k] = math.log((n_out + 0.5) / total[False]) - math.log((n_in + 0.5) / total[True])
     tags = {k[1:]: min(MOST, max(LEAST, v)) for k, v in odds.items() if k[0] == "<"}
@@ -191,7 +192,7 @@ def weights(counts: Counter, labelled: Counter) -> Weights:
 
 def scores(found: list[Block], w: Weights) -> list[tuple[float, float]]:
     """For each block what the tags before it cost, and what its words less the tags within score. Every word scores its block's log-odds
-    of being content. Blocks that are rather no content cost PLAIN whatever their length: an advert must not cut an article in two,
+    of being content. Blocks that are surely no content cost PLAIN whatever their length: an advert must not cut an article in two,
     and they are left out of the text in any case. Inside a marked article tags cost LEAST, for there they say nothing more."""
     marked, out = any(b.in_article and not b.dropped for b in found), []
     for b in found:
@@ -200,7 +201,7 @@ def scores(found: list[Block], w: Weights) -> list[tuple[float, float]]:
         gap = min(GAP, LEAST * len(b.before)) if decided else w.cost(b.before)
         inner = min(1.0, LEAST * len(b.inside)) if decided else w.cost(b.inside)
         n = b.text.count(" ") + 1
-        out.append((gap, -PLAIN if b.dropped or odds >= 0 else -odds * n - inner))
+        out.append((gap, -PLAIN if b.dropped or odds >= SURE else -odds * n - inner))
     return out
 
 
@@ -218,16 +219,17 @@ def best_run(scored: list[tuple[float, float]]) -> tuple[int, int]:
 
 
 def main_text(page: str, w: Weights) -> str:
-    """The contiguous run of blocks whose words less tags score highest, without the blocks in it that are rather no content."""
+    """The contiguous run of blocks whose words less tags score highest, without the blocks in it that are surely no content."""
     found = blocks(page)
     marked = any(b.in_article and not b.dropped for b in found)
-    return "\n".join(b.text for b in found[slice(*best_run(scores(found, w)))] if not b.dropped and w.odds(b, marked and not b.in_article) < 0)
+    return "\n".join(b.text for b in found[slice(*best_run(scores(found, w)))] if not b.dropped and w.odds(b, marked and not b.in_article) < SURE)
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", seed: int = 7, most: int = FIT_PAGES) -> Weights:
     """Weights from at most `most` labelled pages: pages that mark their article with an element of its own (article, main), those of
-    smallest seeded hash of the id. A block is content if it stands in that element and no prior is against it. Tags and marks of
-    fewer than SUPPORT blocks weigh nothing. Without any labelled page there are only the priors, and every tag costs UNSEEN."""
+    smallest seeded hash of the id. A block is content if it stands in that element and nothing that interrupts articles is around it.
+    Tags and marks of fewer than SUPPORT blocks weigh nothing. Without any labelled page there is only what is BELIEVED, and every tag
+    costs UNSEEN."""
 
     def count(batches):
         for batch in batches:
@@ -236,7 +238,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", seed:
                 found = blocks(page)
                 if any(b.in_article for b in found):
                     for b in found:
-                        where = b.in_article and not b.dropped and not any(PRIOR.get(m, 0) > 5 for m in b.marks)
+                        where = b.in_article and not b.dropped and b.marks.isdisjoint(_INTERRUPTS)
                         seen.update((where, k) for k in {"", *("<" + t for t in b.before + b.inside), *b.marks, *(() if b.in_article else ("~",))})
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["inside", "tag", "n"])
 
@@ -254,8 +256,12 @@ def extract(pages: DataFrame, w: Weights, html_col: str = "html", keep: tuple[st
     """keep's columns of pages, the main text of html_col as name, and n_chars, its number of code points.
 
     Null and empty pages, and pages without words, get the empty text. Pages are scanned whole, in time linear in their length for
-    tags that nest to a bounded depth. One narrow pass, no shuffle; repeated rows come out repeated. keep must not hold name or n_chars.
+    tags that nest to a bounded depth. Of runs that score alike the earliest is taken. One narrow pass, no shuffle; repeated rows come
+    out repeated. Columns of pages other than keep and html_col aren't read, of whatever name; keep must not hold name or n_chars
+    (ValueError).
     """
+    if clash := {name, "n_chars"} & {*keep}:
+        raise ValueError(f"keep must not hold {sorted(clash)}")
 
     def run(batches):
         for batch in batches:

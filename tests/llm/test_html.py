@@ -62,14 +62,40 @@ def test_the_best_run_of_all_runs(costs):
 
 
 def test_weights_decide(costs):
-    """On the test pages: right without their article elements; and with the learnt weights set to 0 the answers change."""
+    """On the test pages: right without their article elements, and without what is believed before any page; wrong without the weights."""
     pages = [r[0] for r in duckdb.sql("select html from read_parquet('/root/testdata/sf0.01/pages.parquet')").fetchall()]
-    nothing = html.Weights(dict.fromkeys(costs.tags, 0.0), dict.fromkeys(costs.marks, 0.0))
     assert all(html.main_text(re.sub("</?article>", "", p), costs) == plain(p) for p in pages)
-    assert sum(html.main_text(p, nothing) != plain(p) for p in pages) > 0.9 * len(pages)
-    learnt = html.weights(Counter({(True, "<p"): 90, (False, "<p"): 10, (False, "<div"): 50, (True, ".promo"): 40, (False, ".promo"): 1, (False, ".rare"): 2}), Counter({True: 100, False: 100}))
+    assert all(html.main_text(p, html.Weights({}, {})) != plain(p) for p in pages)
+    learnt = html.weights(Counter({(True, "<p"): 90, (False, "<p"): 10, (False, "<div"): 50, (True, ".notice"): 400, (False, ".notice"): 1, (False, ".rare"): 2}), Counter({True: 400, False: 400}))
     assert learnt.tags["p"] < learnt.tags["div"] and ".rare" not in learnt.marks
-    assert html.main_text(f"<div class=promo>{WORDS}</div>", learnt) == WORDS and html.main_text(f"<div class=promo>{WORDS}</div>", html.Weights({}, {})) == ""
+    believed = html.weights(Counter(), Counter())
+    for cls, text, none in (("notice", WORDS, ""), ("xyz", WORDS, WORDS)):
+        assert html.main_text(f"<div class={cls}>{WORDS}</div>", learnt) == text and html.main_text(f"<div class={cls}>{WORDS}</div>", believed) == none
+
+
+def test_labelled_pages_alone_are_enough(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    monkeypatch.setattr(html, "_BELIEVED", frozenset())
+    monkeypatch.setattr(html, "_INTERRUPTS", frozenset())
+    w = html.fit(pages)
+    assert {m for m, x in w.marks.items() if x > 3} == {"nav", "footer", ".ad"}
+    assert all(html.main_text(r.html, w) == plain(r.html) for r in pages.collect())
+
+
+def test_the_scan_decides(costs):
+    """Where nothing is marked: lists of links around an article, and a far-off run of text; no block by itself is against the odds."""
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(12)) + "</ul>"
+    article = "".join(f"<p>{WORDS} {i}</p>" for i in range(4))
+    want = "\n".join(f"{WORDS} {i}" for i in range(4))
+    for page in (f"<body>{links}{article}{links}", f"<body><p>Log in</p>{links}{article}", f"<body>{article}{links}{links}<p>Made by us, with care</p>"):
+        assert html.main_text(page, costs) == want
+        every = "\n".join(b.text for b in html.blocks(page) if not b.dropped and costs.odds(b, False) < 0)
+        assert every != want and want in every
+
+
+def test_ties_go_to_the_earlier_run(costs):
+    far = "<ul>" + "<li><a href=/>x</a></li>" * 40 + "</ul>"
+    assert html.main_text(f"<p>one two three</p>{far}<p>six five four</p>", costs) == "one two three"
 
 
 def test_broken_markup(costs):
@@ -88,3 +114,6 @@ def test_odd_rows(spark, sf, costs):
     rows = html.extract(pages, html.fit(pages), keep=("page_id", "url")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in rows) == [(0, "", 0), (1, "one two", 7), (1, "one two", 7), (2, "", 0)]
     assert html.extract(pages.limit(0), html.fit(pages.limit(0)), keep=("page_id",)).count() == 0
+    with pytest.raises(ValueError):
+        html.extract(pages, html.fit(pages), keep=("text",))
+    assert html.extract(pages, html.fit(pages), keep=("text",), name="main").columns == ["text", "main", "n_chars"]
