@@ -258,9 +258,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     gives. None where there is nothing to learn from. Where an id repeats with a language, the least text counts."""
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null")
     known = known.where(~held_out(F.col("id")))
-    most = saved(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang"), "languages")
+    most = saved(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES), "languages")
     order = Window.partitionBy("lang").orderBy("key", "id")
-    chosen = known.join(F.broadcast(most), "lang").distinct().withColumn("key", F.xxhash64(F.lit(seed), "id"))  # most: LANGUAGES rows at most
+    chosen = known.join(F.broadcast(most), "lang").withColumn("key", F.xxhash64(F.lit(seed), "id"))  # most: LANGUAGES rows at most
+    # the smallest PER_LANGUAGE of `count` even hashes lie under this bound; without it a language's ids would all meet in one task
+    chosen = chosen.where(F.col("key") / F.lit(2.0**64) + 0.5 < F.lit(8.0 * PER_LANGUAGE) / F.col("count")).select("id", "lang", "key").distinct()
     chosen = saved(chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select("id", "lang", "key"), "language-sample")
 
     def run(batches):
