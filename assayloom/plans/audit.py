@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import cells as C
+from ..operators import fits, spectra
 from ..operators import missing as M
 from ..operators import stats as T
 
@@ -310,10 +311,8 @@ class Audit:
             some = per.where(f"d > 0 and d < {n}").count()
             intensity = "indeterminate"
             if some >= p["a12_min_partial_features"]:
-                seen = per.where("d > 0").orderBy("feature").toArrow()  # two numbers per feature
-                m, d = seen["m"].to_numpy(), seen["d"].to_numpy()
-                _, b1 = T.detection_curve(m, d, n)
-                lo, hi = T.bootstrap_slope(m, d, n, p["a12_bootstrap"], p["seed"])
+                _, b1, drawn = fits.detection_curve(per.select("feature", F.col("m").alias("mean"), F.col("d").alias("detected")), n, p["a12_bootstrap"], p["seed"])
+                lo, hi = fits.interval(drawn)
                 inside = -p["a12_b1_negligible"] <= lo and hi <= p["a12_b1_negligible"]
                 intensity = "no" if inside else "yes" if lo > 0 or hi < 0 else "indeterminate"
                 f.measures["detection_curve"] = {"b1": b1, "ci95": [lo, hi], "n_partial": some}
@@ -369,12 +368,10 @@ class Audit:
 
         def run(b: str) -> Finding:
             f, p, y = Finding("A3", b), self.params, self.diagnostic(b)
-            per = self._block(b).groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("value").alias("n")).where("n >= 3 and m > 0 and s > 0").select(F.ln("m").alias("x"), F.ln("s").alias("y")).toArrow()
-            x, s = per["x"].to_numpy(), per["y"].to_numpy()  # two numbers per feature
-            if self.scale_class(b) == "continuous_linear" and len(x) >= 10:
-                rng, slope = np.random.default_rng([p["seed"], 27]), lambda i: float(np.polyfit(x[i], s[i], 1)[0])
-                ci = np.percentile([slope(rng.integers(0, len(x), len(x))) for _ in range(p["bootstrap"])], [2.5, 97.5])
-                f.measures["mean_sd"] = {"slope": slope(np.arange(len(x))), "ci95": ci.tolist()}
+            per = self._block(b).groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("value").alias("n")).where("n >= 3 and m > 0 and s > 0").select("feature", F.ln("m").alias("x"), F.ln("s").alias("y"))
+            if self.scale_class(b) == "continuous_linear" and per.count() >= 10:
+                slope, drawn = fits.slopes(per, "x", "y", n=p["bootstrap"], seed=p["seed"])
+                f.measures["mean_sd"] = {"slope": slope, "ci95": list(fits.interval(drawn))}
             spread = y.groupBy("feature").agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s")).where("s is not null").withColumn("all", F.lit(1))
             f.measures["spearman_rho"] = first(T.spearman(spread, ["all"], "m", "s")).get("rho")
             profile = {r["sample"]: r["median"] for r in M.sample_profile(y.where("y is not null")).collect()}  # a row per sample
@@ -466,23 +463,22 @@ class Audit:
             d, report = self.matrix(b)
             f.measures["matrix"] = report
             if report["n_features_used"] >= 2:
-                names, k = T.gram_matrix(T.gram(d))
-                scores, shares = T.pca(k, p["max_pcs"])
+                features = spectra.Features(d)
+                names, (scores, shares) = features.names, spectra.components(features, p["max_pcs"])
                 f.measures["pca"] = {"shares": shares.tolist()}
                 rows = []
                 for v in vs:
                     use = [i for i, n in enumerate(names) if v["values"].get(n)]
                     if v["kind"] == "subject_id" or len(use) < 4 or len({v["values"][names[i]] for i in use}) < 2:
                         continue
-                    c = np.eye(len(use)) - 1 / len(use)
-                    sub = c @ k[np.ix_(use, use)] @ c
+                    sub = features if len(use) == len(names) else features.only(use)
                     said = [v["values"][names[i]] for i in use]
                     codes = np.array([float(x) for x in said]) if v["numeric"] else np.unique(said, return_inverse=True)[1]
                     plan = T.exchange(codes, None, p["permutations"], p["exhaustive_max"], p["seed"], f"A7|{b}|{v['name']}")
-                    test = T.permanova_numeric if v["numeric"] else T.permanova
-                    r2, stat = test(sub, codes)
-                    pv, least = plan.p_value(test(sub, plan.of(codes))[1], float(stat[0]))
+                    r2, stat = spectra.permanova(sub, np.vstack([codes, plan.of(codes)]), v["numeric"])
+                    pv, least = plan.p_value(stat[1:], float(stat[0]))
                     rows.append({"variable": v["name"], "role": v["role"], "test": "permanova", "r2": float(r2[0]), "f": float(stat[0]), "p": pv, "p_min": least})
+                features.close()
                 for j in range(scores.shape[1]):
                     for r in self._associations(dict(zip(names, scores[:, j].tolist(), strict=True)), f"A7|{b}|PC{j + 1}"):
                         rows.append({**r, "test": f"PC{j + 1} {r['test']}"})
@@ -511,14 +507,15 @@ class Audit:
         v = next(x for x in self.variables() if x["name"] == variable)
 
         def conclude(d: DataFrame) -> str | None:
-            names, k = T.gram_matrix(T.gram(d)) if not d.isEmpty() else ([], np.zeros((0, 0)))
-            said = [v["values"].get(n) or "" for n in names]
-            if len(names) < 4 or "" in said or len(set(said)) < 2:
-                return None
+            features = spectra.Features(d)
+            said = [v["values"].get(n) or "" for n in features.names]
+            if len(said) < 4 or "" in said or len(set(said)) < 2:
+                return features.close()
             codes = np.array([float(x) for x in said]) if v["numeric"] else np.unique(said, return_inverse=True)[1]
             plan = T.exchange(codes, None, self.params["permutations"], self.params["exhaustive_max"], self.params["seed"], f"sensitivity|{block}|{variable}")
-            test = T.permanova_numeric if v["numeric"] else T.permanova
-            p, _ = plan.p_value(test(k, plan.of(codes))[1], float(test(k, codes)[1][0]))
+            _, stat = spectra.permanova(features, np.vstack([codes, plan.of(codes)]), v["numeric"])
+            features.close()
+            p, _ = plan.p_value(stat[1:], float(stat[0]))
             return "associated" if p <= self.params["alpha"] else "not associated"
 
         return C.sensitivity(C.variants(self.diagnostic(block), self.params["floor_min_observed"]), conclude)
@@ -574,8 +571,9 @@ class Audit:
             if report["n_features_used"] >= 2:
                 mid = d.groupBy("feature").agg(F.median("y").alias("mid"))
                 far = {r["sample"]: r.d for r in d.join(mid, "feature").groupBy("sample").agg(F.sqrt(F.sum(F.pow(F.col("y") - F.col("mid"), F.lit(2.0)))).alias("d")).collect()}  # a row per sample
-                names, k = T.gram_matrix(T.gram(d))
-                scores, _ = T.pca(k, 2)
+                features = spectra.Features(d)
+                names, (scores, _) = features.names, spectra.components(features, 2)
+                features.close()
                 for label, values, two_sided in [("distance", [far[n] for n in names], False), *((f"PC{j + 1}", scores[:, j], True) for j in range(scores.shape[1]))]:
                     for n, z in zip(names, modified_z(values), strict=True):
                         if (abs(z) if two_sided else z) > cut:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import cells as C
-from ..operators import facts, missing, stats, transforms
+from ..operators import facts, fits, missing, spectra, stats, transforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -645,28 +645,23 @@ def blocks_units(spark, d):
 
 @query("""SELECT ROUND(r2, 6) AS r2, ROUND((r2 / (nb - 1)) / ((1 - r2) / (n - nb)), 5) AS f FROM (SELECT COUNT(DISTINCT sample) AS n, COUNT(DISTINCT batch) AS nb FROM cm JOIN smp USING (sample)), (SELECT 1 - SUM(w) / SUM(t) AS r2 FROM (SELECT VAR_POP(y) * COUNT(*) AS t, feature FROM cm GROUP BY feature) JOIN (SELECT feature, SUM(v) AS w FROM (SELECT feature, batch, VAR_POP(y) * COUNT(*) AS v FROM cm JOIN smp USING (sample) GROUP BY 1, 2) GROUP BY 1) USING (feature))""")
 def permanova_r2(spark, d):
-    import numpy as np
-
-    names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
-    batch = {r["sample"]: r.batch for r in samples(spark, d).collect()}  # one row per sample
-    r2, f = stats.permanova(k, np.unique([batch[n] for n in names], return_inverse=True)[1])
+    features = spectra.Features(complete(spark, d))
+    r2, f = spectra.permanova(features, batch_codes(spark, d, features))
+    features.close()
     return rounded(spark.createDataFrame([(float(r2[0]), float(f[0]))], "r2 double, f double"), "r2").withColumn("f", F.round("f", 5))
 
 
-@query("""SELECT ROUND(SUM(VAR_POP_Y), 5) AS total, ROUND(SUM(VAR_POP_Y) - SUM(VAR_POP_Y), 5) AS left_over FROM (SELECT VAR_POP(y) * COUNT(*) AS VAR_POP_Y FROM cm GROUP BY feature)""")
-def principal_residual(spark, d):
-    """All components together give the Gram matrix back: its trace, and the largest difference."""
+def batch_codes(spark, d, features):
     import numpy as np
 
-    _, k = stats.gram_matrix(stats.gram(complete(spark, d)))
-    scores, _ = stats.pca(k, len(k))
-    return rounded(spark.createDataFrame([(float(np.trace(k)), float(np.abs(scores @ scores.T - k).max()))], "total double, left_over double"), "total", "left_over", digits=5)
+    batch = {r["sample"]: r.batch for r in samples(spark, d).collect()}  # one row per sample
+    return np.unique([batch[n] for n in features.names], return_inverse=True)[1]
 
 
 @query(""", mr AS (SELECT sample, batch, run_order, 1 - COUNT(value) / COUNT(*) AS y FROM m2 JOIN smp USING (sample) GROUP BY 1, 2, 3),
 rk AS (SELECT *, RANK() OVER (ORDER BY y) + (COUNT(*) OVER (PARTITION BY y) - 1) / 2.0 AS r, RANK() OVER (ORDER BY run_order) AS o FROM mr),
-tt AS (SELECT SUM(t * t * t - t) AS ties FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS t FROM mr GROUP BY y)), gs AS (SELECT SUM(s * s / c) AS q, CAST(SUM(c) AS DOUBLE) AS n FROM (SELECT SUM(r) AS s, COUNT(*) AS c FROM rk GROUP BY batch))
-SELECT 'batch' AS variable, ROUND((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 5) AS value FROM gs, tt UNION ALL SELECT 'run_order', ROUND(CORR(r, o), 5) FROM rk""")
+tt AS (SELECT SUM(t * t * t - t) AS ties FROM (SELECT CAST(COUNT(*) AS DOUBLE) AS t FROM mr GROUP BY y)), gs AS (SELECT SUM(s * s / c) AS q, CAST(SUM(c) AS DOUBLE) AS n, MIN(c) AS least, COUNT(*) AS levels FROM (SELECT SUM(r) AS s, COUNT(*) AS c FROM rk GROUP BY batch))
+SELECT 'batch' AS variable, CASE WHEN levels >= 2 AND least >= 2 THEN ROUND((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 5) END AS value FROM gs, tt UNION ALL SELECT 'run_order', ROUND(CORR(r, o), 5) FROM rk""")
 def association_values(spark, d):
     return rounded(associations(spark, d).select("variable", "value"), "value", digits=5)
 
@@ -771,29 +766,53 @@ def combat(spark, d):
     return rounded(transforms.combat(complete(spark, d).select("feature", "sample", F.col("y").alias("value")), samples(spark, d)), "value", digits=5)
 
 
-ORACLE_SQL["combat"] = ORACLE_SQL["combat"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 # ---------------------------------------------------------------- no SQL: permutations, linear algebra
 
 
-@query()
+#: Eigenvectors by repeated multiplication, one after the other, each time of what the ones before leave of the Gram matrix.
+_POWER = """k{j} AS MATERIALIZED ({matrix}), p{j} AS (SELECT 0 AS step, list_transform(k, lambda r, i: 1.0 + ((i * 7919 + {j} * 104729) % 1009) / 1009) AS v FROM k{j} UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT step, list_transform(k, lambda r: list_inner_product(r, v)) AS w FROM p{j}, k{j}) WHERE step < {steps}),
+e{j} AS MATERIALIZED (SELECT v, list_inner_product(v, list_transform(k, lambda r: list_inner_product(r, v))) AS l, k FROM p{j}, k{j} WHERE step = {steps})"""
+_GRAM = """SELECT list(r ORDER BY s1) AS k FROM (SELECT a.sample AS s1, list(g ORDER BY b.sample) AS r FROM (SELECT DISTINCT sample FROM ct) a, (SELECT DISTINCT sample FROM ct) b JOIN LATERAL (SELECT SUM(x.c * y.c) AS g FROM ct x JOIN ct y USING (feature) WHERE x.sample = a.sample AND y.sample = b.sample) ON TRUE GROUP BY 1)"""
+_DEFLATED = "SELECT list_transform(k, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS k FROM e{before}"
+
+
+@query(
+    ", ct AS (SELECT feature, sample, y - AVG(y) OVER (PARTITION BY feature) AS c FROM cm), "
+    + ", ".join(_POWER.format(j=j, steps=3000, matrix=_GRAM if j == 1 else _DEFLATED.format(before=j - 1)) for j in (1, 2, 3))
+    + """, al AS (SELECT 1 AS pc, v, l FROM e1 UNION ALL SELECT 2, v, l FROM e2 UNION ALL SELECT 3, v, l FROM e3), nm AS (SELECT list(sample ORDER BY sample) AS names FROM (SELECT DISTINCT sample FROM ct)), tr AS (SELECT SUM(c * c) AS total FROM ct)
+SELECT names[i] AS sample, CAST(pc AS INTEGER) AS pc, ROUND(v[i] * sqrt(l) * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END, 5) + 0.0 AS score, ROUND(l / total, 5) AS share FROM al, nm, tr, UNNEST(range(1, len(names) + 1)) u(i)"""
+)
 def principal_components(spark, d):
-    names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
-    scores, shares = stats.pca(k, 5)
-    return spark.createDataFrame([(n, j + 1, float(scores[i, j]), float(shares[j])) for i, n in enumerate(names) for j in range(scores.shape[1])], "sample string, pc int, score double, share double")
+    features = spectra.Features(complete(spark, d))
+    scores, shares = spectra.components(features, 3)
+    features.close()
+    rows = [(n, j + 1, float(scores[i, j]), float(shares[j])) for i, n in enumerate(features.names) for j in range(scores.shape[1])]
+    return rounded(spark.createDataFrame(rows, "sample string, pc int, score double, share double"), "score", "share", digits=5)
+
+
+
+
+@query(""", ct AS (SELECT feature, sample, y FROM cm), ds AS MATERIALIZED (SELECT a.sample AS s1, b.sample AS s2, SQRT(SUM((a.y - b.y) * (a.y - b.y))) AS d FROM ct a JOIN ct b USING (feature) WHERE a.sample <> b.sample GROUP BY 1, 2),
+nb AS MATERIALIZED (SELECT sample, ROW_NUMBER() OVER (ORDER BY sample) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT sample FROM ct)),
+mg AS (SELECT 0::BIGINT AS step, sample, i AS cluster, n, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS h FROM nb UNION ALL
+  SELECT step + 1, sample, CASE WHEN cluster = best.a OR cluster = best.b THEN n + step ELSE cluster END, n, best.a, best.b, best.h FROM mg, (SELECT arg_min(a, h) AS a, arg_min(b, h) AS b, MIN(h) AS h FROM (SELECT x.cluster AS a, y.cluster AS b, MAX(d) AS h FROM mg x JOIN ds ON x.sample = s1 JOIN mg y ON y.sample = s2 WHERE x.cluster < y.cluster GROUP BY 1, 2)) best WHERE step < n - 1)
+SELECT CAST(step - 1 AS INTEGER) AS step, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, ROUND(h, 5) AS height, CAST(COUNT(*) FILTER (cluster = n + step - 1) AS INTEGER) AS size FROM mg WHERE step > 0 GROUP BY step, a, b, h""")
+def sample_clusters(spark, d):
+    return rounded(stats.clusters(stats.gram(complete(spark, d))), "height", digits=5)
 
 
 @query()
 def permanova(spark, d):
     import numpy as np
 
-    names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
-    batch = {r["sample"]: r.batch for r in samples(spark, d).collect()}  # one row per sample
-    codes = np.unique([batch[n] for n in names], return_inverse=True)[1]
+    features = spectra.Features(complete(spark, d))
+    codes = batch_codes(spark, d, features)
     plan = stats.exchange(codes, key="permanova|batch")
-    r2, f = stats.permanova(k, codes)
-    p, least = plan.p_value(stats.permanova(k, plan.of(codes))[1], float(f[0]))
+    r2, f = spectra.permanova(features, np.vstack([codes, plan.of(codes)]))
+    features.close()
+    p, least = plan.p_value(f[1:], float(f[0]))
     return spark.createDataFrame([("batch", float(r2[0]), float(f[0]), p, least)], "variable string, r2 double, f double, p double, p_min double")
 
 
@@ -807,17 +826,48 @@ def associations(spark, d):
     return stats.bh(tests)
 
 
-@query()
+#: Newton's steps, each from the sums over all features at the step before, until nothing moves.
+CURVE_SQL = """, ft AS (SELECT feature, AVG(y) AS m, COUNT(y) AS d FROM dx GROUP BY 1 HAVING COUNT(y) > 0), ns AS (SELECT COUNT(DISTINCT sample)::DOUBLE AS n FROM dx), ce AS (SELECT AVG(m) AS c, LEAST(0.95, GREATEST(0.05, AVG(d) / ANY_VALUE(n))) AS s FROM ft, ns),
+nw AS (SELECT 0 AS step, LN(s / (1 - s)) AS b0, 0.0::DOUBLE AS b1 FROM ce UNION ALL
+  SELECT step + 1, b0 + (h11 * s0 - h01 * s1) / (h00 * h11 - h01 * h01), b1 + (h00 * s1 - h01 * s0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT step, b0, b1, SUM(r) AS s0, SUM(r * x) AS s1, SUM(w) AS h00, SUM(w * x) AS h01, SUM(w * x * x) AS h11 FROM (
+      SELECT step, b0, b1, x, d - n * p / seen AS r, n * p * (1 - p) / seen - (n * p / seen) * (n * p / seen) * (1 - seen) AS w FROM (
+        SELECT step, b0, b1, m - c AS x, d, n, 1 / (1 + EXP(-(b0 + b1 * (m - c)))) AS p, 1 - POW(1 - 1 / (1 + EXP(-(b0 + b1 * (m - c)))), n) AS seen FROM nw, ft, ns, ce)) GROUP BY 1, 2, 3) WHERE step < 40)
+SELECT ROUND(b0 - b1 * c, 5) AS b0, ROUND(b1, 5) AS b1 FROM nw, ce WHERE step = 40"""
+
+
+@query(CURVE_SQL)
 def detection_curve(spark, d):
-    f = logged(spark, d).groupBy("feature").agg(F.avg("y").alias("m"), F.count("y").alias("n")).where("n > 0").toArrow()
-    n = samples(spark, d).count()
-    b0, b1 = stats.detection_curve(f["m"].to_numpy(), f["n"].to_numpy(), n)
-    return spark.createDataFrame([(b0, b1)], "b0 double, b1 double")
+    per = logged(spark, d).groupBy("feature").agg(F.avg("y").alias("mean"), F.count("y").alias("detected"))
+    n = logged(spark, d).select("sample").distinct().count()
+    b0, b1, _ = fits.detection_curve(per, n)
+    return rounded(spark.createDataFrame([(b0, b1)], "b0 double, b1 double"), "b0", "b1", digits=5)
+
+
+@query(""", pf AS (SELECT feature, LN(AVG(value)) AS x, LN(STDDEV_SAMP(value)) AS y FROM m2 GROUP BY 1 HAVING COUNT(value) >= 3 AND STDDEV_SAMP(value) > 0) SELECT ROUND(REGR_SLOPE(y, x), 5) AS slope, TRUE AS inside FROM pf""")
+def mean_spread_slope(spark, d):
+    """The slope over all features, and whether its resampled interval holds it."""
+    per = m2(spark, d).groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("value").alias("n")).where("n >= 3 and s > 0")
+    slope, drawn = fits.slopes(per.select("feature", F.ln("m").alias("x"), F.ln("s").alias("y")), "x", "y", n=199)
+    low, high = fits.interval(drawn)
+    return rounded(spark.createDataFrame([(slope, low <= slope <= high)], "slope double, inside boolean"), "slope", digits=5)
+
+
+@query(""", an AS (SELECT feature, batch, COUNT(*) AS k, AVG(y) AS m, VAR_POP(y) * COUNT(*) AS w FROM cm JOIN smp USING (sample) GROUP BY 1, 2),
+sq AS (SELECT feature, SUM(k) AS n, COUNT(*) AS levels, MIN(k) AS least, MAX(k) AS most, SUM(w) AS inside, VAR_POP(m) * SUM(k) AS across FROM an GROUP BY 1),
+vc AS (SELECT feature, inside / (n - levels) AS msw, (across / (levels - 1) - inside / (n - levels)) / most AS vb, (inside + across) / (n - 1) AS pooled FROM sq WHERE least = most)
+SELECT feature, ROUND(GREATEST(0, vb), 5) AS between_batches, ROUND(CASE WHEN vb > 0 THEN msw ELSE pooled END, 5) AS residual FROM vc""")
+def variance_by_feature(spark, d):
+    """Restricted likelihood for one term, feature by feature; with equally many samples in each batch that is the analysis of variance."""
+    found = fits.variance_fits(complete(spark, d).join(samples(spark, d), "sample"), ["feature"], ["batch"])
+    wide = found.groupBy("feature").agg(F.max(F.when(F.col("term") == "batch", F.col("variance"))).alias("between_batches"), F.max(F.when(F.col("term") == "residual", F.col("variance"))).alias("residual"))
+    return rounded(wide, "between_batches", "residual", digits=5)
 
 
 @query()
 def variance_components(spark, d):
-    names, k = stats.gram_matrix(stats.gram(complete(spark, d)))
-    by = {r["sample"]: r for r in samples(spark, d).collect()}  # one row per sample
-    parts = stats.variance_components(k, {"batch": [by[n].batch for n in names], "subject": [by[n].subject for n in names]})
-    return spark.createDataFrame([(f, float(v)) for f, v in parts.items()], "factor string, share double")
+    return fits.variance_components(complete(spark, d), samples(spark, d), ["batch", "subject"])
+
+
+for _name in ("combat", "principal_components", "sample_clusters", "detection_curve"):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)

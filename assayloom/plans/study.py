@@ -8,8 +8,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import fits
 from ..operators import missing as M
-from ..operators import stats as T
 from ..sources.states import StateStore
 from . import executor, rules
 from .audit import CHECKPOINT, Audit, cleaned
@@ -265,10 +265,16 @@ class Study:
                     rows.setdefault(("variance within groups", b), {})[end] = M.group_variance(a.diagnostic(b).withColumn("value", F.col("y")), g).agg(F.median("variance").alias("v")).first()["v"]
         return self.spark.createDataFrame([(k[0], k[1], v.get("before"), v.get("after")) for k, v in rows.items()], "measure string, block string, before double, after double")
 
-    def variance_components(self, block: str, factors: list[str], sid: str | None = None) -> dict[str, float]:
+    def variance_components(self, block: str, factors: list[str], sid: str | None = None, least: float = 0.01) -> dict[str, float]:
+        """How a state's variance between samples divides among factors, pairs of them ("a:b") and "residual"; where several are under
+        `least`, their sum stands for them as "below"."""
         d, _ = self.audit_at(sid or self.store.head).matrix(block)
-        names, k = T.gram_matrix(T.gram(d))
-        return T.variance_components(k, {f: [self.sample_mapping(f)[n] for n in names] for f in factors})
+        maps = {f: self.sample_mapping(f) for f in factors}
+        names = sorted({s for m in maps.values() for s in m})
+        samples = self.spark.createDataFrame([(s, *(maps[f].get(s) for f in factors)) for s in names], ", ".join(["sample string", *(f"`{f}` string" for f in factors)]))
+        shares = {r.term: r.share or 0.0 for r in fits.variance_components(d, samples, factors).collect()}  # a row per term
+        small = [t for t, v in shares.items() if v < least]
+        return shares if len(small) < 2 else {t: v for t, v in shares.items() if t not in small} | {"below": sum(shares[t] for t in small)}
 
     def replay(self) -> dict:
         return executor.replay(self.store)

@@ -7,9 +7,10 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
+import dense
 from assayloom.functions import scalar as S
 from assayloom.operators import cells as C
-from assayloom.operators import missing, stats, transforms
+from assayloom.operators import fits, missing, spectra, stats, transforms
 
 
 def long(spark, matrix, value="value"):
@@ -45,8 +46,7 @@ def test_significant_digits(spark):
 
 def test_pca_equals_svd(spark):
     y = np.random.default_rng(1).normal(size=(30, 8))
-    names, k = stats.gram_matrix(stats.gram(long(spark, y, "y")))
-    scores, shares = stats.pca(k, 3)
+    scores, shares = spectra.components(spectra.Features(long(spark, y, "y")), 3)
     c = y - y.mean(axis=1, keepdims=True)
     u, s, _ = np.linalg.svd(c.T, full_matrices=False)
     assert np.abs(scores) == pytest.approx(np.abs(u[:, :3] * s[:3])) and shares == pytest.approx(s[:3] ** 2 / (s**2).sum())
@@ -60,10 +60,10 @@ def test_permanova_finds_a_planted_batch():
     y[:, codes == 1] += 2
     c = y - y.mean(axis=1, keepdims=True)
     k = c.T @ c
-    r2, f = stats.permanova(k, codes)
+    r2, f = dense.permanova(k, codes)
     plan = stats.exchange(codes, key="x")
     assert plan.whole and plan.n_distinct == 924 and len({tuple(r) for r in plan.of(codes).tolist()}) == 924
-    p, least = plan.p_value(stats.permanova(k, plan.of(codes))[1], float(f[0]))
+    p, least = plan.p_value(dense.permanova(k, plan.of(codes))[1], float(f[0]))
     assert r2[0] > 0.3 and p == pytest.approx(2 / 924) and least == pytest.approx(1 / 924)
 
 
@@ -101,13 +101,14 @@ def test_modified_z_falls_back(spark):
     assert z[0] == pytest.approx([0, 0, 0, 0, 4 / (1.253314 * 0.8)]) and z[1] == pytest.approx(0.6745 * np.array([-2, -1, 0, 1, 97])) and (z[2] == 0).all()
 
 
-def test_detection_curve_recovers_the_slope():
+def test_detection_curve_recovers_the_slope(spark):
     rng = np.random.default_rng(5)
     m, n = rng.normal(10, 2, 3000), 24
     d = rng.binomial(n, 1 / (1 + np.exp(-(m - 9))))
-    b0, b1 = stats.detection_curve(m[d > 0], d[d > 0], n)
+    rows = lambda d: spark.createDataFrame([(f"f{i}", float(a), int(b)) for i, (a, b) in enumerate(zip(m, d))], "feature string, mean double, detected long")  # noqa: B905, E731
+    b0, b1, _ = fits.detection_curve(rows(d), n)
     assert b1 == pytest.approx(1, abs=0.1) and b0 == pytest.approx(-9, abs=1)
-    lo, hi = stats.bootstrap_slope(m[:400], np.maximum(1, rng.binomial(n, 0.6, 400)), n, 50)
+    lo, hi = fits.interval(fits.detection_curve(rows(np.maximum(1, rng.binomial(n, 0.6, 400))), n, 50)[2])
     assert lo < 0 < hi
 
 
@@ -217,14 +218,16 @@ def test_structures(spark):
     assert code([("1", "x"), ("1", "y"), ("2", "x"), ("2", "y"), ("3", "z"), ("3", "w"), ("4", "z"), ("4", "w")]) == "confounded"
 
 
-def test_clusters_and_components():
-    merges = stats.complete_linkage(np.array([[0.0], [1.0], [10.0], [12.0]]))
-    assert [(a, b, s) for a, b, _, s in merges] == [(0, 1, 2), (2, 3, 2), (4, 5, 4)] and merges[-1][2] == 12
-    y = np.random.default_rng(4).normal(size=(50, 12))
-    y[:, 6:] += 3
-    c = y - y.mean(axis=1, keepdims=True)
-    parts = stats.variance_components(c.T @ c, {"batch": ["a"] * 6 + ["b"] * 6, "other": ["x", "y"] * 6})
-    assert parts["batch"] > 0.5 and sum(parts.values()) == pytest.approx(1)
+def test_clusters(spark):
+    rng = np.random.default_rng(4)
+    for n, p in ((2, 3), (9, 2), (40, 4)):
+        y = rng.normal(size=(p, n))
+        want = dense.complete_linkage(y.T - y.T.mean(axis=0))
+        got = stats.clusters(stats.gram(long(spark, y, "y"))).orderBy("step").collect()
+        assert [(r.a, r.b, r["size"]) for r in got] == [(a, b, s) for a, b, _, s in want] and [r.height for r in got] == pytest.approx([h for *_, h, _ in want])
+    ties = stats.complete_linkage(np.abs(np.subtract.outer(np.arange(6.0), np.arange(6.0))))
+    assert len(ties) == 5 and ties[-1][2:] == (5.0, 6) and sum(h == 1 for *_, h, _ in ties) == 3
+    assert stats.complete_linkage(np.zeros((1, 1))) == [] and stats.clusters(stats.gram(long(spark, np.zeros((2, 2)), "y").limit(0))).count() == 0
 
 
 def test_identical_vectors(spark):

@@ -198,7 +198,9 @@ def test_plan_to_replay(study, planted):
     assert study.load_overrides(str(planted[2] / "saved")) == {"A1B1:imputed": "no"}
     study.first.overrides.clear()
     assert len(study.decisions) == 3 and study.completeness("A1B1").count() == 5
-    assert set(study.variance_components("A1B1", ["Plate", "Group"])) == {"Plate", "Group", "residual"}
+    parts = study.variance_components("A1B1", ["Plate", "Group"])
+    assert sum(parts.values()) == pytest.approx(1) and set(parts) <= {"Plate", "Group", "Plate:Group", "residual", "below"}
+    assert set(study.variance_components("A1B1", ["Plate", "Group"], least=0)) == {"Plate", "Group", "Plate:Group", "residual"}
 
 
 def test_states_do_not_depend_on_partitions(spark, study, tmp_path):
