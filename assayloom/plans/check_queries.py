@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import transforms
 from ..sources import delimited
 from ..sources.states import StateStore, content_hash
-from . import catalogue, layout
+from . import catalogue, layout, plan_queries  # noqa: F401 (plan_queries registers its queries)
 from .audit import Audit
 from .catalogue import m2, query, rank_sql, rounded, samples, table
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -153,6 +154,7 @@ class Study:
                 "medians_differ": shift.get("medians_differ"), "median_technical": hit([r for r in shift.get("associations") or [] if r["role"] == "batch"]), "median_contrast": False if contrast == "none" else hit(contrast_rows),
                 "n_outliers": len(a11.get("samples") or {}), "subject_present": subject, "n": float(a5["n"]) if "n" in a5 else None, "n_eff": a5.get("n_eff"),
                 "contrast_variable": contrast, "protected_variables": intake["protected_variables"], "downstream_family": intake.get("downstream_family"),
+                "share_complete": (a12.get("shares") or {}).get("0.0"),
             })
         return out
 
@@ -165,7 +167,7 @@ class Study:
             for item in self._items(e) or [None]:
                 one = e | {"entry": f"{e['block']}:{e['group']}" + (f":{item['name']}" if item else ""), "item": item, "candidates": [dict(c) for c in e["candidates"]]}
                 for c in one["candidates"]:
-                    c["params"] = self._params(c["op"], e) | ({k: item[k] for k in ("ids", "reason")} if item and c["op"] in ("remove_features", "remove_samples") else {})
+                    c["params"] = self._looked_up(c["params"] or {}) | ({k: item[k] for k in ("ids", "reason")} if item and c["op"] in ("remove_features", "remove_samples") else {})
                 whole.append(one)
         self.planned = (self.store.head, whole)
         return whole
@@ -187,14 +189,16 @@ class Study:
         facts = self.spark.createDataFrame([cleaned(f) for f in self.facts()], rules.FACTS)
         return [r.asDict() for r in rules.plan_notes(facts).collect()]
 
-    def _params(self, op: str | None, entry: dict) -> dict:
+    def _looked_up(self, params: dict[str, str]) -> dict:
+        """A candidate's parameters as values: tables of the sample information for their names, numbers for texts that are numbers."""
         kinds = {v["kind"]: v["name"] for v in reversed(self.first.variables())}
-        batch = self.sample_mapping(kinds["batch"]) if "batch" in kinds else {}
-        order = self.sample_mapping(kinds["run_order"]) if "run_order" in kinds else {}
-        return {
-            "recode_zero_as_missing": {"answer": "yes"}, "log_transform": {"base": 2, "offset_rule": "half_min"}, "batch_center": {"batch": batch, "stat": "median"}, "batch_combat": {"batch": batch},
-            "drift_sample_loess": {"batch": batch, "run_order": order}, "drift_qc_loess": {"qc_samples": self.qc_samples(), "run_order": order},
-        }.get(op, {})
+        table = {
+            "$batch_mapping": lambda: self.sample_mapping(kinds["batch"]) if "batch" in kinds else {},
+            "$run_order_mapping": lambda: self.sample_mapping(kinds["run_order"]) if "run_order" in kinds else {},
+            "$qc_samples": self.qc_samples,
+        }
+        number = lambda v: json.loads(v) if re.fullmatch(r"-?\d+(\.\d+)?", v) else v
+        return {k: table[v]() if v in table else number(v) for k, v in params.items()}
 
     def completeness(self, block: str) -> DataFrame:
         """Features kept at each threshold, overall and within the best level of the contrast."""
