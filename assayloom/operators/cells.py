@@ -40,12 +40,39 @@ def from_long(table: DataFrame, feature: str, sample: str, value: str, row: str,
     return out.select(F.lit(block).alias("block"), "feature_idx", "feature", "sample_idx", "sample", F.coalesce("raw", F.lit("")).alias("raw"), S.number(F.col("raw")).alias("value"))
 
 
+def in_order(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with name: 0, 1, ... in the order of `by`. Rows are dealt to tasks by range; each task counts its own, and starts behind those of the
+    ranges before it (a row per range). Rows that are equal in `by` come in any order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id() % (1 << 33)}).persist()
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()
+    before, n = [], 0
+    for r in sorted(sizes, key=lambda r: r["__part"]):
+        before.append((r["__part"], n))
+        n += r.n
+    starts = df.sparkSession.createDataFrame(before, "__part int, __before long")
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
+def stacked(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of a unit one below the other: (row, sample, value), and whose rows they are: (row, block, feature). Rows are numbered from 0 by block
+    and feature, so that blocks which share feature ids stay apart."""
+    keys = in_order(cells.select("block", "feature").distinct(), ["block", "feature"], "row").select("row", "block", "feature")
+    return cells.join(keys, ["block", "feature"]).select("row", "sample", "value"), keys
+
+
+def unstacked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The blocks of a stacked matrix, whose values may have changed. A row that has no key is an error; rows that are gone stay gone."""
+    whose = F.when(F.col("block").isNull(), F.raise_error(F.concat(F.lit("no key for row "), F.col("row").cast("string")))).otherwise(F.col("block"))
+    return rows.join(keys, "row", "left").select(whose.alias("block"), "feature", "sample", "value")
+
+
 def complete_grid(pairs: DataFrame, values: list[str], order: str | None = None) -> DataFrame:
     """Every feature with every sample: absent pairs have NULL values. The distinct samples are the small side; their number is
     checked by the planner before it is broadcast. The product is the grid itself, not a step on the way to fewer rows."""
     def keys(c: str, i: str) -> DataFrame:
         first = pairs.groupBy(c).agg(F.min(order if order else c).alias("o"))
-        return first.select(c, (F.row_number().over(Window.orderBy("o")) - 1).cast("long").alias(i)) if order else first.select(c)
+        return in_order(first, ["o", c], i).select(c, i) if order else first.select(c)
 
     grid = keys("feature", "feature_idx").crossJoin(keys("sample", "sample_idx"))
     return grid.join(pairs.select("feature", "sample", *values), ["feature", "sample"], "left")

@@ -1,10 +1,13 @@
-"""Components and distances of samples from passes over features: no samples x samples matrix, on the driver or anywhere else."""
+"""Components and distances of samples from passes over features, and the closest pairs of features: no samples x samples matrix, and no
+table of all pairs of features, on the driver or anywhere else."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Columns that a component search takes beyond those asked for, numbers of its basis at which it starts afresh from its best, passes at most.
@@ -163,3 +166,80 @@ def permanova(features: Features, codes: np.ndarray, numeric: bool = False) -> t
     with np.errstate(divide="ignore", invalid="ignore"):
         f = (between / used) / ((total - between) / left)
     return between / total if total > 0 else between * 0, f
+
+
+# ---------------------------------------------------------------- features
+
+#: Features of a tile at most, and centres that tiles are formed around at most.
+TILE, CENTRES = 1024, 512
+
+
+def _nearest(z: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit row's closest centre, whatever the sign, and the angle to it."""
+    near = np.abs(z @ centres.T)
+    cell = near.argmax(axis=1)
+    return cell, np.arccos(np.minimum(1.0, near[np.arange(len(z)), cell]))
+
+
+def close_tiles(centres: np.ndarray, reach: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs a <= b of tiles that may hold features with |r| >= least: a feature is within its tile's reach of the tile's centre (angles), so two
+    features of tiles whose centres are an angle t apart are at least t less both reaches apart."""
+    apart = np.arccos(np.minimum(1.0, np.abs(centres @ centres.T))) - reach[:, None] - reach[None, :]
+    keep = apart <= math.acos(min(1.0, least)) + 1e-9
+    np.fill_diagonal(keep, True)
+    return [(int(a), int(b)) for a, b in np.argwhere(keep) if a <= b]
+
+
+def feature_links(cells: DataFrame, parent: DataFrame, least: float, top: int = 5, value: str = "y", seed: int = 0) -> DataFrame:
+    """(feature, rank, other, same_parent, r): each feature's `top` closest others by |r|, of those with |r| >= least; ties by name.
+
+    For features without gaps over the same samples; constant ones correlate with nothing. parent: (feature, parent). Features become unit vectors and
+    are dealt to tiles around centres, drawn by seeded hashes of their names; only pairs of tiles that the triangle inequality leaves open are
+    multiplied, and a product returns at most `top` rows a feature. So neither the work between distant features nor the output grows with
+    the square of the features.
+    """
+    spark, y = cells.sparkSession, F.col(value).cast("double")
+    wide = cells.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("sample", y.alias("y")))).alias("c"), F.avg(y).alias("m"), F.var_pop(y).alias("v"), F.count("*").alias("n"))
+    wide = wide.where("v > 1e-24 * (m * m + 1)").select("feature", F.transform("c.y", lambda x: (x - F.col("m")) / F.sqrt(F.col("v") * F.col("n"))).alias("z")).persist()
+    n = wide.count()
+    drawn = wide.orderBy(F.xxhash64(F.lit(seed), "feature"), "feature").limit(min(CENTRES, max(1, -(-n // TILE)))).select("z").collect()  # CENTRES rows at most
+    if not n:
+        wide.unpersist()
+        return parent.where("false").select("feature", F.lit(1).alias("rank"), F.col("feature").alias("other"), F.lit(True).alias("same_parent"), F.lit(0.0).alias("r"))
+    centres = np.array([r.z for r in drawn])
+    shared = spark.sparkContext.broadcast(centres)
+
+    def deal(batches):
+        for batch in batches:
+            z = np.array(batch.column("z").to_pylist()).reshape(len(batch), -1)
+            cell, angle = _nearest(z, shared.value) if len(z) else (np.zeros(0, np.int64), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.array([x.tobytes() for x in z], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(angle)], ["feature", "z", "cell", "angle"])
+
+    dealt = wide.mapInArrow(deal, "feature string, z binary, cell int, angle double").persist()
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))  # a row per centre
+    cut = dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("feature"), "parts").cast("int"))
+    tiles = cut.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("feature", "z"))).alias("m"), F.max("angle").alias("reach")).persist()
+    known = tiles.select("cell", "part", "reach").orderBy("cell", "part").collect()  # a row per tile
+    pairs = close_tiles(centres[[r.cell for r in known]], np.array([r.reach for r in known]), least)
+    order = spark.createDataFrame([(i, r.cell, r.part) for i, r in enumerate(known)], "tile int, cell int, part int")
+    placed = tiles.join(F.broadcast(order), ["cell", "part"]).select("tile", F.col("m.feature").alias("f"), F.col("m.z").alias("z"))
+    todo = spark.createDataFrame(pairs, "a int, b int").join(placed.toDF("a", "f1", "z1"), "a").join(placed.toDF("b", "f2", "z2"), "b")
+
+    def multiply(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                one, two = (np.array([np.frombuffer(x) for x in row[c]]) for c in ("z1", "z2"))
+                r, same = np.clip(one @ two.T, -1, 1), row["a"] == row["b"]
+                out: list[tuple[str, str, float]] = []
+                for near, mine, others in ((r, row["f1"], row["f2"]), *(() if same else ((r.T, row["f2"], row["f1"]),))):
+                    for i, line in enumerate(near):
+                        hits = [j for j in np.flatnonzero(np.abs(line) >= least - 1e-12) if not (same and i == j)]
+                        hits.sort(key=lambda j: (-abs(line[j]), others[j]))
+                        out += [(mine[i], others[j], float(line[j])) for j in hits[:top]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["feature", "other", "r"])
+
+    found = todo.mapInArrow(multiply, "feature string, other string, r double").where(F.abs("r") >= least)
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc(F.abs("r")), "other"))).where(F.col("rank") <= top)
+    whose = lambda c, p: parent.select(F.col("feature").alias(c), F.col("parent").alias(p))
+    return best.join(whose("feature", "__p"), "feature", "left").join(whose("other", "__q"), "other", "left").select("feature", "rank", "other", F.coalesce(F.col("__p") == F.col("__q"), F.lit(False)).alias("same_parent"), "r")

@@ -622,6 +622,20 @@ def blocks_log_half_min(spark, d):
     return rounded(transforms.log_transform(two_blocks(spark, d)), "value").select("block", "feature", "sample", "value")
 
 
+@query("""SELECT CAST(ROW_NUMBER() OVER (ORDER BY block, feature) - 1 AS BIGINT) AS row, block, feature FROM (SELECT DISTINCT block, feature FROM bx)""")
+def blocks_stacked_keys(spark, d):
+    return C.stacked(two_blocks(spark, d))[1]
+
+
+@query("""SELECT block, feature, sample, ROUND(value - AVG(value) OVER (PARTITION BY sample), 6) AS value FROM bx""")
+def blocks_unstacked(spark, d):
+    """Both blocks as one matrix, centred by sample over all of its rows, and taken apart again."""
+    rows, keys = C.stacked(two_blocks(spark, d))
+    mean = rows.groupBy("sample").agg(F.avg("value").alias("m"))
+    centred = rows.join(mean, "sample").select("row", "sample", (F.col("value") - F.col("m")).alias("value"))
+    return rounded(C.unstacked(centred, keys), "value")
+
+
 @query("""SELECT (SELECT COUNT(*) FROM bx WHERE sample = 'CHINA' AND block = 'A1B2') AS lost, 0::BIGINT AS added, 0::BIGINT AS gap_changed, 0::BIGINT AS new_infinite, (SELECT COUNT(value) FROM bx WHERE block = 'A1B1' AND sample = 'PERU') AS changed_outside""")
 def blocks_invariants(spark, d):
     old = two_blocks(spark, d)
@@ -678,6 +692,13 @@ def feature_correlation(spark, d):
     return rounded(stats.feature_pairs(c, c.select("feature", F.substring("feature", 1, 8).alias("parent")).distinct()), "r", digits=5)
 
 
+@query(""", fp AS (SELECT a.feature, b.feature AS other, LEFT(a.feature, 8) = LEFT(b.feature, 8) AS same_parent, CORR(a.y, b.y) AS r FROM cm a JOIN cm b USING (sample) WHERE a.feature <> b.feature GROUP BY 1, 2, 3)
+SELECT feature, CAST(ROW_NUMBER() OVER (PARTITION BY feature ORDER BY ABS(r) DESC, other) AS INTEGER) AS rank, other, same_parent, ROUND(r, 5) AS r FROM fp WHERE NOT ISNAN(r) AND ABS(r) >= 0.4 QUALIFY rank <= 3""")
+def closest_features(spark, d):
+    c = complete(spark, d)
+    return rounded(spectra.feature_links(c, c.select("feature", F.substring("feature", 1, 8).alias("parent")).distinct(), 0.4, 3), "r", digits=5)
+
+
 @query("""SELECT feature, COALESCE(MIN(value) FILTER (value > 0) / 2, 1.0) AS "offset" FROM m2 GROUP BY 1""")
 def half_minimum(spark, d):
     return C.half_minimum(m2(spark, d), ["feature"])

@@ -247,27 +247,70 @@ class Study:
     def reject(self, entry: str, reason: str = "", user: str = "you") -> None:
         self.decisions.append({"at": datetime.now(UTC).isoformat(), "entry": entry, "decision": "reject", "reason": reason, "user": user})
 
+    def instrument(self, sid: str) -> list[tuple[str, str, float | None]]:
+        """(measure, block, value) of a state, always measured alike: batches and designs in PERMANOVA, correlation within and between classes, control
+        features' slopes, QC spread, gaps, complete features, variance within groups, shares of the variance."""
+        a, out = self.audit_at(sid), []
+        contrast = self.intake().get("contrast_variable")
+        for b in self.first.blocks:
+            a7, a12 = self._measures("A7", b, sid), self._measures("A12", b, sid)
+            out += [(f"permanova r2 {r['variable']}", b, r["r2"]) for r in a7.get("associations") or [] if r["test"] == "permanova"]
+            out += [(f"permanova p {r['variable']}", b, r["p"]) for r in a7.get("associations") or [] if r["test"] == "permanova" and r["role"] == "batch"]
+            out += [(f"same-batch effect {r['variable']}", b, r["effect"]) for r in a7.get("relationship") or []]
+            out += [(f"control slope {f}", b, v) for f, v in sorted((a7.get("controls") or {}).items())]
+            out.append(("qc spread", b, self._measures("A6", b, sid).get("qc", {}).get("median")))
+            out.append(("gaps", b, float((a12.get("cell_encoding") or {}).get("missing", 0))))
+            out.append(("complete features", b, (a12.get("shares") or {}).get("0.0")))
+            if contrast and contrast != "none":
+                g = self.spark.createDataFrame([(s, v) for s, v in self.sample_mapping(contrast).items() if v], "sample string, level string")
+                out.append(("variance within groups", b, M.group_variance(a.diagnostic(b).withColumn("value", F.col("y")), g).agg(F.median("variance").alias("v")).first()["v"]))
+            factors = [v["name"] for v in a.variables() if v["role"] == "batch" and not v["numeric"]][:2] + [contrast] * bool(contrast and contrast != "none")
+            if factors:
+                out += [(f"share of variance {t}", b, v) for t, v in self.variance_components(b, factors, sid, least=0.0).items()]
+        return out
+
     def verify(self, before: str | None = None, after: str | None = None) -> DataFrame:
-        """(measure, block, before, after) of two states: batch in PERMANOVA, same-batch correlation, QC spread, completeness, group variance. Told, not ranked."""
-        chain = self.store.chain()
-        ends = {"before": before or chain[0]["state_id"], "after": after or self.store.head}
+        """(measure, block, before, after) of two states, by default the root and HEAD. Told, not ranked."""
+        ends = {"before": before or self.store.chain()[0]["state_id"], "after": after or self.store.head}
         rows: dict = {}
         for end, sid in ends.items():
-            a = self.audit_at(sid)
-            for b in self.first.blocks:
-                a7, a12 = self._measures("A7", b, sid), self._measures("A12", b, sid)
-                for r in a7.get("associations") or []:
-                    if r["test"] == "permanova":
-                        rows.setdefault((f"permanova r2 {r['variable']}", b), {})[end] = r["r2"]
-                for r in a7.get("relationship") or []:
-                    rows.setdefault((f"same-batch effect {r['variable']}", b), {})[end] = r["effect"]
-                rows.setdefault(("qc spread", b), {})[end] = self._measures("A6", b, sid).get("qc", {}).get("median")
-                rows.setdefault(("complete features", b), {})[end] = (a12.get("shares") or {}).get("0.0")
-                contrast = self.intake().get("contrast_variable")
-                if contrast and contrast != "none":
-                    g = self.spark.createDataFrame([(s, v) for s, v in self.sample_mapping(contrast).items() if v], "sample string, level string")
-                    rows.setdefault(("variance within groups", b), {})[end] = M.group_variance(a.diagnostic(b).withColumn("value", F.col("y")), g).agg(F.median("variance").alias("v")).first()["v"]
-        return self.spark.createDataFrame([(k[0], k[1], v.get("before"), v.get("after")) for k, v in rows.items()], "measure string, block string, before double, after double")
+            for measure, b, v in self.instrument(sid):
+                rows.setdefault((measure, b), {})[end] = v
+        return self.spark.createDataFrame([(*k, v.get("before"), v.get("after")) for k, v in rows.items()], "measure string, block string, before double, after double")
+
+    def checkpoints(self) -> dict[str, str]:
+        """The states that a verification holds to each other: the root (C0), the last state before batch correction (C1), and HEAD where batches
+        have been corrected (C2)."""
+        out = {}
+        for s in self.store.chain():
+            out[self.checkpoint(s["state_id"])] = s["state_id"]
+        return out
+
+    def verification(self) -> DataFrame:
+        """(checkpoint, state_id, measure, block, value, against_c0, against_c1, control, met): the instrument at every checkpoint, held to
+        those before it.
+
+        control names what a measure must show for the correction to have worked: negative ones that batches no longer group samples (p above alpha, no more
+        correlation within a batch than between), positive ones that nothing was filled (no fewer gaps removed than features went) and that the QC
+        spread didn't grow against C1. met is NULL where there is nothing to hold it to. Checks the plan; never ranks methods.
+        """
+        at, alpha, rows = self.checkpoints(), self.first.params["alpha"], []
+        seen = {c: {(m, b): v for m, b, v in self.instrument(sid)} for c, sid in at.items()}
+        for c, sid in at.items():
+            for (m, b), v in seen[c].items():
+                c0, c1 = seen["C0"].get((m, b)) if c != "C0" else None, seen.get("C1", {}).get((m, b)) if c == "C2" else None
+                less = lambda x, v=v: None if v is None or x is None else v - x
+                control, met = None, None
+                if m.startswith("permanova p "):
+                    control, met = "negative", None if v is None else v > alpha
+                elif m.startswith("same-batch effect "):
+                    control, met = "negative", None if v is None else v <= 0
+                elif m == "qc spread" and c1 is not None:
+                    control, met = "positive", None if v is None else v <= c1 * (1 + 1e-9)
+                elif m == "gaps" and c0 is not None:
+                    control, met = "positive", v <= c0 + 1e-9
+                rows.append((c, sid, m, b, v, less(c0), less(c1), control, met))
+        return self.spark.createDataFrame(rows, "checkpoint string, state_id string, measure string, block string, value double, against_c0 double, against_c1 double, control string, met boolean")
 
     def variance_components(self, block: str, factors: list[str], sid: str | None = None, least: float = 0.01) -> dict[str, float]:
         """How a state's variance between samples divides among factors, pairs of them ("a:b") and "residual"; where several are under

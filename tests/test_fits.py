@@ -220,3 +220,34 @@ def test_slopes_and_intervals(spark):
     low, high = fits.interval(many)
     assert low < slope < high and 0.1 < high - low < 0.4  # four standard errors of about 0.05
     assert np.isnan(fits.slopes(df.limit(0), "x", "y", n=2)[0]) and np.isnan(fits.interval(np.array([np.nan]))[0])
+
+
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_feature_links_against_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(spectra, "TILE", tile)
+    rng = np.random.default_rng(10)
+    hubs = rng.normal(size=(9, 20))
+    y = np.vstack([s * h + rng.normal(size=20) * 0.3 for h in hubs for s in (1, -1, 2, 0.5, 3, 1, 1, -2)] + [rng.normal(size=20) for _ in range(20)] + [np.full(20, 7.0)])
+    names = [f"f{i:04d}" for i in range(len(y))]
+    parent = spark.createDataFrame([(f, str(i // 8)) for i, f in enumerate(names)], "feature string, parent string")
+    got = {(r.feature, r["rank"]): (r.other, r.same_parent, r.r) for r in spectra.feature_links(cells_of(spark, y, features=names), parent, 0.8, 3).collect()}
+    with np.errstate(invalid="ignore"):
+        r = np.corrcoef(y)
+    want = {}
+    for i in range(len(y)):
+        near = sorted((-abs(r[i, j]), names[j], j) for j in range(len(y)) if j != i and abs(r[i, j]) >= 0.8)
+        want |= {(names[i], k): (f, i // 8 == j // 8, r[i, j]) for k, (_, f, j) in enumerate(near[:3], 1)}
+    assert set(got) == set(want) and all(got[k][:2] == want[k][:2] and np.isclose(got[k][2], want[k][2]) for k in want)
+    assert spectra.feature_links(cells_of(spark, y[-1:]), parent, 0.8).count() == 0
+
+
+def test_far_tiles_are_left_out():
+    rng = np.random.default_rng(11)
+    centres = np.linalg.qr(rng.normal(size=(30, 30)))[0]
+    reach = np.full(30, 0.2)
+    z = np.vstack([c * np.cos(a) + np.linalg.qr(np.stack([c, rng.normal(size=30)], axis=1))[0][:, 1] * np.sin(a) for c in centres for a in (0.05, 0.2)])
+    pairs = spectra.close_tiles(centres, reach, 0.9)
+    assert pairs == [(i, i) for i in range(30)]
+    wide = set(spectra.close_tiles(centres, reach, 0.3))
+    near = np.abs(z @ z.T)
+    assert all((min(i, j) // 2, max(i, j) // 2) in wide for i, j in np.argwhere(near >= 0.3))

@@ -230,6 +230,17 @@ def test_clusters(spark):
     assert stats.complete_linkage(np.zeros((1, 1))) == [] and stats.clusters(stats.gram(long(spark, np.zeros((2, 2)), "y").limit(0))).count() == 0
 
 
+def test_stack_and_unstack(spark):
+    cells = spark.createDataFrame([(b, f, s, None if (f, s) == ("f1", "s0") else float(i)) for i, (b, f, s) in enumerate((b, f"f{k}", f"s{j}") for b in ("A1B2", "A1B1") for k in range(5) for j in range(3))], "block string, feature string, sample string, value double").repartition(3)
+    rows, keys = C.stacked(cells)
+    assert [tuple(r) for r in keys.orderBy("row").collect()] == [(i, b, f"f{k}") for i, (b, k) in enumerate((b, k) for b in ("A1B1", "A1B2") for k in range(5))]
+    assert sorted(map(str, C.unstacked(rows, keys).collect())) == sorted(map(str, cells.collect()))
+    assert C.unstacked(rows.where("row <> 3"), keys).count() == 27
+    with pytest.raises(SparkRuntimeException):
+        C.unstacked(rows, keys.where("row <> 3")).collect()
+    assert C.stacked(cells.limit(0))[1].count() == 0
+
+
 def test_identical_vectors(spark):
     x = np.array([[1, 1, 2], [0, -0.0, 5], [np.nan, np.nan, np.nan]])
     got = missing.identical_vectors(long(spark, x), "sample", "feature").collect()

@@ -187,6 +187,9 @@ def test_plan_to_replay(study, planted):
     assert study.checkpoint() == "C2" and [s["op"]["op"] for s in study.store.chain()[1:]] == ["log_transform", "batch_center"]
     told = {r.measure: (r.before, r.after) for r in study.verify().collect()}
     assert told["permanova r2 Plate"][1] < 0.1 < told["permanova r2 Plate"][0]
+    held = {(r.checkpoint, r.measure): r for r in study.verification().collect()}
+    assert {c for c, _ in held} == {"C0", "C1", "C2"} and held["C2", "permanova r2 Plate"].against_c1 < 0 and held["C1", "permanova r2 Plate"].against_c1 is None
+    assert held["C0", "permanova p Plate"].control == "negative" and not held["C0", "permanova p Plate"].met and held["C2", "permanova p Plate"].met and held["C2", "gaps"].met
     again = study.replay()
     assert again["identical"] and again["steps"] == 2 and logged in study.store.states
     study.reject("A1B1:S1", "not needed")
