@@ -11,8 +11,11 @@ from .store import saved
 from .text import tidy
 from .vectors import common_length, packed, sample, stack, unit
 
-#: Vectors that codebooks are fitted on; rows of a block of candidates and of queries; candidates by table score that set each query's bound.
-FIT, BLOCK, QUERIES, FIRST = 8192, 8192, 2048, 64
+#: Vectors that codebooks are fitted on; rows of the index in a file; queries that one scan of the index takes (they are broadcast: their bytes
+#: are bounded); candidates by table score, in each task, that set each query's bound.
+FIT, BLOCK, QUERIES, FIRST = 8192, 8192, 16_384, 64
+#: Rows and queries whose scores a task holds at a time.
+ROWS, AT_ONCE = 4096, 128
 #: Inner product from which errors matter; it sets how much an error along the vector costs beside one across it.
 THRESHOLD = 0.2
 #: Rounding that a blocked product of unit vectors may be off by.
@@ -121,28 +124,60 @@ def build_index(table: DataFrame, id_col: str, vec_col: str, copies: int, seed:
                 along, across = q.errors(x, code)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(along), pa.array(across)], [*part.schema.names, "code", "along", "across"])
 
-    return q, d, ids.select("vec_id", "fp"), saved(distinct.mapInArrow(tidy(run), "fp string, rep long, ids array<long>, vec binary, code binary, along double, across double"), "ann-index")
+    index = distinct.mapInArrow(tidy(run), "fp string, rep long, ids array<long>, vec binary, code binary, along double, across double")
+    # scanning costs far more than a row's bytes say: files of BLOCK rows spread over as many tasks as there are cores
+    return q, d, ids.select("vec_id", "fp"), saved(index.repartition(max(1, -(-ids.count() // BLOCK)), "rep"), "ann-index")
 
 
-def _tasks(asked: DataFrame, index: DataFrame, n_asked: int, n: int, seed: int) -> DataFrame:
-    """Both sides dealt by hash into blocks of fixed size, each block of candidates with each block of queries; code is null for queries."""
-    blocks, q_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
-    deal = lambda x, parts: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(parts)).cast("int").alias(x)
-    sides = lambda parts, x: F.explode(F.expr(f"sequence(0, {parts - 1})")).alias(x)
-    right = index.select("*", deal("c", blocks)).select("*", sides(q_blocks, "q"))
-    left = asked.select("*", deal("q", q_blocks)).select("*", sides(blocks, "c"))
-    return right.unionByName(left, allowMissingColumns=True).groupBy("q", "c")
+class Best:
+    """Each query's `top` greatest scores so far, with the candidates' names; ties to the smaller name."""
+
+    def __init__(self, queries: int, top: int):
+        self.score, self.rep = np.full((queries, top), -np.inf), np.full((queries, top), np.iinfo(np.int64).max)
+
+    def add(self, query: int, score: np.ndarray, rep: np.ndarray) -> None:
+        s, r, top = np.concatenate([self.score[query], score]), np.concatenate([self.rep[query], rep]), self.score.shape[1]
+        order = np.lexsort([r, -s])[:top]
+        self.score[query], self.rep[query] = s[order], r[order]
+
+    def batch(self, asks: np.ndarray) -> pa.RecordBatch:
+        query, at = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(asks[query]), pa.array(self.rep[query, at]), pa.array(self.score[query, at])], ["ask", "rep", "score"])
+
+
+def _scan(index: DataFrame, asked: list, d: int, find, top: int) -> DataFrame:
+    """(ask, rep, score): each task of the index goes through its own rows for all queries of a block (rep, vec, least), and gives each query's `top` of what
+    find(raw rows, codes, along, across, rep, queries, least) yields, (query, rows' places, exact scores). The index is neither shuffled nor copied."""
+    if not asked:
+        return index.select(F.col("rep").alias("ask"), "rep", F.lit(0.0).alias("score")).limit(0)
+    asks = np.array([r["rep"] for r in asked], np.int64)
+    shared = index.sparkSession.sparkContext.broadcast((asks, stack([r["vec"] for r in asked], d), np.array([r["least"] for r in asked])))
+
+    def run(batches):
+        asks, raw, least = shared.value
+        best = Best(len(asks), top)
+        for batch in batches:
+            for rows in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
+                x, rep = stack(rows.column("vec").to_pylist(), d), rows.column("rep").to_numpy()
+                codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
+                along, across = rows.column("along").to_numpy(), rows.column("across").to_numpy()
+                for at in range(0, len(asks), AT_ONCE):
+                    for i, these, exact in find(x, codes, along, across, rep, raw[at : at + AT_ONCE], least[at : at + AT_ONCE]):
+                        best.add(at + i, exact, rep[these])
+        yield best.batch(asks)
+
+    return index.select("rep", "vec", "code", "along", "across").mapInArrow(tidy(run), "ask long, rep long, score double")
 
 
 def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, seed: int = 29) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the `top` rows of largest cosine but itself.
 
-    Every row is in the index, once per distinct vector. (1) Blocks of codes are scanned by table for blocks of queries; each query's
-    FIRST best codes over all blocks are reranked by the exact cosine, and the last of their best top + 1 is a bound that the
-    result can't fall below. (2) Codes are scanned again; candidates whose code does not prove them to be below the bound (see
-    needed) are reranked on the original vectors in double precision. So the result is exact, whatever the codes are worth, and
-    the share of rows reranked falls as the table grows. (3) Each query's blocks are merged and distinct vectors give their ids.
-    Ties go to the smaller id.
+    Every row is in the index, once per distinct vector. Queries are taken in blocks of QUERIES, each in two scans of the index. (1) Codes are
+    scanned by table; in each task a query's FIRST best codes are reranked by the exact cosine, and over all tasks the last of its
+    best top + 1 is a bound that the result can't fall below. (2) Codes are scanned again; candidates whose code does not prove
+    them to be below the bound (see needed) are reranked on the original vectors in double precision. So the result is exact, whatever
+    the codes are worth, and the share of rows reranked falls as the table grows. (3) Distinct vectors give their ids. Ties go to the smaller
+    id.
 
     Rows with a null id, and vectors that are null, empty, zero, hold null or non-finite components or are not of the table's
     commonest length take no part. Repeated rows count once: a candidate is an id; of an id with several vectors the one of least
@@ -152,59 +187,30 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     q, d, ids, index = build_index(table, id_col, vec_col, top + 1, seed)
     wanted = ids.where(F.col("vec_id") % every == 0)
     asked = saved(index.select("fp", "rep", "vec").join(wanted.select("fp").distinct(), "fp", "left_semi").select("rep", "vec"), "ann-asked")
-    n, n_asked = index.count(), asked.count()
-
-    def split(pdf):
-        asks = pdf["code"].isna().to_numpy()
-        mine, rows = pdf[asks], pdf[~asks]
-        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1) if len(rows) else None
-        return mine, rows, codes
-
-    def first(pdf):
-        import pandas as pd
-
-        mine, rows, codes = split(pdf)
-        rep, out = rows["rep"].to_numpy(), []
-        raw = stack(mine["vec"], d) if len(rows) else np.zeros((0, d))
-        for at in range(0, len(raw), 128):
-            scores, _ = q.scores(unit(raw[at : at + 128]), codes)
-            many = min(FIRST, scores.shape[1])
-            best = np.argpartition(-scores, many - 1, axis=1)[:, :many]
-            out.append(pd.DataFrame({"ask": np.repeat(mine["rep"].to_numpy()[at : at + 128], many), "rep": rep[best].reshape(-1), "score": np.take_along_axis(scores, best, 1).reshape(-1).astype(float)}))
-        return pd.concat(out) if out else pd.DataFrame({"ask": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
-
+    blocks = max(1, -(-asked.count() // QUERIES))
     best_of = lambda most: F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "rep")) <= most
-    start = _tasks(asked, index.select("rep", "code"), n_asked, n, seed).applyInPandas(first, "ask long, rep long, score double").withColumn("keep", best_of(FIRST)).where("keep")
 
-    def exactly(batches):
-        for batch in batches:
-            a, b = (stack(batch.column(c).to_pylist(), d) for c in ("vec", "other"))
-            s = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column("ask"), pa.array(s)], ["ask", "score"])
-
-    pairs = start.select("ask", "rep").join(index.select("rep", "vec"), "rep").join(asked.toDF("ask", "other"), "ask").select("ask", "vec", "other")
-    bound = pairs.mapInArrow(tidy(exactly), "ask long, score double").withColumn("k", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score")))).where(F.col("k") <= top + 1)
-    bound = bound.groupBy("ask").agg(F.when(F.max("k") == top + 1, F.min("score") - EPS).otherwise(-1.0).alias("least"))
-    bounded = saved(asked.join(bound.withColumnRenamed("ask", "rep"), "rep", "left").withColumn("least", F.coalesce("least", F.lit(-1.0))), "ann-bounds")
-
-    def rerank(pdf):
-        import pandas as pd
-
-        mine, rows, codes = split(pdf)
-        rep, out = rows["rep"].to_numpy(), []
-        x, raw = (stack(t["vec"], d) for t in (rows, mine if len(rows) else mine[:0]))
-        along, across, least = rows["along"].to_numpy(), rows["across"].to_numpy(), mine["least"].to_numpy()
-        for at in range(0, len(raw), 128):
-            scores, slack = q.scores(unit(raw[at : at + 128]), codes)
-            for i, need in enumerate(needed(scores, slack, least[at : at + 128], along, across)):
-                these = np.flatnonzero(need)
-                exact = cosines(x[these], raw[at + i])
-                best = np.lexsort([rep[these], -exact])[: top + 1]
-                out.append((np.full(len(best), mine["rep"].iloc[at + i]), rep[these][best], exact[best]))
-        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pd.DataFrame({"ask": a, "rep": b, "score": s})
-
-    found = _tasks(bounded, index.select("rep", "vec", "code", "along", "across"), n_asked, n, seed).applyInPandas(rerank, "ask long, rep long, score double").withColumn("keep", best_of(top + 1)).where("keep")
+    def first(x, codes, along, across, rep, queries, least):
+        scores, _ = q.scores(unit(queries), codes)
+        many = min(FIRST, scores.shape[1])
+        for i, these in enumerate(np.argpartition(-scores, many - 1, axis=1)[:, :many]):
+            yield i, these, cosines(x[these], queries[i])
+
+    def rerank(x, codes, along, across, rep, queries, least):
+        scores, slack = q.scores(unit(queries), codes)
+        for i, need in enumerate(needed(scores, slack, least, along, across)):
+            if len(these := np.flatnonzero(need)):
+                yield i, these, cosines(x[these], queries[i])
+
+    found = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(blocks)) == block).withColumn("least", F.lit(-1.0)).collect()  # about QUERIES rows
+        bound = _scan(index, own, d, first, top + 1).withColumn("keep", best_of(top + 1)).where("keep")
+        bound = bound.groupBy("ask").agg(F.when(F.count("*") == top + 1, F.min("score") - EPS).otherwise(-1.0).alias("least"))
+        least = {r["ask"]: r["least"] for r in bound.collect()}  # a number per query of the block
+        hits = _scan(index, [{"rep": r["rep"], "vec": r["vec"], "least": least.get(r["rep"], -1.0)} for r in own], d, rerank, top + 1)
+        hits = hits.withColumn("keep", best_of(top + 1)).where("keep").drop("keep")
+        found = hits if found is None else found.unionByName(hits)
     rows = found.join(index.select("rep", "ids"), "rep").select("ask", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     best = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1).groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("k", "vec_id", "score"))).alias("best"))

@@ -101,7 +101,7 @@ def test_ann_recall(spark):
 def test_ann_over_many_blocks(spark, monkeypatch):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = sorted(map(tuple, ann.nearest(table).collect()))
-    for name, value in (("BLOCK", 150), ("QUERIES", 7), ("FIRST", 3)):
+    for name, value in (("BLOCK", 150), ("QUERIES", 7), ("FIRST", 3), ("ROWS", 40), ("AT_ONCE", 3)):
         monkeypatch.setattr(ann, name, value)
     assert sorted(map(tuple, ann.nearest(table.repartition(5)).collect())) == want
 
