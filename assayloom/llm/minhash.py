@@ -16,9 +16,9 @@ from .text import LOWER, mix, shingle_sets, slices, string_buffers, tidy
 
 #: Bytes of one signature value.
 VALUE = 2
-#: Tiles of a bucket: at least this many members a side, and at most TILE_MAX; a bucket is cut into about TILES parts a side. Rows of
-#: tiles in a task, about: comparing them costs far more than their bytes say, so bytes must not decide on the number of tasks.
-TILE_MIN, TILE_MAX, TILES, TASK_ROWS = 1024, 1024, 32, 4096
+#: Members of a bucket in a side of a tile, at most. Rows of tiles in a task, about: comparing them costs far more than their bytes say, so
+#: bytes must not decide on the number of tasks.
+TILE_MAX, TASK_ROWS = 1024, 4096
 
 
 @dataclass(frozen=True)
@@ -156,25 +156,43 @@ class _Union:
         return x
 
 
+def _shapes(rows: DataFrame) -> DataFrame:
+    """(key, most, in_most, in_rest) of buckets (key, comp, ...): their largest component, its members, and the members of all others."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    return sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.max("m").alias("in_most"), (F.sum("m") - F.max("m")).alias("in_rest"))
+
+
+def _parts(members: str):
+    return F.ceil(F.col(members) / TILE_MAX).cast("int")
+
+
 def _tiles(rows: DataFrame) -> DataFrame:
-    """rows (key, rep, ...) of buckets, dealt to (key, tile) groups so that any two members of a bucket meet in one group.
+    """rows (key, rep, comp, ...) of buckets, dealt to (key, tile) groups so that any two members of a bucket that are in different components meet
+    in one group.
 
-    A bucket of m members is cut into p parts of TILE_MIN to TILE_MAX members, and every pair of parts is a group; a large bucket
-    so becomes many groups of bounded size. side: bit 1 for the lower part of the group, bit 2 for the higher.
+    The members of a bucket's largest component are joined already: they meet those of other components alone. Both are cut into
+    parts of TILE_MAX members; each pair of a part of the largest with a part of the rest is a group, and each pair of parts of the
+    rest. So a bucket whose stars left k members of m aside takes k * m comparisons, and about m rows while k is under TILE_MAX.
+    side: bit 1 for the lower part of the group, bit 2 for the higher.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
-    side = F.least(F.lit(TILE_MAX), F.greatest(F.lit(TILE_MIN), F.ceil(F.col("m") / TILES)))
-    cut = rows.join(sizes, "key").withColumn("p", F.ceil(F.col("m") / side).cast("int")).drop("m").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"))
-    return cut.withColumn("other", F.explode(F.expr("sequence(0, p - 1)"))).withColumns({
-        "tile": F.struct(F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")),
-        "side": F.when(F.col("part") == F.col("other"), 3).when(F.col("part") < F.col("other"), 1).otherwise(2),
-    }).drop("p", "part", "other")
+    cut = rows.join(_shapes(rows).select("key", "most", _parts("in_most").alias("p_most"), _parts("in_rest").alias("p_rest")), "key")
+    large = F.col("comp") == F.col("most")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(large, F.col("p_most")).otherwise(F.greatest("p_rest", F.lit(1)))).cast("int"))
+    tile = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
+    upto = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<tile:struct<kind:int,lo:int,hi:int>,side:int>>"))
+    part = F.col("part")
+    of = lambda t, side: F.struct(t.alias("tile"), side.cast("int").alias("side"))
+    met = F.when(large, upto("p_rest", lambda i: of(tile(0, part, i), F.lit(1)))).otherwise(F.concat(
+        upto("p_most", lambda i: of(tile(0, i, part), F.lit(2))),
+        upto("p_rest", lambda i: of(tile(1, F.least(part, i), F.greatest(part, i)), F.when(i == part, 3).when(part < i, 1).otherwise(2))),
+    ))
+    return cut.withColumn("met", F.explode(met)).select(*rows.columns, "met.tile", "met.side")
 
 
 def _dealt(rows: DataFrame, narrow: DataFrame) -> DataFrame:
-    """rows of tiles, dealt to as many tasks as the rows that narrow (key, ..., a written table) makes need."""
-    side = F.least(F.lit(TILE_MAX), F.greatest(F.lit(TILE_MIN), F.ceil(F.col("m") / TILES)))
-    n = narrow.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.ceil(F.col("m") / side)).alias("n")).first()["n"] or 0
+    """rows of tiles, dealt to as many tasks as the rows that narrow (key, comp, ..., a written table) makes need."""
+    p, q = _parts("in_most"), _parts("in_rest")
+    n = _shapes(narrow).agg(F.sum(F.col("in_most") * q + F.col("in_rest") * (p + q)).alias("n")).first()["n"] or 0
     return rows.repartition(max(1, -(-n // TASK_ROWS)), "key", "tile").groupBy("key", "tile")
 
 
@@ -216,8 +234,9 @@ def _rest(members: DataFrame, classes: DataFrame, label: DataFrame, sets: DataFr
         i, j = _in_tile(pdf, b)
         return pd.DataFrame({"key": pdf["key"].iloc[0], "band": pdf["band"].iloc[0], "rep": pdf["rep"].to_numpy()[np.unique(np.concatenate([i, j]))]})
 
-    near = saved(_dealt(rows, named).applyInPandas(partners, "key long, band int, rep long").distinct(), "near")
-    full = _tiles(near.join(named.select("key", "rep", "comp"), ["key", "rep"])).join(sketched, "rep").join(sets, "rep")
+    near = _dealt(rows, named).applyInPandas(partners, "key long, band int, rep long").distinct()
+    near = saved(near.join(named.select("key", "rep", "comp"), ["key", "rep"]), "near")
+    full = _tiles(near).join(sketched, "rep").join(sets, "rep")
 
     def links(pdf):
         import pandas as pd

@@ -54,7 +54,6 @@ def test_documents(spark):
 
 @pytest.mark.parametrize("tile", [16, 1024])
 def test_pairs_around_the_threshold(spark, monkeypatch, tile):
-    monkeypatch.setattr(minhash, "TILE_MIN", tile)
     monkeypatch.setattr(minhash, "TILE_MAX", tile)
     texts = crowd()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
@@ -94,3 +93,21 @@ def test_components(spark):
     want = {x: min(ids[:200]) for x in ids[:200]} | {x: min(ids[250:400]) for x in ids[250:400]}
     assert got == want
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tiles_meet_every_open_pair_once_and_grow_with_the_rest_alone(spark, monkeypatch):
+    members = [(k, r, c) for k, comps in ((1, [7] * 40 + [8, 9, 9]), (2, [1] * 6 + [2] * 5 + [3] * 9), (3, [4, 4])) for r, c in enumerate(comps, 100 * k)]
+    rows = spark.createDataFrame(members, "key long, rep long, comp long").repartition(3)
+    assert {r.key: r["count"] for r in minhash._tiles(rows).groupBy("key").count().collect()} == {1: 40 + 3 * 2, 2: 9 + 11 * 2}
+    monkeypatch.setattr(minhash, "TILE_MAX", 4)
+    met, sizes = {}, {}
+    for r in minhash._tiles(rows).collect():
+        met.setdefault((r.key, r.tile), []).append(r)
+    pairs = []
+    for (key, _), group in met.items():
+        assert len(group) <= 16
+        low, high = [r for r in group if r.side & 1], [r for r in group if r.side & 2]
+        pairs += [(key, *sorted((a.rep, b.rep))) for a in low for b in high if a.comp != b.comp and (a.side != 3 or a.rep < b.rep)]
+        sizes[key] = sizes.get(key, 0) + len(group)
+    want = [(k, a, b) for k, a, x in members for j, b, y in members if k == j and a < b and x != y]
+    assert sorted(pairs) == sorted(want) and 3 not in sizes and sizes[1] == 40 + 3 * (10 + 1)
