@@ -89,24 +89,24 @@ def normalize_median(cells: DataFrame) -> DataFrame:
     return _per_unit(cells.join(per, [*keys, "sample"]), total).withColumn("value", F.col("value") - F.col("__s") + F.col("__t")).drop("__s", "__t")
 
 
-def _profile(cells: DataFrame, keys: list[str], points: int | None) -> DataFrame:
-    """(keys, i, v): the mean sorted profile of a unit's samples; at each rank, or read at `points` places over [0, 1].
+def _profile(cells: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+    """(keys, i, v): the mean sorted profile of a unit's samples; at each rank where the samples are whole, else read at __grid places over [0, 1].
 
     A sample's k-th of m sorted values stands at (k - 0.5) / m. Each value covers the places from its own to the next one's, so a
     sample gives one row per place and nothing is gathered."""
     w = Window.partitionBy(*keys, "sample").orderBy("value")
     v = F.col("value")
-    ordered = cells.where(v.isNotNull()).select(*keys, "sample", "value", F.row_number().over(w).alias("k"), F.lead("value").over(w).alias("__next"))
-    if points is None:
+    ordered = cells.where(v.isNotNull()).select(*keys, "sample", "value", "__grid", F.row_number().over(w).alias("k"), F.lead("value").over(w).alias("__next"))
+    if whole:
         return ordered.groupBy(*keys, (F.col("k") - 1).alias("i")).agg(F.avg("value").alias("v"))
-    m = F.count("*").over(Window.partitionBy(*keys, "sample"))
-    place = lambda k: F.ceil((k - 0.5) / F.col("__m") * (points - 1)).cast("int")
+    m, last = F.count("*").over(Window.partitionBy(*keys, "sample")), F.col("__grid") - 1
+    place = lambda k: F.ceil((k - 0.5) / F.col("__m") * last).cast("int")
     spans = ordered.withColumn("__m", m).withColumns({
         "__from": F.when(F.col("k") == 1, 0).otherwise(place(F.col("k"))),
-        "__to": F.when(F.col("k") == F.col("__m"), points - 1).otherwise(place(F.col("k") + 1) - 1),
+        "__to": F.when(F.col("k") == F.col("__m"), last).otherwise(place(F.col("k") + 1) - 1).cast("int"),
     }).where("__from <= __to")
     at = spans.withColumn("i", F.explode(F.sequence("__from", "__to")))
-    beyond = F.col("i") / F.lit(float(points - 1)) * F.col("__m") - (F.col("k") - 0.5)
+    beyond = F.col("i") / last.cast("double") * F.col("__m") - (F.col("k") - 0.5)
     read = v + F.when(beyond <= 0, 0.0).otherwise(beyond) * (F.coalesce("__next", v) - v)
     return at.groupBy(*keys, "i").agg(F.avg(read).alias("v"))
 
@@ -114,32 +114,25 @@ def _profile(cells: DataFrame, keys: list[str], points: int | None) -> DataFrame
 def normalize_quantile(cells: DataFrame) -> DataFrame:
     """Each sample gets its unit's mean sorted profile, read at its values' average ranks.
 
-    Complete samples: the profile has a value per rank. With gaps: each sample's sorted values are read at p points over [0, 1]
+    Complete units: the profile has a value per rank. With gaps: each sample's sorted values are read at p points over [0, 1]
     (p: the unit's features) and averaged; a value of rank r among n is read at (r - 0.5) / n. Ranks between points are interpolated.
+    All units go through one plan, in which the unit is a key and the number of points a column.
     """
     keys = unit_keys(cells)
     shape = cells.groupBy(*keys).agg(F.count_distinct("feature").alias("p"), F.count_if(F.col("value").isNull()).alias("gaps"))
-    out = []
-    for row in shape.collect():  # a row per unit
-        one = cells
-        for k in keys:
-            one = one.where(F.col(k) == row[k])
-        grid = max(row["p"], 2) if row["gaps"] else None
+    shape = shape.select(*keys, F.when(F.col("gaps") > 0, F.greatest("p", F.lit(2))).cast("int").alias("__grid"))
+    shaped, out = _per_unit(cells, shape), []
+    for whole in (True, False):
+        one = shaped.where(F.col("__grid").isNull() if whole else F.col("__grid").isNotNull())
         ranks = stats.ranked(one, [*keys, "sample"], "value", "__r")
-        at = (F.col("__r") - 0.5) / F.count("*").over(Window.partitionBy(*keys, "sample")) * (grid - 1) if grid else F.col("__r") - 1
+        at = F.col("__r") - 1 if whole else (F.col("__r") - 0.5) / F.count("*").over(Window.partitionBy(*keys, "sample")) * (F.col("__grid") - 1)
         placed = ranks.withColumn("__at", at).withColumn("__lo", F.floor("__at").cast("int"))
-        profile = _profile(one, keys, grid)
-        lo = profile.select(F.col("i").alias("__lo"), F.col("v").alias("__vlo"))
-        hi = profile.select((F.col("i") - 1).alias("__lo"), F.col("v").alias("__vhi"))
+        profile = _profile(one, keys, whole)
+        lo = profile.select(*keys, F.col("i").alias("__lo"), F.col("v").alias("__vlo"))
+        hi = profile.select(*keys, (F.col("i") - 1).alias("__lo"), F.col("v").alias("__vhi"))
         value = F.col("__vlo") + (F.col("__at") - F.col("__lo")) * (F.coalesce("__vhi", "__vlo") - F.col("__vlo"))
-        changed = placed.join(lo, "__lo").join(hi, "__lo", "left").withColumn("value", value).select(*cells.columns)
-        out.append(changed.unionByName(one.where("value is null")))
-    if not out:
-        return cells
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
+        out.append(placed.join(lo, [*keys, "__lo"]).join(hi, [*keys, "__lo"], "left").withColumn("value", value).select(*cells.columns))
+    return out[0].unionByName(out[1]).unionByName(cells.where("value is null"))
 
 
 def _middle(stat: str, c: Column) -> Column:
