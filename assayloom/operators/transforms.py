@@ -273,36 +273,11 @@ def correct_batch_effects(cells: DataFrame, order: DataFrame, method: str = "med
     return combat(smooth, batches) if method == "combat" else batch_center(smooth, batches, method)
 
 
-def impute_min_prob(cells: DataFrame, shift: float = 1.8, scale: float = 0.3, seed: int = 0) -> DataFrame:
-    """Outside the plan: missing cells drawn from a normal below their sample's values (mean - shift sd, scale sd); by hash of the
-    cell, so partitions don't matter. Observed cells stay."""
-    keys = [*unit_keys(cells), "sample"]
-    per = cells.groupBy(*keys).agg(F.avg("value").alias("__m"), F.stddev_samp("value").alias("__sd"))
-    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *keys, "feature"), F.lit(2**52)) + 0.5) / float(2**52)
-    normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * np.pi * uniform(2))
-    drawn = F.col("__m") - shift * F.col("__sd") + scale * F.col("__sd") * normal
-    return cells.join(per, keys).withColumn("value", F.coalesce(F.col("value"), drawn)).drop("__m", "__sd")
-
-
-def impute_knn(cells: DataFrame, k: int = 5) -> DataFrame:
-    """Outside the plan: a missing cell becomes the mean of its feature's k nearest features (root mean square difference over shared
-    samples) that have a value in that sample. Observed cells stay. Only features with gaps look for neighbours."""
-    keys = unit_keys(cells)
-    here = cells.where("value is not null").select(*keys, "feature", "sample", "value")
-    other = here.withColumnsRenamed({"feature": "other", "value": "ov"})
-    asked = cells.where("value is null").select(*keys, "feature").distinct()
-    pairs = here.join(asked, [*keys, "feature"], "left_semi").join(other, [*keys, "sample"]).where("feature <> other")
-    near = pairs.groupBy(*keys, "feature", "other").agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("ov"), F.lit(2.0)))).alias("d"))
-    gaps = cells.where("value is null").select(*keys, "feature", "sample").join(near, [*keys, "feature"]).join(other, [*keys, "other", "sample"])
-    rank = F.row_number().over(Window.partitionBy(*keys, "feature", "sample").orderBy("d", "other"))
-    filled = gaps.withColumn("r", rank).where(F.col("r") <= k).groupBy(*keys, "feature", "sample").agg(F.avg("ov").alias("__new"))
-    return cells.join(filled, [*keys, "feature", "sample"], "left").withColumn("value", F.coalesce("value", "__new")).drop("__new")
-
-
-def violations(parent: DataFrame, child: DataFrame, may_remove: bool = False, may_blank_zero: bool = False, touched: Column | None = None) -> DataFrame:
+def violations(parent: DataFrame, child: DataFrame, may_remove: bool = False, may_blank_zero: bool = False, touched: Column | None = None, may_fill: bool = False) -> DataFrame:
     """(lost, added, gap_changed, new_infinite, changed_outside): what an operation broke; all 0 or the state is refused.
 
-    lost: cells gone, unless it removes. gap_changed: missing cells filled or values blanked (zeros may be, if so declared).
+    lost: cells gone, unless it removes. gap_changed: missing cells filled or values blanked (zeros may be, if so declared; with may_fill gaps
+    may be filled, and then nothing else may change).
     changed_outside: values changed where touched (a predicate over block, feature and sample) does not hold, or by a removal.
     """
     keys = [c for c in ("block", "feature", "sample") if c in parent.columns]
@@ -312,7 +287,11 @@ def violations(parent: DataFrame, child: DataFrame, may_remove: bool = False, ma
     gap = kept & (old.isNull() != new.isNull())
     if may_blank_zero:
         gap = gap & ~(F.coalesce(old == 0, F.lit(False)) & new.isNull())
+    if may_fill:
+        gap = gap & new.isNull()
     infinite = kept & F.coalesce((F.abs("new") == float("inf")) & (F.abs("old") != float("inf")), F.lit(False))
     allowed = F.lit(False) if may_remove else F.lit(True) if touched is None else F.coalesce(touched, F.lit(False))
+    if may_fill:
+        allowed = allowed & old.isNull()
     outside = kept & ~old.eqNullSafe(new) & ~allowed
     return both.agg(F.count_if(F.col("c").isNull() & F.lit(not may_remove)).alias("lost"), F.count_if(F.col("p").isNull()).alias("added"), F.count_if(gap).alias("gap_changed"), F.count_if(infinite).alias("new_infinite"), F.count_if(outside).alias("changed_outside"))

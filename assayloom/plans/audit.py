@@ -643,13 +643,40 @@ class Audit:
 CHECKPOINT = ("A2", "A3", "A6", "A4", "A12", "A7", "A8", "A5", "A11")
 
 
-def imputation_families(pattern: str, by_batch: str, classes: dict[str, int], total: int) -> list[str]:
-    """Families that a method-selection stage may look at; listed, never ranked or run here."""
-    rules = [
-        ("left_censored", pattern in ("mostly_intensity_dependent", "mixed")), ("local_similarity", total > 0 and classes.get("scattered", 0) / total > 0.5),
-        ("mixed_by_class", pattern == "mixed"), ("within_batch", by_batch == "yes" or classes.get("batch_wide_absent", 0) > 0), ("model_without_imputation", True),
-    ]
-    return [] if pattern == "none" else [n for n, fits in rules if fits]
+@dataclass(frozen=True)
+class Family:
+    """Methods that fill gaps in one way: why they may fit, what speaks for them and what to mind."""
+
+    name: str
+    methods: tuple[str, ...]
+    fits: str
+    level: str
+    evidence: str
+    caveat: str
+    takes_batch_wide_gaps: bool = False
+
+
+FAMILIES = (
+    Family("left_censored", ("min_prob", "half of the minimum", "quantile regression of the left tail"), "gaps depend on intensity", "literature_independent", "values below a detection limit are low ones", "lowers variance among low values, and misleads where gaps are scattered"),
+    Family("local_similarity", ("knn", "local least squares"), "most gaps are scattered", "literature_independent", "features that move together tell each other's values", "draws low values up where gaps depend on intensity; needs neighbours that were seen"),
+    Family("global_structure", ("principal components", "singular value thresholding"), "most gaps are scattered, and few components hold the variance", "literature_independent", "samples lie near a few components", "the number of components decides; batches are components too"),
+    Family("mixed_by_class", ("min_prob for low features, knn for the others",), "gaps depend on intensity and on batches", "expert_guidance", "each feature class has gaps of its own kind", "the border between classes is drawn by a threshold"),
+    Family("within_batch", ("any of these, batch by batch, after correction",), "gaps go with batches, or features are absent from whole batches", "literature_independent", "values of another batch carry its shift", "features absent from a whole batch stay absent: nothing there can tell"),
+    Family("random_forest", ("iterated trees over features",), "most gaps are scattered, and there are few features", "literature_independent", "takes dependence of any form", "slow for many features; flattens extremes"),
+    Family("model_without_imputation", ("mixed models", "hurdle models", "rank tests on what is observed"), "always", "expert_guidance", "the later model can take gaps itself", "compares only what was observed, unless it models the gaps", True),
+)
+
+
+def imputation_families(pattern: str, by_batch: str, classes: dict[str, int], total: int) -> list[dict]:
+    """What a method-selection stage may look at: every family, with what speaks for and against it and whether it fits the profile. Listed in a fixed
+    order, never ranked or run here; nothing where nothing is missing."""
+    scattered = total > 0 and classes.get("scattered", 0) / total > 0.5
+    batches = by_batch == "yes" or classes.get("batch_wide_absent", 0) > 0
+    fits = {
+        "left_censored": pattern in ("mostly_intensity_dependent", "mixed"), "local_similarity": scattered, "global_structure": scattered, "mixed_by_class": pattern == "mixed",
+        "within_batch": batches, "random_forest": scattered, "model_without_imputation": True,
+    }
+    return [] if pattern == "none" else [{**asdict(f), "methods": list(f.methods), "fits_profile": fits[f.name]} for f in FAMILIES]
 
 
 def modified_z(values) -> np.ndarray:

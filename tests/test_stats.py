@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import dense
 from assayloom.functions import scalar as S
 from assayloom.operators import cells as C
-from assayloom.operators import fits, missing, spectra, stats, transforms
+from assayloom.operators import fits, imputation, missing, spectra, stats, transforms
 
 
 def long(spark, matrix, value="value"):
@@ -191,12 +191,36 @@ def test_batch_centre_keeps_flagged_cells_out_of_the_middle(spark):
     assert got[0, :2].mean() == pytest.approx(got[0, 3:].mean()) and got[0, 2] - got[0, 0] == pytest.approx(89)
 
 
-def test_imputation_hooks_fill_only_gaps(spark):
-    x = np.random.default_rng(8).normal(20, 1, (12, 6))
-    x[2, 3] = x[5, 1] = np.nan
-    for fill in (transforms.impute_min_prob, lambda c: transforms.impute_knn(c, 3)):
-        got = wide(fill(long(spark, x)))
-        assert np.isfinite(got).all() and (got[np.isfinite(x)] == x[np.isfinite(x)]).all()
+@pytest.mark.parametrize("asked, at_once", [(4096, 512), (3, 2)])
+def test_nearest_features_fill_gaps(spark, monkeypatch, asked, at_once):
+    monkeypatch.setattr(imputation, "ASKED", asked)
+    monkeypatch.setattr(imputation, "AT_ONCE", at_once)
+    rng = np.random.default_rng(8)
+    x = rng.normal(20, 1, (14, 6))
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[3] = np.nan  # nothing is known of it: samples' means
+    cells = long(spark, x).withColumn("unit", F.lit("u")).repartition(3)
+    got = wide(imputation.knn(cells, ["unit"], 3))
+    want = x.copy()
+    for i, j in np.argwhere(np.isnan(x)):
+        near = []
+        for o in range(len(x)):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[o])
+            if o != i and both.any() and not np.isnan(x[o, j]):
+                near.append((np.sqrt(((x[i] - x[o])[both] ** 2).mean()), o))
+        want[i, j] = np.mean([x[o, j] for _, o in sorted(near)[:3]]) if near else np.nanmean(x[:, j])
+    assert got == pytest.approx(want)
+    assert imputation.knn(long(spark, np.ones((2, 2))), []).count() == 4
+
+
+def test_draws_below_a_sample(spark):
+    x = np.random.default_rng(8).normal(20, 1, (400, 2))
+    x[:150, 0] = np.nan
+    x[1:, 1] = np.nan
+    got, again = (wide(imputation.min_prob(long(spark, x).repartition(n), [])) for n in (1, 4))
+    drawn = got[:150, 0]
+    assert np.array_equal(got, again, equal_nan=True) and (got[150:, 0] == x[150:, 0]).all() and np.isnan(got[1:, 1]).all()
+    assert drawn.mean() == pytest.approx(np.nanmean(x[:, 0]) - 1.8 * np.nanstd(x[:, 0], ddof=1), abs=0.1) and drawn.std() == pytest.approx(0.3, abs=0.08)
 
 
 def test_ladder_and_policies(spark):

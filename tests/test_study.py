@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.plans import executor, registry, rules
+from assayloom.operators import transforms
+from assayloom.plans import audit, executor, registry, rules
 from assayloom.plans import schema as schemas
 from assayloom.plans.audit import Audit, worst
 from assayloom.plans.digest import digest
@@ -248,6 +249,35 @@ def test_refusals(spark, study):
     assert store.head == head
 
 
+def test_filled_states(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    rows = [("A1B1", f"f{i}", f"s{j}", None if (i + j) % 5 == 0 else float(rng.normal(10, 1))) for i in range(12) for j in range(6)] + [("A1B2", f"f{i}", f"s{j}", None) for i in range(2) for j in range(6)]
+    store = StateStore(spark, str(tmp_path))
+    root = store.add(spark.createDataFrame(rows, "block string, feature string, sample string, value double"), scales={"A1B1": "log2", "A1B2": "log2"})
+    for method, p in (("knn", {"k": 3}), ("min_prob", {"batch": {f"s{j}": "ab"[j % 2] for j in range(6)}}), ("knn", {"batch": {f"s{j}": "ab"[j % 2] for j in range(6)}})):
+        new = executor.impute(store, method, p, {"user": "me"}, scope="A1B1")
+        assert store.head == root and store.data(new).where("block = 'A1B1' and value is null").isEmpty() and store.data(new).where("block = 'A1B2' and value is not null").isEmpty()
+        assert transforms.violations(store.data(root), store.data(new), may_fill=True).first().asDict() == {"lost": 0, "added": 0, "gap_changed": 0, "new_infinite": 0, "changed_outside": 0}
+        said = store.meta(new)["op"]
+        assert said["experimental"] and said["gaps_before"] > 0 == said["gaps_after"] and executor.replay(store, new)["identical"]
+    with pytest.raises(executor.ExecutorError, match="approval"):
+        executor.impute(store, "knn", {}, {})
+    with pytest.raises(executor.ExecutorError, match="no method"):
+        executor.impute(store, "mean", {}, {"user": "me"})
+    executor.FILLS["bad"] = executor.Op("bad", lambda c: c.withColumn("value", F.lit(1.0)), ("S6",))
+    with pytest.raises(executor.ExecutorError, match="invariant"):
+        executor.impute(store, "bad", {}, {"user": "me"})
+    del executor.FILLS["bad"]
+    assert not any("imput" in o for o in executor.OPS)
+
+
+def test_families_are_listed_with_what_speaks_against_them():
+    some = {f["name"]: f for f in audit.imputation_families("mixed", "yes", {"scattered": 2, "low_abundance_pattern": 8}, 10)}
+    assert len(some) == 7 and all(f["evidence"] and f["caveat"] and f["methods"] for f in some.values())
+    assert {n for n, f in some.items() if f["fits_profile"]} == {"left_censored", "mixed_by_class", "within_batch", "model_without_imputation"}
+    assert audit.imputation_families("none", "no", {}, 0) == []
+
+
 def test_batch_switch(study, monkeypatch):
     monkeypatch.setenv(executor.BATCH_SWITCH, "off")
     with pytest.raises(executor.ExecutorError, match="switched off"):
