@@ -187,8 +187,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.7) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted (1 from cut on).
 
-    Only the text decides the score. Null ids are allowed (not held out). Repeated rows get equal scores. An empty table gives an
-    empty table; without usable labels every score is near 1.
+    Only the text decides the score. Null ids are allowed (not held out). Repeated rows get equal scores; very long texts are scored whole, in slices of
+    rows of bounded size. A score of exactly cut counts as 1. Other columns, of any name, aren't read. An empty table gives an empty table; without
+    usable labels every score is near 1.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
     out = scored(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")), model, "__text", without=("__text",))

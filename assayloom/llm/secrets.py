@@ -193,7 +193,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text", prefix: str = "", bits
     spans lists kind:start:end of all spans by start, in code points, end exclusive; kind `guess` marks what guess cost adds: a
     value in a credential context whose cheapest segmentation takes 2^bits guesses or more. Where nothing but spaces stands between
     the key word and the value, as in prose, the value must also hold a digit or a capital after its first character. base_sha256 digests the fixed-pattern
-    spans alone. Null and empty texts have no spans. Rows, columns, order within a partition and repeats stay; texts of any length
+    spans alone. A value that, less one of three or more repeats at its start, has been found too cheap already is passed over without being
+    segmented anew: it can't cost more. Of overlapping spans a base one wins, then the earlier; new columns that clash with a column of docs are
+    an error unless prefix parts them. Null and empty texts have no spans. Rows, columns, order within a partition and repeats stay; texts of any length
     are scanned whole, in time linear in their length but for values in a credential context. One narrow pass, no shuffle.
     """
     names = [prefix + c for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")]

@@ -74,5 +74,6 @@ def answer(table: DataFrame, limit: int) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
-    """limits() over the encoded lengths of docs. An empty table gives no rows."""
+    """limits() over the encoded lengths of docs. An empty table gives no rows. Null texts count as empty ones (length 0), repeated rows each; texts of any
+    length are encoded whole; documents of equal length share a row, so there are no ties. Other columns, of any name, aren't read."""
     return limits(saved(encoded_lengths(docs, ranks_path, text_col), "lengths"))

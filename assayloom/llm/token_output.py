@@ -204,8 +204,8 @@ def token_digests(rows: DataFrame) -> DataFrame:
 def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
     """Writes docs as token files in the shared folder, reads them back and digests them: a row per row of docs.
 
-    Null texts count as empty (one id, the end). Rows with a null id come first; repeated rows and ids are kept, ordered by text.
-    An empty table gives an empty table. Other columns are not read.
+    Null texts count as empty (one id, the end). Rows with a null id come first; repeated rows and ids are kept, ordered by text. Very long
+    texts are encoded whole, cut only where the tokenizer always cuts. An empty table gives an empty table. Other columns are not read.
     """
     out = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer_path, out, id_col, text_col, end)
