@@ -113,3 +113,20 @@ def joint_decisions(spark, d):
 SELECT block, 'M-R1' AS note FROM fx WHERE NOT missing_any AND NOT floor_present UNION ALL SELECT block, 'M-R5' FROM fx WHERE missing_intensity = 'yes'""")
 def plan_notes(spark, d):
     return rules.plan_notes(facts(spark, d)).select("block", "note")
+
+
+#: Typed conditions, as a rule file would state them, with SQL for the same; the first is nested.
+CONDITIONS = (
+    ({"all": [{"fact": "scale_class", "op": "in", "value": ["continuous_linear", "count_like"]}, {"any": [{"fact": "qc_n", "op": "ge", "value": 5}, {"fact": "run_order_present", "op": "is_true"}]}]}, "scale_class IN ('continuous_linear', 'count_like') AND (qc_n >= 5 OR COALESCE(run_order_present, FALSE))"),
+    ({"fact": "missing_any", "op": "is_false"}, "NOT missing_any"), ({"fact": "missing_any", "op": "ne", "value": True}, "missing_any <> TRUE"), ({"fact": "zeros_answer", "op": "exists"}, "zeros_answer IS NOT NULL"),
+    ({"fact": "zeros_answer", "op": "exists", "value": False}, "zeros_answer IS NULL"), ({"fact": "contrast_variable", "op": "nonempty"}, "LENGTH(contrast_variable) > 0"), ({"fact": "slope", "op": "gt", "value": 1.5}, "slope > 1.5"),
+    ({"fact": "slope", "op": "le", "value": 1.5}, "slope <= 1.5"), ({"fact": "state_scale", "op": "not_in", "value": ["linear"]}, "state_scale NOT IN ('linear')"), ({"fact": "n_eff", "op": "lt", "value": 4}, "n_eff < 4"),
+)
+
+
+@query(f""", fx AS (SELECT {", ".join(f"{sql} AS {name}" for name, sql in FACT_SQL.items())} FROM customer)
+SELECT block, {" + ".join(f"CASE WHEN COALESCE({sql}, FALSE) THEN {1 << i} ELSE 0 END" for i, (_, sql) in enumerate(CONDITIONS))} AS holds FROM fx""")
+def typed_conditions(spark, d):
+    """Which of the conditions hold for each block, a bit each; on what is unknown none holds but that it doesn't exist."""
+    bits = [F.when(rules.condition(c), 1 << i).otherwise(0) for i, (c, _) in enumerate(CONDITIONS)]
+    return facts(spark, d).select("block", sum(bits[1:], bits[0]).alias("holds"))
