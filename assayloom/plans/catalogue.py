@@ -7,6 +7,7 @@ their order; derived numbers are rounded on both sides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -158,12 +159,14 @@ def template_facts(spark, d):
     return rounded(facts.template_facts(per), "frac_zero")
 
 
-@query("""SELECT o_orderpriority AS label, ROW_NUMBER() OVER (ORDER BY CAST(SUBSTR(o_orderpriority, 1, 1) AS INTEGER)) AS place FROM orders GROUP BY 1""")
+@query("""SELECT label, ROW_NUMBER() OVER (ORDER BY TRY_CAST(label AS DOUBLE) NULLS LAST, label) AS place FROM (SELECT CAST(p_size AS VARCHAR) AS label FROM part UNION SELECT p_type FROM part UNION SELECT CAST(p_size / 4.0 AS VARCHAR) FROM part WHERE p_size % 4 > 0)""")
 def natural_order(spark, d):
+    """Sizes, quarters of sizes and types as labels: numbers by value, then texts."""
     from pyspark.sql import Window
 
-    labels = table(spark, d, "orders").select(F.col("o_orderpriority").alias("label")).distinct()
-    return labels.select("label", F.row_number().over(Window.orderBy(S.natural_key(F.regexp_extract("label", r"^\d", 0)))).cast("long").alias("place"))
+    p = table(spark, d, "part")
+    labels = p.select(F.col("p_size").cast("string").alias("label")).union(p.select("p_type")).union(p.where("p_size % 4 > 0").select((F.col("p_size") / 4.0).cast("string"))).distinct()
+    return labels.select("label", F.row_number().over(Window.orderBy(S.natural_key(F.col("label")))).cast("long").alias("place"))
 
 
 @query("""SELECT l_suppkey, ROUND(AVG(l_quantity), 6) AS back, ROUND(AVG(CASE WHEN l_discount IS NOT NULL THEN 1 / (1 + EXP(-l_discount)) END), 6) AS p, ROUND(AVG(LN(EXP(l_discount) + EXP(l_tax))), 6) AS both_logs FROM lineitem GROUP BY 1""")
@@ -207,9 +210,10 @@ def long_duplicate_pairs(spark, d):
     return C.long_duplicates(table(spark, d, "events"), "event_type", "user_id")
 
 
-@query("""SELECT feature, MAX(value) FILTER (sample = '1') AS s1, MAX(value) FILTER (sample = '2') AS s2, MAX(value) FILTER (sample = '3') AS s3 FROM m1 GROUP BY 1""")
+@query(f"""SELECT feature, {", ".join(f"MAX(value) FILTER (sample = 'NATION_{i}') AS nation_{i}" for i in range(25))} FROM m2 GROUP BY 1""")
 def pivot_export(spark, d):
-    return C.to_matrix(m1(spark, d).where(F.col("sample").isin("1", "2", "3")), ["1", "2", "3"]).select("feature", F.col("1").alias("s1"), F.col("2").alias("s2"), F.col("3").alias("s3"))
+    names = {r.n_name: f"nation_{r.n_nationkey}" for r in table(spark, d, "nation").orderBy("n_nationkey").collect()}  # a row per sample
+    return C.to_matrix(m2(spark, d), list(names)).select("feature", *(F.col(k).alias(v) for k, v in names.items()))
 
 
 FLAG_RULES = [("p_type", "prefix", ["PROMO", "STANDARD"]), ("p_brand", "is", ["Brand#11", "Brand#22"])]
@@ -250,19 +254,14 @@ def id_overlap(spark, d):
     return C.id_overlap(samples(spark, d), table(spark, d, "nation"), ["n_name", "n_regionkey"])
 
 
-@query("""SELECT p_partkey % 10 AS ending, COUNT(*) FILTER (n_name IN (SELECT sample FROM m2p)) AS both, COUNT(*) FILTER (n_name NOT IN (SELECT sample FROM m2p WHERE CAST(feature AS BIGINT) % 10 = p_partkey % 10 AND CAST(feature AS BIGINT) < 40)) AS only_nation FROM (SELECT DISTINCT p_partkey % 10 AS p_partkey FROM part) CROSS JOIN nation GROUP BY 1""")
+@query("""SELECT feature, (SELECT COUNT(*) FROM nation WHERE n_name IN (SELECT sample FROM m2p)) AS both, (SELECT COUNT(*) FROM nation) - COUNT(DISTINCT sample) AS only_nation FROM m2p GROUP BY 1""")
 def set_ops_samples(spark, d):
-    """Per last digit of the first 40 parts, nations that no sample of theirs has."""
-    p, n = pairs(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("sample"))
-    endings = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("ending")).distinct()
-    grid = endings.crossJoin(F.broadcast(n))
-    first = p.where("cast(feature as long) < 40").select((F.col("feature").cast("long") % 10).alias("ending"), "sample").distinct()
+    """Nations that are samples at all, and for each part those that it lacks."""
+    p, n = pairs(spark, d).select("feature", "sample"), table(spark, d, "nation").select(F.col("n_name").alias("sample"))
     both = n.intersect(p.select("sample")).agg(F.count("*").alias("both"))
-    only = grid.subtract(first).groupBy("ending").agg(F.count("*").alias("only_nation"))
-    return endings.join(only, "ending", "left").crossJoin(F.broadcast(both)).select("ending", "both", F.coalesce("only_nation", F.lit(0)).alias("only_nation"))
-
-
-# ---------------------------------------------------------------- integrity and scale
+    features = p.select("feature").distinct()
+    only = features.crossJoin(F.broadcast(n)).subtract(p).groupBy("feature").agg(F.count("*").alias("only_nation"))  # n: a row per nation
+    return features.join(only, "feature", "left").crossJoin(F.broadcast(both)).select("feature", "both", F.coalesce("only_nation", F.lit(0)).alias("only_nation"))
 
 
 @query("""SELECT value, n, ROUND(n / (SELECT COUNT(value) FROM m2), 6) AS share FROM (SELECT value, COUNT(*) AS n FROM m2 WHERE value <> 0 GROUP BY 1 ORDER BY n DESC, value LIMIT 1)""")
@@ -270,10 +269,11 @@ def sentinel_value(spark, d):
     return rounded(missing.sentinel(m2(spark, d)), "share")
 
 
-@query("""SELECT n, COUNT(*) AS n_groups FROM (SELECT v, COUNT(*) AS n FROM (SELECT feature, LIST(COALESCE(CAST(FLOOR(value / 400) AS VARCHAR), '?') ORDER BY sample) AS v FROM m2 GROUP BY 1) GROUP BY 1 HAVING COUNT(*) > 1) GROUP BY 1""")
+@query("""SELECT n, COUNT(*) AS n_groups FROM (SELECT v, COUNT(*) AS n FROM (SELECT feature, LIST(value IS NULL ORDER BY sample) AS v FROM m2 GROUP BY 1) GROUP BY 1 HAVING COUNT(*) > 1) GROUP BY 1""")
 def identical_vectors(spark, d):
-    coarse = m2(spark, d).withColumn("value", F.floor(F.col("value") / 400).cast("double"))
-    return missing.identical_vectors(coarse, "feature", "sample").groupBy("n").agg(F.count("*").alias("n_groups"))
+    """Features that were observed in the very same samples."""
+    seen = m2(spark, d).withColumn("value", F.when(F.col("value").isNotNull(), 1.0))
+    return missing.identical_vectors(seen, "feature", "sample").groupBy("n").agg(F.count("*").alias("n_groups"))
 
 
 @query("""SELECT feature, COUNT(value) AS n_observed, COUNT(*) AS n, ROUND(1 - COUNT(value) / COUNT(*), 6) AS missing_rate, ROUND(COUNT(*) FILTER (value = 0) / COUNT(*), 6) AS zero_rate FROM m2 GROUP BY 1""")
@@ -733,10 +733,20 @@ ob AS (SELECT feature, CAST(run_order AS DOUBLE) AS x, y FROM dx JOIN smp USING
 ).replace("SELECT feature, sample, ROUND(y +", "SELECT dx.feature, sample, ROUND(y +").replace("OVER (PARTITION BY feature) - fit", "OVER (PARTITION BY dx.feature) - fit")
 
 
-@query(SMOOTH_SQL)
+_HEAD, _LAST = re.sub(r"\bdx\b", "db", SMOOTH_SQL).rsplit(" SELECT db.feature", 1)
+
+
+@query(
+    """, db AS (SELECT CONCAT(feature, '|', run_order % 2) AS feature, sample, y FROM dx JOIN smp USING (sample))"""
+    + _HEAD
+    + ", sm AS (SELECT db.feature"
+    + _LAST.replace("ROUND(y +", "(y +").replace(", 5) AS value", ") AS value")
+    + """), sp AS (SELECT split_part(feature, '|', 1) AS feature, split_part(feature, '|', 2) AS half, sample, value FROM sm)
+SELECT feature, sample, ROUND(value - COALESCE(MEDIAN(value) OVER (PARTITION BY feature, half) - MEDIAN(value) OVER (PARTITION BY feature), 0), 5) AS value FROM sp"""
+)
 def corrected_batches(spark, d):
-    """Drift within one batch, then centring of batches, which has nothing left to do."""
-    order = samples(spark, d).select("sample", "run_order", F.lit("one").alias("batch"))
+    """Drift within batches of every other sample, then centring of the batches."""
+    order = samples(spark, d).select("sample", "run_order", (F.col("run_order") % 2).cast("string").alias("batch"))
     return rounded(transforms.correct_batch_effects(logged(spark, d).select("feature", "sample", F.col("y").alias("value")), order), "value", digits=5)
 
 
