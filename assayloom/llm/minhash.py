@@ -170,29 +170,35 @@ def _tiles(rows: DataFrame) -> DataFrame:
     """rows (key, rep, comp, ...) of buckets, dealt to (key, tile) groups so that any two members of a bucket that are in different components meet
     in one group.
 
-    The members of a bucket's largest component are joined already: they meet those of other components alone. Both are cut into
-    parts of TILE_MAX members; each pair of a part of the largest with a part of the rest is a group, and each pair of parts of the
-    rest. So a bucket whose stars left k members of m aside takes k * m comparisons, and about m rows while k is under TILE_MAX.
-    side: bit 1 for the lower part of the group, bit 2 for the higher.
+    A bucket of at most TILE_MAX members is one group. In a larger one the members of the largest component are joined already: they meet
+    those of other components alone. Both are cut into parts of TILE_MAX members; each pair of a part of the largest with a part of the
+    rest is a group, and each pair of parts of the rest. So a bucket whose stars left k members of m aside takes k * m comparisons,
+    and about m rows while k is under TILE_MAX. side: bit 1 for the lower part of the group, bit 2 for the higher.
     """
-    cut = rows.join(_shapes(rows).select("key", "most", _parts("in_most").alias("p_most"), _parts("in_rest").alias("p_rest")), "key")
+    cut = rows.join(_shapes(rows).select("key", "most", _parts("in_most").alias("p_most"), _parts("in_rest").alias("p_rest"), _small().alias("small")), "key")
     large = F.col("comp") == F.col("most")
     cut = cut.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(large, F.col("p_most")).otherwise(F.greatest("p_rest", F.lit(1)))).cast("int"))
     tile = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
     upto = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<tile:struct<kind:int,lo:int,hi:int>,side:int>>"))
     part = F.col("part")
     of = lambda t, side: F.struct(t.alias("tile"), side.cast("int").alias("side"))
-    met = F.when(large, upto("p_rest", lambda i: of(tile(0, part, i), F.lit(1)))).otherwise(F.concat(
+    met = F.when(F.col("small"), F.array(of(tile(1, F.lit(0), F.lit(0)), F.lit(3)))).when(large, upto("p_rest", lambda i: of(tile(0, part, i), F.lit(1)))).otherwise(F.concat(
         upto("p_most", lambda i: of(tile(0, i, part), F.lit(2))),
         upto("p_rest", lambda i: of(tile(1, F.least(part, i), F.greatest(part, i)), F.when(i == part, 3).when(part < i, 1).otherwise(2))),
     ))
     return cut.withColumn("met", F.explode(met)).select(*rows.columns, "met.tile", "met.side")
 
 
+def _small():
+    """Whether a bucket fits one group, and has open pairs."""
+    return (F.col("in_rest") > 0) & (F.col("in_most") + F.col("in_rest") <= TILE_MAX)
+
+
 def _dealt(rows: DataFrame, narrow: DataFrame) -> DataFrame:
     """rows of tiles, dealt to as many tasks as the rows that narrow (key, comp, ..., a written table) makes need."""
     p, q = _parts("in_most"), _parts("in_rest")
-    n = _shapes(narrow).agg(F.sum(F.col("in_most") * q + F.col("in_rest") * (p + q)).alias("n")).first()["n"] or 0
+    made = F.when(_small(), F.col("in_most") + F.col("in_rest")).otherwise(F.col("in_most") * q + F.col("in_rest") * (p + q))
+    n = _shapes(narrow).agg(F.sum(made).alias("n")).first()["n"] or 0
     return rows.repartition(max(1, -(-n // TASK_ROWS)), "key", "tile").groupBy("key", "tile")
 
 
