@@ -13,11 +13,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import transforms
+from ..functions import scalar as S
+from ..operators import stats, transforms
 from ..sources import delimited
 from ..sources.states import StateStore, content_hash
 from . import catalogue, layout, plan_queries  # noqa: F401 (plan_queries registers its queries)
-from .audit import Audit
+from . import digest as digests
+from .audit import Audit, modified_z
 from .catalogue import m2, query, rank_sql, rounded, samples, table
 
 QUERIES, ORACLE_SQL = catalogue.QUERIES, catalogue.ORACLE_SQL
@@ -298,3 +300,44 @@ def layout_cells(spark, d):
     """The long cells of a proposed layout."""
     cells = layout.propose_layout(delimited.read(spark, f"{d}/customer.parquet")).cells()
     return cells.select("block", "feature", "sample", "value")
+
+
+# ---------------------------------------------------------------- labels, digests and numbers per sample
+
+
+@query(""", lb AS (SELECT c_name AS label FROM customer UNION SELECT p_brand FROM part UNION SELECT o_orderpriority FROM orders UNION SELECT CONCAT('t', p_size, '.5 h') FROM part)
+SELECT label, TRY_CAST(regexp_replace(label, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS number, regexp_replace(label, '[0-9]+', '#', 'g') AS template, LEFT(regexp_replace(regexp_replace(TRIM(label), '[A-Za-z]', 'A', 'g'), '[0-9]', '9', 'g'), 40) AS shape FROM lb""")
+def label_parts(spark, d):
+    """Labels of four columns: the number that each holds, its template and its shape."""
+    c, p = table(spark, d, "customer").select(F.col("c_name").alias("label")), table(spark, d, "part")
+    labels = c.union(p.select("p_brand")).union(table(spark, d, "orders").select("o_orderpriority")).union(p.select(F.concat(F.lit("t"), "p_size", F.lit(".5 h")))).distinct()
+    return labels.select("label", S.label_number(F.col("label")).alias("number"), S.name_template(F.col("label")).alias("template"), S.shape(F.col("label")).alias("shape"))
+
+
+@query(""" SELECT 'c_name' AS name, 'text' AS kind, COUNT(*) FILTER (TRIM(c_name) = '') AS n_missing, COUNT(DISTINCT c_name) AS n_unique, MIN(LENGTH(c_name)) AS shortest, MAX(LENGTH(c_name)) AS longest, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM customer
+UNION ALL SELECT 'c_mktsegment', 'text', COUNT(*) FILTER (TRIM(c_mktsegment) = ''), COUNT(DISTINCT c_mktsegment), MIN(LENGTH(c_mktsegment)), MAX(LENGTH(c_mktsegment)), NULL, NULL FROM customer
+UNION ALL SELECT 'c_custkey', 'numeric', COUNT(*) FILTER (c_custkey IS NULL), COUNT(DISTINCT c_custkey), NULL, NULL, MIN(c_custkey), MAX(c_custkey) FROM customer
+UNION ALL SELECT 'c_nationkey', 'numeric', COUNT(*) FILTER (c_nationkey IS NULL), COUNT(DISTINCT c_nationkey), NULL, NULL, MIN(c_nationkey), MAX(c_nationkey) FROM customer
+UNION ALL SELECT 'c_acctbal', 'numeric', COUNT(*) FILTER (c_acctbal IS NULL), COUNT(DISTINCT c_acctbal), NULL, NULL, ROUND(MIN(c_acctbal), 1), ROUND(MAX(c_acctbal), 0) FROM customer""")
+def table_digest(spark, d):
+    """What a proposer sees of each column of a table: lengths of texts, and ends of numbers to four digits."""
+    out = digests.digest(delimited.read(spark, f"{d}/customer.parquet"), examples=False)["columns"]
+    rows = [(c["name"], c["kind"], c["n_missing"], c["n_unique"], *(c["length"] if c["kind"] == "text" else (None, None)), *((float(c["numbers"][k]) for k in ("min", "max")) if "numbers" in c and c["kind"] == "numeric" else (None, None))) for c in out]  # a row per column
+    return spark.createDataFrame(rows, "name string, kind string, n_missing long, n_unique long, shortest long, longest long, low double, high double")
+
+
+@query(""", md AS (SELECT sample, MEDIAN(value) AS x FROM m2 GROUP BY 1), de AS (SELECT sample, x, x - (SELECT MEDIAN(x) FROM md) AS dev FROM md),
+sc AS (SELECT MEDIAN(ABS(dev)) AS mad, AVG(ABS(dev)) AS mean FROM de) SELECT sample, ROUND(CASE WHEN mad > 0 THEN 0.6745 * dev / mad WHEN mean > 0 THEN dev / (1.253314 * mean) ELSE 0 END, 6) AS z FROM de, sc""")
+def sample_modified_z(spark, d):
+    """How far each sample's median lies from the others'."""
+    rows = m2(spark, d).groupBy("sample").agg(F.median("value").alias("x")).orderBy("sample").collect()  # a row per sample
+    return rounded(spark.createDataFrame([(r["sample"], float(z)) for r, z in zip(rows, modified_z([r.x for r in rows]), strict=True)], "sample string, z double"), "z")
+
+
+@query(""", rk AS (SELECT batch, RANK() OVER (ORDER BY run_order) AS r FROM smp), pr AS (SELECT a.batch, AVG(ABS(a.r - b.r)) AS spread FROM rk a JOIN rk b ON a.batch = b.batch AND a.r < b.r GROUP BY 1) SELECT batch, ROUND(spread, 6) AS spread FROM pr""")
+def spread_in_run_order(spark, d):
+    """The mean distance in run order between the samples of a batch."""
+    rows = samples(spark, d).orderBy("run_order").collect()  # a row per sample
+    batches, order = sorted({r.batch for r in rows}), [float(r.run_order) for r in rows]
+    found = [(b, stats.clustered_in_order([r.batch == b for r in rows], order, n=9).get("spread")) for b in batches]
+    return rounded(spark.createDataFrame(found, "batch string, spread double").where("spread is not null"), "spread")
