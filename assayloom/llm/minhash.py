@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import bounded_batches, maybe_broadcast, saved
+from .store import SMALL_BATCH_BYTES, bounded_batches, maybe_broadcast, saved
 from .text import LOWER, mix, shingle_sets, slices, string_buffers, tidy
 
 #: Bytes of one signature value.
@@ -68,7 +68,7 @@ def signature(hashes: np.ndarray, bins: int, donors: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, id_col: str, text_col: str, b: Banding) -> DataFrame:
     """(id, n, fp, sig) of every row: set size, 128-bit fingerprint of the set, signature; fp and sig are null for empty sets."""
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SMALL_BATCH_BYTES)
 
     def run(batches):
         donors = _donors(b.bins, 64 * b.bins)
@@ -301,9 +301,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = valid.groupBy("fp").agg(F.min("id").alias("id"))
     classes = saved(valid.join(reps, ["fp", "id"]).dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "class")
     key = F.expr(f"transform(sequence(0, {b.bands - 1}), i -> xxhash64(i, substring(sig, i * {b.rows * VALUE} + 1, {b.rows * VALUE})))")
-    banded = classes.select("rep", F.posexplode(key).alias("band", "key")).withColumn("h", F.xxhash64("rep", "key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("h").alias("top")).where("m > 1")
-    members = saved(banded.join(shared, "key").select("key", "band", "rep", (F.col("h") == F.col("top")).alias("centre")), "members")
+    banded, h = classes.select("rep", F.posexplode(key).alias("band", "key")), F.xxhash64("rep", "key")
+    # most buckets have one member: the few others are written first, so that only their rows, not those of all bands, have to be joined
+    shared = saved(banded.groupBy("key").agg(F.count("*").alias("m"), F.min(h).alias("top")).where("m > 1").select("key", "top"), "shared")
+    members = saved(banded.join(maybe_broadcast(shared), "key").select("key", "band", "rep", (h == F.col("top")).alias("centre")), "members")
     wanted = saved(members.select("rep").distinct().join(classes.select("rep", "fp"), "rep"), "wanted")
     sets = saved(_sets(docs, id_col, text_col, wanted, b), "sets")
     stars = members.where("not centre").select("key", F.col("rep").alias("b")).join(members.where("centre").select("key", F.col("rep").alias("a")), "key").select("a", "b").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .store import bounded_batches, saved
+from .store import SMALL_BATCH_BYTES, bounded_batches, saved
 from .text import IS_SPACE, LOWER, chain, mix, slices, string_buffers, tidy, word_hashes, words
 
 #: Hash buckets of the features, embedding width, labelled rows of each class that training sees at most.
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score", without: tuple[str, ...] = ()) -> DataFrame:
     """docs (less the columns in without) with a score from 0 to 1 per row. Null and empty texts, and texts without words, get the bias alone. One narrow pass."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     stay = [i for i, c in enumerate(docs.columns) if c not in without]
     text_at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers: of fixed size

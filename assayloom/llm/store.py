@@ -59,12 +59,13 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-#: Bytes of an Arrow batch on its way to a Python worker, at most: two workers and a full heap share an executor's memory.
-BATCH_BYTES = 16 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, at most: two workers and a full heap share an executor's memory. Operators that
+#: cut batches into slices anyway take small ones: a batch is held several times, outside the heap and in the worker.
+BATCH_BYTES, SMALL_BATCH_BYTES = 16 << 20, 4 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit of bytes per Arrow batch to BATCH_BYTES, if it is higher; long texts make few rows large."""
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lowers the session's limit of bytes per Arrow batch to most, if it is higher; long texts make few rows large."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES or int(spark.conf.get(key).rstrip("bB")) <= 0:
-        spark.conf.set(key, str(BATCH_BYTES))
+    if int(spark.conf.get(key).rstrip("bB")) > most or int(spark.conf.get(key).rstrip("bB")) <= 0:
+        spark.conf.set(key, str(most))

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from assayloom.llm import components, minhash, queries
+from assayloom.llm import components, minhash, queries, store
 from assayloom.llm.minhash import Banding
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -111,3 +111,28 @@ def test_tiles_meet_every_open_pair_once_and_grow_with_the_rest_alone(spark, mon
         sizes[key] = sizes.get(key, 0) + len(group)
     want = [(k, a, b) for k, a, x in members for j, b, y in members if k == j and a < b and x != y]
     assert sorted(pairs) == sorted(want) and 3 not in sizes and sizes[1] == 40 + 3 * (10 + 1)
+
+
+def test_rows_of_buckets_with_one_member_are_not_shuffled_to_their_join(spark, monkeypatch):
+    """At 0.51 GB the pipeline's join of all bands' rows took more than an executor's memory; nearly all of them have no partner."""
+    written, saved = {}, minhash.saved
+
+    def spy(df, label):
+        written[label] = df._jdf.queryExecution().executedPlan().toString()
+        return saved(df, label)
+
+    monkeypatch.setattr(minhash, "saved", spy)
+    texts = crowd(2, 20) | {1000 + i: " ".join(f"u{i}x{k}" for k in range(30)) for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicates(docs, banding=WIDE).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, 3, 85)
+    assert "SortMergeJoin" not in written["members"] and "hashpartitioning" not in written["members"]
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_shared_buckets_of_any_number(spark, monkeypatch, most):
+    monkeypatch.setattr(store, "BROADCAST_ROWS", most)
+    texts = crowd(2, 20)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicates(docs, banding=WIDE).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts, 3, 85)
