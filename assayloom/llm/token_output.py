@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, maybe_broadcast, new_path, saved
+from .store import SMALL_BATCH_BYTES, bounded_batches, maybe_broadcast, new_path, saved
 from .text import slices, string_buffers, tidy
 
 #: Bytes of a row group and of a page, and rows of a page: the units of selective reads.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2000
-#: Chunks that a worker remembers the ids of, about 120 MB; beyond it forgets them all.
+#: Chunks that a worker remembers the ids of, about 120 MB; beyond it keeps the half that most slices held.
 REMEMBERED = 600_000
 #: ASCII letters, and ASCII signs that are neither letters, digits, white space nor the apostrophe.
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
@@ -31,13 +31,21 @@ _SPACE_SIGN = _BYTE_SIGNS[0x20]
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each of some runs, one run after the other."""
+    upto = np.cumsum(sizes, dtype=np.int32)
+    at = np.arange(int(upto[-1]) if len(upto) else 0, dtype=np.int32)
+    at += np.repeat(starts - (upto - sizes), sizes)
+    return at
+
+
 class ChunkEncoder:
     """The tokenizers library over texts cut at places where its pre-tokenizer always cuts.
 
     The byte-level pre-tokenizer starts a new piece at a single space, and before and after a single line end, between two
     characters that are not white space, and where a letter meets a sign other than an apostrophe. No merge crosses pieces, so
     the ids of a text are those of its chunks in a row. Each distinct chunk is encoded once and
-    remembered, which saves most of the work. Only files with this pre-tokenizer may be cut so; others are encoded whole.
+    remembered, which saves most of the work; when too many are remembered, the less used half is forgotten. Only files with this pre-tokenizer may be cut so; others are encoded whole.
 
     literal: the strings of special tokens inside a text are ordinary text. Otherwise they give the tokens' ids, as the library has
     it unless told so. A text that holds the string of an added token is not cut then but encoded whole.
@@ -59,7 +67,17 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes, self.starts, self.ids, self.filled = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32), 0
+        self.sizes, self.starts, self.uses, self.ids, self.filled = *(np.zeros(1 << 16, np.int32) for _ in range(3)), np.zeros(1 << 18, np.int32), 0
+
+    def forget_half(self) -> None:
+        """Keeps half of REMEMBERED chunks, those that most slices held (the older of equals); their uses count half from now on."""
+        names, uses = list(self.known), self.uses[: len(self.known)]
+        keep = np.sort(np.argsort(-uses, kind="stable")[: max(1, REMEMBERED // 2)])
+        sizes, uses = self.sizes[keep], uses[keep] // 2
+        flat = self.ids[_spread(self.starts[keep], sizes)]
+        self.forget()
+        self._store([names[i] for i in keep.tolist()], sizes, flat)
+        self.uses[: len(keep)] = uses
 
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each chunk's number of ids, and all ids. A chunk of letters, but for a space at its start, is one piece of the
@@ -82,20 +100,30 @@ class ChunkEncoder:
             held |= pc.match_substring(texts, w).to_numpy(zero_copy_only=False)
         return np.flatnonzero(held).tolist()
 
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            sizes, flat = self._ids(part)
-            first, count = len(self.known), len(part)
-            while first + count > len(self.sizes):
-                self.sizes, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts))
-            while self.filled + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.sizes[first : first + count] = sizes
-            self.starts[first : first + count] = self.filled + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.ids[self.filled : self.filled + len(flat)] = flat
-            self.filled += len(flat)
-            self.known.update(zip(part, range(first, first + count), strict=True))
+    def _store(self, chunks: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        first, count = len(self.known), len(chunks)
+        while first + count > len(self.sizes):
+            self.sizes, self.starts, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts, self.uses))
+        while self.filled + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.sizes[first : first + count] = sizes
+        self.starts[first : first + count] = self.filled + np.cumsum(sizes) - sizes
+        self.ids[self.filled : self.filled + len(flat)] = flat
+        self.filled += len(flat)
+        self.known.update(zip(chunks, range(first, first + count), strict=True))
+
+    def _slots(self, chunks: list[str]) -> np.ndarray:
+        """Where the ids of each of these distinct chunks are remembered; unknown ones are learnt."""
+        if len(self.known) > REMEMBERED:
+            self.forget_half()
+        slot = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int32, len(chunks))
+        new = np.flatnonzero(slot < 0)
+        slot[new] = np.arange(len(self.known), len(self.known) + len(new))
+        for at in range(0, len(new), 20_000):
+            part = [chunks[i] for i in new[at : at + 20_000].tolist()]
+            self._store(part, *self._ids(part))
+        self.uses[slot] += 1
+        return slot
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows in a row, each row's followed by end; and each row's number of ids."""
@@ -122,18 +150,12 @@ class ChunkEncoder:
         bounds = np.append(begins, len(data)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        texts = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        self._learn([t for t in texts if t not in self.known])
-        slot = np.array(list(map(self.known.get, texts)), np.int32)[coded.indices.to_numpy()]
+        slot = self._slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         first = np.searchsorted(begins, offsets)  # of each row, in chunks
         last = first[1:] + np.arange(rows)  # of each row's end id, once those stand among the chunks
         sizes, starts = np.insert(self.sizes[slot], first[1:], 1), np.insert(self.starts[slot], first[1:], 0)
         upto = np.cumsum(sizes, dtype=np.int32)
-        at = np.arange(int(upto[-1]) if len(upto) else 0, dtype=np.int32)
-        at += np.repeat(starts - (upto - sizes), sizes)
-        out = self.ids[at]
+        out = self.ids[_spread(starts, sizes)]
         ends = upto[last]
         out[ends - 1] = end
         return out, np.diff(ends, prepend=0).astype(np.int64)
@@ -164,7 +186,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(n), part), pa.int32()), pa.array(start + ends - n), pa.array(n), lists], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 start += int(ends[-1])
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SMALL_BATCH_BYTES)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (ordered.mapInArrow(tidy(run), SCHEMA).write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.block.size", ROW_GROUP)

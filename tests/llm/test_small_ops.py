@@ -156,6 +156,20 @@ def test_chunks_encode_as_the_whole():
         at += k
 
 
+def test_the_most_used_chunks_stay_when_too_many_are_remembered(monkeypatch):
+    monkeypatch.setattr(token_output, "REMEMBERED", 60)
+    t, enc, learnt = library(), token_output.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), literal=False), []
+    monkeypatch.setattr(enc, "_ids", lambda chunks, f=enc._ids: learnt.extend(chunks) or f(chunks))
+    often = "".join(f" often{c}" for c in "abcdefghij")
+    for n in range(12):
+        text = "x" + often + "".join(f" rare{chr(97 + n)}{chr(97 + k)}" for k in range(20))
+        ids, count = enc.encode(pa.array([text, None, often]), 0)
+        want = [t.encode(x, add_special_tokens=False).ids + [0] for x in (text, "", often)]
+        assert ids.tolist() == sum(want, []) and count.tolist() == [len(x) for x in want]
+        assert len(enc.known) <= 60 + 31
+    assert [learnt.count(x) for x in often.replace(" ", "| ").split("|")[1:]] == [1] * 10 and len(learnt) == 11 + 12 * 20
+
+
 def test_token_output_on_odd_rows(spark, odd, none, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = token_output.encoded_digests(odd, path).orderBy("start").collect()
