@@ -184,6 +184,57 @@ def test_drift_is_removed_where_values_are_in_a_row(spark):
     assert np.abs(np.polyfit(order, again.T, 1)[0]).max() < 0.06
 
 
+def fitted_by_hand(x, y, at, span=0.75, degree=2):
+    q, out = min(len(x), max(int(len(x) * span + 1e-9), degree + 1)), []
+    for t in at:
+        far = np.sort(np.abs(x - t))[q - 1] * max(1, span)
+        w = np.clip(1 - (np.abs(x - t) / far) ** 3, 0, None) ** 1.5
+        d = min(degree, len(set(x[w > 0])) - 1)
+        out.append(np.linalg.lstsq(np.vander(x - t, d + 1, increasing=True) * w[:, None], y * w, rcond=None)[0][0] if d >= 0 else np.nan)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("at_once, places", [(1 << 16, 32), (40, 3)])
+def test_many_curves_of_uneven_lengths(monkeypatch, at_once, places):
+    monkeypatch.setattr(stats, "AT_ONCE", at_once)
+    monkeypatch.setattr(stats, "PLACES", places)
+    rng = np.random.default_rng(31)
+    n, p = [0, 1, 2, 9, 40, 3, 9, 25, 0, 12], [4, 2, 3, 0, 40, 7, 35, 1, 0, 12]
+    xs, ats = [np.sort(rng.integers(0, 60, k)).astype(float) for k in n], [rng.uniform(0, 60, k) for k in p]
+    ys = [rng.normal(size=k) for k in n]
+    got = stats.local_regressions(np.concatenate(xs), np.concatenate(ys), n, np.concatenate(ats), p)
+    assert np.isnan(got[:4]).all()
+    assert got[4:] == pytest.approx(np.concatenate([fitted_by_hand(x, y, at) for x, y, at in zip(xs[1:], ys[1:], ats[1:], strict=True) if len(x)]), abs=1e-6, nan_ok=True)
+
+
+def test_corrected_batches_of_many_features_are_fitted_together(spark):
+    rng = np.random.default_rng(32)
+    x = rng.normal(0, 1, (30, 24)) + 0.1 * np.arange(24)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    plan = spark.createDataFrame([(f"s{j:02}", float(j), "ab"[j % 2]) for j in range(24)], "sample string, run_order double, batch string")
+    df = transforms.correct_batch_effects(long(spark, x), plan, "mean", least=4)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()  # a call of Python for each feature and batch took hours at a gigabyte
+    at_once = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # curves that begin in one Arrow batch and end in another
+    try:
+        got = wide(df)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+    want, stayed = x.copy(), 0
+    for row in want:
+        for half in (row[::2], row[1::2]):  # views
+            seen = ~np.isnan(half)
+            if max(map(len, "".join(" x"[v] for v in seen.astype(int)).split()), default=0) >= 4:
+                fit = fitted_by_hand(np.flatnonzero(seen).astype(float), half[seen], np.flatnonzero(seen))
+                half[seen] += fit.mean() - fit
+            else:
+                stayed += 1
+        middle = np.nanmean(row)
+        for half in (row[::2], row[1::2]):
+            half += middle - np.nanmean(half)
+    assert 0 < stayed < 30 and got == pytest.approx(want, abs=1e-6, nan_ok=True)
+
+
 def test_batch_centre_keeps_flagged_cells_out_of_the_middle(spark):
     x = np.array([[1, 2, 90, 11, 12, 13]], float)
     batches = spark.createDataFrame([(f"s{j:02}", "a" if j < 3 else "b") for j in range(6)], "sample string, batch string")
