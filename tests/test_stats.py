@@ -235,6 +235,32 @@ def test_corrected_batches_of_many_features_are_fitted_together(spark):
     assert 0 < stayed < 30 and got == pytest.approx(want, abs=1e-6, nan_ok=True)
 
 
+def test_a_long_curve_takes_little_memory():
+    import tracemalloc
+
+    x = np.arange(3000.0)
+    tracemalloc.start()
+    try:
+        fit = stats.local_regression(x, x**2 / 1000)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert fit == pytest.approx(x**2 / 1000, abs=1e-6) and most < 50e6  # points x places took 72 MB an array
+
+
+def test_cells_without_a_run_order_stay(spark):
+    rng = np.random.default_rng(33)
+    x = rng.normal(0, 1, (4, 13)) + np.arange(13)
+    plan = spark.createDataFrame([(f"s{j:02}", float(j) if j != 5 else None, "a") for j in range(13)], "sample string, run_order double, batch string")
+    df = transforms.drift_sample_loess(long(spark, x), plan)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()  # no call of Python for each feature
+    at = np.delete(np.arange(13.0), 5)
+    for row, got in zip(x, wide(df), strict=True):
+        rest = np.delete(row, 5)
+        fit = fitted_by_hand(at, rest, at)
+        assert got[5] == row[5] and np.delete(got, 5) == pytest.approx(rest + fit.mean() - fit, abs=1e-6)
+
+
 def test_batch_centre_keeps_flagged_cells_out_of_the_middle(spark):
     x = np.array([[1, 2, 90, 11, 12, 13]], float)
     batches = spark.createDataFrame([(f"s{j:02}", "a" if j < 3 else "b") for j in range(6)], "sample string, batch string")
