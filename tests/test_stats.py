@@ -261,6 +261,25 @@ def test_cells_without_a_run_order_stay(spark):
         assert got[5] == row[5] and np.delete(got, 5) == pytest.approx(rest + fit.mean() - fit, abs=1e-6)
 
 
+def test_qc_curves_are_fitted_together(spark):
+    rng = np.random.default_rng(34)
+    x = rng.normal(0, 1, (30, 24)) + 0.1 * np.arange(24)
+    x[rng.random(x.shape) < 0.3] = np.nan
+    qc = np.arange(3, 20, 2)  # what is before and behind them gets the fit at the ends
+    plan = spark.createDataFrame([(f"s{j:02}", float(j)) for j in range(24)], "sample string, run_order double")
+    df = transforms.drift_qc_loess(long(spark, x), plan, spark.createDataFrame([(f"s{j:02}",) for j in qc], "sample string"))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()  # no call of Python for each feature
+    want, stayed = x.copy(), 0
+    for row in want:
+        known = np.array([j for j in qc if not np.isnan(row[j])], float)
+        if len(known) >= 5:
+            y = row[known.astype(int)].copy()
+            row += fitted_by_hand(known, y, known).mean() - fitted_by_hand(known, y, np.clip(np.arange(24.0), known[0], known[-1]))
+        else:
+            stayed += 1
+    assert 0 < stayed < 30 and wide(df) == pytest.approx(want, abs=1e-6, nan_ok=True)
+
+
 def test_batch_centre_keeps_flagged_cells_out_of_the_middle(spark):
     x = np.array([[1, 2, 90, 11, 12, 13]], float)
     batches = spark.createDataFrame([(f"s{j:02}", "a" if j < 3 else "b") for j in range(6)], "sample string, batch string")
