@@ -142,14 +142,24 @@ def half_minimum(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     return cells.groupBy(*(by or [])).agg(F.coalesce(F.min(F.when(F.col("value") > 0, F.col("value"))) / 2, F.lit(1.0)).alias("offset"))
 
 
-def diagnostic_copy(cells: DataFrame, linear: bool) -> DataFrame:
-    """cells with y: log2 of linear values (plus half the smallest positive where zeros occur), else the value. Never saved as data."""
+def signs(cells: DataFrame) -> DataFrame:
+    """(block, zeros, negative, half): whether a block has zeros and negative values, and half of its smallest positive one."""
+    return cells.groupBy("block").agg(F.bool_or(F.col("value") == 0).alias("zeros"), F.bool_or(F.col("value") < 0).alias("negative"), (F.min(F.when(F.col("value") > 0, F.col("value"))) / 2).alias("half"))
+
+
+def diagnostic_copy(cells: DataFrame, linear: bool, known: dict | None = None) -> DataFrame:
+    """cells with y: log2 of linear values (plus half the smallest positive where zeros occur), else the value. Never saved as data.
+    known: the row of signs() if the cells are of one block, so that they needn't be read for it."""
     value = S.finite(F.col("value"))
     if not linear:
         return cells.withColumn("y", value)
-    facts = cells.groupBy("block").agg(F.bool_or(F.col("value") == 0).alias("zeros"), F.bool_or(F.col("value") < 0).alias("negative"), (F.min(F.when(F.col("value") > 0, F.col("value"))) / 2).alias("half"))
-    shifted = value + F.when(F.col("zeros"), F.col("half")).otherwise(0.0)
-    return cells.join(facts, "block").withColumn("y", F.when(F.col("negative"), value).otherwise(F.when(shifted > 0, F.log2(shifted)))).drop("zeros", "negative", "half")
+    if known is None:
+        cells = cells.join(F.broadcast(signs(cells)), "block")  # a row per block
+        zeros, negative, half = F.col("zeros"), F.col("negative"), F.col("half")
+    else:
+        zeros, negative, half = (F.lit(known.get(c)).cast(t) for c, t in (("zeros", "boolean"), ("negative", "boolean"), ("half", "double")))
+    shifted = value + F.when(zeros, half).otherwise(0.0)
+    return cells.withColumn("y", F.when(negative, value).otherwise(F.when(shifted > 0, F.log2(shifted)))).drop("zeros", "negative", "half")
 
 
 def floor_marks(cells: DataFrame, least: int = 5, by: tuple[str, ...] = ("feature",)) -> DataFrame:

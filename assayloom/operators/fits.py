@@ -17,34 +17,36 @@ from .spectra import Features, correlation_components
 
 #: How likely a Poisson number of mean 1 is at most 0, 1, 2, ...
 _AT_MOST = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
-_ROWS = 2048
+#: Weights that a step of a pass holds, and the fewest rows that it takes.
+_AT_ONCE, _ROWS = 1 << 16, 256
 
 
-def resampled(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
+def resampled(keys: np.ndarray, n: int, seed: int, draws: np.ndarray | None = None) -> np.ndarray:
     """Weights (keys x n + 1): 1 in the first column, then how often each of n resamples draws each row: Poisson numbers of mean 1 from
-    hashes of the row's key, so that a row has the same weights in any partition and on any attempt."""
-    h = keys.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))
+    hashes of the row's key, so that a row has the same weights in any partition and on any attempt. draws: these columns alone."""
+    draws = np.arange(n + 1) if draws is None else np.asarray(draws)
+    h = keys.astype(np.uint64)[:, None] + draws.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
-    return np.concatenate([np.ones((len(keys), 1)), np.searchsorted(_AT_MOST, u, "right")], axis=1)
+    return np.where(draws > 0, np.searchsorted(_AT_MOST, u, "right"), 1.0)
 
 
-def _sums(rows: DataFrame, of, width: int, n: int, seed: int) -> np.ndarray:
-    """(n + 1) x width: for the rows as they are and for each resample the weighted sums of of(columns), an array rows x width or rows x
-    width x (n + 1). A task returns one small array; they are added in a tree."""
+def _sums(rows: DataFrame, of, width: int, draws: np.ndarray, seed: int) -> np.ndarray:
+    """draws x width: of(weights, columns) added up over the rows; draw 0 is the rows as they are, the others are resamples.
+    A task returns one small array; they are added in a tree."""
+    step = max(_ROWS, _AT_ONCE // len(draws))
 
     def run(batches):
-        total = np.zeros((n + 1, width))
+        total = np.zeros((len(draws), width))
         for batch in batches:
-            for at in range(0, len(batch), _ROWS):
-                part = [c.to_numpy() for c in batch.slice(at, _ROWS).columns]
-                values, w = of(*part[1:]), resampled(part[0], n, seed)
-                total += np.einsum("fwr,fr->rw", values, w) if values.ndim == 3 else w.T @ values
+            for at in range(0, len(batch), step):
+                part = [c.to_numpy() for c in batch.slice(at, step).columns]
+                total += of(resampled(part[0], 0, seed, draws), *part[1:])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["z"])
 
-    parts = rows.mapInArrow(run, "z binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(n + 1, width))
-    return parts.treeReduce(np.add) if parts.getNumPartitions() else np.zeros((n + 1, width))
+    parts = rows.mapInArrow(run, "z binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(len(draws), width))
+    return parts.treeReduce(np.add) if parts.getNumPartitions() else np.zeros((len(draws), width))
 
 
 def slopes(rows: DataFrame, x: str, y: str, key: str = "feature", n: int = 0, seed: int = 0) -> tuple[float, np.ndarray]:
@@ -53,8 +55,8 @@ def slopes(rows: DataFrame, x: str, y: str, key: str = "feature", n: int = 0, se
     a, b = data.agg(F.avg("x"), F.avg("y")).first()
     if a is None:
         return math.nan, np.full(n, math.nan)
-    of = lambda x, y: np.stack([np.ones(len(x)), x - a, y - b, (x - a) ** 2, (x - a) * (y - b)], axis=1)
-    w, sx, sy, sxx, sxy = _sums(data, of, 5, n, seed).T
+    of = lambda w, x, y: w.T @ np.stack([np.ones(len(x)), x - a, y - b, (x - a) ** 2, (x - a) * (y - b)], axis=1)
+    w, sx, sy, sxx, sxy = _sums(data, of, 5, np.arange(n + 1), seed).T
     with np.errstate(divide="ignore", invalid="ignore"):
         found = (sxy - sx * sy / w) / (sxx - sx * sx / w)
     return float(found[0]), found[1:]
@@ -71,28 +73,60 @@ def interval(found: np.ndarray, level: float = 0.95) -> tuple[float, float]:
 
 
 def _detection(n: int):
-    """Log-likelihood, score and information of logit p = b0 + b1 x, of binomials of n that can't be 0, by feature and point (b0, b1)."""
-
-    def of(points: np.ndarray, x: np.ndarray, d: np.ndarray) -> np.ndarray:
-        eta = points[:, 0] + x[:, None] * points[:, 1]
-        log_p, log_q = -np.logaddexp(0, -eta), -np.logaddexp(0, eta)
-        p, seen = np.exp(log_p), -np.expm1(n * log_q)  # chance of a detection, and of any
+    """Sums over features of log-likelihood, score and information of logit p = b0 + b1 x, of binomials of n that can't be 0, by draw and its
+    point (b0, b1). Where all draws are at one point, a feature's terms are found once."""
+
+    def of(points: np.ndarray, w: np.ndarray, x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        one = (points == points[0]).all()
+        at, powers, d = points[:1] if one else points, np.stack([np.ones(len(x)), x, x * x]), d[:, None]
+        eta = at[:, 0] + x[:, None] * at[:, 1]
+        less = np.exp(-np.abs(eta))
+        log = np.log1p(less)
+        log_p, log_q = np.minimum(eta, 0) - log, -np.maximum(eta, 0) - log
+        up = eta >= 0
+        p, q = np.where(up, 1, less) / (1 + less), np.where(up, less, 1) / (1 + less)
+        seen = -np.expm1(n * log_q)  # the chance of any detection
         expect = n * p / seen
-        score = d[:, None] - expect
-        weight = np.maximum(n * p * np.exp(log_q) / seen - expect**2 * (1 - seen), 1e-12)
-        value = d[:, None] * log_p + (n - d[:, None]) * log_q - np.log(seen)
-        x = x[:, None]
-        return np.stack([value, score, score * x, weight, weight * x, weight * x * x], axis=1)
+        score, weight = d - expect, np.maximum(expect * q - expect * expect * (1 - seen), 1e-12)
+        value = d * log_p + (n - d) * log_q - np.log(seen)
+        if one:
+            return w.T @ np.concatenate([value, score, score * x[:, None], weight * powers.T], axis=1)
+        return np.concatenate([(w * value).sum(axis=0)[None], powers[:2] @ (w * score), powers @ (w * weight)]).T
 
     return of
 
 
+def _climbed(data: DataFrame, of, at: np.ndarray, draws: np.ndarray, seed: int, passes: int) -> np.ndarray:
+    """Points (draws x 2) where each draw's likelihood is greatest, from the points at on.
+
+    Newton's steps for all draws together: a pass over the rows returns six sums for each that is still open, at its trial point; where
+    the likelihood fell the step is halved, else the next one is taken. A likelihood that stays the same within rounding ends a draw.
+    """
+    at = at.copy()
+    trial, best, step, scale, open_ = at.copy(), np.full(len(at), -np.inf), np.zeros_like(at), np.ones(len(at)), np.ones(len(at), bool)
+    for _ in range(passes):
+        now = np.flatnonzero(open_)
+        points = trial[now]
+        value, s0, s1, h00, h01, h11 = _sums(data, lambda w, x, d, points=points: of(points, w, x, d), 6, draws[now], seed).T
+        with np.errstate(invalid="ignore"):
+            still = np.isfinite(best[now]) & (np.abs(value - best[now]) <= 1e-12 * (1 + np.abs(best[now])))
+            better = still | (value >= best[now])
+            determinant = h00 * h11 - h01 * h01
+            safe = np.where(determinant > 1e-12 * h00 * h11, determinant, np.inf)
+            move = np.stack([(h11 * s0 - h01 * s1) / safe, (h00 * s1 - h01 * s0) / safe], axis=1)
+        up = now[better]
+        at[up], best[up], step[up], scale[up] = trial[up], value[better], move[better], 1.0
+        scale[now[~better]] /= 2
+        open_[now] = ~still & (scale[now] > 1e-7) & (np.abs(step[now]).max(axis=1) > 1e-13)
+        if not open_.any():
+            break
+        trial = at + scale[:, None] * step
+    return at
+
+
 def detection_curve(features: DataFrame, n: int, resamples: int = 0, seed: int = 0, passes: int = 100) -> tuple[float, float, np.ndarray]:
     """(b0, b1, b1 of each resample) of logit p = b0 + b1 * mean over rows (feature, mean, detected), by the likelihood of features seen in at
-    least one of n samples.
-
-    Newton's steps for the data and all resamples together: a pass over the features returns six sums for each, at its trial point; where
-    the likelihood fell the step is halved, else the next one is taken. Features never leave their tasks.
+    least one of n samples. The resamples climb from where the data's own likelihood is greatest. Features never leave their tasks.
     """
     data = features.where("detected > 0 and mean is not null").select(F.xxhash64("feature").alias("key"), F.col("mean").cast("double").alias("x"), F.col("detected").cast("double").alias("d")).persist()
     centre, share = data.agg(F.avg("x"), F.avg("d") / n).first()
@@ -100,27 +134,11 @@ def detection_curve(features: DataFrame, n: int, resamples: int = 0, seed: int =
         data.unpersist()
         return math.nan, math.nan, np.full(resamples, math.nan)
     share, of = min(max(share, 0.05), 0.95), _detection(n)
-    at = np.tile([math.log(share / (1 - share)), 0.0], (resamples + 1, 1))
-    trial, best, step, scale, open_ = at.copy(), np.full(len(at), -np.inf), np.zeros_like(at), np.ones(len(at)), np.ones(len(at), bool)
-    for _ in range(passes):
-        points = trial.copy()
-        value, s0, s1, h00, h01, h11 = _sums(data, lambda x, d, points=points: of(points, x - centre, d), 6, resamples, seed).T
-        with np.errstate(invalid="ignore"):
-            better = open_ & (value >= best)
-        gain = np.where(better, value - best, 0.0)
-        at[better], best[better] = trial[better], value[better]
-        scale[open_ & ~better] /= 2
-        fine = better & (gain < 1e-13 * (1 + np.abs(best)))
-        determinant = h00 * h11 - h01 * h01
-        safe = np.where(determinant > 1e-12 * h00 * h11, determinant, np.inf)
-        move = np.stack([(h11 * s0 - h01 * s1) / safe, (h00 * s1 - h01 * s0) / safe], axis=1)
-        step[better], scale[better] = move[better], 1.0
-        open_ &= ~fine & (scale > 1e-7) & (np.abs(step).max(axis=1) > 1e-13)
-        if not open_.any():
-            break
-        trial = np.where(open_[:, None], at + scale[:, None] * step, at)
+    centred = lambda points, w, x, d: of(points, w, x - centre, d)
+    at = _climbed(data, centred, np.array([[math.log(share / (1 - share)), 0.0]]), np.zeros(1, int), seed, passes)
+    drawn = _climbed(data, centred, np.tile(at, (resamples, 1)), np.arange(1, resamples + 1), seed, passes) if resamples else at[:0]
     data.unpersist()
-    return float(at[0, 0] - at[0, 1] * centre), float(at[0, 1]), at[1:, 1]
+    return float(at[0, 0] - at[0, 1] * centre), float(at[0, 1]), drawn[:, 1]
 
 
 # ---------------------------------------------------------------- variance components

@@ -87,6 +87,7 @@ class Audit:
         self.found: dict[str, list[Finding]] = {}
         self.classes: dict[str, str] = {}
         self.state: dict[str, dict] = {}
+        self.signs: dict[str, dict] = {}
 
     @classmethod
     def of(cls, schema, **more) -> Audit:
@@ -127,7 +128,10 @@ class Audit:
         return {"yes": "log2", "no": "linear"}.get(said, "unknown")
 
     def diagnostic(self, block: str) -> DataFrame:
-        return C.diagnostic_copy(self._block(block), self.scale_class(block) == "continuous_linear")
+        linear = self.scale_class(block) == "continuous_linear"
+        if linear and block not in self.signs:
+            self.signs[block] = first(C.signs(self._block(block)))
+        return C.diagnostic_copy(self._block(block), linear, self.signs.get(block))
 
     def matrix(self, block: str) -> tuple[DataFrame, dict]:
         p = self.params
@@ -299,12 +303,13 @@ class Audit:
                     rows = M.rate_by_level(cells, self._levels(v).withColumn("name", F.lit(v["name"]))).collect()
                     f.measures["by_level"][v["name"]] = {r.level: r.missing_rate for r in rows}
             n = cells.select("sample").distinct().count()
-            per = cells.groupBy("feature").agg(F.count("y").alias("d"), F.avg("y").alias("m"))
+            per = cells.groupBy("feature").agg(F.count("y").alias("d"), F.avg("y").alias("m")).persist()
             absent = self.spark.createDataFrame([], "feature string, absent_levels long, lowest long")
             if batch:
-                absent = M.level_coverage(cells, self._levels(batch).withColumnRenamed("level", "batch"), p["a12_min_level_n"])
+                absent = M.level_coverage(cells, self._levels(batch).withColumnRenamed("level", "batch"), p["a12_min_level_n"]).persist()
                 f.measures["coverage"] = first(M.coverage_shares(absent))
             low = first(per.where("d > 0").agg(F.percentile("m", F.lit(p["a12_low_abundance_fraction"])).alias("q")))["q"]
+            low = None if low is None else low + 1e-12 * max(1.0, abs(low))  # means that are equal but for their last bits go together
             kind = F.when(F.col("d") == n, "complete").when(F.coalesce(F.col("absent_levels"), F.lit(0)) > 0, "batch_wide_absent").when(F.col("m") <= F.lit(low), "low_abundance_pattern").otherwise("scattered")
             classes = {r.kind: r.n for r in per.join(absent, "feature", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
             f.measures["feature_classes"] = classes
@@ -316,6 +321,8 @@ class Audit:
                 inside = -p["a12_b1_negligible"] <= lo and hi <= p["a12_b1_negligible"]
                 intensity = "no" if inside else "yes" if lo > 0 or hi < 0 else "indeterminate"
                 f.measures["detection_curve"] = {"b1": b1, "ci95": [lo, hi], "n_partial": some}
+            per.unpersist()
+            absent.unpersist()
             by_batch = "indeterminate"
             if batch:
                 share = f.measures["coverage"]["batch_wide_absent"] or 0.0
@@ -334,34 +341,37 @@ class Audit:
 
     def _batch_tests(self, cells: DataFrame, batch: dict) -> int:
         """Features whose missing cells go with the batch: chi-square against seeded permutations of the samples' labels, Benjamini-Hochberg.
-        The permutations are few numbers per sample; each feature's bits meet them in its own task."""
+        Features that miss the same samples share a test. The permutations are few numbers per sample; the patterns meet them in their tasks."""
         names = sorted(n for n, v in batch["values"].items() if v)
         codes = np.unique([batch["values"][n] for n in names], return_inverse=True)[1]
         rng = np.random.default_rng([self.params["seed"], 26])
         perms = np.stack([codes] + [rng.permutation(codes) for _ in range(self.params["a12_feature_permutations"])])
-        hot = np.stack([(perms == k) for k in np.unique(codes)]).astype(np.float32)
-        sizes = np.bincount(codes).astype(float)
-        at = {s: i for i, s in enumerate(names)}
-        gaps = cells.where("y is null").groupBy("feature").agg(F.collect_list("sample").alias("gone"))
+        levels, sizes = codes.max() + 1, np.bincount(codes).astype(float)
+        hot = np.concatenate([perms == k for k in range(levels)]).astype(np.float32).T  # samples x (levels x permutations)
+        at_once = max(1, (1 << 18) // hot.shape[1])
+        at = self.spark.createDataFrame([(s, i) for i, s in enumerate(names)], "sample string, i int")  # a row per sample
+        gaps = cells.where("y is null").join(F.broadcast(at), "sample", "left").groupBy("feature").agg(F.array_sort(F.collect_list("i")).alias("gone"))
 
         def test(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                ps = []
-                for gone in pdf["gone"]:
-                    r = np.zeros(len(names), np.float32)
-                    r[[at[s] for s in gone if s in at]] = 1
-                    total = r.sum()
-                    if total in (0, len(names)):
-                        ps.append(1.0)
-                        continue
-                    expect = total * sizes / len(names)
-                    chi = (((hot @ r).T - expect) ** 2 / (expect * (1 - total / len(names)))).sum(axis=1)
-                    ps.append(float((1 + (chi[1:] >= chi[0] - 1e-9).sum()) / len(chi)))
-                yield pd.DataFrame({"feature": pdf["feature"], "p": ps})
-
-        return T.bh(gaps.mapInPandas(test, "feature string, p double")).where(F.col("q") <= self.params["alpha"]).count()
+            import pyarrow as pa
+
+            for pattern in batches:
+                lengths, gone = pattern["gone"].value_lengths().to_numpy(), pattern["gone"].flatten().to_numpy()
+                missed = np.zeros((len(lengths), len(names)), np.float32)
+                missed[np.repeat(np.arange(len(lengths)), lengths), gone] = 1
+                total, p = missed.sum(axis=1), np.ones(len(lengths))
+                some = np.flatnonzero((total > 0) & (total < len(names)))
+                for rows in np.split(some, range(at_once, len(some), at_once)):
+                    share = (total[rows] / len(names)).astype(float)[:, None, None]
+                    expect = share * len(names) * sizes[:, None] / len(names)
+                    chi = (((missed[rows] @ hot).reshape(len(rows), levels, -1) - expect) ** 2 / (expect * (1 - share))).sum(axis=1)
+                    p[rows] = (1 + (chi[:, 1:] >= chi[:, :1] - 1e-9).sum(axis=1)) / chi.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(p), pattern["n"]], ["p", "n"])
+
+        tests = gaps.groupBy("gone").agg(F.count("*").alias("n")).mapInArrow(test, "p double, n long").persist()
+        hits = T.bh(tests, n="n").where(F.col("q") <= self.params["alpha"]).agg(F.sum("n")).first()[0]
+        tests.unpersist()
+        return hits or 0
 
     def distribution(self) -> list[Finding]:
         """A3: how spread grows with the mean, skewness, and whether sample medians differ and with what."""

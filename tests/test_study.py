@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.operators import transforms
+from assayloom.operators import fits, stats, transforms
 from assayloom.plans import audit, executor, registry, rules
 from assayloom.plans import schema as schemas
 from assayloom.plans.audit import Audit, worst
@@ -327,3 +327,46 @@ def test_an_entry_changes_its_unit_alone(spark, tmp_path):
         executor.apply(store, "leak", {}, yes, scope="A1B2")
     del executor.OPS["leak"]
     assert len(StateStore(spark, str(tmp_path)).load().states) == 3
+
+
+def test_missing_profile_of_many_features(spark, monkeypatch):
+    """A12: features that miss the same samples share a test, the curve takes few passes, and no join has a block as its only key."""
+    rng = np.random.default_rng(41)
+    n, batches = 12, np.repeat([0, 1, 2], 4)
+    level = rng.normal(20, 2, 400)
+    gone = rng.random((400, n)) > 1 / (1 + np.exp(-(level[:, None] - 18)))
+    gone[:150] = batches == 1  # features that a batch lacks
+    gone[150:190] = np.arange(n) < 2
+    value = np.where(gone, np.nan, 2 ** (level[:, None] + rng.normal(0, 0.3, (400, n))))
+    rows = [("A1B1", f"f{i}", f"s{j:02}", "", float(value[i, j]) if not gone[i, j] else None) for i in range(400) for j in range(n)]
+    cells = spark.createDataFrame(rows, "block string, feature string, sample string, raw string, value double")
+    # the last sample has no batch: the tests leave it out
+    samples = spark.createDataFrame([(f"s{j:02}", "study", True, None, None, "abc"[batches[j]] if j < 11 else "") for j in range(n)], "sample string, sample_type string, is_study_sample boolean, subject string, time string, batch string")
+    a = Audit(cells, samples, spark.createDataFrame([(f"f{i}", False, "") for i in range(400)], "feature string, flagged boolean, flag_reason string"), {"batch": "batch"})
+    a.classes = {"A1B1": "continuous_linear"}
+    assert "Join" not in a.diagnostic("A1B1").where("y > 0")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    passes, tested = [], []
+    sums, bh = fits._sums, stats.bh
+    monkeypatch.setattr(fits, "_sums", lambda *args: passes.append(1) or sums(*args))
+    monkeypatch.setattr(stats, "bh", lambda df, **more: tested.append(df.count()) or bh(df, **more))
+    found = a.missingness_profile()[0].measures
+
+    names, codes = range(11), batches[:11]
+    draw = np.random.default_rng([0, 26])
+    perms = np.stack([codes] + [draw.permutation(codes) for _ in range(999)])
+    p = []
+    for r in gone[gone.any(axis=1)][:, list(names)].astype(float):
+        if r.sum() in (0, 11):
+            p.append(1.0)
+            continue
+        size = np.bincount(codes)
+        expect = r.sum() * size / 11
+        chi = sum((((perms == k) @ r) - expect[k]) ** 2 / (expect[k] * (1 - r.mean())) for k in range(3))
+        p.append((1 + (chi[1:] >= chi[0] - 1e-9).sum()) / 1000)
+    ranked = np.sort(p)
+    ok = np.flatnonzero(ranked * len(p) / np.arange(1, len(p) + 1) <= 0.05)
+    hits = int((np.array(p) <= ranked[ok[-1]]).sum()) if len(ok) else 0
+    assert found["batch_tests"]["n_significant"] == hits >= 150
+    assert tested == [len({tuple(r) for r in gone[gone.any(axis=1)][:, list(names)]})]
+    assert found["detection_curve"]["ci95"][0] < found["detection_curve"]["b1"] < found["detection_curve"]["ci95"][1] and len(passes) <= 16
+    assert found["feature_classes"]["complete"] == int((~gone).all(axis=1).sum())
